@@ -2,7 +2,7 @@
 
 ``percentile`` keeps one value->count map per group in one task, and a global
 ``percentile_approx`` merges one sketch per input task in a single reducer. Neither holds for a
-column of 10^12 rows. Here the wanted ranks are narrowed down in three scans instead: a coarse
+column of 10^12 rows. For a long column (the length is checked first) the wanted ranks are narrowed down in three scans: a coarse
 histogram on a logarithmic scale, a fine histogram inside the few bars that hold a wanted rank,
 and the counts of the distinct values inside the few fine bars that remain. Each step pre-aggregates
 before its shuffle, and what a single task ever sees is one histogram (a few thousand bars) or the
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# A column up to this length is handed to ``percentile``: its value->count map then fits one task.
+SHORT_COLUMN = 1_000_000
 COARSE_BARS_PER_OCTAVE = 64
 FINE_BARS = 8192
 
@@ -51,18 +53,33 @@ def _bars_with_ranks(bars: DataFrame, group: list[str], order: str, offset: Colu
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column | str, probabilities: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame,
+    value: Column | str,
+    probabilities: Sequence[float],
+    by: Sequence[str] = (),
+    rows: int | None = None,
+    short: int = SHORT_COLUMN,
 ) -> DataFrame:
     """One row per group: ``by`` columns, ``n`` and ``q``, the array of interpolated quantiles.
 
     ``by`` must name few groups (none, or the columns of a profile): the bars that hold the wanted
-    ranks, at most two per probability and group, are broadcast to the scans.
+    ranks, at most two per probability and group, are broadcast to the scans. ``rows`` is the length
+    of ``df`` if the caller knows it.
     """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
+    numbers = df.select(*by, value.cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v")
+    )
+    if (numbers.count() if rows is None else rows) <= short:
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        return (
+            numbers.groupBy(*by)
+            .agg(F.count("*").alias("n"), F.percentile("_v", wanted).alias("q"))
+            .filter(F.col("n") > 0)
+        )
     base = (
-        df.select(*by, value.cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        numbers
         .withColumn("_v", F.col("_v") + F.lit(0.0))
         .withColumn("_b1", _coarse(F.col("_v")))
         .withColumn("_g", F.lit(0))
@@ -150,13 +167,21 @@ def rank_within(
     )
 
 
-def median_value(df: DataFrame, value: Column | str) -> float | None:
+def median_value(
+    df: DataFrame, value: Column | str, rows: int | None = None, short: int = SHORT_COLUMN
+) -> float | None:
     """The exact median as one number on the driver, None for an empty column."""
-    row = exact_quantiles(df, value, [0.5]).first()
+    row = exact_quantiles(df, value, [0.5], rows=rows, short=short).first()
     return None if row is None else row["q"][0]
 
 
-def robust_scale(df: DataFrame, value: Column | str, minimum_one: bool = True) -> Row:
+def robust_scale(
+    df: DataFrame,
+    value: Column | str,
+    minimum_one: bool = True,
+    rows: int | None = None,
+    short: int = SHORT_COLUMN,
+) -> Row:
     """``Row(center, mad, std, scale, n)`` of a column: 1.4826 x MAD, else the population deviation.
 
     ``minimum_one`` is the investigation rule (a scale of 0 becomes 1); without it the time-series
@@ -164,10 +189,11 @@ def robust_scale(df: DataFrame, value: Column | str, minimum_one: bool = True) -
     """
     value = F.col(value) if isinstance(value, str) else value
     narrow = df.select(value.cast("double").alias("v"))
-    center = median_value(narrow, "v")
+    center = median_value(narrow, "v", rows, short)
     if center is None:
         return Row(center=0.0, mad=0.0, std=0.0, scale=1.0 if minimum_one else 0.0, n=0)
-    spread = exact_quantiles(narrow, F.abs(F.col("v") - F.lit(center)), [0.5]).first()
+    deviation = F.abs(F.col("v") - F.lit(center))
+    spread = exact_quantiles(narrow, deviation, [0.5], rows=rows, short=short).first()
     mad, n = spread["q"][0], spread["n"]
     std = 0.0
     if mad == 0 and n > 1:

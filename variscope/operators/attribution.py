@@ -103,7 +103,7 @@ class Population:
 
     @cached_property
     def scale(self) -> float:
-        return robust_scale(self.prepared, "residual").scale
+        return robust_scale(self.prepared, "residual", rows=self.stats["n"]).scale
 
     @cached_property
     def stats(self) -> Row:
