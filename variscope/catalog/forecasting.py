@@ -56,13 +56,13 @@ def model_scores(spark, sf):
     hist AS (SELECT segment, brand, list(actual ORDER BY p) AS h, count(*) AS n FROM series GROUP BY ALL),
     nx AS (SELECT *, CASE model WHEN 'naive_last' THEN h[n] WHEN 'rolling_median_3' THEN list_median(h[n-2:n]) WHEN 'rolling_median_6' THEN list_median(h[n-5:n])
       WHEN 'seasonal_naive_12' THEN h[n-11] END AS nxt FROM hist LEFT JOIN best USING (segment, brand))
-    SELECT segment, brand, model AS champion, round(wape, 8) AS wape, round(bias, 8) AS bias, round(nxt, 5) AS next_forecast, round(nxt - p90, 4) AS interval_lower,
-      round(nxt - p10, 4) AS interval_upper, n AS history_periods, coalesce(folds, 0) AS evaluated_periods,
+    SELECT segment, brand, model AS champion, round(wape, 8) AS wape, round(bias, 8) AS bias, round(nxt, 5) AS next_forecast, round(nxt - p90, 8) AS interval_lower,
+      round(nxt - p10, 8) AS interval_upper, n AS history_periods, coalesce(folds, 0) AS evaluated_periods,
       CASE WHEN model IS NULL THEN 'insufficient' WHEN n < 10 OR wape > 0.3 OR abs(bias) > 0.1 THEN 'watch' ELSE 'ready' END AS status FROM nx""",
 )
 def forecast_backtest(spark, sf):
     return B.forecast_backtest(_series(spark, sf), "actual", "period_start", KEYS).select(
-        *KEYS, "champion", r("wape", 8), r("bias", 8), r("next_forecast", 5), r("interval_lower", 4), r("interval_upper", 4),
+        *KEYS, "champion", r("wape", 8), r("bias", 8), r("next_forecast", 5), r("interval_lower", 8), r("interval_upper", 8),
         "history_periods", "evaluated_periods", "status",
     )
 

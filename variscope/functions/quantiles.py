@@ -59,23 +59,25 @@ def exact_quantiles(
     by: Sequence[str] = (),
     rows: int | None = None,
     short: int = SHORT_COLUMN,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group: ``by`` columns, ``n`` and ``q``, the array of interpolated quantiles.
 
     ``by`` must name few groups (none, or the columns of a profile): the bars that hold the wanted
     ranks, at most two per probability and group, are broadcast to the scans. ``rows`` is the length
-    of ``df`` if the caller knows it.
+    of ``df`` if the caller knows it, and ``weight`` a column that says how often a value occurs.
     """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
-    numbers = df.select(*by, value.cast("double").alias("_v")).filter(
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    numbers = df.select(*by, value.cast("double").alias("_v"), times.alias("_w")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
     if (numbers.count() if rows is None else rows) <= short:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
         return (
             numbers.groupBy(*by)
-            .agg(F.count("*").alias("n"), F.percentile("_v", wanted).alias("q"))
+            .agg(F.sum("_w").alias("n"), F.percentile("_v", wanted, F.col("_w")).alias("q"))
             .filter(F.col("n") > 0)
         )
     base = (
@@ -87,7 +89,7 @@ def exact_quantiles(
     group = ["_g", *by]
 
     coarse = base.groupBy(*group, "_b1").agg(
-        F.count("*").alias("_count"), F.min("_v").alias("_low1"), F.max("_v").alias("_high1")
+        F.sum("_w").alias("_count"), F.min("_v").alias("_low1"), F.max("_v").alias("_high1")
     )
     positions = [
         (F.col("_n") - 1) * F.lit(float(p)) for p in probabilities
@@ -110,7 +112,7 @@ def exact_quantiles(
         base.join(F.broadcast(kept1), [*group, "_b1"])
         .withColumn("_b2", _fine(F.col("_v"), F.col("_low1"), F.col("_high1")))
         .groupBy(*group, "_b1", "_low1", "_high1", "_before1", "_n", "_ranks", "_b2")
-        .agg(F.count("*").alias("_count"))
+        .agg(F.sum("_w").alias("_count"))
     )
     kept2 = _bars_with_ranks(fine, [*group, "_b1"], "_b2", F.col("_before1")).withColumnRenamed(
         "_before", "_before2"
@@ -120,7 +122,7 @@ def exact_quantiles(
         base.join(F.broadcast(kept2), [*group, "_b1"])
         .filter(_fine(F.col("_v"), F.col("_low1"), F.col("_high1")) == F.col("_b2"))
         .groupBy(*group, "_b1", "_b2", "_before2", "_n", "_ranks", "_v")
-        .agg(F.count("*").alias("_count"))
+        .agg(F.sum("_w").alias("_count"))
     )
     picked = _bars_with_ranks(distinct, [*group, "_b1", "_b2"], "_v", F.col("_before2"))
     by_rank = (

@@ -110,7 +110,7 @@ def _from_number(c: Column) -> Column:
 def parse_time_value(df: DataFrame, name: str) -> Column:
     """``struct(ts, precision)`` for one column, null where the value is no time."""
     dtype = df.schema[name].dataType
-    c = df[name]
+    c = F.col(name)
     if isinstance(dtype, T.StringType):
         return _from_text(c)
     if isinstance(dtype, T.NumericType):

@@ -102,6 +102,12 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also inside the lambdas of ``body``
+    (a plain expression there would be computed again for every element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def array_median(a: Column) -> Column:
     """Median of a short array of doubles; null when it is empty."""
     return array_percentile(a, 0.5)
@@ -109,11 +115,14 @@ def array_median(a: Column) -> Column:
 
 def array_percentile(a: Column, p: float) -> Column:
     """Linear-interpolation percentile of a short array of doubles."""
-    s = F.array_sort(a)
     position = (F.size(a) - 1) * F.lit(float(p))
-    low = F.try_element_at(s, F.floor(position).cast("int") + 1)
-    high = F.try_element_at(s, F.ceil(position).cast("int") + 1)
-    return F.when(F.size(a) > 0, low + (high - low) * (position - F.floor(position)))
+    low, high = F.floor(position).cast("int") + 1, F.ceil(position).cast("int") + 1
+
+    def pick(s: Column) -> Column:
+        below = F.try_element_at(s, low)
+        return below + (F.try_element_at(s, high) - below) * (position - F.floor(position))
+
+    return F.when(F.size(a) > 0, let(F.array_sort(a), pick))
 
 
 def array_mean(a: Column) -> Column:
@@ -123,15 +132,20 @@ def array_mean(a: Column) -> Column:
 
 def array_std(a: Column) -> Column:
     """Population standard deviation of a short array, 0 below two values."""
-    m = array_mean(a)
-    squares = F.aggregate(F.transform(a, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(a) >= 2, F.sqrt(squares / F.size(a))).otherwise(F.lit(0.0))
+
+    def deviation(m: Column) -> Column:
+        return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))
+
+    return F.when(F.size(a) >= 2, let(array_mean(a), deviation)).otherwise(F.lit(0.0))
+
+
+def array_mad(a: Column) -> Column:
+    """Median absolute deviation from the median."""
+    return let(array_median(a), lambda m: array_median(F.transform(a, lambda x: F.abs(x - m))))
 
 
 def array_robust_scale(a: Column) -> Column:
     """1.4826 x MAD, else the population deviation; 0 below two values (the time-series rule)."""
-    center = array_median(a)
-    mad = array_median(F.transform(a, lambda x: F.abs(x - center)))
     return F.when(
-        F.size(a) >= 2, F.coalesce(F.nullif(mad * 1.4826, F.lit(0.0)), array_std(a))
+        F.size(a) >= 2, F.coalesce(F.nullif(array_mad(a) * 1.4826, F.lit(0.0)), array_std(a))
     ).otherwise(F.lit(0.0))

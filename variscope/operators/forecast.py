@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from variscope.functions.values import array_median, array_percentile, ratio
+from variscope.functions.values import array_mad, array_percentile, ratio
 
 # The models in the order that breaks ties, with the history each needs.
 MODELS = {"naive_last": 1, "rolling_median_3": 3, "rolling_median_6": 6, "seasonal_naive_12": 12}
@@ -61,7 +61,6 @@ def fold_predictions(
 def model_scores(folds: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     """MAE, WAPE, bias and residual scale of each model. The errors kept per model are one per
     period of one series."""
-    center = array_median(F.col("_errors"))
     return (
         folds.groupBy(*series, "model")
         .agg(
@@ -73,7 +72,7 @@ def model_scores(folds: DataFrame, series: Sequence[str] = ()) -> DataFrame:
         )
         .withColumns(
             {
-                "residual_scale": array_median(F.transform("_errors", lambda x: F.abs(x - center))) * 1.4826,
+                "residual_scale": array_mad(F.col("_errors")) * 1.4826,
                 "p10": array_percentile(F.col("_errors"), 0.1),
                 "p90": array_percentile(F.col("_errors"), 0.9),
                 "eligible": F.col("folds") >= MINIMUM_FOLDS,
