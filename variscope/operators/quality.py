@@ -27,6 +27,7 @@ from variscope.functions.values import (
     is_missing,
     ratio,
 )
+from variscope.session import ensure_checkpoint_dir
 from variscope.sources.coerce import cell_counts, typed_value
 
 # Thresholds of the report.
@@ -92,17 +93,17 @@ class Profiler:
 
     @cached_property
     def profile(self) -> DataFrame:
-        """The column profile, one row per column, kept because several reports read it."""
-        return column_profile(self).persist(StorageLevel.MEMORY_AND_DISK)
+        """The column profile, one row per column. It is checkpointed because several reports read
+        it and its lineage is long compared with its size."""
+        ensure_checkpoint_dir(self.df.sparkSession)
+        return column_profile(self).checkpoint()
 
     @cached_property
     def summary(self) -> DataFrame:
-        return dataset_summary(self, self.profile).persist(StorageLevel.MEMORY_AND_DISK)
+        return dataset_summary(self, self.profile).checkpoint()
 
     def release(self) -> None:
-        for kept in ("summary", "profile", "frequencies"):
-            if kept in self.__dict__:
-                getattr(self, kept).unpersist()
+        self.frequencies.unpersist()
 
     @cached_property
     def values(self) -> DataFrame:
