@@ -2,6 +2,8 @@
 
 from importlib import import_module
 
+from variscope.catalog.registry import ENTRIES, Entry
+
 MODULES = [
     "cohorts",
     "attribution",
@@ -16,12 +18,8 @@ MODULES = [
 ]
 
 
-def load() -> dict:
+def load() -> dict[str, Entry]:
     """All registered entries by name."""
-    from variscope.catalog.registry import ENTRIES
-
     for m in MODULES:
-        import os
-        if not os.path.exists(os.path.join(os.path.dirname(__file__), m + ".py")): continue
         import_module(f"variscope.catalog.{m}")
     return ENTRIES
