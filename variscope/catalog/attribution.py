@@ -264,6 +264,34 @@ def find_interactions(spark, sf):
     )
 
 
+@query(
+    "top_interactions",
+    f"WITH {FACT}, {investigation()}{INTERACTION_SQL}".replace("LIMIT 12", "LIMIT 5"),
+)
+def top_interactions(spark, sf):
+    inv = Investigation(fact(spark, sf), SPEC)
+    return A.find_interactions(inv.population, inv.candidates, 5).select(
+        "segment", "ways", "count", r("support", 8), r("actual", 4), r("expected", 4),
+        r("business_impact", 4), r("lift", 8), r("score", 4),
+    )
+
+
+@query(
+    "share_of_abs",
+    f"WITH {GAPS}, {investigation('gaps')} SELECT dimension, value, round(share_of_abs_variance, 8) AS share_of_abs_variance FROM contributions",
+)
+def share_of_abs(spark, sf):
+    return Investigation(fact_with_gaps(spark, sf), SPEC).contributions.select("dimension", "value", r("share_of_abs_variance", 8))
+
+
+@query(
+    "concentration_top3",
+    f"WITH {GAPS}, {investigation('gaps')} SELECT dimension, round(sum(share_of_abs_variance), 8) AS concentration FROM contributions WHERE category_rank <= 3 GROUP BY 1 HAVING count(*) > 1",
+)
+def concentration_top3(spark, sf):
+    return Investigation(fact_with_gaps(spark, sf), SPEC).scores.select("dimension", r("concentration", 8))
+
+
 @query(
     "cohort_compare",
     f"""WITH {FACT}, x AS (SELECT region AS value, count(*) AS count, cast(sum(actual) AS DOUBLE) AS actual, cast(sum(target) AS DOUBLE) AS expected,

@@ -230,6 +230,35 @@ def missing_cells(spark, sf):
     return Q.missing_cells(fact_with_gaps(spark, sf)).select("row_count", "cell_count", "missing_cells", r("missing_rate", 8), "empty_rows")
 
 
+@query(
+    "empty_rows",
+    f"""WITH {GAPS} SELECT count(*) AS row_count, count(*) FILTER (WHERE actual IS NULL AND priority IS NULL AND nullif(trim(region), '') IS NULL) AS empty_rows FROM gaps""",
+)
+def empty_rows(spark, sf):
+    columns = ["actual", "priority", "region"]
+    return Q.missing_cells(fact_with_gaps(spark, sf, columns), columns).select("row_count", "empty_rows")
+
+
+@query("infer_kind", f"""WITH {PROFILE} SELECT col AS "column", kind AS inferred_kind FROM pf""")
+def infer_kind(spark, sf):
+    return _profiler(spark, sf).profile.select("column", "inferred_kind")
+
+
+@query(
+    "identifier_name",
+    """SELECT 'order_id' AS "column", TRUE AS identifier_name, count(DISTINCT o_orderkey) AS distinct_count FROM orders UNION ALL SELECT 'customer_id', TRUE, count(DISTINCT o_custkey) FROM orders
+    UNION ALL SELECT 'accountId', TRUE, count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'paid', TRUE, count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'identity', FALSE, count(DISTINCT o_orderstatus) FROM orders""",
+)
+def identifier_name(spark, sf):
+    df = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_custkey").alias("accountId"),
+        F.col("o_orderstatus").alias("paid"), F.col("o_orderstatus").alias("identity"),
+    )
+    return Q.profile_fields(Q.Profiler(df, OPTIONS)).select(
+        "column", Q.identifier_name(F.col("column")).alias("identifier_name"), "distinct_count"
+    )
+
+
 @query(
     "missing_patterns",
     f"""WITH {GAPS}, x AS (SELECT concat_ws('|', CASE WHEN actual IS NULL THEN 'actual' END, CASE WHEN priority IS NULL THEN 'priority' END, CASE WHEN nullif(trim(region), '') IS NULL THEN 'region' END) AS columns FROM gaps)

@@ -401,3 +401,24 @@ def visible_points(spark, sf):
         F.count("*").alias("periods"), F.min("period_start").cast("string").alias("first_period"),
         F.round(F.sum("business_impact"), 4).alias("business_impact"),
     )
+
+
+def _signal(spark, sf, column):
+    return S.recent_signals(S.finance_points(_gaps(spark, sf), BASELINE), BASELINE).select(
+        F.col("segment").alias("series"), r(column, 6)
+    )
+
+
+@query("forecast_bias", f"WITH {GAPS}, {BASE_CTE}, {SIGNALS_CTE} SELECT s AS series, round(bias, 6) AS forecast_bias FROM signals")
+def forecast_bias(spark, sf):
+    return _signal(spark, sf, "forecast_bias")
+
+
+@query("volatility", f"WITH {GAPS}, {BASE_CTE}, {SIGNALS_CTE} SELECT s AS series, round(vol, 6) AS volatility FROM signals")
+def volatility(spark, sf):
+    return _signal(spark, sf, "volatility")
+
+
+@query("drift_score", f"WITH {GAPS}, {BASE_CTE}, {SIGNALS_CTE} SELECT s AS series, round(drift, 6) AS drift_score FROM signals")
+def drift_score(spark, sf):
+    return _signal(spark, sf, "drift_score")

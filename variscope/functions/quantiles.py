@@ -2,11 +2,12 @@
 
 ``percentile`` keeps one value->count map per group in one task, and a global
 ``percentile_approx`` merges one sketch per input task in a single reducer. Neither holds for a
-column of 10^12 rows. For a long column (the length is checked first) the wanted ranks are narrowed down in three scans: a coarse
-histogram on a logarithmic scale, a fine histogram inside the few bars that hold a wanted rank,
-and the counts of the distinct values inside the few fine bars that remain. Each step pre-aggregates
-before its shuffle, and what a single task ever sees is one histogram (a few thousand bars) or the
-distinct values of one fine bar. The result is exact, for any distribution and any ties.
+column of 10^12 rows. The length is checked first. A short column goes to ``percentile``. In a long
+one the wanted ranks are narrowed down in two or three scans: a coarse histogram on a logarithmic
+scale, for very long columns a fine histogram inside the few bars that hold a wanted rank, and the
+counts of the distinct values inside the few bars that remain. Each step pre-aggregates before its
+shuffle, and what a single task ever sees is one histogram (a few thousand bars) or the distinct
+values of one bar. The result is exact, for any distribution and any ties.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # A column up to this length is handed to ``percentile``: its value->count map then fits one task.
-SHORT_COLUMN = 1_000_000
+SHORT_COLUMN = 200_000
+# Up to this length one bar of the coarse histogram is small enough to sort as it is.
+MEDIUM_COLUMN = 100_000_000
 COARSE_BARS_PER_OCTAVE = 64
 FINE_BARS = 8192
 
@@ -60,6 +63,7 @@ def exact_quantiles(
     rows: int | None = None,
     short: int = SHORT_COLUMN,
     weight: str | None = None,
+    medium: int = MEDIUM_COLUMN,
 ) -> DataFrame:
     """One row per group: ``by`` columns, ``n`` and ``q``, the array of interpolated quantiles.
 
@@ -73,7 +77,8 @@ def exact_quantiles(
     numbers = df.select(*by, value.cast("double").alias("_v"), times.alias("_w")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    if (numbers.count() if rows is None else rows) <= short:
+    length = numbers.count() if rows is None else rows
+    if length <= short:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
         return (
             numbers.groupBy(*by)
@@ -108,21 +113,19 @@ def exact_quantiles(
     coarse = coarse.withColumn("_n", F.sum("_count").over(whole)).withColumn("_ranks", ranks)
     kept1 = _bars_with_ranks(coarse, group, "_b1", F.lit(0)).withColumnRenamed("_before", "_before1")
 
-    fine = (
-        base.join(F.broadcast(kept1), [*group, "_b1"])
-        .withColumn("_b2", _fine(F.col("_v"), F.col("_low1"), F.col("_high1")))
-        .groupBy(*group, "_b1", "_low1", "_high1", "_before1", "_n", "_ranks", "_b2")
-        .agg(F.sum("_w").alias("_count"))
-    )
-    kept2 = _bars_with_ranks(fine, [*group, "_b1"], "_b2", F.col("_before1")).withColumnRenamed(
-        "_before", "_before2"
-    )
-
-    distinct = (
-        base.join(F.broadcast(kept2), [*group, "_b1"])
-        .filter(_fine(F.col("_v"), F.col("_low1"), F.col("_high1")) == F.col("_b2"))
-        .groupBy(*group, "_b1", "_b2", "_before2", "_n", "_ranks", "_v")
-        .agg(F.sum("_w").alias("_count"))
+    inside = base.join(F.broadcast(kept1), [*group, "_b1"])
+    if length <= medium:
+        kept2 = inside.withColumns({"_b2": F.lit(0), "_before2": F.col("_before1")})
+    else:
+        inside = inside.withColumn("_b2", _fine(F.col("_v"), F.col("_low1"), F.col("_high1")))
+        fine = inside.groupBy(*group, "_b1", "_b2", "_before1", "_n", "_ranks").agg(
+            F.sum("_w").alias("_count")
+        )
+        bars = _bars_with_ranks(fine, [*group, "_b1"], "_b2", F.col("_before1"))
+        targets = bars.select(*group, "_b1", "_b2", F.col("_before").alias("_before2"), "_ranks")
+        kept2 = inside.drop("_ranks").join(F.broadcast(targets), [*group, "_b1", "_b2"])
+    distinct = kept2.groupBy(*group, "_b1", "_b2", "_before2", "_n", "_ranks", "_v").agg(
+        F.sum("_w").alias("_count")
     )
     picked = _bars_with_ranks(distinct, [*group, "_b1", "_b2"], "_v", F.col("_before2"))
     by_rank = (

@@ -25,16 +25,6 @@ def _part(t: Column, pattern: str, index: int) -> Column:
     return F.regexp_extract(t, pattern, index).try_cast("int")
 
 
-def _calendar_day(y: Column, m: Column, d: Column) -> Column:
-    """A date from its parts, null when the calendar has no such day."""
-    return F.concat_ws(
-        "-",
-        F.lpad(y.cast("string"), 4, "0"),
-        F.lpad(m.cast("string"), 2, "0"),
-        F.lpad(d.cast("string"), 2, "0"),
-    ).try_cast("date")
-
-
 def _iso_monday(y: Column, w: Column) -> Column:
     return F.date_add(F.trunc(F.make_date(y, F.lit(1), F.lit(4)), "week"), (w - 1) * 7)
 
@@ -46,69 +36,45 @@ def _in_range(ts: Column) -> Column:
 def _from_text(c: Column) -> Column:
     t = trimmed(c)
     one = F.lit(1)
-
-    def found(value: Column, precision: str) -> Column:
-        ts = value.cast("timestamp")
-        return F.when(ts.isNotNull(), F.struct(ts.alias("ts"), F.lit(precision).alias("precision")))
-
     week = _part(t, WEEK_PATTERN, 2)
-    return (
-        F.when(
-            t.rlike(MONTH_PATTERN),
-            found(_calendar_day(_part(t, MONTH_PATTERN, 1), _part(t, MONTH_PATTERN, 2), one), "month"),
-        )
+    # "2024/3" and "2024-3-7" read as dates once the slashes are dashes; a day the calendar lacks is null.
+    calendar = F.replace(t, F.lit("/"), F.lit("-")).try_cast("date")
+    ts = (
+        F.when(t.rlike(MONTH_PATTERN) | t.rlike(DAY_PATTERN), calendar.cast("timestamp"))
         .when(
             t.rlike(QUARTER_PATTERN),
-            found(
-                _calendar_day(
-                    _part(t, QUARTER_PATTERN, 1), (_part(t, QUARTER_PATTERN, 2) - 1) * 3 + 1, one
-                ),
-                "quarter",
-            ),
+            F.make_date(_part(t, QUARTER_PATTERN, 1), _part(t, QUARTER_PATTERN, 2) * 3 - 2, one).cast("timestamp"),
         )
         .when(
             t.rlike(WEEK_PATTERN),
-            F.when(week.between(1, 53), found(_iso_monday(_part(t, WEEK_PATTERN, 1), week), "week")),
-        )
-        .when(t.rlike(YEAR_PATTERN), found(_calendar_day(_part(t, YEAR_PATTERN, 1), one, one), "quarter"))
-        .when(
-            t.rlike(DAY_PATTERN),
-            found(
-                _calendar_day(
-                    _part(t, DAY_PATTERN, 1), _part(t, DAY_PATTERN, 2), _part(t, DAY_PATTERN, 3)
-                ),
-                "day",
-            ),
-        )
-        .when(t.rlike(ISO_PATTERN), found(_in_range(t.try_cast("timestamp")), "day"))
-        .when(
-            t.rlike(SLASH_PATTERN),
-            found(_in_range(F.try_to_timestamp(t, F.lit("M/d/yyyy"))), "day"),
-        )
-        .when(
-            t.rlike(NAMED_PATTERN),
-            found(_in_range(F.try_to_timestamp(t, F.lit("MMM d, yyyy"))), "day"),
+            F.when(week.between(1, 53), _iso_monday(_part(t, WEEK_PATTERN, 1), week)).cast("timestamp"),
         )
+        .when(t.rlike(YEAR_PATTERN), F.make_date(t.try_cast("int"), one, one).cast("timestamp"))
+        .when(t.rlike(ISO_PATTERN), _in_range(t.try_cast("timestamp")))
+        .when(t.rlike(SLASH_PATTERN), _in_range(F.try_to_timestamp(t, F.lit("M/d/yyyy"))))
+        .when(t.rlike(NAMED_PATTERN), _in_range(F.try_to_timestamp(t, F.lit("MMM d, yyyy"))))
+    )
+    precision = (
+        F.when(t.rlike(MONTH_PATTERN), "month")
+        .when(t.rlike(QUARTER_PATTERN) | t.rlike(YEAR_PATTERN), "quarter")
+        .when(t.rlike(WEEK_PATTERN), "week")
+        .otherwise("day")
     )
+    return F.struct(ts.alias("ts"), precision.alias("precision"))
 
 
 def _from_number(c: Column) -> Column:
     d = c.cast("double")
     year = (d == F.floor(d)) & d.between(FIRST_YEAR, LAST_YEAR)
-    return F.when(
-        year,
-        F.struct(
-            F.make_date(d.cast("int"), F.lit(1), F.lit(1)).cast("timestamp").alias("ts"),
-            F.lit("quarter").alias("precision"),
-        ),
-    ).when(
-        (d > EPOCH_FLOOR) & (d < 8.64e15),
-        F.struct(F.timestamp_millis(d.cast("bigint")).alias("ts"), F.lit("day").alias("precision")),
+    ts = F.when(year, F.make_date(d.cast("int"), F.lit(1), F.lit(1)).cast("timestamp")).when(
+        (d > EPOCH_FLOOR) & (d < 8.64e15), F.timestamp_millis(d.cast("bigint"))
     )
+    return F.struct(ts.alias("ts"), F.when(year, "quarter").otherwise("day").alias("precision"))
 
 
 def parse_time_value(df: DataFrame, name: str) -> Column:
-    """``struct(ts, precision)`` for one column, null where the value is no time."""
+    """``struct(ts, precision)`` for one column. ``ts`` is null where the value is no time, and the
+    precision only has a meaning where it is not."""
     dtype = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dtype, T.StringType):
@@ -116,10 +82,7 @@ def parse_time_value(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.NumericType):
         return _from_number(c)
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.when(
-            c.isNotNull(),
-            F.struct(c.cast("timestamp").alias("ts"), F.lit("day").alias("precision")),
-        )
+        return F.struct(c.cast("timestamp").alias("ts"), F.lit("day").alias("precision"))
     return F.lit(None).cast("struct<ts:timestamp,precision:string>")
 
 

@@ -51,14 +51,14 @@ def hits(text: Column, vocabulary: Sequence[str]) -> Column:
     return sum((text.contains(w).cast("int") for w in vocabulary), F.lit(0))
 
 
-def sentiment_tag(text: Column) -> Column:
-    low = F.lower(text)
+def sentiment_tag(low: Column) -> Column:
+    """Tone of a lower-case text."""
     good, bad = hits(low, words.POSITIVE_WORDS), hits(low, words.NEGATIVE_WORDS)
     return F.when(bad > good, "negative").when(good > bad, "positive").otherwise("neutral")
 
 
-def topic_tags(text: Column) -> Column:
-    low = F.lower(text)
+def topic_tags(low: Column) -> Column:
+    """Topics of a lower-case text."""
     tags = F.array(
         *[F.when(any_of(low.contains(w) for w in terms), F.lit(t)) for t, terms in words.TOPICS.items()]
     )
@@ -67,8 +67,12 @@ def topic_tags(text: Column) -> Column:
 
 def decorate(articles: DataFrame) -> DataFrame:
     """Add ``sentiment`` and ``tags`` from title and snippet."""
-    text = F.concat_ws(" ", "title", "snippet")
-    return articles.withColumns({"sentiment": sentiment_tag(text), "tags": topic_tags(text)})
+    low = F.col("_low")
+    return (
+        articles.withColumn("_low", F.lower(F.concat_ws(" ", "title", "snippet")))
+        .withColumns({"sentiment": sentiment_tag(low), "tags": topic_tags(low)})
+        .drop("_low")
+    )
 
 
 def dedupe_keep_first(articles: DataFrame, row_idx: str = "row_idx") -> DataFrame:
@@ -273,7 +277,7 @@ def why_factor_score(
     known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     topics = F.when(F.size("tags") > 0, F.array_distinct("tags")).otherwise(F.array(F.lit("market context")))
     text = F.lower(F.concat_ws(" ", "title", "snippet", F.array_join("tags", " ")))
-    mentions = sum((text.contains(v.lower()).cast("int") for v in driver_values if v), F.lit(0))
+    mentions = sum((F.col("_text").contains(v.lower()).cast("int") for v in driver_values if v), F.lit(0))
     month = month_key(F.col("published_at"))
     dated = articles.withColumn("month", month).join(
         months.select("month").distinct().withColumn("_seen", F.lit(True)), "month", "left"
@@ -288,7 +292,7 @@ def why_factor_score(
         F.lit(0.0),
         lambda s, t: s + F.coalesce(F.try_element_at(known, t), F.lit(words.OTHER_WEIGHT)),
     )
-    scored = dated.withColumn("topics", topics).withColumns(
+    scored = dated.withColumns({"topics": topics, "_text": text}).withColumns(
         {
             "topic_score": F.least(F.lit(28.0), weight * 10),
             "driver_score": F.least(F.lit(22), mentions * 8),
@@ -305,7 +309,7 @@ def why_factor_score(
     score = F.least(F.lit(100), F.floor(total + 0.5)).cast("int")
     return scored.withColumn("score", score).withColumn(
         "confidence", F.when(F.col("score") >= 72, "high").when(F.col("score") >= 48, "medium").otherwise("low")
-    ).drop("_seen")
+    ).drop("_seen", "_text")
 
 
 def top_why_factors(scored: DataFrame, k: int = TOP_FACTORS) -> DataFrame:

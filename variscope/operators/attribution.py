@@ -76,7 +76,8 @@ class Population:
         return self.rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
-        self.measured.unpersist()
+        if "measured" in self.__dict__:
+            self.measured.unpersist()
 
     @cached_property
     def row_count(self) -> int:
@@ -359,17 +360,13 @@ def parent_comparison(parent: DataFrame, child: DataFrame) -> DataFrame:
     )
 
 
-def interaction_candidates(contributions: DataFrame, scores: DataFrame) -> DataFrame:
-    """At most 16 rows: two well-supported categories of each of the eight best dimensions."""
-    best = scores.select(
-        "dimension",
-        F.row_number().over(W.orderBy(F.desc("score"), F.col("dimension"))).alias("dimension_rank"),
-    ).filter(F.col("dimension_rank") <= CANDIDATE_DIMENSIONS)
+def interaction_candidates(contributions: DataFrame, best: Sequence[str]) -> DataFrame:
+    """At most 16 rows: two well-supported categories of each of the (at most eight) best dimensions."""
+    best = list(best)[:CANDIDATE_DIMENSIONS]
     enough = (F.col("support") >= MINIMUM_SUPPORT) & (F.col("count") >= MINIMUM_ROWS)
-    leading = _leading(contributions, CANDIDATES_PER_DIMENSION, enough)
-    return leading.join(F.broadcast(best), "dimension").select(
-        "dimension", "value", "dimension_rank", "category_rank"
-    )
+    leading = _leading(contributions, CANDIDATES_PER_DIMENSION, enough & F.col("dimension").isin(best))
+    rank = F.array_position(F.array(*[F.lit(d) for d in best]), F.col("dimension"))
+    return leading.select("dimension", "value", rank.alias("dimension_rank"), "category_rank")
 
 
 def find_interactions(

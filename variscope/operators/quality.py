@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from variscope.functions.quantiles import exact_quantiles
-from variscope.functions.timeparse import parse_time_value
+from variscope.functions.timeparse import FIRST_YEAR, LAST_YEAR, SLASH_PATTERN, parse_time_value
 from variscope.functions.values import (
     BLANKS,
     NUMBER_PATTERN,
@@ -28,7 +28,7 @@ from variscope.functions.values import (
     ratio,
 )
 from variscope.session import ensure_checkpoint_dir
-from variscope.sources.coerce import cell_counts, typed_value
+from variscope.sources.coerce import cell_counts, text_columns, typed_counts
 
 # Thresholds of the report.
 MISSING_WARNING, MISSING_CRITICAL = 0.05, 0.4
@@ -48,7 +48,7 @@ SENSITIVE_NAME = (
 EMAIL_VALUE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 PHONE_VALUE = r"(?:\+?\d[\s().-]*){9,}"
 SSN_VALUE = r"^\d{3}-\d{2}-\d{4}$"
-DATE_MARK = r"[T/\-:]"
+ISO_DATE = r"^\d{4}[-/]\d{1,2}([-/]\d{1,2}([T ].*)?)?$"
 NAMED_TIME = r"(?i)date|day|week|month|quarter|period|fiscal|year"
 
 
@@ -60,11 +60,13 @@ class QualityOptions:
     freshness_days: int | None = None
 
 
-def _date_in(df: DataFrame, name: str) -> Column:
-    """The cell as a date under the profile's rule: a date mark and a day or month spelling."""
-    parsed = parse_time_value(df, name)
-    marked = df[name].cast("string").rlike(DATE_MARK) & parsed["precision"].isin("day", "month")
-    return F.when(marked, parsed["ts"].cast("date"))
+def _date_in(text: Column) -> Column:
+    """The text as a date under the profile's rule: a date mark and a day or month spelling."""
+    iso = F.replace(text, F.lit("/"), F.lit("-")).try_cast("date")
+    d = F.when(text.rlike(ISO_DATE), iso).when(
+        text.rlike(SLASH_PATTERN), F.try_to_timestamp(text, F.lit("M/d/yyyy")).cast("date")
+    )
+    return F.when(F.year(d).between(FIRST_YEAR, LAST_YEAR), d)
 
 
 class Profiler:
@@ -77,20 +79,53 @@ class Profiler:
 
     @cached_property
     def frequencies(self) -> DataFrame:
-        """``(column, kind, text, number) -> count``; a missing cell has kind ``missing``.
+        """``column, kind, text, number, count`` and what each distinct value looks like (its number,
+        date, edges and normal form); a missing cell has kind ``missing``.
 
-        Every later step reads these counts, so they are persisted with spill to disk.
+        Every report reads these counts, so they are persisted with spill to disk.
         """
         counted = cell_counts(self.df, self.columns)
-        value = typed_value(F.col("raw"), F.col("source"), F.col("number"))
+        typed = typed_counts(counted)
+        # Different texts may be one number; other sources are distinct already.
+        keys = ["column", "kind", "text", "number"]
+        distinct = (
+            typed.filter("source = 'text'").groupBy(*keys).agg(F.sum("count").alias("count"))
+            if text_columns(self.df.select(*self.columns))
+            else typed.filter("source = 'text'").select(*keys, "count")
+        ).unionByName(typed.filter("source <> 'text'").select(*keys, "count"))
+        parsed = F.when(F.col("text").rlike(NUMBER_PATTERN), F.col("text").try_cast("double"))
+        number = F.when(F.col("kind") == "string", parsed).otherwise(F.col("number"))
+        distinct = distinct.withColumn("_text", F.when(F.col("kind") == "string", F.col("text")))
+        distinct = distinct.withColumn("_bare", F.btrim("_text", F.lit(BLANKS)))
+        bare = F.col("_bare")
         return (
-            counted.select("column", value.alias("v"), "count")
-            .select("column", "v.kind", "v.text", "v.number", "count")
-            .groupBy("column", "kind", "text", "number")
-            .agg(F.sum("count").alias("count"))
+            distinct.withColumns(
+                {
+                    "value_number": number,
+                    "value_date": _date_in(bare),
+                    "blank_edge": F.col("_text") != bare,
+                    "norm": F.lower(F.regexp_replace(bare, r"\s+", " ")),
+                }
+            )
+            .drop("_text", "_bare")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
 
+    @property
+    def values(self) -> DataFrame:
+        """Distinct present values."""
+        return self.frequencies.filter("kind <> 'missing'")
+
+    @cached_property
+    def quartiles(self) -> DataFrame:
+        """Quartiles of each column's numbers, weighted by the counts."""
+        q = exact_quantiles(
+            self.values.filter("value_number IS NOT NULL"), "value_number", [0.25, 0.5, 0.75], ["column"], weight="count"
+        )
+        return q.select(
+            "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
+        )
+
     @cached_property
     def profile(self) -> DataFrame:
         """The column profile, one row per column. It is checkpointed because several reports read
@@ -105,33 +140,6 @@ class Profiler:
     def release(self) -> None:
         self.frequencies.unpersist()
 
-    @cached_property
-    def values(self) -> DataFrame:
-        """Distinct present values with what each of them looks like."""
-        f = self.frequencies.filter("kind <> 'missing'")
-        number = F.coalesce(
-            F.col("number"), F.when(F.col("text").rlike(NUMBER_PATTERN), F.col("text").try_cast("double"))
-        )
-        text = F.when(F.col("kind") == "string", F.col("text"))
-        f = f.withColumn("value_number", F.when(F.col("kind") != "boolean", number)).withColumn("_text", text)
-        return f.withColumns(
-            {
-                "value_date": _date_in(f, "_text"),
-                "blank_edge": F.col("_text") != F.btrim("_text", F.lit(BLANKS)),
-                "norm": F.lower(F.regexp_replace(F.btrim("_text", F.lit(BLANKS)), r"\s+", " ")),
-            }
-        )
-
-    @cached_property
-    def quartiles(self) -> DataFrame:
-        """Quartiles of each column's numbers, weighted by the counts."""
-        q = exact_quantiles(
-            self.values.filter("value_number IS NOT NULL"), "value_number", [0.25, 0.5, 0.75], ["column"], weight="count"
-        )
-        return q.select(
-            "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
-        )
-
 
 def outliers_iqr(p: Profiler) -> DataFrame:
     """Numeric statistics of each column: quartiles, spread, outliers beyond 1.5 and 3 IQR, skew."""
@@ -462,7 +470,7 @@ def detect_time_fields(df: DataFrame, columns: Sequence[str] | None = None) -> D
 def parse_time_report(df: DataFrame, name: str) -> DataFrame:
     """Rows of one time column by the precision they parse to."""
     parsed = parse_time_value(df, name)
-    precision = F.when(is_missing(df, name), "missing").otherwise(F.coalesce(parsed["precision"], F.lit("unparsed")))
+    precision = F.when(is_missing(df, name), "missing").otherwise(F.when(parsed["ts"].isNull(), "unparsed").otherwise(parsed["precision"]))
     return (
         df.select(precision.alias("precision"), parsed["ts"].alias("ts"))
         .groupBy("precision")
@@ -562,20 +570,16 @@ def functional_dependencies(df: DataFrame, candidates: Sequence[str]) -> DataFra
     multiplied by the number of columns instead of the number of pairs.
     """
     names = list(candidates)[:DEPENDENCY_COLUMNS]
+    # Second values travel as 64-bit hashes: numbers keep the hash aggregation that min and max of
+    # text would lose. The hashes of the at most 60 values of a column are checked to be distinct.
     present = df.select(
-        *[F.when(~is_missing(df, c), df[c].cast("string")).alias(c) for c in names]
-    ).withColumn("_all", F.struct(*names))
-    long = present.select(
-        "_all",
-        F.inline(F.array(*[F.struct(F.lit(c).alias("determinant"), F.col(c).alias("_value")) for c in names])),
-    ).filter(F.col("_value").isNotNull())
+        *[F.when(~is_missing(df, c), df[c].cast("string")).alias(c) for c in names],
+        *[F.when(~is_missing(df, c), F.xxhash64(df[c].cast("string"))).alias(f"_h_{c}") for c in names],
+    )
+    hashes = [f"_h_{c}" for c in names]
+    long = present.unpivot(hashes, names, "determinant", "_value").filter(F.col("_value").isNotNull())
     groups = long.groupBy("determinant", "_value").agg(
-        *[
-            F.struct(
-                F.count(F.col("_all")[c]).alias("n"), F.min(F.col("_all")[c]).alias("lo"), F.max(F.col("_all")[c]).alias("hi")
-            ).alias(c)
-            for c in names
-        ]
+        *[f(h).alias(f"{p}{h}") for h in hashes for p, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
     )
     stacked = groups.select(
         "determinant",
@@ -584,8 +588,9 @@ def functional_dependencies(df: DataFrame, candidates: Sequence[str]) -> DataFra
                 *[
                     F.struct(
                         F.lit(c).alias("dependent"),
-                        F.col(c)["n"].alias("n"),
-                        F.when(F.col(c)["lo"] == F.col(c)["hi"], F.col(c)["n"]).otherwise(0).alias("same"),
+                        F.col(f"n_h_{c}").alias("n"),
+                        F.when(F.col(f"lo_h_{c}") == F.col(f"hi_h_{c}"), F.col(f"n_h_{c}")).otherwise(0).alias("same"),
+                        F.col(f"lo_h_{c}").alias("hash"),
                     )
                     for c in names
                 ]
@@ -595,8 +600,16 @@ def functional_dependencies(df: DataFrame, candidates: Sequence[str]) -> DataFra
     folded = stacked.groupBy("determinant", "dependent").agg(
         F.sum("n").alias("rows"), F.sum("same").alias("_same"), F.count("*").alias("_values")
     )
-    sizes = folded.filter("determinant = dependent").select(
-        F.col("determinant").alias("name"), F.col("_values").alias("distinct")
+    own = stacked.filter("determinant = dependent")
+    clash = F.raise_error(F.concat(F.lit("hash clash in column "), F.col("determinant")))
+    sizes = (
+        own.groupBy("determinant")
+        .agg(F.count("*").alias("_values"), F.count_distinct("hash").alias("_hashes"))
+        .filter(F.col("_values") <= DEPENDENCY_VALUES)
+        .select(
+            F.col("determinant").alias("name"),
+            F.when(F.col("_values") == F.col("_hashes"), F.col("_values")).otherwise(clash.cast("bigint")).alias("distinct"),
+        )
     )
     left = sizes.select(F.col("name").alias("determinant"), F.col("distinct").alias("_left"))
     right = sizes.select(F.col("name").alias("dependent"), F.col("distinct").alias("_right"))
@@ -604,7 +617,6 @@ def functional_dependencies(df: DataFrame, candidates: Sequence[str]) -> DataFra
         folded.filter("determinant <> dependent")
         .join(F.broadcast(left), "determinant")
         .join(F.broadcast(right), "dependent")
-        .filter((F.col("_left") <= DEPENDENCY_VALUES) & (F.col("_right") <= DEPENDENCY_VALUES))
         .filter((F.col("_left") >= F.col("_right")) & (F.col("rows") >= DEPENDENCY_ROWS))
         .withColumn("confidence", F.col("_same") / F.col("rows"))
         .filter(F.col("confidence") >= DEPENDENCY_MINIMUM)

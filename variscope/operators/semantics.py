@@ -120,19 +120,22 @@ def _lookup(c: Column, table: dict[str, str], default: Column | None = None) ->
     return found if default is None else F.coalesce(found, default)
 
 
-def _long_rows(df: DataFrame) -> DataFrame:
-    scenario = normalized_name(df["scenario"].cast("string"))
-    return (
-        df.withColumn("_scenario", _lookup(scenario, SCENARIOS, scenario))
-        .withColumn("_value", finite_number(df, "value"))
-        .filter(F.col("_value").isNotNull() & (F.coalesce("_scenario", F.lit("")) != ""))
+def _scenario_sums(df: DataFrame, keys: Sequence[Column], carried: Sequence[Column] = ()) -> DataFrame:
+    """Sums per key and scenario. Rows are summed under their raw scenario text first, so the names
+    are read once per group instead of once per row."""
+    raw = df.select(*keys, df["scenario"].cast("string").alias("_raw"), finite_number(df, "value").alias("_value"), *carried)
+    names = raw.columns[: len(keys)]
+    extra = [F.max(c).alias(c) for c in raw.columns[len(keys) + 2 :]]
+    sums = raw.filter(F.col("_value").isNotNull()).groupBy(*names, "_raw").agg(F.sum("_value").alias("_value"), *extra)
+    scenario = normalized_name(F.col("_raw"))
+    return sums.withColumn("_scenario", _lookup(scenario, SCENARIOS, scenario)).filter(
+        F.coalesce("_scenario", F.lit("")) != ""
     )
 
 
 def primary_comparison(df: DataFrame) -> Column:
     """The comparison scenario of a long table: plan-like before forecast, then by name. A scalar."""
-    rows = _long_rows(df)
-    seen = rows.agg(
+    seen = _scenario_sums(df, []).agg(
         F.coalesce(*[F.max(F.when(F.col("_scenario") == s, F.lit(s))) for s in COMPARISON_ORDER])
     )
     return seen.scalar()
@@ -146,21 +149,22 @@ def normalize_long(df: DataFrame, row_idx: str | None = None) -> DataFrame:
     names = df.columns
     dims = dimension_fields(names)
     metric = [c for c in ("metric_id", "metric_name") if c in names][:1]
-    rows = _long_rows(df).withColumnsRenamed(dims)
     keys = ["period_date", *dims.values(), *metric]
+    key_columns = [df["period_date"], *[df[c].alias(n) for c, n in dims.items()], *[df[c] for c in metric]]
     carried = [
         c for c in names if row_idx and c in METADATA_FIELDS and c not in ("scenario", "record_id", *metric)
     ]
+    # The last row wins: the largest (row, metadata) pair.
+    last = [F.struct(df[row_idx].alias("i"), *[df[c] for c in carried]).alias("_last")] if carried else []
     total = lambda s: F.sum(F.when(F.col("_scenario") == s, F.col("_value")))
-    folded = rows.groupBy(*keys).agg(
+    folded = _scenario_sums(df, key_columns, last).groupBy(*keys).agg(
         total("actual").alias("actual"),
         *[total(s).alias(f"_{s}") for s in COMPARISON_ORDER],
         total("prior_year").alias("prior_year"),
-        *[F.max_by(c, row_idx).alias(c) for c in carried],
+        *([F.max("_last").alias("_last")] if carried else []),
     )
-    primary = primary_comparison(df)
     target = F.coalesce(*[F.when(F.col("_primary") == s, F.col(f"_{s}")) for s in COMPARISON_ORDER])
-    return folded.withColumn("_primary", primary).select(
+    return folded.withColumn("_primary", primary_comparison(df)).select(
         *keys,
         "actual",
         target.alias("target"),
@@ -170,12 +174,13 @@ def normalize_long(df: DataFrame, row_idx: str | None = None) -> DataFrame:
         F.col("_expected").alias("expected"),
         F.col("_forecast").alias("forecast"),
         "prior_year",
-        *carried,
+        *[F.col("_last")[c].alias(c) for c in carried],
     )
 
 
 def _label(names: Sequence[str]) -> str:
-    return "metric_id" if "metric_id" in names else "metric_name" if "metric_name" in names else ""
+    """The column that identifies the metric."""
+    return next((c for c in ("metric_id", "metric_name") if c in names), "")
 
 
 def validate_contract(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Sequence
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from variscope.operators import attribution as A
@@ -27,16 +28,25 @@ class Investigation:
 
     @cached_property
     def contributions(self) -> DataFrame:
-        return A.group_dimension(self.population)
+        """One row per category. Scores, candidates and evidence all read it, so it is persisted."""
+        return A.group_dimension(self.population).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def scores(self) -> DataFrame:
-        return A.score_dimensions(self.contributions, self.population)
+        """One row per dimension, persisted for the candidates and the evidence."""
+        return A.score_dimensions(self.contributions, self.population).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def best_dimensions(self) -> list[str]:
+        """Names of the eight best-scored dimensions."""
+        return [r["dimension"] for r in A.top_dimensions(self.scores, A.CANDIDATE_DIMENSIONS).collect()]
 
     @cached_property
     def candidates(self):
         """At most 16 rows by construction, read to the driver as literals of the next plan."""
-        return A.interaction_candidates(self.contributions, self.scores).collect()
+        if not self.best_dimensions:
+            return []
+        return A.interaction_candidates(self.contributions, self.best_dimensions).collect()
 
     @cached_property
     def interactions(self) -> DataFrame:
@@ -53,5 +63,12 @@ class Investigation:
         text = "|".join(str(p) for p in parts)
         return "drv-" + hashlib.sha256(text.encode()).hexdigest()[:16]
 
+    def release(self) -> None:
+        """Free the persisted rows of this cohort."""
+        for kept in ("scores", "contributions"):
+            if kept in self.__dict__:
+                getattr(self, kept).unpersist()
+        self.population.release()
+
     def drill(self, following: Sequence[Predicate]) -> Investigation:
         return Investigation(self.df, drill(self.spec, following))

@@ -77,27 +77,41 @@ def cell_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def typed_value(raw: Column, source: Column, number: Column) -> Column:
-    """``struct(kind, text, number, boolean)`` of a counted raw value. ``text`` is the value as the
-    source holds it for strings, and one spelling per number."""
-    text = _text_value(raw)
-    as_text = F.when(source == "text", text)
-    value = F.coalesce(number, as_text["number"])
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    kind = (
-        F.when(source == "text", text["kind"])
-        .when(raw.isNull() & (number.isNull() | F.isnan(number)), "missing")
-        .when(source == "time", "string")
-        .otherwise(source)
+def typed_counts(counted: DataFrame) -> DataFrame:
+    """``column, source, kind, text, number, count`` of the counted raw values. ``text`` is the value
+    as the source holds it for strings, and one spelling per number. The steps are separate
+    projections, so each pattern is matched once per value."""
+    t, bare = F.col("_t"), F.col("_bare")
+    steps = counted.withColumn("_t", F.when(F.col("source") == "text", trimmed(F.col("raw"))))
+    steps = steps.withColumns(
+        {
+            "_percent": t.rlike(PERCENT_PATTERN),
+            "_shaped": t.rlike(PERCENT_PATTERN) | (t.rlike(FORMATTED_PATTERN) & ~t.rlike(CODE_PATTERN)),
+            "_bare": F.regexp_replace(t, DECORATION_PATTERN, ""),
+        }
     )
-    return F.struct(
-        kind.alias("kind"),
-        F.when(kind == "number", F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string")))
-        .when(kind == "boolean", F.lower(trimmed(raw)))
-        .when(kind == "string", raw)
-        .alias("text"),
-        F.when(kind == "number", value).alias("number"),
+    read = F.when(F.col("_shaped") & bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
+    steps = steps.withColumn("_read", F.when(F.abs(read) < float("inf"), read))
+    signed = F.when(t.startswith("(") & t.endswith(")"), -F.abs("_read")).otherwise(F.col("_read"))
+    number = F.coalesce("number", F.when(F.col("_percent"), signed / 100).otherwise(signed))
+    steps = steps.withColumn("number", F.when(~F.isnan(number), number))
+    text_kind = (
+        F.when(F.coalesce(t, F.lit("")) == "", "missing")
+        .when(t.rlike(BOOLEAN_PATTERN), "boolean")
+        .when(F.col("number").isNotNull(), "number")
+        .otherwise("string")
+    )
+    other_kind = F.when(F.col("raw").isNull() & F.col("number").isNull(), "missing").otherwise(
+        F.when(F.col("source") == "time", "string").otherwise(F.col("source"))
+    )
+    steps = steps.withColumn("kind", F.when(F.col("source") == "text", text_kind).otherwise(other_kind))
+    whole = (F.col("number") == F.floor("number")) & (F.abs("number") < 1e15)
+    text = (
+        F.when(F.col("kind") == "number", F.when(whole, F.col("number").cast("bigint").cast("string")).otherwise(F.col("number").cast("string")))
+        .when(F.col("kind") == "boolean", F.lower(trimmed(F.col("raw"))))
+        .when(F.col("kind") == "string", F.col("raw"))
     )
+    return steps.select("column", "source", "kind", text.alias("text"), F.when(F.col("kind") == "number", F.col("number")).alias("number"), "count")
 
 
 def coerced(df: DataFrame, name: str) -> Column:
