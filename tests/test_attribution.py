@@ -161,3 +161,15 @@ def test_cohort_compare_prefers_the_higher_impact(spark):
     pop = A.Population(two_groups(spark), CohortSpec(("group",), "actual", "target", polarity="lower_is_better"))
     better = {r["value"]: r["better"] for r in A.cohort_compare(pop, "group", "A", "B").collect()}
     assert better == {"A": False, "B": True}
+
+
+@pytest.mark.parametrize("following", [[("product", "x")], [("region", "S")], [("channel", "(missing)")]])
+def test_drill_equals_a_fresh_investigation(spark, following):
+    rows = [(*r[:2], r[2] if i % 5 else None, r[3] if i % 11 else None, r[4]) for i, r in enumerate(random_rows())]
+    df = spark.createDataFrame(rows, "region string, product string, channel string, actual double, target double")
+    spec = CohortSpec(("region", "product", "channel"), "actual", "target", predicates=(("region", "N"),))
+    child = Investigation(df, spec).drill(following)
+    fresh = Investigation(df, child.spec)
+    assert child.scope.first().asDict() == pytest.approx(fresh.scope.first().asDict())
+    by_name = lambda i: {r["dimension"]: r["score"] for r in i.scores.collect()}
+    assert by_name(child) == pytest.approx(by_name(fresh))

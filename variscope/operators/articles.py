@@ -78,17 +78,12 @@ def decorate(articles: DataFrame) -> DataFrame:
 def dedupe_keep_first(articles: DataFrame, row_idx: str = "row_idx") -> DataFrame:
     """The first article per url, or per lower-case title where the url is blank.
 
-    The earliest row of each key is found by a partial aggregation, so a key with a third of all
-    copies still sends one row per task.
+    Only keys and row numbers are grouped (with partial aggregation, so a key with a third of all
+    copies sends one row per task); the texts move once, spread evenly by row number.
     """
     key = F.coalesce(F.nullif("url", F.lit("")), F.lower("title"))
-    names = articles.columns
-    return (
-        articles.withColumn("_key", key)
-        .groupBy("_key")
-        .agg(F.min_by(F.struct(*names), row_idx).alias("_first"))
-        .select("_first.*")
-    )
+    first = articles.groupBy(key.alias("_key")).agg(F.min(row_idx).alias(row_idx))
+    return articles.join(first.select(row_idx), row_idx, "left_semi")
 
 
 def union_all(active: DataFrame, passive: DataFrame, cap: int = MAX_ARTICLES) -> DataFrame:
@@ -144,9 +139,11 @@ def month_key(c: Column) -> Column:
 
 
 def timing_overlap(articles: DataFrame, rows: DataFrame, time_field: str) -> DataFrame:
-    """Articles published in a month the data has. The months are distinct before the join."""
+    """Articles published in a month the data has. There are no more distinct months than the
+    calendar has, so they are broadcast and no text is shuffled."""
     months = rows.select(month_key(F.col(time_field)).alias("month")).distinct()
-    return articles.withColumn("month", month_key(F.col("published_at"))).join(months, "month", "left_semi")
+    dated = articles.withColumn("month", month_key(F.col("published_at")))
+    return dated.join(F.broadcast(months), "month", "left_semi")
 
 
 def _anchors(listed: DataFrame) -> DataFrame:
@@ -266,7 +263,8 @@ def why_factor_score(
 ) -> DataFrame:
     """Score each decorated article as an explanation of a variance.
 
-    ``months`` has the data months as ``month``; ``driver_values`` are the names and values of the
+    ``months`` has the data months as ``month`` (calendar months, so they are broadcast);
+    ``driver_values`` are the names and values of the
     leading driver and combinations, a handful.
     """
     weights = words.LENS_WEIGHTS[lens]
@@ -280,7 +278,7 @@ def why_factor_score(
     mentions = sum((F.col("_text").contains(v.lower()).cast("int") for v in driver_values if v), F.lit(0))
     month = month_key(F.col("published_at"))
     dated = articles.withColumn("month", month).join(
-        months.select("month").distinct().withColumn("_seen", F.lit(True)), "month", "left"
+        F.broadcast(months.select("month").distinct().withColumn("_seen", F.lit(True))), "month", "left"
     )
     sentiment = F.col("sentiment")
     tone = {

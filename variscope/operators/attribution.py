@@ -42,9 +42,22 @@ class Population:
     recomputes its own blocks. ``release`` frees them.
     """
 
-    def __init__(self, df: DataFrame, spec: CohortSpec):
+    def __init__(self, df: DataFrame, spec: CohortSpec, within: Population | None = None):
+        """``within`` is a population this one narrows: its persisted rows are filtered further, so
+        a drill-down does not run the joins behind the fact again."""
         self.spec = spec
-        self.filtered = apply_predicates(df, spec.predicates)
+        self.names = (spec.actual, spec.expected)
+        if within is None:
+            self.filtered = apply_predicates(df, spec.predicates)
+        else:
+            added = [p for p in spec.predicates if p not in within.spec.predicates]
+            self.filtered = apply_predicates(within.measured, added)
+            self.names = ("actual", "expected" if spec.expected else None)
+
+    def holds(self, child: CohortSpec) -> bool:
+        """Whether a child cohort lies within these rows: predicates were only added. A period-end
+        cohort has its own latest date, so it always starts from the source."""
+        return self.spec.aggregation != "period_end" and set(self.spec.predicates) <= set(child.predicates)
 
     @cached_property
     def period_end(self):
@@ -61,15 +74,24 @@ class Population:
 
     @property
     def rows(self) -> DataFrame:
-        """Cohort rows with usable measures: categories, ``actual`` and, if compared, ``expected``."""
+        """Cohort rows: categories, ``actual`` and, if compared, ``expected``; unusable measures are null."""
         spec, source = self.spec, self.filtered
         if self.period_end is not None:
             source = source.filter(time_of(source, spec.time_field) == F.lit(self.period_end))
-        measures = [finite_number(source, spec.actual).alias("actual")]
-        if spec.expected is not None:
-            measures.append(finite_number(source, spec.expected).alias("expected"))
+        actual, expected = self.names
+        measures = [finite_number(source, actual).alias("actual")]
+        if expected is not None:
+            measures.append(finite_number(source, expected).alias("expected"))
         dims = [canonical_category(source, d).alias(d) for d in spec.open_dimensions]
-        return source.select(*dims, *measures).dropna(subset=["actual", *(["expected"] if spec.expected else [])])
+        return source.select(*dims, *measures)
+
+    def valid(self, rows: DataFrame) -> DataFrame:
+        """The rows that count, with ``expected`` and ``residual``."""
+        if self.baseline is not None:
+            rows = rows.withColumn("expected", self.baseline)
+        return rows.dropna(subset=["actual", "expected"]).withColumn(
+            "residual", F.col("actual") - F.col("expected")
+        )
 
     @cached_property
     def measured(self) -> DataFrame:
@@ -81,7 +103,8 @@ class Population:
 
     @cached_property
     def row_count(self) -> int:
-        return self.filtered.count()
+        """Rows of the cohort; only a period-end population is smaller than its cohort."""
+        return (self.measured if self.period_end is None else self.filtered).count()
 
     @cached_property
     def baseline(self) -> Column | None:
@@ -97,10 +120,7 @@ class Population:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        rows = self.measured
-        if self.baseline is not None:
-            rows = rows.withColumn("expected", self.baseline)
-        return rows.withColumn("residual", F.col("actual") - F.col("expected"))
+        return self.valid(self.measured)
 
     @cached_property
     def scale(self) -> float:
@@ -442,20 +462,12 @@ def find_interactions(
     )
 
 
-def _unpersisted(pop: Population) -> DataFrame:
-    """The prepared rows for a step that scans them once, without filling the cache."""
-    rows = pop.rows
-    if pop.baseline is not None:
-        rows = rows.withColumn("expected", pop.baseline)
-    return rows.withColumn("residual", F.col("actual") - F.col("expected"))
-
-
 def cohort_compare(pop: Population, dimension: str, first: str, second: str) -> DataFrame:
     """Two categories under the same base cohort, side by side, from one pass."""
     spec = pop.spec
     fold = F.avg if spec.aggregation == "average" else F.sum
     both = (
-        _unpersisted(pop).filter(F.col(dimension).isin(first, second))
+        pop.valid(pop.rows).filter(F.col(dimension).isin(first, second))
         .groupBy(F.col(dimension).alias("value"))
         .agg(
             F.count("*").alias("count"),

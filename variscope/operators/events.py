@@ -99,8 +99,10 @@ def event_study(
 
     ``daily`` holds one row per cohort value and day. ``events`` has ``event_id``, ``event_day``,
     ``affected`` and ``control`` (a cohort value or null) and ``expected_direction`` (or null). Each
-    event reads its two cohorts by key, at most pre + post days of each.
+    event lists the days of its windows and reads them by (cohort, day), so any number of events may
+    share a cohort.
     """
+    pre_days, post_days = max(MINIMUM_WINDOW_DAYS, pre_days), max(MINIMUM_WINDOW_DAYS, post_days)
     sides = events.select(
         "event_id",
         "event_day",
@@ -114,12 +116,11 @@ def event_study(
             )
         ).alias("s"),
     ).select("event_id", "event_day", "s.*")
-    days = event_window_split(
-        sides.join(daily.withColumnRenamed(cohort, "_cohort"), "_cohort"),
-        F.col("event_day"),
-        pre_days,
-        post_days,
+    window = F.sequence(F.date_sub("event_day", pre_days), F.date_add("event_day", post_days))
+    wanted_days = sides.withColumn("day", F.explode(window)).withColumn(
+        "phase", F.when(F.col("day") < F.col("event_day"), "pre").otherwise("post")
     )
+    days = wanted_days.join(daily.withColumnRenamed(cohort, "_cohort"), ["_cohort", "day"])
     ordinal = F.row_number().over(W.partitionBy("event_id", "side", "phase").orderBy("day")) - 1
     days = days.withColumn("_i", ordinal.cast("double"))
 

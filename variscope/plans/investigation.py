@@ -17,10 +17,10 @@ class Investigation:
     """Results of one cohort as DataFrames: ``scope``, ``contributions``, ``scores`` and
     ``interactions``. Drilling returns the investigation of the child cohort over the same rows."""
 
-    def __init__(self, df: DataFrame, spec: CohortSpec):
+    def __init__(self, df: DataFrame, spec: CohortSpec, within: Investigation | None = None):
         self.df = df
         self.spec = spec
-        self.population = A.Population(df, spec)
+        self.population = A.Population(df, spec, within.population if within else None)
 
     @cached_property
     def scope(self) -> DataFrame:
@@ -71,4 +71,5 @@ class Investigation:
         self.population.release()
 
     def drill(self, following: Sequence[Predicate]) -> Investigation:
-        return Investigation(self.df, drill(self.spec, following))
+        child = drill(self.spec, following)
+        return Investigation(self.df, child, self if self.population.holds(child) else None)
