@@ -48,11 +48,14 @@ def canonical_category(df: DataFrame, name: str) -> Column:
 
 
 def category_equals(df: DataFrame, name: str, value: str) -> Column:
-    """Canonical equality. A present value is compared without the null branch, so Catalyst can
-    still derive ``IsNotNull`` and push it into the scan."""
+    """Canonical equality. For present text the trimmed comparison also implies ``contains``, which
+    the scan can push down to the row groups; trimming alone would hide the column from it."""
     if value == MISSING:
         return canonical_category(df, name) == MISSING
-    return trimmed(plain_text(df, name)) == value
+    same = trimmed(plain_text(df, name)) == value
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return F.contains(df[name], F.lit(value)) & same
+    return same
 
 
 def finite_number(df: DataFrame, name: str) -> Column:

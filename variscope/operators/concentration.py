@@ -204,26 +204,39 @@ def top_n_per_dimension(
     The rank filter becomes a group limit below the shuffle, so a dimension with any number of
     categories sends at most ``k`` of them per task.
     """
-    amounts = df.filter(F.col(fields.amount).isNotNull())
-    # One value: a scalar subquery.
-    total = _dated(df, fields).agg(F.sum(fields.amount).cast("double").alias("t")).scalar()
+    dated = F.when(
+        F.col(fields.fiscal_year).isNotNull()
+        & F.col(fields.fiscal_month).isNotNull()
+        & F.col(fields.date).isNotNull(),
+        F.col(fields.amount),
+    )
     sums = (
-        amounts.select(fields.amount, *dimensions)
-        .unpivot([fields.amount], list(dimensions), "dimension", "value")
-        .filter(F.col("value").isNotNull())
+        df.filter(F.col(fields.amount).isNotNull())
+        .select(F.col(fields.amount).alias("_amount"), dated.alias("_dated"), *dimensions)
+        .unpivot(["_amount", "_dated"], list(dimensions), "dimension", "value")
         .groupBy("dimension", "value")
-        .agg(F.sum(fields.amount).cast("double").alias("amount"), F.count("*").alias("transactions"))
+        .agg(
+            F.sum("_amount").cast("double").alias("amount"),
+            F.count("*").alias("transactions"),
+            F.sum("_dated").alias("_dated"),
+        )
     )
-    order = W.partitionBy("dimension").orderBy(F.desc("amount"), F.col("value"))
+    # The groups of any dimension add up to the scope total; one row per dimension.
+    totals = sums.groupBy("dimension").agg(F.sum("_dated").cast("double").alias("_total"))
+    # Missing values sort last instead of being filtered first, so that both reads of the groups
+    # share one scan and one shuffle.
+    order = W.partitionBy("dimension").orderBy(F.col("value").isNull(), F.desc("amount"), F.col("value"))
     return (
         sums.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
+        .filter((F.col("rank") <= k) & F.col("value").isNotNull())
+        .join(F.broadcast(totals), "dimension")
         .withColumns(
             {
-                "share_of_spend": F.coalesce(ratio(F.col("amount"), total), F.lit(0.0)),
+                "share_of_spend": F.coalesce(ratio(F.col("amount"), F.col("_total")), F.lit(0.0)),
                 "average_transaction": F.col("amount") / F.col("transactions"),
             }
         )
+        .drop("_dated", "_total")
     )
 
 

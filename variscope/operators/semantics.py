@@ -128,9 +128,7 @@ def _scenario_sums(df: DataFrame, keys: Sequence[Column], carried: Sequence[Colu
     extra = [F.max(c).alias(c) for c in raw.columns[len(keys) + 2 :]]
     sums = raw.filter(F.col("_value").isNotNull()).groupBy(*names, "_raw").agg(F.sum("_value").alias("_value"), *extra)
     scenario = normalized_name(F.col("_raw"))
-    return sums.withColumn("_scenario", _lookup(scenario, SCENARIOS, scenario)).filter(
-        F.coalesce("_scenario", F.lit("")) != ""
-    )
+    return sums.withColumn("_scenario", _lookup(scenario, SCENARIOS, scenario))
 
 
 def primary_comparison(df: DataFrame) -> Column:
@@ -161,8 +159,11 @@ def normalize_long(df: DataFrame, row_idx: str | None = None) -> DataFrame:
         total("actual").alias("actual"),
         *[total(s).alias(f"_{s}") for s in COMPARISON_ORDER],
         total("prior_year").alias("prior_year"),
+        F.count_if(F.coalesce("_scenario", F.lit("")) != "").alias("_named"),
         *([F.max("_last").alias("_last")] if carried else []),
     )
+    # Filtered once the sums are complete: before them the filter would move down to every row.
+    folded = folded.filter("_named > 0")
     target = F.coalesce(*[F.when(F.col("_primary") == s, F.col(f"_{s}")) for s in COMPARISON_ORDER])
     return folded.withColumn("_primary", primary_comparison(df)).select(
         *keys,
