@@ -29,7 +29,7 @@ def _totals(df):
 
 
 def totals_sql(source, where="TRUE", sign=1, average=False, actual="actual", expected="target",
-               selected="TRUE", method="target", basis="total", date="NULL"):
+               selected="TRUE", method="target", basis="total", date="cast(NULL AS VARCHAR)"):
     fold = "avg" if average else "sum"
     cast = lambda x: f"cast({x} AS DOUBLE)" if not average else f"{x}"
     d = lambda x: f"cast({x} AS DOUBLE)" if average else x
@@ -197,7 +197,7 @@ def parent_comparison(spark, sf):
     parent = Investigation(fact(spark, sf), SPEC)
     child = parent.drill([("region", "ASIA")])
     return A.parent_comparison(parent.scores, child.scores).select(
-        "dimension", "parent_rank", "child_rank", "rank_gain", r("score_change")
+        "dimension", *[F.col(c).cast("bigint").alias(c) for c in ("parent_rank", "child_rank", "rank_gain")], r("score_change")
     )
 
 

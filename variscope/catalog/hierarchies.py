@@ -97,7 +97,7 @@ def _nodes(spark, sf):
 
 @query(
     "hierarchy_normalize",
-    f"WITH {ACCOUNTS} SELECT node_id, parent_id, label, round(cast(amount AS DOUBLE), 2) AS actual, cast(NULL AS DOUBLE) AS plan, 1 AS row_count FROM acc",
+    f"WITH {ACCOUNTS} SELECT node_id, parent_id, label, round(cast(amount AS DOUBLE), 2) AS actual, cast(NULL AS DOUBLE) AS plan, cast(1 AS BIGINT) AS row_count FROM acc",
 )
 def hierarchy_normalize(spark, sf):
     return _nodes(spark, sf).select("node_id", "parent_id", "label", r("actual", 2), r("plan", 2), "row_count")

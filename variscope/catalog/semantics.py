@@ -125,12 +125,11 @@ def infer_defaults(spark, sf):
 
 @query(
     "infer_metric_definition",
-    f"""WITH {METRICS} SELECT metric_id, metric_name AS name, descr AS description, own AS owner, cert AS certification_status, agg AS aggregation, pol AS polarity, unit, 1.0 AS scale, cast(fss AS INTEGER) AS fiscal_year_start_month,
+    f"""WITH {METRICS} SELECT metric_id, metric_name AS name, descr AS description, own AS owner, cert AS certification_status, agg AS aggregation, pol AS polarity, unit, cast(1.0 AS DOUBLE) AS scale, cast(fss AS INTEGER) AS fiscal_year_start_month,
     'actual' AS actual_field, 'target' AS comparison_field, cav AS caveats, cast(round((6 - k) / 6 * 100) AS INTEGER) AS semantic_completeness, miss AS missing_semantics, agg <> 'ratio' AS attribution_supported FROM defs""",
 )
 def infer_metric_definition(spark, sf):
-    out = M.infer_metric_definition(metric_rows(spark, sf), "actual", "target", "row_idx")
-    return out.withColumn("scale", F.col("scale").cast("decimal(3,1)"))
+    return M.infer_metric_definition(metric_rows(spark, sf), "actual", "target", "row_idx")
 
 
 @query(

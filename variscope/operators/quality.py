@@ -700,9 +700,11 @@ def dataset_summary(p: Profiler, profile: DataFrame) -> DataFrame:
         F.count_if(c("potential_sensitive")).alias("sensitive_columns"),
         F.min(F.when(c("has_dates"), F.greatest(c("days_since_latest"), F.lit(0)))).alias("freshest_days"),
     )
-    one = lambda d: d.withColumn("_k", F.lit(1))
-    # Three one-row tables side by side.
-    return one(cells).join(one(copies), "_k").join(one(sums), "_k").drop("_k")
+    # Three one-row tables side by side, the other two as scalar subqueries.
+    row = lambda d: d.select(F.struct("*")).scalar()
+    return cells.withColumns({"_copies": row(copies), "_sums": row(sums)}).select(
+        *cells.columns, "_copies.*", "_sums.*"
+    )
 
 
 def dataset_issues(summary: DataFrame, profile: DataFrame, options: QualityOptions, columns: Sequence[str]) -> DataFrame:
@@ -809,9 +811,8 @@ def quality_dimensions(p: Profiler) -> DataFrame:
         ),
     ]
     listed = F.array(*[F.struct(F.lit(n).alias("dimension"), s.cast("double").alias("score")) for n, s in scores])
-    wide = (
-        summary.withColumn("_k", F.lit(1)).join(issues.withColumn("_k", F.lit(1)), "_k").withColumn("_listed", listed)
-    )
+    counts = issues.select(F.struct("*")).scalar()
+    wide = summary.withColumn("_issues", counts).select("*", "_issues.*").withColumn("_listed", listed)
     counted = F.filter("_listed", lambda s: s["score"].isNotNull() & (s["dimension"] != "privacy"))
     mean = F.aggregate(counted, F.lit(0.0), lambda acc, s: acc + s["score"]) / F.size(counted)
     overall = F.struct(F.lit("overall").alias("dimension"), clamp(mean).alias("score"))
