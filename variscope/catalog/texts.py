@@ -8,6 +8,7 @@ from variscope.catalog.registry import FACT, query
 from variscope.functions import words
 from variscope.operators import articles as T
 from variscope.operators import grounding as G
+from variscope.operators.semantics import DIMENSION_CATALOG, resolve_dimension
 from variscope.sources.warehouse import articles, fact, table
 
 
@@ -186,6 +187,17 @@ def tool_plan(spark, sf):
     return users.select("conv_id", "turn", F.array_join(G.tool_plan(F.col("text")), ",").alias("tools"))
 
 
+ASKED = ["month", "region", "deviceOs", "offer", "planType", "ageBand", "supportTier"]
+NAMED_CASE = "CASE " + " ".join(
+    f"WHEN {hit_sql('q', [w.lower() for w in (name, label, *more)])} > 0 THEN '{name}'" for name, label, _, more in DIMENSION_CATALOG if name in ASKED
+) + " END"
+
+
+@query("resolve_dimension", f"SELECT conv_id, turn, {NAMED_CASE} AS dimension FROM (SELECT conv_id, turn, lower(text) AS q FROM conversations)")
+def resolve_dimension_query(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", resolve_dimension(F.col("text"), ASKED).alias("dimension"))
+
+
 def grounding_sql(answers, evidence):
     causal = " OR ".join(f"regexp_matches(answer, '(?i){p}')" for p in words.CAUSAL_PATTERNS)
     return f"""WITH a AS ({answers}), e AS ({evidence}),

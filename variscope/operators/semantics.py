@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variscope.functions.values import BLANKS, finite_number, trimmed
+from variscope.functions.values import BLANKS, any_of, finite_number, trimmed
 
 # The columns of the contract, its metadata fields and the names it understands.
 REQUIRED_WIDE = ("period_date", "actual_value")
@@ -40,39 +40,39 @@ LENS_PATTERNS = (
     ("opex", r"(opex|expense|cost|spend|vendor)"),
     ("corporate", r"(corporate|g&a|general and administrative|legal|allocation)"),
 )
-# Dimension, its child level and the words that name it.
+# Dimension, its label, its child level and the other words that name it.
 DIMENSION_CATALOG = (
-    ("year", "quarter", ("calendar year",)),
-    ("quarter", "month", ("qtr",)),
-    ("month", None, ("time", "date", "period")),
-    ("region", "market", ("geography", "area")),
-    ("market", None, ("local market", "territory")),
-    ("stateGroup", None, ("location type", "market classification")),
-    ("channel", "storeType", ("sales channel", "route to market")),
-    ("storeType", None, ("subchannel", "channel type", "store type")),
-    ("salesMotion", None, ("motion", "selling motion")),
-    ("productFamily", "productLine", ("product", "products", "category", "product group")),
-    ("productLine", "productName", ("line", "product subcategory")),
-    ("productName", None, ("product name", "item")),
-    ("productTier", None, ("tier", "product level")),
-    ("deviceBrand", None, ("brand", "device brand")),
-    ("deviceOs", None, ("os", "operating system")),
-    ("offer", None, ("promotion", "promo", "deal")),
-    ("planType", None, ("plan",)),
-    ("promoFlag", None, ("promo status",)),
-    ("customerSegment", "accountType", ("segment", "customer type")),
-    ("accountType", None, ("account", "customer subsegment")),
-    ("tenureBand", None, ("tenure", "customer age")),
-    ("ageBand", None, ("age",)),
-    ("creditBand", None, ("credit",)),
-    ("employeeBand", None, ("company size", "employees")),
-    ("acquisitionSource", None, ("source", "acquisition")),
-    ("inventoryStatus", None, ("inventory", "stock")),
-    ("fulfillment", None, ("delivery", "shipping")),
-    ("serviceTier", None, ("service level",)),
-    ("supportTier", None, ("support",)),
-    ("paymentType", None, ("payment",)),
-    ("contractType", None, ("contract",)),
+    ("year", "Year", "quarter", ("calendar year",)),
+    ("quarter", "Quarter", "month", ("qtr",)),
+    ("month", "Month", None, ("time", "date", "period")),
+    ("region", "Region", "market", ("geography", "area")),
+    ("market", "Market", None, ("local market", "territory")),
+    ("stateGroup", "Market Type", None, ("location type", "market classification")),
+    ("channel", "Channel", "storeType", ("sales channel", "route to market")),
+    ("storeType", "Channel Subtype", None, ("subchannel", "channel type", "store type")),
+    ("salesMotion", "Sales Motion", None, ("motion", "selling motion")),
+    ("productFamily", "Product Family", "productLine", ("product", "products", "category", "product group")),
+    ("productLine", "Product Line", "productName", ("line", "product subcategory")),
+    ("productName", "Product", None, ("product name", "item")),
+    ("productTier", "Product Tier", None, ("tier", "product level")),
+    ("deviceBrand", "Product Brand", None, ("brand", "device brand")),
+    ("deviceOs", "Device OS", None, ("os", "operating system")),
+    ("offer", "Offer", None, ("promotion", "promo", "deal")),
+    ("planType", "Plan Type", None, ("plan",)),
+    ("promoFlag", "Promotion Status", None, ("promo status",)),
+    ("customerSegment", "Customer Segment", "accountType", ("segment", "customer type")),
+    ("accountType", "Account Type", None, ("account", "customer subsegment")),
+    ("tenureBand", "Tenure", None, ("tenure", "customer age")),
+    ("ageBand", "Age Band", None, ("age",)),
+    ("creditBand", "Credit Band", None, ("credit",)),
+    ("employeeBand", "Employee Band", None, ("company size", "employees")),
+    ("acquisitionSource", "Acquisition Source", None, ("source", "acquisition")),
+    ("inventoryStatus", "Inventory Status", None, ("inventory", "stock")),
+    ("fulfillment", "Fulfillment", None, ("delivery", "shipping")),
+    ("serviceTier", "Service Tier", None, ("service level",)),
+    ("supportTier", "Support Tier", None, ("support",)),
+    ("paymentType", "Payment Type", None, ("payment",)),
+    ("contractType", "Contract Type", None, ("contract",)),
 )
 
 
@@ -381,9 +381,26 @@ def validate_scope(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def next_drill(scores: DataFrame, states: DataFrame, children: dict[str, str]) -> DataFrame:
+def catalog_children() -> dict[str, str]:
+    """Child level of each dimension that has one."""
+    return {name: child for name, _, child, _ in DIMENSION_CATALOG if child}
+
+
+def resolve_dimension(question: Column, available: Sequence[str]) -> Column:
+    """The first available dimension of the catalog that a question names, else null."""
+    q = F.lower(question)
+    named = [
+        F.when(any_of(q.contains(w.lower()) for w in (name, label, *synonyms)), F.lit(name))
+        for name, label, _, synonyms in DIMENSION_CATALOG
+        if name in available
+    ]
+    return F.coalesce(*named) if named else F.lit(None).cast("string")
+
+
+def next_drill(scores: DataFrame, states: DataFrame, children: dict[str, str] | None = None) -> DataFrame:
     """Where to drill after each state ``(last_dimension)``: the child level of the last dimension
-    when it has one, else the best-scored other dimension."""
+    when it has one (by default as the catalog has it), else the best-scored other dimension."""
+    children = catalog_children() if children is None else children
     best = scores.select("dimension", "score", "top_category")
     child = _lookup(F.col("last_dimension"), children or {"": ""})
     ranked = F.array_sort(
