@@ -21,15 +21,15 @@ TOTALS = [
 ]
 
 
-def _totals(df):
+def _totals(df, digits=4):
     return df.select(
-        *TOTALS, r("actual", 4), r("expected", 4), r("variance", 4), r("business_impact", 4),
+        *TOTALS, r("actual", digits), r("expected", digits), r("variance", digits), r("business_impact", digits),
         r("variance_pct"), r("anomaly_score"), r("residual_scale"), day("population_date"),
     )
 
 
 def totals_sql(source, where="TRUE", sign=1, average=False, actual="actual", expected="target",
-               selected="TRUE", method="target", basis="total", date="cast(NULL AS VARCHAR)"):
+               selected="TRUE", method="target", basis="total", date="cast(NULL AS VARCHAR)", digits=4):
     fold = "avg" if average else "sum"
     cast = lambda x: f"cast({x} AS DOUBLE)" if not average else f"{x}"
     d = lambda x: f"cast({x} AS DOUBLE)" if average else x
@@ -44,7 +44,7 @@ t AS (SELECT (SELECT count(*) FROM marked) AS row_count, count(*) AS valid_row_c
 SELECT row_count, valid_row_count, row_count - valid_row_count AS excluded_measure_rows, TRUE AS attribution_reconciles,
   '{method}' AS baseline_method, '{basis}' AS attribution_basis,
   CASE WHEN variance * {sign} > 0 THEN 'favorable' WHEN variance * {sign} < 0 THEN 'unfavorable' ELSE 'neutral' END AS impact_direction,
-  round(actual, 4) AS actual, round(expected, 4) AS expected, round(variance, 4) AS variance, round(variance * {sign}, 4) AS business_impact,
+  round(actual, {digits}) AS actual, round(expected, {digits}) AS expected, round(variance, {digits}) AS variance, round(variance * {sign}, {digits}) AS business_impact,
   round(variance / nullif(abs(expected), 0), 6) AS variance_pct, round(abs(mr) / greatest(scale, 1e-9), 6) AS anomaly_score,
   round(scale, 6) AS residual_scale, {date} AS population_date FROM t, sc"""
 
@@ -58,7 +58,7 @@ def scope_totals(spark, sf):
     "scope_totals_average",
     f"WITH {GAPS}, "
     + totals_sql("gaps", f"{canon('region')} = 'ASIA' AND {canon('priority')} = '(missing)'", -1, True,
-                 basis="support_weighted_average"),
+                 basis="support_weighted_average", digits=8),
 )
 def scope_totals_average(spark, sf):
     spec = CohortSpec(
@@ -66,7 +66,7 @@ def scope_totals_average(spark, sf):
         predicates=(("region", "ASIA"), ("priority", "(missing)")),
         polarity="lower_is_better", aggregation="average",
     )
-    return _totals(Investigation(fact_with_gaps(spark, sf), spec).scope)
+    return _totals(Investigation(fact_with_gaps(spark, sf), spec).scope, 8)
 
 
 @query(
@@ -83,10 +83,10 @@ def scope_totals_period_end(spark, sf):
 @query(
     "median_baseline",
     f"WITH {GAPS}, base AS (SELECT cast(median(cast(actual AS DOUBLE)) AS DECIMAL(18,6)) AS b FROM gaps), src AS (SELECT actual, b FROM gaps, base), "
-    + totals_sql("src", expected="b", method="robust-median"),
+    + totals_sql("src", expected="b", method="robust-median", digits=6),
 )
 def median_baseline(spark, sf):
-    return _totals(Investigation(fact_with_gaps(spark, sf), CohortSpec(tuple(DIMENSIONS), "actual")).scope)
+    return _totals(Investigation(fact_with_gaps(spark, sf), CohortSpec(tuple(DIMENSIONS), "actual")).scope, 6)
 
 
 @query(
@@ -116,43 +116,44 @@ def robust_scale_query(spark, sf):
     )
 
 
-CONTRIBUTION_SQL = """SELECT dimension, value, count, round(support, 8) AS support, round(actual, 4) AS actual,
-  round(expected, 4) AS expected, round(variance, 4) AS variance, round(business_impact, 4) AS business_impact,
-  impact_direction, round(variance_per_row, 6) AS variance_per_row,
+def contribution_sql(digits=4):
+    return f"""SELECT dimension, value, count, round(support, 8) AS support, round(actual, {digits}) AS actual,
+  round(expected, {digits}) AS expected, round(variance, {digits}) AS variance, round(business_impact, {digits}) AS business_impact,
+  impact_direction, round(variance_per_row, 8) AS variance_per_row,
   round(standardized_residual, 8) AS standardized_residual, round(surprise, 8) AS surprise,
   round(share_of_abs_variance, 8) AS share_of_abs_variance FROM contributions"""
 
 
-def _contributions(df):
+def _contributions(df, digits=4):
     return df.select(
-        "dimension", "value", "count", r("support", 8), r("actual", 4), r("expected", 4), r("variance", 4),
-        r("business_impact", 4), "impact_direction", r("variance_per_row"), r("standardized_residual", 8),
+        "dimension", "value", "count", r("support", 8), r("actual", digits), r("expected", digits), r("variance", digits),
+        r("business_impact", digits), "impact_direction", r("variance_per_row", 8), r("standardized_residual", 8),
         r("surprise", 8), r("share_of_abs_variance", 8),
     )
 
 
-@query("group_dimension", f"WITH {GAPS}, {investigation('gaps')} {CONTRIBUTION_SQL}")
+@query("group_dimension", f"WITH {GAPS}, {investigation('gaps')} {contribution_sql()}")
 def group_dimension(spark, sf):
     return _contributions(Investigation(fact_with_gaps(spark, sf), SPEC).contributions)
 
 
 @query(
     "group_dimension_average",
-    f"WITH {GAPS}, {investigation('gaps', sign=-1, average=True)} {CONTRIBUTION_SQL}",
+    f"WITH {GAPS}, {investigation('gaps', sign=-1, average=True)} {contribution_sql(8)}",
 )
 def group_dimension_average(spark, sf):
-    return _contributions(Investigation(fact_with_gaps(spark, sf), COST).contributions)
+    return _contributions(Investigation(fact_with_gaps(spark, sf), COST).contributions, 8)
 
 
 SCORE_SQL = """SELECT dimension, distinct_count, round(score, 6) AS score, round(impact, 8) AS impact,
   round(surprise, 8) AS surprise, round(concentration, 8) AS concentration, round(support_quality, 8) AS support_quality,
-  round(cardinality_penalty, 8) AS cardinality_penalty, top_category, round(top_category_impact, 4) AS top_category_impact FROM scores"""
+  round(cardinality_penalty, 8) AS cardinality_penalty, top_category, round(top_category_impact, 6) AS top_category_impact FROM scores"""
 
 
 def _scores(df):
     return df.select(
         "dimension", "distinct_count", r("score"), r("impact", 8), r("surprise", 8), r("concentration", 8),
-        r("support_quality", 8), r("cardinality_penalty", 8), "top_category", r("top_category_impact", 4),
+        r("support_quality", 8), r("cardinality_penalty", 8), "top_category", r("top_category_impact"),
     )
 
 

@@ -42,11 +42,11 @@ def fold_predictions(spark, sf):
 
 @query(
     "model_scores",
-    f"WITH {SCORES} SELECT segment, brand, model, folds, round(mae, 4) AS mae, round(wape, 8) AS wape, round(bias, 8) AS bias, round(residual_scale, 4) AS residual_scale FROM sc",
+    f"WITH {SCORES} SELECT segment, brand, model, folds, round(mae, 8) AS mae, round(wape, 8) AS wape, round(bias, 8) AS bias, round(residual_scale, 6) AS residual_scale FROM sc",
 )
 def model_scores(spark, sf):
     folds = B.fold_predictions(_series(spark, sf), "actual", "period_start", KEYS)
-    return B.model_scores(folds, KEYS).select(*KEYS, "model", "folds", r("mae", 4), r("wape", 8), r("bias", 8), r("residual_scale", 4))
+    return B.model_scores(folds, KEYS).select(*KEYS, "model", "folds", r("mae", 8), r("wape", 8), r("bias", 8), r("residual_scale", 6))
 
 
 @query(
@@ -114,26 +114,26 @@ def _events(spark, sf):
 @query(
     "event_study",
     f"""WITH {STUDY} SELECT event_id, affected, control, CASE WHEN control IS NULL THEN 'pre_post' ELSE 'difference_in_differences' END AS method, npre AS pre_periods, npost AS post_periods,
-    round(ac, 4) AS affected_change, round(cc, 4) AS control_change, round(raw, 4) AS raw_effect, dir AS impact_direction, round(std, 6) AS standardized_effect,
+    round(ac, 8) AS affected_change, round(cc, 8) AS control_change, round(raw, 8) AS raw_effect, dir AS impact_direction, round(std, 6) AS standardized_effect,
     round(par, 6) AS parallel_trend_score, status, CASE WHEN status = 'supported' AND control IS NOT NULL AND par >= 0.75 AND std >= 1.5 THEN 'high'
       WHEN status = 'insufficient' OR par < 0.5 THEN 'low' ELSE 'medium' END AS confidence FROM fin""",
 )
 def event_study(spark, sf):
     return E.event_study(_daily(spark, sf), _events(spark, sf), "event_type").select(
-        "event_id", "affected", "control", "method", "pre_periods", "post_periods", r("affected_change", 4), r("control_change", 4),
-        r("raw_effect", 4), "impact_direction", r("standardized_effect"), r("parallel_trend_score"), "status", "confidence",
+        "event_id", "affected", "control", "method", "pre_periods", "post_periods", r("affected_change", 8), r("control_change", 8),
+        r("raw_effect", 8), "impact_direction", r("standardized_effect"), r("parallel_trend_score"), "status", "confidence",
     )
 
 
 @query(
     "event_window_split",
-    f"WITH {DAILY} SELECT event_type, CASE WHEN day < DATE '2024-01-16' THEN 'pre' ELSE 'post' END AS phase, count(*) AS days, cast(min(day) AS VARCHAR) AS first_day, cast(max(day) AS VARCHAR) AS last_day, round(avg(residual), 4) AS mean_residual FROM d WHERE day BETWEEN DATE '2024-01-09' AND DATE '2024-01-26' GROUP BY ALL",
+    f"WITH {DAILY} SELECT event_type, CASE WHEN day < DATE '2024-01-16' THEN 'pre' ELSE 'post' END AS phase, count(*) AS days, cast(min(day) AS VARCHAR) AS first_day, cast(max(day) AS VARCHAR) AS last_day, round(avg(residual), 8) AS mean_residual FROM d WHERE day BETWEEN DATE '2024-01-09' AND DATE '2024-01-26' GROUP BY ALL",
 )
 def event_window_split(spark, sf):
     split = E.event_window_split(_daily(spark, sf), F.lit("2024-01-16").cast("date"), 3, 10)
     return split.groupBy("event_type", "phase").agg(
         F.count("*").alias("days"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"),
-        F.round(F.avg("residual"), 4).alias("mean_residual"),
+        F.round(F.avg("residual"), 8).alias("mean_residual"),
     )
 
 

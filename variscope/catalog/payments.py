@@ -140,23 +140,23 @@ def partial_period_proration(spark, sf):
     f"""WITH {BENCH}, t AS (SELECT avg(impact) FILTER (WHERE rr <= 3) AS rec, avg(impact) FILTER (WHERE rr BETWEEN 4 AND 6) AS pri,
       avg(abs(expected)) FILTER (WHERE rr <= 6) AS ex, count(*) AS n FROM bench)
     SELECT CASE WHEN n < 6 THEN 'insufficient' WHEN abs(rec - pri) < greatest(1, ex * 0.01) THEN 'stable' WHEN rec > pri THEN 'improving' ELSE 'worsening' END AS direction,
-      round(rec, 4) AS recent_average_impact, round(pri, 4) AS prior_average_impact FROM t""",
+      round(rec, 6) AS recent_average_impact, round(pri, 6) AS prior_average_impact FROM t""",
 )
 def benchmark_trend(spark, sf):
     return P.benchmark_trend(P.monthly_benchmark(P.monthly_totals(payments(spark, sf, [])))).select(
-        "direction", r("recent_average_impact", 4), r("prior_average_impact", 4)
+        "direction", r("recent_average_impact"), r("prior_average_impact")
     )
 
 
 @query(
     "trailing_12",
-    f"""WITH {BENCH} SELECT round(sum(actual) FILTER (WHERE rr <= 12), 3) AS trailing_actual, round(sum(impact) FILTER (WHERE rr <= 12), 3) AS trailing_impact,
+    f"""WITH {BENCH} SELECT round(sum(actual) FILTER (WHERE rr <= 12), 4) AS trailing_actual, round(sum(impact) FILTER (WHERE rr <= 12), 5) AS trailing_impact,
     any_value(key) FILTER (WHERE rr = 1) AS current_month, round(any_value(impact) FILTER (WHERE rr = 1), 5) AS current_impact,
     arg_min(key, impact) FILTER (WHERE impact < 0) AS worst_month, round(min(impact) FILTER (WHERE impact < 0), 5) AS worst_impact FROM bench""",
 )
 def trailing_12(spark, sf):
     return P.trailing_12(P.monthly_benchmark(P.monthly_totals(payments(spark, sf, [])))).select(
-        r("trailing_actual", 3), r("trailing_impact", 3), "current_month", r("current_impact", 5), "worst_month", r("worst_impact", 5)
+        r("trailing_actual", 4), r("trailing_impact", 5), "current_month", r("current_impact", 5), "worst_month", r("worst_impact", 5)
     )
 
 
@@ -171,12 +171,12 @@ def analysis_health(spark, sf):
 @query(
     "top_n_per_dimension",
     f"""WITH {TOP} SELECT dimension, value, rank, round(amount, 4) AS amount, transactions, round(share, 8) AS share_of_spend,
-    round(amount / transactions, 6) AS average_transaction FROM topn""",
+    round(amount / transactions, 8) AS average_transaction FROM topn""",
 )
 def top_n_per_dimension(spark, sf):
     return P.top_n_per_dimension(payments(spark, sf), DIMS).select(
         "dimension", "value", F.col("rank").cast("bigint").alias("rank"), r("amount", 4), "transactions",
-        r("share_of_spend", 8), r("average_transaction"),
+        r("share_of_spend", 8), r("average_transaction", 8),
     )
 
 
@@ -261,12 +261,12 @@ tot AS (SELECT sum(amount) AS pa, sum(transactions) AS pt FROM sums),
 shown AS (SELECT *, TRUE AS drillable FROM sums WHERE value IS NOT NULL ORDER BY amount DESC, value LIMIT {k}),
 rest AS (SELECT 'Other categories' AS value, greatest(0, any_value(pa) - sum(amount)) AS amount, greatest(0, any_value(pt) - sum(transactions)) AS transactions, FALSE AS drillable FROM shown, tot),
 al AS (SELECT * FROM shown UNION ALL SELECT rest.* FROM rest, tot WHERE {other} AND amount > abs(pa) * 0.005)"""
-    return f"""WITH {base} SELECT sha256('{parent}|{level}|' || value) AS node_id, '{level}' AS level, value, round(amount, 3) AS amount,
+    return f"""WITH {base} SELECT sha256('{parent}|{level}|' || value) AS node_id, '{level}' AS level, value, round(amount, 4) AS amount,
   cast(transactions AS BIGINT) AS transactions, round(amount / pa, 8) AS share_of_parent, drillable FROM al, tot"""
 
 
 def _children(df):
-    return df.select("node_id", "level", "value", r("amount", 3), "transactions", r("share_of_parent", 8), "drillable")
+    return df.select("node_id", "level", "value", r("amount", 4), "transactions", r("share_of_parent", 8), "drillable")
 
 
 @query(

@@ -82,7 +82,7 @@ pts AS (SELECT p6.s, p6.p, {END_SQL[grain].format(p="p6.p")} AS p_end, p6.actual
   FROM p6 JOIN cov ON cov.s = p6.s LEFT JOIN p6 y ON y.s = p6.s AND y.p = {start_sql("(p6.p - INTERVAL 1 YEAR)", grain, fs)})"""
 
 
-POINT_SQL = """SELECT s AS series, cast(p AS VARCHAR) AS period_start, cast(p_end AS VARCHAR) AS period_end, round(actual, 4) AS actual,
+POINT_SQL = """SELECT s AS series, cast(p AS VARCHAR) AS period_start, cast(p_end AS VARCHAR) AS period_end, round(actual, 6) AS actual,
   round(expected, 6) AS expected, round(impact, 6) AS business_impact, round(variance / nullif(abs(expected), 0), 6) AS variance_pct,
   valid_row_count, round(anomaly_score, 6) AS anomaly_score, round(threshold, 8) AS materiality_threshold, material, severity AS alert_severity,
   round(prior_change, 6) AS prior_period_impact_change, round(year_change, 6) AS prior_year_impact_change FROM pts"""
@@ -90,7 +90,7 @@ POINT_SQL = """SELECT s AS series, cast(p AS VARCHAR) AS period_start, cast(p_en
 
 def _points(df, spec):
     return df.select(
-        F.col(spec.series[0]).alias("series"), day("period_start"), day("period_end"), r("actual", 4), r("expected"),
+        F.col(spec.series[0]).alias("series"), day("period_start"), day("period_end"), r("actual"), r("expected"),
         r("business_impact"), r("variance_pct"), "valid_row_count", r("anomaly_score"), r("materiality_threshold", 8),
         "material", "alert_severity", r("prior_period_impact_change"), r("prior_year_impact_change"),
     )
@@ -178,34 +178,34 @@ def materiality_alert(spark, sf):
 
 @query(
     "prior_period_change",
-    f"WITH {GAPS}, {PLAN_CTE} SELECT s AS series, cast(p AS VARCHAR) AS period_start, round(prior_change, 4) AS prior_period_impact_change FROM pts",
+    f"WITH {GAPS}, {PLAN_CTE} SELECT s AS series, cast(p AS VARCHAR) AS period_start, round(prior_change, 6) AS prior_period_impact_change FROM pts",
 )
 def prior_period_change(spark, sf):
     points = S.with_variance(S.period_aggregate(_gaps(spark, sf), PLAN), PLAN)
     return S.prior_period_change(points, PLAN).select(
-        F.col("segment").alias("series"), day("period_start"), r("prior_period_impact_change", 4)
+        F.col("segment").alias("series"), day("period_start"), r("prior_period_impact_change")
     )
 
 
 @query(
     "prior_year_join",
-    f"WITH {GAPS}, {PLAN_CTE} SELECT s AS series, cast(p AS VARCHAR) AS period_start, round(year_change, 4) AS prior_year_impact_change FROM pts",
+    f"WITH {GAPS}, {PLAN_CTE} SELECT s AS series, cast(p AS VARCHAR) AS period_start, round(year_change, 6) AS prior_year_impact_change FROM pts",
 )
 def prior_year_join(spark, sf):
     points = S.with_variance(S.period_aggregate(_gaps(spark, sf), PLAN), PLAN)
     return S.prior_year_join(points, PLAN).select(
-        F.col("segment").alias("series"), day("period_start"), r("prior_year_impact_change", 4)
+        F.col("segment").alias("series"), day("period_start"), r("prior_year_impact_change")
     )
 
 
 @query(
     "alert_list",
-    f"""WITH {GAPS}, {BASE_CTE} SELECT s AS series, cast(p AS VARCHAR) AS period_start, severity AS alert_severity, round(impact, 4) AS business_impact
+    f"""WITH {GAPS}, {BASE_CTE} SELECT s AS series, cast(p AS VARCHAR) AS period_start, severity AS alert_severity, round(impact, 6) AS business_impact
     FROM pts WHERE severity <> 'normal' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'watch' THEN 1 ELSE 2 END, p DESC, s LIMIT 6""",
 )
 def alert_list(spark, sf):
     points = S.finance_points(_gaps(spark, sf), BASELINE).withColumnRenamed("segment", "series")
-    return S.alert_list(points).select("series", day("period_start"), "alert_severity", r("business_impact", 4))
+    return S.alert_list(points).select("series", day("period_start"), "alert_severity", r("business_impact"))
 
 
 @query(
@@ -221,7 +221,7 @@ def material_periods(spark, sf):
     )
 
 
-def summary_sql(fold="sum", trailing=12, fs=1, sign=1):
+def summary_sql(fold="sum", trailing=12, fs=1, sign=1, digits=4):
     f = {
         "sum": lambda c: f"sum({c})",
         "average": lambda c: f"sum({c} * valid_row_count) / sum(valid_row_count)",
@@ -233,15 +233,15 @@ def summary_sql(fold="sum", trailing=12, fs=1, sign=1):
   UNION ALL SELECT 'YTD', * FROM pts WHERE p >= {year_sql('latest', fs)}
   UNION ALL SELECT 'TRAILING', * FROM pts WHERE rr <= {trailing}),
 summ AS (SELECT s, win, min(p) AS st, max(p_end) AS en, {f('actual')} AS actual, {f('expected')} AS expected, count(*) AS period_count, any_value(latest) AS latest FROM tagged GROUP BY s, win)
-SELECT s AS series, win AS window, cast(st AS VARCHAR) AS start, cast(en AS VARCHAR) AS end, round(actual, 4) AS actual, round(expected, 4) AS expected,
-  round((actual - expected) * {sign}, 3) AS business_impact, round((actual - expected) / nullif(abs(expected), 0), 6) AS variance_pct,
+SELECT s AS series, win AS window, cast(st AS VARCHAR) AS start, cast(en AS VARCHAR) AS end, round(actual, {digits}) AS actual, round(expected, {digits}) AS expected,
+  round((actual - expected) * {sign}, {digits}) AS business_impact, round((actual - expected) / nullif(abs(expected), 0), 6) AS variance_pct,
   round(actual / nullif(expected, 0), 6) AS pace, period_count FROM summ"""
 
 
-def _summary(df, spec):
+def _summary(df, spec, digits=4):
     return df.select(
-        F.col(spec.series[0]).alias("series"), "window", day("start"), day("end"), r("actual", 4), r("expected", 4),
-        r("business_impact", 3), r("variance_pct"), r("pace"), "period_count",
+        F.col(spec.series[0]).alias("series"), "window", day("start"), day("end"), r("actual", digits), r("expected", digits),
+        r("business_impact", digits), r("variance_pct"), r("pace"), "period_count",
     )
 
 
@@ -250,9 +250,9 @@ def period_summary(spark, sf):
     return _summary(S.period_summary(S.finance_points(_gaps(spark, sf), PLAN), PLAN), PLAN)
 
 
-@query("period_summary_average", f"WITH {GAPS}, {AVG_CTE}, {summary_sql('average', 4, 7)}")
+@query("period_summary_average", f"WITH {GAPS}, {AVG_CTE}, {summary_sql('average', 4, 7, digits=6)}")
 def period_summary_average(spark, sf):
-    return _summary(S.period_summary(S.finance_points(_gaps(spark, sf, "region"), AVERAGE), AVERAGE), AVERAGE)
+    return _summary(S.period_summary(S.finance_points(_gaps(spark, sf, "region"), AVERAGE), AVERAGE), AVERAGE, 6)
 
 
 @query("period_summary_period_end", f"WITH {GAPS}, {BAL_CTE}, {summary_sql('period_end')}")
@@ -264,15 +264,15 @@ def period_summary_period_end(spark, sf):
     "run_rate",
     f"""WITH {EVENTS}, {DAY_CTE}, m AS (SELECT s, any_value(latest) AS latest, sum(actual) AS a, sum(expected) AS e FROM pts WHERE p >= date_trunc('month', latest) GROUP BY s),
     x AS (SELECT *, day(latest) AS el, day(last_day(latest)) AS tot FROM m)
-    SELECT s AS series, cast(latest AS VARCHAR) AS as_of, cast(el AS INTEGER) AS elapsed_days, cast(tot AS INTEGER) AS total_days, round(a / el * tot, 4) AS projected_actual,
-      round(e / el * tot, 4) AS projected_expected, round((a - e) / el * tot, 3) AS projected_business_impact,
+    SELECT s AS series, cast(latest AS VARCHAR) AS as_of, cast(el AS INTEGER) AS elapsed_days, cast(tot AS INTEGER) AS total_days, round(a / el * tot, 6) AS projected_actual,
+      round(e / el * tot, 6) AS projected_expected, round((a - e) / el * tot, 6) AS projected_business_impact,
       CASE WHEN a > e THEN 'favorable' WHEN a < e THEN 'unfavorable' ELSE 'neutral' END AS impact_direction,
       CASE WHEN el >= 10 THEN 'medium' ELSE 'low' END AS confidence FROM x WHERE el < tot""",
 )
 def run_rate(spark, sf):
     return S.run_rate(S.finance_points(daily_events(spark, sf), DAILY), DAILY).select(
-        F.col("event_type").alias("series"), day("as_of"), "elapsed_days", "total_days", r("projected_actual", 4),
-        r("projected_expected", 4), r("projected_business_impact", 3), "impact_direction", "confidence",
+        F.col("event_type").alias("series"), day("as_of"), "elapsed_days", "total_days", r("projected_actual"),
+        r("projected_expected"), r("projected_business_impact"), "impact_direction", "confidence",
     )
 
 
@@ -300,11 +300,11 @@ def recent_signals(spark, sf):
     f"""WITH {GAPS}, {BASE_CTE}, t AS (SELECT s, avg(impact) FILTER (WHERE rr <= 3) AS rec, avg(impact) FILTER (WHERE rr BETWEEN 4 AND 6) AS pri,
       avg(abs(expected)) FILTER (WHERE rr <= 6) AS ex, count(*) AS n FROM pts GROUP BY s)
     SELECT s AS series, CASE WHEN n < 6 THEN 'insufficient' WHEN abs(rec - pri) < greatest(1, ex * 0.01) THEN 'stable' WHEN rec > pri THEN 'improving' ELSE 'worsening' END AS direction,
-      round(rec, 4) AS recent_average_impact, round(pri, 4) AS prior_average_impact, round(rec - pri, 4) AS change FROM t""",
+      round(rec, 6) AS recent_average_impact, round(pri, 6) AS prior_average_impact, round(rec - pri, 6) AS change FROM t""",
 )
 def trend(spark, sf):
     return S.trend(S.finance_points(_gaps(spark, sf), BASELINE), BASELINE).select(
-        F.col("segment").alias("series"), "direction", r("recent_average_impact", 4), r("prior_average_impact", 4), r("change", 4)
+        F.col("segment").alias("series"), "direction", r("recent_average_impact"), r("prior_average_impact"), r("change")
     )
 
 

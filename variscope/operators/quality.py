@@ -533,8 +533,8 @@ def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None, k: int
 
 
 def correlations(df: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Strong pairwise correlations of up to 14 measures, all pairs in one aggregation."""
-    names = list(measures)[:CORRELATION_MEASURES]
+    """Strong pairwise correlations of the measures, all pairs in one aggregation."""
+    names = list(measures)
     numbers = df.select(*[finite_number(df, c).cast("double").alias(c) for c in names])
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -569,7 +569,7 @@ def functional_dependencies(df: DataFrame, candidates: Sequence[str]) -> DataFra
     so each first column needs one grouped pass that carries every second column, and the rows are
     multiplied by the number of columns instead of the number of pairs.
     """
-    names = list(candidates)[:DEPENDENCY_COLUMNS]
+    names = list(candidates)
     # Second values travel as 64-bit hashes: numbers keep the hash aggregation that min and max of
     # text would lose. The hashes of the at most 60 values of a column are checked to be distinct.
     present = df.select(
