@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 # A column up to this length is handed to ``percentile``: its value->count map then fits one task.
 SHORT_COLUMN = 200_000
 # Up to this length one bar of the coarse histogram is small enough to sort as it is.
-MEDIUM_COLUMN = 100_000_000
+MEDIUM_COLUMN = 20_000_000
 COARSE_BARS_PER_OCTAVE = 64
 FINE_BARS = 8192
 

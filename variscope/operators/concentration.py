@@ -399,7 +399,13 @@ def hierarchy_children(
     sums = scope.groupBy(F.col(level).alias("value")).agg(
         F.sum(fields.amount).cast("double").alias("amount"), F.count("*").alias("transactions")
     )
-    shown = sums.filter(F.col("value").isNotNull()).orderBy(F.desc("amount"), "value").limit(k)
+    # Missing values sort last and drop out after the limit, so that every read of the level shares
+    # one scan and one shuffle.
+    shown = (
+        sums.orderBy(F.col("value").isNull(), F.desc("amount"), "value")
+        .limit(k)
+        .filter(F.col("value").isNotNull())
+    )
     parent = sums.agg(
         F.struct(F.sum("amount").alias("amount"), F.sum("transactions").alias("transactions")).alias("p")
     ).scalar()

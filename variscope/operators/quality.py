@@ -520,13 +520,16 @@ def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None, k: int
         F.array_join(F.slice("_gone", 1, PATTERN_COLUMNS), "|"),
         F.when(F.size("_gone") > PATTERN_COLUMNS, "|…").otherwise(""),
     )
-    rows = df.agg(F.count("*")).scalar()
-    return (
+    counts = (
         df.select(gone.alias("_gone"))
-        .filter(F.size("_gone") > 0)
         .groupBy(label.alias("columns"))
-        .agg(F.count("*").alias("count"))
-        .withColumn("share", F.col("count") / rows)
+        .agg(F.count("*").alias("count"), F.max(F.size("_gone")).alias("_size"))
+    )
+    # Complete rows are one more pattern, so the patterns add up to the rows of the table.
+    rows = counts.agg(F.sum("count")).scalar()
+    return (
+        counts.filter(F.col("_size") > 0)
+        .select("columns", "count", (F.col("count") / rows).alias("share"))
         .orderBy(F.desc("count"), "columns")
         .limit(k)
     )
