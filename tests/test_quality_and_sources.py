@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from variscope.operators import quality as Q
 from variscope.operators import semantics as M
+from variscope.operators.cohort import CohortSpec
+from variscope.plans.investigation import Investigation
 from variscope.sources import files as R
 from variscope.sources import sinks as K
 from variscope.sources.coerce import coerce_values, coercion_report
@@ -187,3 +189,28 @@ def test_evidence_rows_are_redacted(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(600)], "i int, phone string")
     got = R.evidence_rows(df, ["phone"], ["i"], 9999).collect()
     assert len(got) == 500 and {r["phone"] for r in got} == {"[redacted]"}
+
+
+def test_nested_records_reach_the_investigation(spark, tmp_path):
+    path = tmp_path / "nested.jsonl"
+    rows = [
+        {"who": {"region": "West" if i % 2 else "East", "tier": {"name": "ab"[i % 3 == 0]}}, "money": {"actual": f"${80 + i % 2 * 30 + i % 3}", "target": 100}}
+        for i in range(90)
+    ]
+    path.write_text("\n".join(json.dumps(r) for r in rows))
+    df = R.ingest_table(spark, str(path), "jsonl")
+    assert sorted(df.columns) == ["money.actual", "money.target", "who.region", "who.tier.name"]
+    assert dict(df.dtypes)["money.actual"] == "double"
+    spec = CohortSpec(("who.region", "who.tier.name"), "money.actual", "money.target", predicates=())
+    inv = Investigation(df, spec)
+    assert inv.best_dimensions[0] == "who.region" and inv.scope.first()["valid_row_count"] == 90
+    assert {r["segment"] for r in inv.interactions.collect()} >= {"who.region=East|who.tier.name=a"}
+    assert inv.drill([("who.region", "West")]).scope.first()["row_count"] == 45
+    p = Q.Profiler(df, OPTIONS)
+    roles = {r["column"]: r["analysis_role"] for r in p.profile.collect()}
+    assert roles["who.region"] == "dimension" and roles["money.actual"] == "measure"
+    assert Q.duplicate_rows(df).first()["row_count"] == 90
+    assert Q.missing_patterns(df).count() == 0
+    assert Q.functional_dependencies(df, ["who.region", "who.tier.name"]).count() == 0
+    assert [r["field"] for r in Q.detect_time_fields(df).collect()] == []
+    assert R.content_fingerprint(df).first()["row_count"] == 90

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variscope.functions.values import trimmed
+from variscope.functions.values import cell, quoted, trimmed
 
 # Accepted spellings, first match wins, and the formats tried after them.
 MONTH_PATTERN = r"^(19\d{2}|20\d{2}|21\d{2})[-/](0?[1-9]|1[0-2])$"
@@ -76,7 +76,7 @@ def parse_time_value(df: DataFrame, name: str) -> Column:
     """``struct(ts, precision)`` for one column. ``ts`` is null where the value is no time, and the
     precision only has a meaning where it is not."""
     dtype = df.schema[name].dataType
-    c = F.col(name)
+    c = F.col(quoted(name))
     if isinstance(dtype, T.StringType):
         return _from_text(c)
     if isinstance(dtype, T.NumericType):
@@ -89,11 +89,11 @@ def parse_time_value(df: DataFrame, name: str) -> Column:
 def time_of(df: DataFrame, name: str) -> Column:
     """Only the timestamp. Typed date columns pass straight through, so filters stay pushable."""
     if isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return df[name].cast("timestamp")
+        return cell(df, name).cast("timestamp")
     return parse_time_value(df, name)["ts"]
 
 
 def date_of(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, T.DateType):
-        return df[name]
+        return cell(df, name)
     return time_of(df, name).cast("date")

@@ -18,6 +18,15 @@ NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 POLARITIES = {"higher_is_better": 1, "lower_is_better": -1}
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark must read it: flattened records have dots in their names."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def cell(df: DataFrame, name: str) -> Column:
+    return df[quoted(name)]
+
+
 def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
@@ -25,7 +34,7 @@ def trimmed(c: Column) -> Column:
 def plain_text(df: DataFrame, name: str) -> Column:
     """The text form of a column; whole doubles print as ``1`` and not ``1.0``."""
     dtype = df.schema[name].dataType
-    c = df[name]
+    c = cell(df, name)
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
@@ -38,8 +47,8 @@ def plain_text(df: DataFrame, name: str) -> Column:
 def is_missing(df: DataFrame, name: str) -> Column:
     """True where the cell is null, or blank text."""
     if isinstance(df.schema[name].dataType, T.StringType):
-        return df[name].isNull() | (trimmed(df[name]) == "")
-    return df[name].isNull()
+        return cell(df, name).isNull() | (trimmed(cell(df, name)) == "")
+    return cell(df, name).isNull()
 
 
 def canonical_category(df: DataFrame, name: str) -> Column:
@@ -54,14 +63,14 @@ def category_equals(df: DataFrame, name: str, value: str) -> Column:
         return canonical_category(df, name) == MISSING
     same = trimmed(plain_text(df, name)) == value
     if isinstance(df.schema[name].dataType, T.StringType):
-        return F.contains(df[name], F.lit(value)) & same
+        return F.contains(cell(df, name), F.lit(value)) & same
     return same
 
 
 def finite_number(df: DataFrame, name: str) -> Column:
     """The usable number in a cell, else null. Decimals stay decimal so their sums are exact."""
     dtype = df.schema[name].dataType
-    c = df[name]
+    c = cell(df, name)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         d = c.cast("double")
         return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)

@@ -19,6 +19,7 @@ from variscope.functions.values import (
     finite_number,
     impact_direction,
     multiplier,
+    quoted,
     ratio,
     variance_pct,
 )
@@ -210,8 +211,8 @@ def group_dimension(pop: Population, dimensions: Sequence[str] | None = None) ->
     dims = list(dimensions or spec.open_dimensions)
     n = max(pop.stats["n"], 1)
     groups = (
-        pop.prepared.select("actual", "expected", *dims)
-        .unpivot(["actual", "expected"], dims, "dimension", "value")
+        pop.prepared.select("actual", "expected", *[quoted(d) for d in dims])
+        .unpivot(["actual", "expected"], [quoted(d) for d in dims], "dimension", "value")
         .groupBy("dimension", "value")
         .agg(
             F.count("*").alias("count"),
@@ -402,7 +403,7 @@ def find_interactions(
     ordered = sorted(candidates, key=lambda r: (r["dimension_rank"], r["category_rank"]))
     bits = F.lit(0).cast("bigint")
     for i, c in enumerate(ordered):
-        bits = bits + F.when(F.col(c["dimension"]) == c["value"], 1 << i).otherwise(0)
+        bits = bits + F.when(F.col(quoted(c["dimension"])) == c["value"], 1 << i).otherwise(0)
     masks = (
         pop.prepared.select(bits.alias("mask"), "actual", "expected")
         .groupBy("mask")
@@ -467,8 +468,8 @@ def cohort_compare(pop: Population, dimension: str, first: str, second: str) ->
     spec = pop.spec
     fold = F.avg if spec.aggregation == "average" else F.sum
     both = (
-        pop.valid(pop.rows).filter(F.col(dimension).isin(first, second))
-        .groupBy(F.col(dimension).alias("value"))
+        pop.valid(pop.rows).filter(F.col(quoted(dimension)).isin(first, second))
+        .groupBy(F.col(quoted(dimension)).alias("value"))
         .agg(
             F.count("*").alias("count"),
             fold("actual").cast("double").alias("actual"),

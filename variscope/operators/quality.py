@@ -22,9 +22,11 @@ from variscope.functions.values import (
     BLANKS,
     NUMBER_PATTERN,
     all_of,
+    cell,
     clamp,
     finite_number,
     is_missing,
+    quoted,
     ratio,
 )
 from variscope.session import ensure_checkpoint_dir
@@ -90,7 +92,7 @@ class Profiler:
         keys = ["column", "kind", "text", "number"]
         distinct = (
             typed.filter("source = 'text'").groupBy(*keys).agg(F.sum("count").alias("count"))
-            if text_columns(self.df.select(*self.columns))
+            if set(text_columns(self.df)) & set(self.columns)
             else typed.filter("source = 'text'").select(*keys, "count")
         ).unionByName(typed.filter("source <> 'text'").select(*keys, "count"))
         parsed = F.when(F.col("text").rlike(NUMBER_PATTERN), F.col("text").try_cast("double"))
@@ -482,8 +484,8 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     """Rows that repeat an earlier row; missing cells equal each other. Copies collapse in the
     partial aggregation, so many copies of one row cost one shuffled row per task."""
     names = list(columns or df.columns)
-    keys = [F.when(~is_missing(df, c), df[c]).alias(c) for c in names]
-    counts = df.select(*keys).groupBy(*names).agg(F.count("*").alias("_n"))
+    keys = [F.when(~is_missing(df, c), cell(df, c)).alias(c) for c in names]
+    counts = df.select(*keys).groupBy(*[quoted(c) for c in names]).agg(F.count("*").alias("_n"))
     return counts.agg(
         F.sum("_n").alias("row_count"),
         F.sum(F.col("_n") - 1).alias("duplicate_rows"),
@@ -540,9 +542,9 @@ def correlations(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     names = list(measures)
     numbers = df.select(*[finite_number(df, c).cast("double").alias(c) for c in names])
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    both = lambda a, b: F.col(quoted(a)).isNotNull() & F.col(quoted(b)).isNotNull()
     folded = numbers.agg(
-        *[F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)],
+        *[F.corr(quoted(a), quoted(b)).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)],
         *[F.count_if(both(a, b)).alias(f"_n{i}") for i, (a, b) in enumerate(pairs)],
     )
     rows = F.array(
@@ -576,13 +578,13 @@ def functional_dependencies(df: DataFrame, candidates: Sequence[str]) -> DataFra
     # Second values travel as 64-bit hashes: numbers keep the hash aggregation that min and max of
     # text would lose. The hashes of the at most 60 values of a column are checked to be distinct.
     present = df.select(
-        *[F.when(~is_missing(df, c), df[c].cast("string")).alias(c) for c in names],
-        *[F.when(~is_missing(df, c), F.xxhash64(df[c].cast("string"))).alias(f"_h_{c}") for c in names],
+        *[F.when(~is_missing(df, c), cell(df, c).cast("string")).alias(c) for c in names],
+        *[F.when(~is_missing(df, c), F.xxhash64(cell(df, c).cast("string"))).alias(f"_h_{c}") for c in names],
     )
     hashes = [f"_h_{c}" for c in names]
-    long = present.unpivot(hashes, names, "determinant", "_value").filter(F.col("_value").isNotNull())
+    long = present.unpivot([quoted(h) for h in hashes], [quoted(c) for c in names], "determinant", "_value").filter(F.col("_value").isNotNull())
     groups = long.groupBy("determinant", "_value").agg(
-        *[f(h).alias(f"{p}{h}") for h in hashes for p, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+        *[f(quoted(h)).alias(f"{p}{h}") for h in hashes for p, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
     )
     stacked = groups.select(
         "determinant",
@@ -591,9 +593,9 @@ def functional_dependencies(df: DataFrame, candidates: Sequence[str]) -> DataFra
                 *[
                     F.struct(
                         F.lit(c).alias("dependent"),
-                        F.col(f"n_h_{c}").alias("n"),
-                        F.when(F.col(f"lo_h_{c}") == F.col(f"hi_h_{c}"), F.col(f"n_h_{c}")).otherwise(0).alias("same"),
-                        F.col(f"lo_h_{c}").alias("hash"),
+                        F.col(quoted(f"n_h_{c}")).alias("n"),
+                        F.when(F.col(quoted(f"lo_h_{c}")) == F.col(quoted(f"hi_h_{c}")), F.col(quoted(f"n_h_{c}"))).otherwise(0).alias("same"),
+                        F.col(quoted(f"lo_h_{c}")).alias("hash"),
                     )
                     for c in names
                 ]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variscope.functions.values import NUMBER_PATTERN, plain_text, trimmed
+from variscope.functions.values import NUMBER_PATTERN, cell, plain_text, trimmed
 
 # What counts as a boolean, a code that stays text, a number and a percentage, and
 # the characters removed before a number is read.
@@ -54,7 +54,7 @@ def cell_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cells = []
     for name in columns:
         dtype = df.schema[name].dataType
-        c = df[name]
+        c = cell(df, name)
         numeric = isinstance(dtype, T.NumericType)
         source = (
             "number" if numeric
@@ -117,7 +117,7 @@ def typed_counts(counted: DataFrame) -> DataFrame:
 def coerced(df: DataFrame, name: str) -> Column:
     """``struct(kind, text, number, boolean)`` of one cell; ``kind`` is its runtime type."""
     dtype = df.schema[name].dataType
-    c = df[name]
+    c = cell(df, name)
     if isinstance(dtype, T.StringType):
         return _text_value(c)
     none = F.lit(None)
@@ -146,7 +146,7 @@ def coerce_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     out = []
     for f in df.schema.fields:
         if f.name not in names:
-            out.append(df[f.name])
+            out.append(cell(df, f.name))
             continue
         c = coerced(df, f.name)
         out += [

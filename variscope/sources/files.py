@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variscope.functions.values import BLANKS, all_of, is_missing
+from variscope.functions.values import BLANKS, all_of, cell, is_missing, quoted
 from variscope.operators.semantics import apply_contract
 from variscope.sources.coerce import coerced, text_columns
 
@@ -58,7 +58,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool =
 def csv_errors(df: DataFrame) -> DataFrame:
     """The lines that did not fit the header. The read is not pruned to the error column alone."""
     names = [c for c in df.columns if c != BAD_RECORD]
-    return df.filter(F.col(BAD_RECORD).isNotNull()).select(BAD_RECORD, F.struct(*names).alias("fields"))
+    return df.filter(F.col(BAD_RECORD).isNotNull()).select(BAD_RECORD, F.struct(*[quoted(n) for n in names]).alias("fields"))
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -123,7 +123,7 @@ def typed_table(df: DataFrame, threshold: float = 0.95) -> DataFrame:
         chosen[c] = best if present and best != "string" and n[best] / present >= threshold else "text"
     return df.select(
         *[
-            coerced(df, f.name)[chosen[f.name]].alias(f.name) if f.name in chosen else df[f.name]
+            coerced(df, f.name)[chosen[f.name]].alias(f.name) if f.name in chosen else cell(df, f.name)
             for f in df.schema.fields
         ]
     )
@@ -147,7 +147,7 @@ def ingest_table(spark: SparkSession, path: str, file_format: str) -> DataFrame:
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-free digest of all rows. Hashes are added, not xor-ed, so that copies
     of a row do not cancel out."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)")
+    h = F.xxhash64(*[F.col(quoted(c)) for c in sorted(df.columns)]).cast("decimal(38,0)")
     return df.agg(
         F.count("*").alias("row_count"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest")
     ).withColumn("content_hash", F.sha2(F.concat_ws("|", "row_count", "digest", F.lit(",".join(sorted(df.columns)))), 256))
@@ -156,7 +156,7 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
 def evidence_rows(df: DataFrame, sensitive: list[str], order_by: list[str], limit: int = 100) -> DataFrame:
     """Supporting rows of a cohort, 1 to 500 in a stated order, with sensitive columns redacted."""
     limit = max(1, min(500, limit))
-    shown = [F.lit("[redacted]").alias(c) if c in sensitive else F.col(c) for c in df.columns]
+    shown = [F.lit("[redacted]").alias(c) if c in sensitive else F.col(quoted(c)) for c in df.columns]
     return df.orderBy(*order_by).limit(limit).select(*shown)
 
 
