@@ -33,3 +33,29 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules")
     )
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from variscope.llm.packing import pack, tokenize
+    from variscope.llm.scratch import stored
+
+    pieces = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(stored(digests, "pieces"), ["doc_id", "piece", "ids_crc32"])
+
+
+@query("op4_exact_dedup")
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.exact_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
