@@ -59,3 +59,35 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variscope.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
+@query("op5_source_mixing")
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.mixing import mix, sized
+
+    segments = mix(sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+    taken = segments.groupBy("sid", "place", "id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).cast("long").alias("taken"))
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+RULES_SQL = """SELECT * FROM VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS rules(host, path, verdict)"""
+
+
+@query("op6_url_filters")
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.urls import judge_urls
+
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), spark.sql(RULES_SQL))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.sharding import shards
+
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    return shards(rows, ["doc_id", "text_crc32", "size"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
