@@ -91,3 +91,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(rows, ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.extraction import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
