@@ -98,3 +98,19 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variscope.llm.extraction import extract
 
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.licences import scan
+
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    return scan(docs.select("doc_id", path.alias("path"), "text")).drop("text")
+
+
+@query("op10_chat_formatting")
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.chat import conversations
+
+    return conversations(table(spark, sf_dir, "conversations"))
