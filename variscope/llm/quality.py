@@ -96,6 +96,7 @@ def repeated_word_count(words: Column, bits: Column) -> Column:
 
     def candidates(hashes: Column) -> Column:
         return bind(F.sort_array(F.transform(hashes, packed)), lambda s: recurring(s, lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), bits) == 0))
+
     def counted(hashes: Column) -> Column:
         return bind(candidates(hashes), lambda c: F.when(F.size(c) == 0, F.lit(0)).otherwise(exact(c)))
 
@@ -113,10 +114,9 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     # Words, then the numbers that need them; each array is made once for each row.
     one = docs.withColumn("_q_words", words_of(F.col(text))).withColumn("_q_lines", lines).withColumn("_q_bits", place_bits(F.col("_q_words")))
-    n = F.size("_q_words").cast("long")
-    return one.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        n.alias("_q_n_words"),
+    # A generator of one row keeps filters on the verdict from repeating this work below it.
+    counts = F.struct(
+        F.size("_q_words").cast("long").alias("_q_n_words"),
         F.length(F.array_join("_q_words", "")).cast("long").alias("_q_word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, f"[{SYMBOLS}]", ""))).cast("long").alias("_q_n_symbols"),
         F.size("_q_lines").cast("long").alias("_q_n_lines"),
@@ -124,6 +124,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         repeated_word_count(F.col("_q_words"), F.col("_q_bits")).alias("_q_n_repeat_words"),
         F.size(F.filter("_q_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("_q_n_stop_words"),
     )
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(counts)))
 
 
 def measures() -> dict[str, Column]:
