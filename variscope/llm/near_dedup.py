@@ -8,6 +8,10 @@ Equal groups of several trees are compared once. Two sets of similarity ``s`` sh
 probability ``s``, so at 0.8 a tree misses a pair with at most 0.2 at the root and ``0.2 ** BRANCHES`` at
 every further level, and ten trees miss less than one pair in 10,000 even at the fourth level.
 
+The first tree runs alone and its links are closed to components. In the other trees a node whose sets are
+all of one component has nothing left to find and is dropped, and compared sets of one component count as
+linked, so a large group of similar texts gives few links.
+
 Texts with equal sets are one vertex from the start, so copies cost a row each and no comparison. Links are
 exact: only the search for candidates is randomised, and its numbers are fixed, so reruns agree.
 """
@@ -150,15 +154,18 @@ def _token(place: Column) -> Column:
     return F.substr(F.col("tokens"), place * 4 + 1, F.lit(4))
 
 
-def paths(sets: DataFrame, trees: int = TREES, branches: int = BRANCHES, depth: int = DEPTH, node_sets: int = NODE_SETS, tokens: int = TOKENS) -> DataFrame:
-    """``node``, ``vertex`` for all nodes of two sets or more that are small enough to compare, blocks included."""
-    roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, _token(t % tokens)))
-    frontier = sets.select("vertex", F.explode(roots).alias("node"))
+def paths(sets: DataFrame, trees: range, branches: int = BRANCHES, depth: int = DEPTH, node_sets: int = NODE_SETS, tokens: int = TOKENS) -> DataFrame:
+    """``node``, ``vertex``, ``label`` for all nodes that are small enough to compare, blocks included.
+
+    Nodes hold sets of two labels at least: those of one label are linked already.
+    """
+    roots = F.transform(F.array(*[F.lit(t) for t in trees]), lambda t: F.xxhash64(t, _token(t % tokens)))
+    frontier = sets.select("vertex", "label", F.explode(roots).alias("node"))
     small = []
     for level in range(depth + 1):
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        counted = stored(frontier.join(sizes, "node").select("node", "vertex", "n"), "nodes")
-        small.append(counted.filter(F.col("n") <= node_sets).select("node", "vertex"))
+        sizes = frontier.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high")
+        counted = stored(frontier.join(sizes.select("node", "n"), "node").select("node", "vertex", "label", "n"), "nodes")
+        small.append(counted.filter(F.col("n") <= node_sets).select("node", "vertex", "label"))
         large = counted.filter(F.col("n") > node_sets)
         if large.isEmpty():
             break
@@ -166,13 +173,13 @@ def paths(sets: DataFrame, trees: int = TREES, branches: int = BRANCHES, depth:
             # Block by block: each set meets every block of its node, two blocks at a time.
             blocks = F.ceil(F.col("n") * 2 / node_sets).cast("int")
             own = large.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("vertex"), F.col("_blocks")).cast("int"))
-            other = own.select("node", "vertex", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-            small.append(other.select(F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("node"), "vertex"))
+            other = own.select("node", "vertex", "label", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+            small.append(other.select(F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("node"), "vertex", "label"))
         else:
             picks = F.transform(F.sequence(F.lit(0), F.lit(branches - 1)), lambda b: F.pmod(F.xxhash64(F.col("node"), b), F.lit(tokens)).cast("int"))
             child = F.transform(picks, lambda p: F.xxhash64(F.col("node"), p, _token(p)))
             # Picks may agree; a node's children are told apart by place and value, so equal ones are one.
-            frontier = large.join(sets.select("vertex", "tokens"), "vertex").select("vertex", F.explode(F.array_distinct(child)).alias("node"))
+            frontier = large.join(sets.select("vertex", "tokens"), "vertex").select("vertex", "label", F.explode(F.array_distinct(child)).alias("node"))
     out = small[0]
     for x in small[1:]:
         out = out.unionByName(x)
@@ -248,7 +255,7 @@ def likely_groups(nodes: DataFrame, sets: DataFrame, least_equal: int, tokens: i
 
 
 def links(teams: DataFrame, sets: DataFrame, percent: int, kind: T.DataType) -> DataFrame:
-    """``a``, ``b``: links confirmed on full sets, as many as it takes to connect what is linked in a team."""
+    """``a``, ``b``: labels linked by pairs confirmed on full sets, as many as it takes to connect what is linked in a team."""
     import pyarrow as pa
 
     def run(batches):
@@ -265,14 +272,18 @@ def links(teams: DataFrame, sets: DataFrame, percent: int, kind: T.DataType) ->
             yield first
             yield from batches
 
-        for _, (keys, found) in grouped(all_batches(), 3):
-            n = len(keys)
+        for _, (labels, found) in grouped(all_batches(), 3):
+            n = len(labels)
+            if len(set(labels)) == 1:
+                continue
             arrays = [np.frombuffer(x, np.uint64) for x in found]
             sizes = np.array([len(x) for x in arrays])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             values, inverse = np.unique(np.concatenate(arrays), return_inverse=True)
             mark = np.zeros(len(values), bool)
-            forest = Forest(n)
+            forest, known = Forest(n), {}
+            for i, label in enumerate(labels):
+                forest.join(known.setdefault(label, i), i)
             for i in range(n - 1):
                 mine = inverse[starts[i] : starts[i] + sizes[i]]
                 mark[mine] = True
@@ -281,14 +292,14 @@ def links(teams: DataFrame, sets: DataFrame, percent: int, kind: T.DataType) ->
                 mark[mine] = False
                 for j in np.flatnonzero(100 * common >= percent * (sizes[i] + sizes[i + 1 :] - common)):
                     if forest.join(i, i + 1 + int(j)):
-                        left.append(keys[i])
-                        right.append(keys[i + 1 + int(j)])
+                        left.append(labels[i])
+                        right.append(labels[i + 1 + int(j)])
             if len(left) >= 8192:
                 yield pa.RecordBatch.from_arrays([pa.array(left, key_type), pa.array(right, key_type)], ["a", "b"])
                 left, right = [], []
         yield pa.RecordBatch.from_arrays([pa.array(left, key_type), pa.array(right, key_type)], ["a", "b"])
 
-    rows = teams.join(sets, "vertex").select("team", "key", "found")
+    rows = teams.join(sets, "vertex").select("team", "label", "found")
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     return rows.repartition("team").sortWithinPartitions("team").mapInArrow(run, schema)
 
@@ -318,14 +329,20 @@ def near_duplicates(
     # One document stands for all with an equal set.
     classes = stored(usable.groupBy("vertex").agg(F.min("key").alias("rep")), "classes")
     chosen = usable.join(classes.select(F.col("vertex").alias("_v"), F.col("rep").alias("_rep")), (F.col("vertex") == F.col("_v")) & (F.col("key") == F.col("_rep")), "left_semi")
-    sets = stored(chosen.select("vertex", "key", "tokens").dropDuplicates(["vertex"]), "sets")
-    least_equal = int(TOKENS * max(0.0, percent / 100 - MARGIN))
-    teams = stored(likely_groups(paths(sets, trees, depth=depth, node_sets=node_sets), sets, max(1, least_equal)), "teams")
-    wanted = stored(sets.join(teams, "vertex", "left_semi").select("key").distinct(), "wanted")
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
-    found = links(teams, full_sets(texts, "key", "text", width), percent, kind)
-    labels = components(found)
-    members = rows.select("key", "n_shingles", "vertex").join(classes, "vertex", "left")
-    out = members.join(labels.select(F.col("vertex").alias("_rep"), "component"), F.col("rep") == F.col("_rep"), "left")
-    component = F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "key"))
-    return out.select(F.col("key").alias(key), "n_shingles", component.cast(kind).alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    sets = stored(chosen.select("vertex", "key", "tokens").dropDuplicates(["vertex"]).withColumn("label", F.col("key")), "sets")
+    least_equal = max(1, int(TOKENS * max(0.0, percent / 100 - MARGIN)))
+    numbers = range(trees)
+    for some in [x for x in (numbers[:1], numbers[1:]) if x]:
+        teams = stored(likely_groups(paths(sets, some, depth=depth, node_sets=node_sets), sets, least_equal), "teams")
+        wanted = stored(sets.join(teams, "vertex", "left_semi").select("key").distinct(), "wanted")
+        texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
+        named = teams.join(sets.select("vertex", "label"), "vertex")
+        closed = components(links(named, full_sets(texts, "key", "text", width), percent, kind))
+        closed = closed.select(F.col("vertex").alias("_from"), F.col("component").alias("_to"))
+        sets = sets.join(closed, F.col("label") == F.col("_from"), "left").select("vertex", "key", "tokens", F.coalesce("_to", "label").alias("label"))
+        if some[-1] < trees - 1:
+            sets = stored(sets, "sets")
+    labels = sets.select(F.col("vertex").alias("_v"), "label")
+    members = rows.select("key", "n_shingles", "vertex").join(labels, F.col("vertex") == F.col("_v"), "left")
+    component = F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("label", "key"))
+    return members.select(F.col("key").alias(key), "n_shingles", component.cast(kind).alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
