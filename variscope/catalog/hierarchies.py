@@ -20,8 +20,8 @@ EDGES = f"""{GAPS}, l AS (SELECT {CLEAN} FROM gaps), edges AS (
 
 @query(
     "hierarchy_path",
-    f"""WITH {GAPS}, l AS (SELECT {CLEAN} FROM gaps), p AS (SELECT CASE WHEN region IS NULL THEN [] WHEN nation IS NULL THEN ['region=' || region] WHEN priority IS NULL THEN ['region=' || region, 'nation=' || nation]
-      WHEN brand IS NULL THEN ['region=' || region, 'nation=' || nation, 'priority=' || priority] ELSE ['region=' || region, 'nation=' || nation, 'priority=' || priority, 'brand=' || brand] END AS a FROM l)
+    f"""WITH {GAPS}, l AS (SELECT {CLEAN} FROM gaps), p AS (SELECT CASE WHEN region IS NULL THEN [] WHEN nation IS NULL THEN ['region=' || url_encode(region)] WHEN priority IS NULL THEN ['region=' || url_encode(region), 'nation=' || url_encode(nation)]
+      WHEN brand IS NULL THEN ['region=' || url_encode(region), 'nation=' || url_encode(nation), 'priority=' || url_encode(priority)] ELSE ['region=' || url_encode(region), 'nation=' || url_encode(nation), 'priority=' || url_encode(priority), 'brand=' || url_encode(brand)] END AS a FROM l)
     SELECT CASE WHEN len(a) = 0 THEN 'root' ELSE array_to_string(a, '&') END AS path, cast(len(a) AS INTEGER) AS depth, count(*) AS rows FROM p GROUP BY ALL""",
 )
 def hierarchy_path(spark, sf):

@@ -77,16 +77,16 @@ def dedupe_keep_first(spark, sf):
 
 @query(
     "union_all",
-    """WITH a AS (SELECT doc_id AS row_idx, 'http://' || source || '/' || lang AS url, CASE WHEN lang = 'en' THEN 'active' ELSE 'passive' END AS angle FROM documents)
-    SELECT row_idx, url, angle FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY row_idx) = 1) ORDER BY row_idx LIMIT 40""",
+    """WITH a AS (SELECT doc_id // 2 AS row_idx, 'http://' || source || '/' || CASE WHEN doc_id % 7 = 0 THEN lang ELSE '' END AS url, CASE WHEN doc_id % 2 = 1 THEN 'active' ELSE 'passive' END AS angle FROM documents)
+    SELECT row_idx, url, angle FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY angle, row_idx) = 1) ORDER BY angle, row_idx LIMIT 40""",
 )
 def union_all(spark, sf):
     d = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("row_idx"), F.lit("").alias("title"),
-        F.concat(F.lit("http://"), "source", F.lit("/"), "lang").alias("url"),
-        F.when(F.col("lang") == "en", "active").otherwise("passive").alias("angle"),
+        F.expr("doc_id div 2").alias("row_idx"), F.lit("").alias("title"),  # numbered apart in each search
+        F.concat(F.lit("http://"), "source", F.lit("/"), F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise("")).alias("url"),
+        F.when(F.col("doc_id") % 2 == 1, "active").otherwise("passive").alias("angle"),
     )
-    return T.union_all(d.filter("angle = 'active'"), d.filter("angle = 'passive'")).select("row_idx", "url", "angle")
+    return T.union_all(d.filter("angle = 'active'"), d.filter("angle = 'passive'"), T.MAX_ARTICLES).select("row_idx", "url", "angle")
 
 
 @query(

@@ -18,11 +18,11 @@ GRAM = 3
 
 
 def normalize_date(raw: Column) -> Column:
-    """``YYYYMMDDhhmmss`` to a day, other texts to their first 19 characters."""
+    """``YYYYMMDDhhmmss`` to a day, other texts with a space for the T; a zone at the end is kept, but for Z."""
     compact = F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2))
     return (
         F.when(raw.rlike(r"^\d{14}$"), compact)
-        .when(raw.isNotNull(), F.replace(F.substring(raw, 1, 19), F.lit("T"), F.lit(" ")))
+        .when(raw.isNotNull(), F.regexp_replace(F.regexp_replace(raw, r"^(\d{4}-\d{2}-\d{2})T", "$1 "), r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})(\.\d+)?Z$", "$1"))
         .otherwise("")
     )
 
@@ -86,9 +86,16 @@ def dedupe_keep_first(articles: DataFrame, row_idx: str = "row_idx") -> DataFram
     return articles.join(first.select(row_idx), row_idx, "left_semi")
 
 
-def union_all(active: DataFrame, passive: DataFrame, cap: int = MAX_ARTICLES) -> DataFrame:
-    """Both searches, without repeats, the first ``cap`` in row order (a report of fixed length)."""
-    return dedupe_keep_first(active.unionByName(passive)).orderBy("row_idx").limit(cap)
+def union_all(active: DataFrame, passive: DataFrame, cap: int | None = None) -> DataFrame:
+    """Both searches without repeats: the active rows first, each search in row order.
+
+    Row numbers are unique within a search, not across both. ``cap`` limits a report to its first rows.
+    """
+    both = active.withColumn("_search", F.lit(0)).unionByName(passive.withColumn("_search", F.lit(1)))
+    key = F.coalesce(F.nullif("url", F.lit("")), F.lower("title"))
+    first = both.groupBy(key.alias("_key")).agg(F.min(F.struct("_search", "row_idx")).alias("_first")).select("_first.*")
+    ordered = both.join(first, ["_search", "row_idx"], "left_semi").orderBy("_search", "row_idx").drop("_search")
+    return ordered if cap is None else ordered.limit(cap)
 
 
 def article_summary(articles: DataFrame) -> DataFrame:

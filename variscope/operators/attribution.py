@@ -56,9 +56,11 @@ class Population:
             self.names = ("actual", "expected" if spec.expected else None)
 
     def holds(self, child: CohortSpec) -> bool:
-        """Whether a child cohort lies within these rows: predicates were only added. A period-end
-        cohort has its own latest date, so it always starts from the source."""
-        return self.spec.aggregation != "period_end" and set(self.spec.predicates) <= set(child.predicates)
+        """Whether a child cohort lies within these rows: predicates were only added, on dimensions the
+        rows still carry. A period-end cohort has its own latest date and starts from the source."""
+        added = {d for d, _ in set(child.predicates) - set(self.spec.predicates)}
+        only_added = set(self.spec.predicates) <= set(child.predicates)
+        return self.spec.aggregation != "period_end" and only_added and added <= set(self.spec.open_dimensions)
 
     @cached_property
     def period_end(self):

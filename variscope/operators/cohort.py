@@ -122,9 +122,9 @@ def hierarchy_path_filter(df: DataFrame, path: Sequence[Predicate], levels: Sequ
 
 
 def search_preview(df: DataFrame, query: str, order_by: Sequence[str], columns: int = 14, rows: int = 100) -> DataFrame:
-    """First ``rows`` rows, in a stated order, with the query text in any of the first columns."""
+    """First ``rows`` rows, in a stated order, with the query text in any column; the first ``columns`` are shown."""
     shown = df.columns[:columns]
-    text = F.concat_ws("\x1f", *[plain_text(df, c) for c in shown])
+    text = F.concat_ws("\x1f", *[plain_text(df, c) for c in df.columns])
     return (
         df.filter(F.lower(text).contains(query.strip().lower()))
         .select(*shown)

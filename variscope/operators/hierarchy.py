@@ -13,7 +13,6 @@ from variscope.session import ensure_checkpoint_dir
 
 # Texts that mean "no value", and the column names each role may have, best first.
 MISSING_TOKENS = ("", "(missing)", "(null)", "null", "undefined")
-MAX_LEVELS = 10
 COLUMN_ALIASES = {
     "node_id": ("node_id", "nodeid", "node_key", "member_id", "hierarchy_node_id"),
     "parent_id": ("parent_node_id", "parentnodeid", "parent_id", "parent_key", "hierarchy_parent_id"),
@@ -30,8 +29,16 @@ def hierarchy_value(c: Column) -> Column:
 
 
 def valid_levels(levels: Sequence[str], columns: Sequence[str]) -> list[str]:
-    """Distinct, available levels, at most ten."""
-    return [c for c in dict.fromkeys(x.strip() for x in levels[:MAX_LEVELS]) if c in columns]
+    """Distinct, available levels."""
+    return [c for c in dict.fromkeys(x.strip() for x in levels) if c in columns]
+
+
+def encoded(c: Column) -> Column:
+    """A part of a path with everything escaped but letters, digits and ``-_.!~*'()``."""
+    out = F.url_encode(c)
+    for a, b in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
 
 def level_paths(df: DataFrame, levels: Sequence[str]) -> DataFrame:
@@ -44,10 +51,10 @@ def level_paths(df: DataFrame, levels: Sequence[str]) -> DataFrame:
 
 
 def hierarchy_path(df: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """Leading levels up to the first gap, as ``field=value`` text, with depth and rows."""
+    """Leading levels up to the first gap, as escaped ``field=value`` text, with depth and rows."""
     levels = valid_levels(levels, df.columns)
     steps = [
-        F.when(all_of(F.col(x).isNotNull() for x in levels[: i + 1]), F.concat(F.lit(f"{c}="), F.col(c)))
+        F.when(all_of(F.col(x).isNotNull() for x in levels[: i + 1]), F.concat(encoded(F.lit(c)), F.lit("="), encoded(F.col(c))))
         for i, c in enumerate(levels)
     ]
     path = F.filter(F.array(*steps), lambda x: x.isNotNull())
@@ -106,7 +113,9 @@ def resolve_columns(columns: Sequence[str]) -> dict[str, str]:
 
 
 def _number(c: Column) -> Column:
-    return F.regexp_replace(c.cast("string"), r"[$,%\s]", "").try_cast("double")
+    """A finite number without currency, percent and thousands signs, else null."""
+    found = F.regexp_replace(c.cast("string"), r"[$,%\s]", "").try_cast("double")
+    return F.when(F.abs(found) < float("inf"), found)
 
 
 def hierarchy_normalize(df: DataFrame, row_idx: str) -> DataFrame:
@@ -129,8 +138,8 @@ def hierarchy_normalize(df: DataFrame, row_idx: str) -> DataFrame:
     first = F.min_by(F.struct("_parent", "_label", "_level"), "_idx").alias("_first")
     folded = rows.groupBy("node_id").agg(
         first,
-        F.sum(F.coalesce("_actual", F.lit(0.0)).cast("decimal(28,4)")).cast("double").alias("actual"),
-        F.sum(F.col("_plan").cast("decimal(28,4)")).cast("double").alias("plan"),
+        F.sum(F.coalesce("_actual", F.lit(0.0))).alias("actual"),
+        F.sum("_plan").alias("plan"),
         F.count("*").alias("row_count"),
     )
     return folded.select(

@@ -37,8 +37,8 @@ MISSING_WARNING, MISSING_CRITICAL = 0.05, 0.4
 DUPLICATE_WARNING, DUPLICATE_CRITICAL = 0.005, 0.1
 OUTLIER_WARNING = 0.02
 TOP_VALUES, TOP_PATTERNS, PATTERN_COLUMNS, TOP_PAIRS = 10, 12, 8, 20
-CORRELATION_MINIMUM, CORRELATION_ROWS, CORRELATION_MEASURES = 0.8, 20, 14
-DEPENDENCY_MINIMUM, DEPENDENCY_ROWS, DEPENDENCY_VALUES, DEPENDENCY_COLUMNS = 0.98, 30, 60, 20
+CORRELATION_MINIMUM, CORRELATION_ROWS = 0.8, 20
+DEPENDENCY_MINIMUM, DEPENDENCY_ROWS, DEPENDENCY_VALUES = 0.98, 30, 60
 # Name and value patterns.
 IDENTIFIER_NAME = (
     r"(?i)(^id$|(^|_)(id|identifier|record.?id|transaction.?id|customer.?id|account.?id)($|_)|Id$)"
@@ -515,7 +515,8 @@ def missing_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_PATTERNS) -> DataFrame:
-    """The most frequent sets of columns that are missing together."""
+    """The most frequent sets of columns that are missing together. Sets are told apart by all their
+    columns; only the printed label stops after the first."""
     names = sorted(columns or df.columns)
     gone = F.filter(F.array(*[F.when(is_missing(df, c), F.lit(c)) for c in names]), lambda x: x.isNotNull())
     label = F.concat(
@@ -524,21 +525,22 @@ def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None, k: int
     )
     counts = (
         df.select(gone.alias("_gone"))
-        .groupBy(label.alias("columns"))
-        .agg(F.count("*").alias("count"), F.max(F.size("_gone")).alias("_size"))
+        .groupBy("_gone")
+        .agg(F.count("*").alias("count"))
+        .select("_gone", label.alias("columns"), "count", F.size("_gone").alias("_size"))
     )
     # Complete rows are one more pattern, so the patterns add up to the rows of the table.
     rows = counts.agg(F.sum("count")).scalar()
     return (
         counts.filter(F.col("_size") > 0)
-        .select("columns", "count", (F.col("count") / rows).alias("share"))
-        .orderBy(F.desc("count"), "columns")
+        .orderBy(F.desc("count"), "columns", "_gone")
         .limit(k)
+        .select("columns", "count", (F.col("count") / rows).alias("share"))
     )
 
 
-def correlations(df: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Strong pairwise correlations of the measures, all pairs in one aggregation."""
+def correlations(df: DataFrame, measures: Sequence[str], k: int | None = TOP_PAIRS) -> DataFrame:
+    """Strong pairwise correlations of the measures, all pairs in one aggregation; ``k`` limits the report."""
     names = list(measures)
     numbers = df.select(*[finite_number(df, c).cast("double").alias(c) for c in names])
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
@@ -563,11 +565,11 @@ def correlations(df: DataFrame, measures: Sequence[str]) -> DataFrame:
         folded.select(F.inline(rows))
         .filter(strong & ~F.isnan("correlation"))
         .orderBy(F.abs("correlation").desc(), "left", "right")
-        .limit(TOP_PAIRS)
+        .limit(2**31 - 1 if k is None else k)
     )
 
 
-def functional_dependencies(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
+def functional_dependencies(df: DataFrame, candidates: Sequence[str], k: int | None = TOP_PAIRS) -> DataFrame:
     """Column pairs where the first value fixes the second for at least 98 % of the rows.
 
     A group of the first column is single-valued when its smallest and largest second value agree,
@@ -627,7 +629,7 @@ def functional_dependencies(df: DataFrame, candidates: Sequence[str]) -> DataFra
         .filter(F.col("confidence") >= DEPENDENCY_MINIMUM)
         .select("determinant", "dependent", "confidence", "rows")
         .orderBy(F.desc("confidence"), F.desc("rows"), "determinant", "dependent")
-        .limit(TOP_PAIRS)
+        .limit(2**31 - 1 if k is None else k)
     )
 
 

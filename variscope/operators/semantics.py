@@ -225,15 +225,22 @@ def validate_contract(df: DataFrame) -> DataFrame:
     return sums.select(F.inline(F.filter(listed, lambda x: x.isNotNull())))
 
 
-def apply_contract(df: DataFrame) -> DataFrame:
-    """Normalise a table that follows the contract; raise on contract errors, pass others through."""
+def apply_contract(df: DataFrame, row_idx: str | None = None) -> DataFrame:
+    """Normalise a table that follows the contract; raise on contract errors, pass others through.
+
+    The metadata of a long table is that of the last row by ``row_idx``, or in the order of the files.
+    """
     mode = contract_mode(df.columns)
     if mode == "unrecognized":
         return df
     errors = validate_contract(df).filter("level = 'error'").collect()  # six rules at most
     if errors:
         raise ValueError("data contract: " + "; ".join(f"{e['code']} ({e['detail']})" for e in errors))
-    return normalize_wide(df) if mode == "wide" else normalize_long(df)
+    if mode == "wide":
+        return normalize_wide(df)
+    if row_idx is None:
+        row_idx, df = "_row_idx", df.withColumn("_row_idx", F.monotonically_increasing_id())
+    return normalize_long(df, row_idx)
 
 
 def first_values(df: DataFrame, fields: Sequence[str], row_idx: str, key: str = "metric_id") -> DataFrame:

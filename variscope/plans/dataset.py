@@ -74,14 +74,16 @@ class Dataset:
     def scores(self) -> DataFrame:
         return Q.quality_dimensions(self.profiler)
 
-    def correlations(self) -> DataFrame | None:
-        names = self.measures[: Q.CORRELATION_MEASURES]
-        return Q.correlations(self.df, names) if len(names) > 1 else None
+    def correlations(self, measures: Sequence[str] | None = None, k: int | None = None) -> DataFrame | None:
+        """Strong correlations of the given measures, or of all; ``k`` limits the report."""
+        names = self.measures if measures is None else list(measures)
+        return Q.correlations(self.df, names, k) if len(names) > 1 else None
 
-    def dependencies(self) -> DataFrame | None:
+    def dependencies(self, columns: Sequence[str] | None = None, k: int | None = None) -> DataFrame | None:
+        """Dependencies among the given columns, or among all dimensions of few values."""
         few = [c["column"] for c in self._with_role("dimension") if c["distinct_count"] <= Q.DEPENDENCY_VALUES]
-        few = few[: Q.DEPENDENCY_COLUMNS]
-        return Q.functional_dependencies(self.df, few) if len(few) > 1 else None
+        few = few if columns is None else list(columns)
+        return Q.functional_dependencies(self.df, few, k) if len(few) > 1 else None
 
     def missing_patterns(self) -> DataFrame:
         return Q.missing_patterns(self.df, self.profiler.columns)

@@ -94,7 +94,7 @@ def typed_counts(counted: DataFrame) -> DataFrame:
     steps = steps.withColumn("_read", F.when(F.abs(read) < float("inf"), read))
     signed = F.when(t.startswith("(") & t.endswith(")"), -F.abs("_read")).otherwise(F.col("_read"))
     number = F.coalesce("number", F.when(F.col("_percent"), signed / 100).otherwise(signed))
-    steps = steps.withColumn("number", F.when(~F.isnan(number), number))
+    steps = steps.withColumn("number", F.when(F.abs(number) < float("inf"), number))
     text_kind = (
         F.when(F.coalesce(t, F.lit("")) == "", "missing")
         .when(t.rlike(BOOLEAN_PATTERN), "boolean")

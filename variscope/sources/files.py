@@ -40,6 +40,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool =
     """
     names = csv_header(spark, path, sep)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_RECORD]])
+    for file in spark.read.text(path).inputFiles()[1:]:  # one line of each further file
+        other = csv_header(spark, file, sep)
+        if other != names:
+            raise ValueError(f"{file} has the header {other}, the first file has {names}")
     raw = (
         spark.read.schema(schema)
         .option("header", True)
@@ -69,6 +73,9 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """
     if lines:
         schema = spark.read.json(path).schema
+        if BAD_RECORD in schema.names:
+            broken = spark.read.text(path).filter((F.btrim("value", F.lit(BLANKS)) != "") & F.json_object_keys("value").isNull()).limit(3).collect()
+            raise ValueError("malformed lines: " + "; ".join(r["value"] for r in broken))
         text = spark.read.text(path).filter(F.btrim("value", F.lit(BLANKS)) != "")
         return text.select(
             F.from_json("value", schema).alias("r"), F.size(F.json_object_keys("value")).alias(PRESENT)
@@ -104,7 +111,10 @@ def flatten_records(df: DataFrame, depth: int = FLATTEN_DEPTH) -> DataFrame:
 
 def typed_table(df: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Text columns whose present cells are numbers (or booleans) to at least ``threshold`` take that
-    type; the others keep clean text. One pass counts the kinds of all columns."""
+    type; the others keep clean text. One pass counts the kinds of all columns.
+
+    No cell is lost: a typed column that also holds other cells gets a companion ``<name>_text`` with
+    the text of those cells, which is null for the rest."""
     names = text_columns(df)
     if not names:
         return df
@@ -115,20 +125,35 @@ def typed_table(df: DataFrame, threshold: float = 0.95) -> DataFrame:
             for k in ("number", "boolean", "string")
         ]
     ).first()
-    chosen = {}
+    chosen, mixed = {}, []
     for i, c in enumerate(names):
         n = {k: kinds[f"{i}_{k}"] for k in ("number", "boolean", "string")}
         present = sum(n.values())
         best = max(n, key=n.get)
         chosen[c] = best if present and best != "string" and n[best] / present >= threshold else "text"
+        if chosen[c] != "text" and n[best] < present:
+            mixed.append(c)
+    clash = [f"{c}_text" for c in mixed if f"{c}_text" in df.columns]
+    if clash:
+        raise ValueError(f"columns of rejected cells would repeat {clash}")
     return df.select(
         *[
             coerced(df, f.name)[chosen[f.name]].alias(f.name) if f.name in chosen else cell(df, f.name)
             for f in df.schema.fields
-        ]
+        ],
+        *[F.when(coerced(df, c)["kind"].isin("number", "boolean", "string") & (coerced(df, c)["kind"] != chosen[c]), coerced(df, c)["text"]).alias(f"{c}_text") for c in mixed],
     )
 
 
+def rejected_cells(df: DataFrame) -> DataFrame:
+    """``column``, ``rejected``: how many cells of each typed column are kept as text beside it."""
+    names = [c for c in df.columns if c.endswith("_text") and c.removesuffix("_text") in df.columns]
+    counts = df.agg(*[F.count(quoted(c)).alias(c) for c in names]) if names else None
+    if counts is None:
+        return df.sparkSession.createDataFrame([], "column string, rejected bigint")
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c.removesuffix("_text")).alias("column"), F.col(quoted(c)).alias("rejected")) for c in names])))
+
+
 def ingest_table(spark: SparkSession, path: str, file_format: str) -> DataFrame:
     """Read, flatten, type and apply the data contract. Broken lines and contract errors raise."""
     if file_format == "csv":
@@ -155,7 +180,8 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
 
 def evidence_rows(df: DataFrame, sensitive: list[str], order_by: list[str], limit: int = 100) -> DataFrame:
     """Supporting rows of a cohort, 1 to 500 in a stated order, with sensitive columns redacted."""
-    limit = max(1, min(500, limit))
+    if not 1 <= limit <= 500:
+        raise ValueError("evidence is limited to 1 to 500 rows")
     shown = [F.lit("[redacted]").alias(c) if c in sensitive else F.col(quoted(c)) for c in df.columns]
     return df.orderBy(*order_by).limit(limit).select(*shown)
 
