@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from variscope.catalog.registry import DIMS_SQL, FACT, GAPS, canon, day, investigation, query, r
@@ -15,6 +17,9 @@ from variscope.sources.warehouse import DIMENSIONS, fact, fact_with_gaps
 SPEC = CohortSpec(tuple(DIMENSIONS), "actual", "target")
 COST = CohortSpec(tuple(DIMENSIONS), "actual", "target", polarity="lower_is_better", aggregation="average")
 
+# Totals need no dimension, so their rows come without the joins behind the dimensions.
+MEASURES = ["actual", "target"]
+
 TOTALS = [
     "row_count", "valid_row_count", "excluded_measure_rows", "attribution_reconciles",
     "baseline_method", "attribution_basis", "impact_direction",
@@ -51,7 +56,7 @@ SELECT row_count, valid_row_count, row_count - valid_row_count AS excluded_measu
 
 @query("scope_totals", f"WITH {GAPS}, " + totals_sql("gaps"))
 def scope_totals(spark, sf):
-    return _totals(Investigation(fact_with_gaps(spark, sf), SPEC).scope)
+    return _totals(Investigation(fact_with_gaps(spark, sf, MEASURES), replace(SPEC, dimensions=())).scope)
 
 
 @query(
@@ -62,11 +67,11 @@ def scope_totals(spark, sf):
 )
 def scope_totals_average(spark, sf):
     spec = CohortSpec(
-        tuple(DIMENSIONS), "actual", "target",
+        ("region", "priority"), "actual", "target",
         predicates=(("region", "ASIA"), ("priority", "(missing)")),
         polarity="lower_is_better", aggregation="average",
     )
-    return _totals(Investigation(fact_with_gaps(spark, sf), spec).scope, 8)
+    return _totals(Investigation(fact_with_gaps(spark, sf, [*MEASURES, "region", "priority"]), spec).scope, 8)
 
 
 @query(
@@ -76,8 +81,8 @@ def scope_totals_average(spark, sf):
                  date="(SELECT cast(max(period_date) AS VARCHAR) FROM fact)"),
 )
 def scope_totals_period_end(spark, sf):
-    spec = CohortSpec(tuple(DIMENSIONS), "actual", "target", aggregation="period_end", time_field="period_date")
-    return _totals(Investigation(fact(spark, sf), spec).scope)
+    spec = CohortSpec((), "actual", "target", aggregation="period_end", time_field="period_date")
+    return _totals(Investigation(fact(spark, sf, [*MEASURES, "period_date"]), spec).scope)
 
 
 @query(
@@ -86,7 +91,7 @@ def scope_totals_period_end(spark, sf):
     + totals_sql("src", expected="b", method="robust-median", digits=6),
 )
 def median_baseline(spark, sf):
-    return _totals(Investigation(fact_with_gaps(spark, sf), CohortSpec(tuple(DIMENSIONS), "actual")).scope, 6)
+    return _totals(Investigation(fact_with_gaps(spark, sf, ["actual"]), CohortSpec((), "actual")).scope, 6)
 
 
 @query(
@@ -95,7 +100,7 @@ def median_baseline(spark, sf):
     FROM (SELECT count(*) AS n, count(actual) AS v FROM gaps) WHERE v < n""",
 )
 def scope_warnings(spark, sf):
-    inv = Investigation(fact_with_gaps(spark, sf), COST)
+    inv = Investigation(fact_with_gaps(spark, sf, MEASURES), replace(COST, dimensions=()))
     return A.scope_warnings(inv.scope, COST)
 
 

@@ -47,6 +47,7 @@ class Population:
         """``within`` is a population this one narrows: its persisted rows are filtered further, so
         a drill-down does not run the joins behind the fact again."""
         self.spec = spec
+        self.kept: list[DataFrame] = []
         self.names = (spec.actual, spec.expected)
         if within is None:
             self.filtered = apply_predicates(df, spec.predicates)
@@ -103,6 +104,8 @@ class Population:
     def release(self) -> None:
         if "measured" in self.__dict__:
             self.measured.unpersist()
+        while self.kept:
+            self.kept.pop().unpersist()
 
     @cached_property
     def row_count(self) -> int:
@@ -221,7 +224,10 @@ def group_dimension(pop: Population, dimensions: Sequence[str] | None = None) ->
             F.sum("actual").alias("_a"),
             F.sum("expected").alias("_e"),
         )
+        # One row a category; the shares below read them twice, the fact once.
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    pop.kept.append(groups)
     average = spec.aggregation == "average"
     per = F.col("count") if average else F.lit(1)
     residual = (F.col("_a") - F.col("_e")).cast("double")

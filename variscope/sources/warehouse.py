@@ -108,9 +108,8 @@ def fact_with_gaps(spark: SparkSession, sf_dir: str, columns: Iterable[str] | No
     """``fact`` as a source system would leave it: an unspecified priority is null, the region of a
     returned pending order is blank, and an undiscounted line carries no net price."""
     chosen = list(columns) if columns is not None else FACT_MISSING_COLUMNS
-    base = fact(
-        spark, sf_dir, dict.fromkeys([*chosen, "priority", "returnflag", "orderstatus", "discount"])
-    )
+    also = {"region": ["returnflag", "orderstatus"], "actual": ["discount"]}
+    base = fact(spark, sf_dir, dict.fromkeys([*chosen, *(x for c in chosen for x in also.get(c, []))]))
     unspecified = F.col("priority") == "4-NOT SPECIFIED"
     gaps = {
         "priority": F.when(~unspecified, F.col("priority")),
