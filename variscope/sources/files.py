@@ -39,15 +39,12 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool =
     span lines (``multi_line``).
     """
     names = csv_header(spark, path, sep)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_RECORD]])
-    for file in spark.read.text(path).inputFiles()[1:]:  # one line of each further file
-        other = csv_header(spark, file, sep)
-        if other != names:
-            raise ValueError(f"{file} has the header {other}, the first file has {names}")
+    spelled = next(csv.reader([spark.read.text(path).first()[0].lstrip("\ufeff")], delimiter=sep))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*spelled, BAD_RECORD]])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", False)  # every file must have the header of the first
         .option("sep", sep)
         .option("multiLine", multi_line)
         .option("quote", '"')
@@ -55,6 +52,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool =
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_RECORD)
         .csv(path)
+        .toDF(*names, BAD_RECORD)
     )
     return raw.filter(~all_of(is_missing(raw, n) for n in names))
 
