@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variscope.operators.cohort import CohortSpec
@@ -47,7 +47,7 @@ def driver_evidence(scores: DataFrame, run_id: str) -> DataFrame:
     return item(
         top, "driver", run_id, key, F.concat_ws(": ", "dimension", "top_category"),
         F.format_string("%.2f impact; score %.0f", "top_category_impact", "score"),
-        seq=F.lit(100) - F.round("score").cast("int"),
+        seq=F.row_number().over(Window.orderBy(F.desc("score"), "dimension")),  # of eight rows at most
     )
 
 
@@ -56,6 +56,7 @@ def interaction_evidence(interactions: DataFrame, run_id: str) -> DataFrame:
     return item(
         top, "interaction", run_id, F.substring(F.sha2("segment", 256), 1, 16), F.col("segment"),
         F.format_string("%.2f %s; %.1f%% support", F.abs("business_impact"), "impact_direction", F.col("support") * 100),
+        seq=F.row_number().over(Window.orderBy(F.desc("score"), "segment")),  # of five rows at most
     )
 
 

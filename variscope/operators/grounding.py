@@ -60,18 +60,13 @@ def number_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.lower(F.regexp_replace(t, r"[$,]", ""))))
 
 
-def _number_substrings(run: Column, longest: Column) -> Column:
-    """All substrings of a digit run that may equal a token."""
-    starts = F.filter(
-        F.sequence(F.lit(1), F.length(run)), lambda i: F.substr(run, i, F.lit(1)).rlike(r"[-+\d]")
-    )
+def _number_substrings(run: Column, lengths: Column) -> Column:
+    """The substrings of a digit run that may equal a token: only of lengths that tokens have."""
     pieces = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(longest, F.length(run) - i + 1)), lambda n: F.substr(run, i, n)
-        ),
+        F.filter(lengths, lambda n: n <= F.length(run)),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substr(run, i, n)),
     )
-    return F.array_distinct(F.flatten(pieces))
+    return F.array_distinct(F.filter(F.flatten(pieces), lambda x: x.rlike(r"^[-+\d]")))
 
 
 def grounding_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -83,7 +78,8 @@ def grounding_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     joined on (run, token), so no run is ever gathered in one place and no pair of texts is compared.
     """
     tokens = answers.select("run_id", "answer_id", "position", F.explode(number_tokens(F.col("answer"))).alias("token"))
-    longest = F.coalesce(tokens.agg(F.max(F.length("token"))).scalar(), F.lit(1))
+    # The different lengths of a run's tokens: a run without tokens needs no evidence.
+    lengths = tokens.groupBy("run_id").agg(F.collect_set(F.length("token")).alias("_lengths"))
     runs = (
         evidence.select(
             "run_id",
@@ -94,8 +90,8 @@ def grounding_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
         .agg(F.min("position").alias("position"))
     )
     first_seen = (
-        runs.withColumn("_longest", longest)
-        .select("run_id", "position", F.explode(_number_substrings(F.col("_run"), F.col("_longest"))).alias("token"))
+        runs.join(lengths, "run_id")
+        .select("run_id", "position", F.explode(_number_substrings(F.col("_run"), F.col("_lengths"))).alias("token"))
         .groupBy("run_id", "token")
         .agg(F.min("position").alias("_seen"))
     )
@@ -111,16 +107,18 @@ def grounding_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
         F.min("position").alias("_first"),
         F.min(F.when(F.col("kind") == "external-context", F.col("position"))).alias("_external"),
     )
+    # Texts are judged where they are; only the verdict travels.
     causal = any_of(F.col("answer").rlike(f"(?i){p}") for p in words.CAUSAL_PATTERNS)
+    judged = answers.select("run_id", "answer_id", "position", "calculation_run_id", causal.alias("_causal"))
     checked = (
-        answers.join(unsupported, ["run_id", "answer_id"], "left")
+        judged.join(unsupported, ["run_id", "answer_id"], "left")
         .join(begins, "run_id", "left")
         .na.fill(0, ["numeric_tokens", "unsupported_numbers"])
         .withColumns(
             {
                 "evidence_references": F.coalesce(F.col("_first") < F.col("position"), F.lit(False)),
                 "causality_guardrail": ~(
-                    F.coalesce(F.col("_external") < F.col("position"), F.lit(False)) & causal
+                    F.coalesce(F.col("_external") < F.col("position"), F.lit(False)) & F.col("_causal")
                 ),
                 "numeric_grounding": F.col("unsupported_numbers") == 0,
                 "run_linkage": F.col("calculation_run_id").eqNullSafe(F.col("run_id")),

@@ -24,7 +24,8 @@ def write_snapshot(results: Mapping[str, DataFrame], manifest: Mapping[str, str]
         ).partitionBy("run_id").parquet(f"{folder}/{name}")
     row = {"schema_version": SCHEMA_VERSION, "run_id": run_id, "tables": ",".join(sorted(results)), **manifest}
     header = spark.range(1).select(*[F.lit(v).alias(k) for k, v in row.items()])
-    header.write.mode("append").json(f"{folder}/manifest")
+    # A run that is written again replaces its manifest row.
+    header.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{folder}/manifest")
     return f"{folder}/manifest"
 
 
