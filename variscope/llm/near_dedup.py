@@ -31,7 +31,7 @@ BRANCHES = 2
 DEPTH = 4
 #: Sets of a node that are compared exhaustively in one task. Larger nodes branch; after DEPTH levels their
 #: pairs are compared block by block, so no pair of a node is left out.
-NODE_SETS = 512
+NODE_SETS = 2048
 #: A pair is compared on full sets if its estimate falls short of the threshold by no more than this: five
 #: standard deviations of the estimate from 64 values at 0.8.
 MARGIN = 0.25
