@@ -180,7 +180,7 @@ MIT_FILE = TEMPLATES["MIT"][4] + "\nThe software is provided as is."
 
 def test_licences_own_and_inherited(spark):
     rows = [
-        ("LICENSE", "Apache License Version 2.0\nterms and conditions"), ("a/LICENSE.txt", MIT_FILE), ("a/b/x.py", "code here"), ("a/b/y.py", "# Licensed under CC BY-NC 4.0.\ncode"),
+        ("LICENSE", "Apache License Version 2.0\nterms and conditions"), ("a/LICENSE.txt", MIT_FILE), ("a/b/x.py", "code here"), ("a/b/y.py", "# Licensed under CC BY-NC 4.0.\ncode of the file that goes on for some lines"),
         ("a/b/c/d/z.py", None), ("q/r.py", ""), ("q/r.py", ""), (None, "Released under the MIT License."), (None, "words"), ("top.py", "license"),
         ("a/e/notice_me.py", "this line speaks of a driving license for cars and trucks in the town"), ("w/only.txt", "All rights reserved."), ("w/v/x", "t"),
     ]

@@ -181,7 +181,9 @@ def tokens(pages: DataFrame) -> DataFrame:
             for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen: Counter = Counter([("", False, "")])
                 for path, _, links, text in blocks(html or ""):
-                    seen[path, False, "a" if links else ""] += 1
+                    seen[path, False, ""] += 1
+                    if links:  # in one class with the path itself if all its blocks are links
+                        seen[path, False, "a"] += 1
                     seen[path, True, text] += 1
                 salt = xxhash.xxh3_64_intdigest((page or "").encode())
                 for (path, is_text, text), n in seen.items():

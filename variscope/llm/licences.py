@@ -83,8 +83,9 @@ def scored(found: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def directory_of(path: Column) -> Column:
-    """Everything before the last '/'; '' for a file at the top."""
-    return F.regexp_replace(F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("")), "/+$", "")
+    """Everything before the last '/'; '' for a file at the top, null for none."""
+    above = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
+    return F.regexp_replace(above, "/+$", "")
 
 
 def ancestors(directory: Column) -> Column:
