@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from variscope.llm.oracles import OP3, OP4, OP6
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -25,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op3_quality_rules")
+@query("op3_quality_rules", OP3)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variscope.llm.quality import judge
 
@@ -47,7 +49,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(stored(digests, "pieces"), ["doc_id", "piece", "ids_crc32"])
 
 
-@query("op4_exact_dedup")
+@query("op4_exact_dedup", OP4)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variscope.llm.exact_dedup import deduplicate
 
@@ -74,7 +76,7 @@ RULES_SQL = """SELECT * FROM VALUES ('com', '/', 'allow'), ('example.com', '/en/
   ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS rules(host, path, verdict)"""
 
 
-@query("op6_url_filters")
+@query("op6_url_filters", OP6)
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variscope.llm.urls import judge_urls
 
