@@ -37,7 +37,7 @@ class Rule:
 RULES = (
     Rule("mean_word_length", "mean_word_chars", 2.5, 12.0),
     Rule("few_symbols", "symbols_per_word", None, 0.1),
-    Rule("has_stop_words", "stop_words_per_word", 0.06, None),
+    Rule("has_stop_words", "stop_words_per_word", 0.04, None),
     Rule("few_repeated_lines", "dup_line_ratio", None, 0.5),
 )
 MIN_WORDS = 50
