@@ -85,6 +85,17 @@ def test_extraction_keeps_passages_that_some_pages_share(spark):
     assert Counter("passage" in r["text"] for r in rows) == Counter({True: 22, False: 10}) and all("own" in r["text"] for r in rows)
 
 
+@pytest.mark.parametrize("copies", [7, 8, 20])
+@pytest.mark.parametrize("url", ["http://h.example/x", None])
+def test_copies_of_one_page_are_one_witness(spark, copies, url):
+    same = "<body><article><h1>The title</h1><p>The one story.</p></article></body>"
+    made = [(i, url, same) for i in range(copies)]
+    # The article is the same, what stands around it is not.
+    made += [(100 + i, "http://around.example/", same.replace("<article>", f"<div>Seen at {i}</div><article>")) for i in range(copies)]
+    rows = extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in rows] == ["The title\nThe one story."] * (2 * copies)
+
+
 def test_link_lists_of_the_template_are_menus(spark):
     menu = '<div><ul><li><a href="/{n}">Topic {n}</a></li><li><a href="/b">B {n}</a></li></ul></div>'
     made = [(i, "http://h.example/", f"<body>{menu.format(n=i)}<div><p>Story {i} of <a href='/'>this</a> town</p></div></body>") for i in range(10)]

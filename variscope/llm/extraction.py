@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from variscope.llm.scratch import stored
 from variscope.llm.urls import with_host_and_path
 
-#: Pages a host must have before strings that its pages share count as its template.
+#: Different pages a host must have before strings that its pages share count as its template.
 MIN_PAGES = 8
 #: Tokens of an equivalence class.
 MIN_TOKENS = 2
@@ -164,44 +164,63 @@ def string_hash(path: str, text: str) -> int:
     return signed(xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode()))
 
 
+def witness(found: list[tuple[str, bool, bool, str]]) -> int:
+    """Hash of what a page says: its main text if it has one, else all its text."""
+    import xxhash
+
+    main = [b[3] for b in found if b[1]] or [b[3] for b in found]
+    return signed(xxhash.xxh3_64_intdigest("\0".join(main).encode()))
+
+
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, token, path, is_text, n, mark: the tokens of each page; an empty path stands for the page itself.
+    """host, token, path, is_text, n, mark: the tokens of each different page; an empty path stands for the page itself.
 
-    ``pages`` has host, page (any key as text) and html. ``mark`` is a hash of the page and the count.
+    ``pages`` has host and html. Pages of a host that say the same are one witness of its template, however
+    often they are repeated: of them the one with the least hash of all its blocks counts. ``mark`` is a hash
+    of the witness and the count.
     """
     import pyarrow as pa
 
+    kinds = pa.struct([("token", pa.int64()), ("path", pa.string()), ("is_text", pa.bool_()), ("n", pa.int64()), ("mark", pa.int64())])
+
     def run(batches):
         from collections import Counter
 
         import xxhash
 
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hosts, says, wholes, sets = [], [], [], []
+            for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = blocks(html or "")
                 seen: Counter = Counter([("", False, "")])
-                for path, _, links, text in blocks(html or ""):
+                for path, _, links, text in found:
                     seen[path, False, ""] += 1
                     if links:  # in one class with the path itself if all its blocks are links
                         seen[path, False, "a"] += 1
                     seen[path, True, text] += 1
-                salt = xxhash.xxh3_64_intdigest((page or "").encode())
+                said = witness(found)
+                salt = said & 0xFFFFFFFFFFFFFFFF
+                made = []
                 for (path, is_text, text), n in seen.items():
                     token = string_hash(path, text) if is_text else string_hash(path, f"\0{text}")
                     mark = signed(xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), salt))
-                    for col, x in zip(cols, (host, token, None if is_text else path + (" a" if text else ""), is_text, n, mark), strict=True):
-                        col.append(x)
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "token", "path", "is_text", "n", "mark"])
+                    made.append({"token": token, "path": None if is_text else path + (" a" if text else ""), "is_text": is_text, "n": n, "mark": mark})
+                hosts.append(host)
+                says.append(said)
+                wholes.append(signed(xxhash.xxh3_64_intdigest("\0".join(f"{b[0]}\0{b[2]}\0{b[3]}" for b in found).encode())))
+                sets.append(made)
+            columns = [pa.array(hosts, pa.string()), pa.array(says, pa.int64()), pa.array(wholes, pa.int64()), pa.array(sets, pa.list_(kinds))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "said", "whole", "tokens"])
 
-    return pages.select("host", "page", "html").mapInArrow(run, "host string, token long, path string, is_text boolean, n long, mark long")
+    made = pages.select("host", "html").mapInArrow(run, "host string, said long, whole long, tokens array<struct<token:long,path:string,is_text:boolean,n:long,mark:long>>")
+    return made.groupBy("host", "said").agg(F.min_by("tokens", "whole").alias("tokens")).select("host", F.inline("tokens"))
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """host, strings (hashes of template strings), lists (paths of the template's link lists).
 
     A string is in the template if it shares its vector with the page itself, so stands once in every page of
-    a host with ``min_pages`` pages or more. A link list is in it if its path is in a valid class that all
+    a host with ``min_pages`` different pages or more. A link list is in it if its path is in a valid class that all
     pages have. Both are at most as many as one page has blocks.
     """
     vector = ["pages", "total", "x", "y"]
@@ -222,14 +241,14 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MI
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """key, url, text for every page: the article, one line a block; empty if there is none.
 
-    A null html counts as empty; pages without a url share the empty host. Repeated pages count as pages of
-    their own. Hosts with few pages have no template of their own: their pages lose only what the element
+    A null html counts as empty; pages without a url share the empty host. Pages that say the same count
+    once for the template. Hosts with few different pages have no template of their own: their pages lose only what the element
     itself marks. Other columns are left out.
     """
     import pyarrow as pa
 
     named = with_host_and_path(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")), "url").drop("path")
-    made = stored(templates(named.select("host", F.concat_ws(" ", F.col("key").cast("string"), "url").alias("page"), "html"), min_pages, min_tokens), "templates")
+    made = stored(templates(named.select("host", "html"), min_pages, min_tokens), "templates")
     both = named.join(made, "host", "left").select("key", "url", "html", "strings", "lists")
 
     def run(batches):
