@@ -110,6 +110,29 @@ def test_blocks_survive_broken_markup():
     assert content("<p>x</p>" * 3000).count("\n") == 2999
 
 
+@pytest.mark.parametrize("mark", ["has-sidebar", "no-sidebar", "page-with-nav", "header-layout", "search", "related", "footer-dark", "ad-free"])
+def test_a_marked_wrapper_keeps_the_article_below(mark):
+    assert content(f"<body><div class='{mark}'><article><h1>T</h1><p>text</p></article></div></body>") == "T\ntext"
+    assert content(f"<body><div class='x {mark}'><div><main><p>text</p></main></div></div></body>") == "text"
+
+
+@pytest.mark.parametrize("mark", ["entry-header", "legal", "tags", "search", "notice", "alert", "related"])
+def test_marked_parts_of_an_article_go_only_with_evidence(mark):
+    page = "<body><article><div class='{}'>{}</div><p>text</p></article></body>"
+    assert content(page.format(mark, "<h1>Title</h1>")) == "Title\ntext"
+    assert content(page.format(mark, "<ul><li><a href='/'>More</a></li></ul>")) == "text"
+    assert content("<div class='has-sidebar'><p>no article element</p></div>") == "no article element"
+
+
+def test_marks_of_teasers_adverts_and_comments():
+    teaser = "<div class='related'><article><p>Other story</p></article></div>"
+    assert content(f"<article><p>text</p></article>{teaser}<div class='ad'><article>Buy</article></div>") == "text"
+    assert content(f"<div><p>text</p></div>{teaser}") == "text\nOther story"
+    assert content("<div><p>text</p></div><section class='comments'><article><p>Nice</p></article></section>") == "text"
+    assert content("<article><p>See <a class='related' href='/'>this</a> <span class='notice'>now</span> and <b class='ad'>buy</b>go.</p></article>") == "See this now and go."
+    assert content("<article><p>text</p><p><a class='related' href='/'>this</a></p></article>") == "text"
+
+
 CHAT = [
     (1, 0, "user", "Hello there everyone\nHow do I frobnicate the widget?"),
     (1, 1, "a", "On Monday X wrote:\n> How do I frobnicate the widget?\nTurn the big handle left."),

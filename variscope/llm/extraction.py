@@ -36,6 +36,17 @@ MARKED = frozenset(
     "disqus pagination pager widget widgets tags copyright legal disclaimer skip search contentinfo complementary".split()
 )
 COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+#: Words that decide without further evidence; the others of MARKED also name parts of articles and layouts.
+ALONE = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adbox sponsor sponsored sponsors cookie cookies consent gdpr breadcrumb breadcrumbs "
+    "navbar navigation footer contentinfo pagination pager share sharing subscribe subscription signup login".split()
+)
+#: Slots whose articles are others than the page's.
+TEASERS = frozenset("ad ads advert adverts advertisement advertisements sponsored promo promoted related recommended recommendations".split())
+#: Words before which a class names the element and after which its layout.
+LAYOUT = frozenset("has have no not non with without".split())
+NOTHING: frozenset[str] = frozenset()
+NONE: frozenset[int] = frozenset()
 MAIN = frozenset(["article", "main"])
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,45 +65,67 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 WORD = re.compile(r"[a-z]+")
 
 
-def not_content(name: str, attrs: str, in_main: bool) -> bool:
+def marks_of(name: str, attrs: str, in_main: bool) -> tuple[bool, frozenset[str]]:
+    """Whether an element is never content, and the words by which its class, id and role mark it as such.
+
+    What follows has-, no-, with- and the like in a class speaks of the layout, not of the element.
+    """
     if name in NEVER or name == "header" and not in_main:
-        return True
+        return True, NOTHING
     if not attrs or name in ("html", "body", "main"):
-        return False
+        return False, NOTHING
     words: set[str] = set()
     for m in ATTRIBUTE.finditer(attrs):
         if m[5]:
-            return True
-        words.update(WORD.findall((m[2] or m[3] or m[4] or "").lower()))
-    return not words.isdisjoint(COMMENTS if name == "article" else MARKED)
+            return True, NOTHING
+        for one in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = WORD.findall(one)
+            at = next((k for k, x in enumerate(parts) if x in LAYOUT), len(parts))
+            words.update(parts[:at])
+    return False, COMMENTS & words if name == "article" else MARKED & words
 
 
-def blocks(html: str) -> list[tuple[str, bool, bool, str]]:
-    """(element path, lies in article or main, all of it links, text) of every block that may be content.
+def blocks(html: str) -> list[tuple[str, bool, bool, str, bool]]:
+    """(element path, lies in article or main, all of it links, text, marked) of every block that may be content.
 
     Text that is not in a block of its own belongs to the block around it; white space inside is one space.
+    Slots that a word of ALONE marks are left out; ``marked`` says that other words mark the block, which
+    needs evidence. No mark but those of COMMENTS counts for a slot with an article or main element below it.
+    Below a mark of TEASERS that is so only if the page has no other article or main, and then all text is left.
     """
     from html import unescape
 
-    out: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path of the block, left out, in main
+    kept: list[tuple[str, frozenset[int] | None, bool, str, frozenset[int], frozenset[int]]] = []
+    # name, path of the block, left out, marks of TEASERS around the main element (None outside one), marks that
+    # need evidence, marks of ALONE
+    stack: list[tuple[str, str, bool, frozenset[int] | None, frozenset[int], frozenset[int]]] = [("", "", False, None, NONE, NONE)]
+    teasers: set[int] = set()
+    under: set[int] = set()  # marks with an article or main below
+    marks = 0
     text: list[str] = []
     plain = False  # the block has text outside links
-    links = 0
+    bare = False  # the block has text outside marked inline elements
+    links = inner = 0  # open links, open marked inline elements
 
     def flush() -> None:
-        nonlocal plain
+        nonlocal plain, bare, marks
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                out.append((stack[-1][1], stack[-1][3], not plain, joined))
+                _, path, _, main, weak, alone = stack[-1]
+                weak = weak - {-1}
+                if not bare:
+                    marks += 1
+                    weak = weak | {marks}
+                kept.append((path, main, not plain, joined, weak, alone))
             text.clear()
-        plain = False
+        plain = bare = False
 
     def pop(to: int) -> None:
-        nonlocal links
-        for name, *_ in stack[to:]:
+        nonlocal links, inner
+        for name, _, _, _, weak, _ in stack[to:]:
             links -= name == "a"
+            inner -= -1 in weak and name in INLINE
         del stack[to:]
 
     def top_block() -> int:
@@ -106,7 +139,9 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str]]:
         if kind == "text":
             if not stack[-1][2]:
                 text.append(m[0])
-                plain = plain or not links and not m[0].isspace()
+                if not m[0].isspace():
+                    plain = plain or not links
+                    bare = bare or not inner
             continue
         if m["name"] is None:  # comments, raw text elements, declarations, a tag that the page's end cuts
             continue
@@ -128,28 +163,49 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str]]:
             if name in ("br", "hr", "wbr"):
                 text.append("" if name == "wbr" else " ")
             continue
-        _, path, out_, main = stack[-1]
         if name in INLINE:
-            stack.append((name, path, out_ or bool(m["attrs"]) and not_content(name, m["attrs"], main), main))
+            _, path, out_, main, weak, alone = stack[-1]
+            never, words = marks_of(name, m["attrs"], main is not None) if m["attrs"] else (False, NOTHING)
+            marked = bool(words) and words.isdisjoint(ALONE)
+            stack.append((name, path, out_ or never or bool(words) and not marked, main, weak - {-1} | {-1} if marked else weak - {-1}, alone))
             links += name == "a"
+            inner += marked
             continue
         flush()
         at = top_block()
         if stack[at][0] == "p" or name in SAME_CLOSES and stack[at][0] == name:
             pop(at)
-        _, path, out_, main = stack[-1]
+        _, path, out_, main, weak, alone = stack[-1]
         if not m["attrs"].endswith("/"):
-            stack.append((name, f"{path}/{name}", out_ or not_content(name, m["attrs"], main), main or name in MAIN))
+            never, words = marks_of(name, m["attrs"], main is not None)
+            weak = weak - {-1}
+            if words:
+                marks += 1
+                out_ = out_ or not words.isdisjoint(COMMENTS)
+                if words.isdisjoint(ALONE):
+                    weak = weak | {marks}
+                else:
+                    alone = alone | {marks}
+                if not words.isdisjoint(TEASERS):
+                    teasers.add(marks)
+            if name in MAIN and not out_ and not never:
+                under.update(weak | alone)
+                if main is None:
+                    main = (weak | alone) & teasers
+            stack.append((name, f"{path}/{name}", out_ or never, main, weak, alone))
     flush()
-    return out
+    cleared = under - teasers
+    if not any(b[1] == NONE and b[5] <= cleared for b in kept):
+        cleared = under
+    return [(path, main == NONE, all_links, joined, not weak <= cleared) for path, main, all_links, joined, weak, alone in kept if alone <= cleared]
 
 
 def content(html: str, strings: frozenset[int] = frozenset(), lists: frozenset[str] = frozenset()) -> str:
     """The main text: one line a block, without template ``strings`` (hashes) and link ``lists`` (paths).
 
-    A page with an article or main element that holds text gives that; any other page gives all that is left.
+    A marked block goes if it is all links; otherwise its text is evidence only if the host repeats it. A page with an article or main element that holds text gives that; any other page gives all that is left.
     """
-    found = [b for b in blocks(html) if not (b[2] and b[0] in lists) and not (strings and string_hash(b[0], b[3]) in strings)]
+    found = [b for b in blocks(html) if not (b[2] and (b[4] or b[0] in lists)) and not (strings and string_hash(b[0], b[3]) in strings)]
     main = [b for b in found if b[1]]
     return "\n".join(b[3] for b in main or found)
 
@@ -164,7 +220,7 @@ def string_hash(path: str, text: str) -> int:
     return signed(xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode()))
 
 
-def witness(found: list[tuple[str, bool, bool, str]]) -> int:
+def witness(found: list[tuple[str, bool, bool, str, bool]]) -> int:
     """Hash of what a page says: its main text if it has one, else all its text."""
     import xxhash
 
@@ -193,7 +249,7 @@ def tokens(pages: DataFrame) -> DataFrame:
             for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = blocks(html or "")
                 seen: Counter = Counter([("", False, "")])
-                for path, _, links, text in found:
+                for path, _, links, text, _ in found:
                     seen[path, False, ""] += 1
                     if links:  # in one class with the path itself if all its blocks are links
                         seen[path, False, "a"] += 1
