@@ -96,6 +96,13 @@ def test_copies_of_one_page_are_one_witness(spark, copies, url):
     assert [r["text"] for r in rows] == ["The title\nThe one story."] * (2 * copies)
 
 
+def test_pages_without_text_are_no_witnesses(spark):
+    made = [(i, "http://h.example/x", f"<body><div><p>We use cookies here</p></div><section><p>Story {i}</p></section></body>") for i in range(9)]
+    made += [(50, "http://h.example/x", None), (51, "http://h.example/x", ""), (52, "http://h.example/x", "<body><nav>Menu</nav></body>")]
+    rows = extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()
+    assert sorted(r["text"] for r in rows) == ["", "", ""] + [f"Story {i}" for i in range(9)]
+
+
 def test_link_lists_of_the_template_are_menus(spark):
     menu = '<div><ul><li><a href="/{n}">Topic {n}</a></li><li><a href="/b">B {n}</a></li></ul></div>'
     made = [(i, "http://h.example/", f"<body>{menu.format(n=i)}<div><p>Story {i} of <a href='/'>this</a> town</p></div></body>") for i in range(10)]

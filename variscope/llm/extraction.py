@@ -1,10 +1,11 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Tokens of a page are its element paths and its text strings under a path. Across the pages of a host, tokens
-with equal occurrence vectors (how often in which page) form a class; a class of enough pages and tokens is
-part of the template the pages were made from. Classes nest by their paths. Template strings and link lists
-of the template are not content; what fills the remaining slots is extracted, unless the slot lies in an
-element that is never part of an article (navigation, footers, adverts, forms and the like).
+with equal occurrence vectors (how often in which page) form a class; a class of enough tokens that all pages
+of the host have is part of the template. Classes over some of the pages (boilerplate of most pages, one of two
+layouts) are not used, and classes are not nested. Template strings and link lists of the template are not
+content; what else the page says is extracted, unless it lies in an element that is never part of an article
+(navigation, footers, adverts, forms and the like). Pages without text are no witnesses.
 
 An occurrence vector is never held: its counts and two commutative hashes of (page, count) are summed, so a
 host of any size is an aggregation with partial sums.
@@ -248,6 +249,8 @@ def tokens(pages: DataFrame) -> DataFrame:
             hosts, says, wholes, sets = [], [], [], []
             for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = blocks(html or "")
+                if not found:
+                    continue
                 seen: Counter = Counter([("", False, "")])
                 for path, _, links, text, _ in found:
                     seen[path, False, ""] += 1
