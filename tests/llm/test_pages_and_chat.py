@@ -208,6 +208,15 @@ def test_conversations_match_plain_python(spark):
         assert [x for x, _ in p] == list(range(len(p))) and [t for _, t in p] == sorted(t for _, t in p)
 
 
+def test_short_quotes_link_when_nothing_longer_does(spark):
+    rows = [
+        (1, 0, "a", "ok"), (1, 1, "b", "好的。"), (1, 2, "c", "a line that is long enough"), (1, 3, "d", "> ok\nfine"), (1, 4, "e", "> 好的。\nyes"),
+        (1, 5, "f", "> ok\n>> a line that is long enough\nboth"), (1, 6, "g", ">\n>  \nempty quotes"),
+    ]
+    got = {r["turn"]: (r["parent"], r["linked_by"], r["depth"]) for r in conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), short_lines=True).collect()}
+    assert got == {0: (None, "none", 0), 1: (0, "order", 1), 2: (1, "order", 2), 3: (0, "quote", 1), 4: (1, "quote", 2), 5: (2, "quote", 3), 6: (5, "order", 4)}
+
+
 def test_conversations_nulls_repeats_and_empty(spark):
     rows = [(None, 1, "x", None), (2, None, "x", ""), (1, 4, "c", "same words twice"), (1, 4, "c", "same words twice"), (1, 5, None, "> same words twice")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")

@@ -1,8 +1,8 @@
 """Conversations by quotation linking.
 
 Quoted lines ('>' marks, nested by their number) are hashed after normalising and joined to the message that
-first wrote them. A message replies to the message of its shallowest quotes; without a quote that is found it
-replies to the message before it. Threads follow the replies, and texts lose their quotes.
+first wrote them. A message replies to the message of its shallowest quotes; with ``short_lines`` short lines
+link too if no longer one is found. Without a quote that is found it replies to the message before it. Threads follow the replies, and texts lose their quotes.
 
 All joins run on (conversation, hash of a line) or (conversation, turn); the originals of a line are first
 reduced to the earliest, so a line that everybody writes is one row for each conversation.
@@ -20,7 +20,7 @@ TURN_CHUNK = 1024
 QUOTE = r"^[ \t]*((?:>[ \t]?)+)"
 # Lines that introduce a quote, in English, German, French and Spanish.
 INTRODUCTION = r"(?i)^[ \t]*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)[ \t]*:[ \t]*$"
-#: Normalised lines of fewer characters link nothing.
+#: Normalised lines of fewer characters link nothing, or with ``short_lines`` only messages that no longer line links.
 MIN_LINE_CHARS = 8
 
 
@@ -48,18 +48,19 @@ def own_text(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), "^\\s+|\\s+$", "")
 
 
-def parents(messages: DataFrame) -> DataFrame:
+def parents(messages: DataFrame, short_lines: bool = False) -> DataFrame:
     """conv, turn, parent, linked_by for every different (conv, turn) of ``messages`` (conv, turn, _lines)."""
     def units(condition) -> DataFrame:
         one = messages.select("conv", "turn", F.explode(F.filter("_lines", condition)).alias("_line"))
-        return one.select("conv", "turn", F.col("_line.level").alias("level"), normalised(F.col("_line.body")).alias("_text")).filter(F.length("_text") >= MIN_LINE_CHARS).withColumn("h", F.xxhash64("_text"))
+        return one.select("conv", "turn", F.col("_line.level").alias("level"), normalised(F.col("_line.body")).alias("_text")).filter(F.length("_text") >= (1 if short_lines else MIN_LINE_CHARS)).withColumn("h", F.xxhash64("_text"))
 
     quoted = units(lambda x: x["level"] > 0).groupBy("conv", "turn", "level", "h").agg(F.max(F.length("_text")).alias("chars"))
     first = units(lambda x: x["level"] == 0).groupBy("conv", "h").agg(F.min("turn").alias("origin"))
     linked = quoted.join(first, ["conv", "h"]).filter("origin < turn")
-    weight = linked.groupBy("conv", "turn", "level", "origin").agg(F.sum("chars").alias("chars"))
-    # The shallowest level that is found, then the most text, then the latest message.
-    best = weight.groupBy("conv", "turn").agg(F.min_by("origin", F.struct("level", -F.col("chars"), -F.col("origin"))).alias("quoted"))
+    short = F.col("chars") < MIN_LINE_CHARS
+    weight = linked.groupBy("conv", "turn", short.alias("short"), "level", "origin").agg(F.sum("chars").alias("chars"))
+    # Lines that are not short, then the shallowest level that is found, then the most text, then the latest message.
+    best = weight.groupBy("conv", "turn").agg(F.min_by("origin", F.struct("short", "level", -F.col("chars"), -F.col("origin"))).alias("quoted"))
     turns = messages.select("conv", "turn").distinct().withColumn("_chunk", F.floor(F.col("turn") / TURN_CHUNK))
     ends = turns.groupBy("conv", "_chunk").agg(F.max("turn").alias("_last"))
     ends = ends.select("conv", "_chunk", F.lag("_last").over(Window.partitionBy("conv").orderBy("_chunk")).alias("_before"))
@@ -87,18 +88,19 @@ def threads(links: DataFrame) -> DataFrame:
     return state.select("conv", "turn", "parent", "linked_by", F.col("up").alias("thread"), "depth")
 
 
-def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", short_lines: bool = False) -> DataFrame:
     """Every message with its place in its thread and without quotes.
 
     Returns conv, turn, role, text, quoted_lines, parent, linked_by ('quote', 'order' or 'none'), thread, depth
     and position (from 0: the order of a thread, in which each message follows the one it replies to).
+    Quoted lines of fewer than MIN_LINE_CHARS characters link only with ``short_lines``, after all longer ones.
     Messages of one conversation and turn are rows of one turn: they share its links and differ in position.
     A null conversation or turn links to nothing: it is a thread of its own with position 0. A null or
     empty text gives an empty text. Other columns are left out.
     """
     rows = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), lines_of(F.col(text)).alias("_lines"))
     placed = rows.filter("conv IS NOT NULL AND turn IS NOT NULL")
-    links = threads(parents(placed.select("conv", "turn", "_lines")))
+    links = threads(parents(placed.select("conv", "turn", "_lines"), short_lines))
     bare = placed.select("conv", "turn", "role", own_text(F.col("_lines")).alias("text"), F.size(F.filter("_lines", lambda x: x["level"] > 0)).alias("quoted_lines"))
     named = bare.join(links, ["conv", "turn"]).withColumn("_chunk", F.floor(F.col("turn") / TURN_CHUNK))
     order = [F.col("turn"), F.col("role"), F.xxhash64("text")]

@@ -115,4 +115,4 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variscope.llm.chat import conversations
 
-    return conversations(table(spark, sf_dir, "conversations"))
+    return conversations(table(spark, sf_dir, "conversations"), short_lines=True)
