@@ -246,6 +246,17 @@ def test_licences_own_and_inherited(spark):
         scan(df.withColumn("license", F.lit(1)))
 
 
+def test_notices_inside_and_across_lines(spark):
+    prose = "this module reads the tables of the town and counts the people who live in each of its houses before the numbers are printed again"
+    rows = [
+        ("a", f"{prose}. Released under the MIT License. {prose}."), ("b", "# Licensed under the Apache License,\n# Version 2.0.\ncode"), ("c", f"{prose}\n{prose}"),
+        ("d/COPYING", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nEveryone is permitted to copy."), ("e", "a driving license is\nneeded for cars in the town\n" + prose),
+        ("f", f"{prose}, all of which is licensed under the MIT license and {prose}"),
+    ]
+    got = {r["path"]: r["license"] for r in scan(spark.createDataFrame(rows, "path string, text string"), file_share=2.0).collect()}
+    assert got == {"a": "MIT", "b": "Apache-2.0", "c": None, "d/COPYING": "GPL-2.0", "e": None, "f": "MIT"}
+
+
 def test_licence_cosines_match_plain_python(spark):
     rng = random.Random(12)
     notices = [n for texts in TEMPLATES.values() for n in texts]
