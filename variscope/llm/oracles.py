@@ -52,3 +52,54 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{L
 f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS n
   FROM p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(rule_verdict, 'allow') AS verdict FROM f WHERE n = 1"""
+
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}')"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_LOWER_WORDS} AS w FROM benchmark),
+p AS (SELECT DISTINCT item, w[i:i + least(len(w), 10) - 1] AS p FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(p) AS k FROM p),
+placed AS (SELECT doc_id, k, i, w[i:i + k - 1] AS p FROM d, sizes, unnest(range(1, len(w) - k + 2)) AS u(i) WHERE len(w) >= k),
+hit AS (SELECT placed.doc_id, placed.i, placed.k, p.item FROM placed JOIN p USING (p)),
+marked AS (SELECT doc_id, count(DISTINCT j) AS n FROM hit, unnest(range(i, i + k)) AS u(j) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(marked.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+  sha256(coalesce(named.items, '')) AS items_sha256, marked.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+OP12 = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, w[i:i + k - 1] AS g FROM w, unnest(range(1, 6)) AS s(k), unnest(range(1, len(w) - k + 2)) AS u(i) WHERE len(w) >= k),
+f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 100),
+cuts AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, n, CAST(1000::HUGEINT * c.f * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM f AS c JOIN totals USING (lang), unnest(range(1, len(c.g))) AS u(k)
+  JOIN f AS x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f AS y ON y.lang = c.lang AND y.g = c.g[k + 1:] WHERE len(c.g) > 1),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, g[i:i + k - 1] AS g, f FROM f, unnest(range(2, 5)) AS s(k), unnest(range(1, len(g) - k + 2)) AS u(i) WHERE len(g) > k),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN (SELECT lang, g, max(f) AS longer FROM inner_parts GROUP BY lang, g) USING (lang, g)
+  WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+bw AS (SELECT unnest({_LOWER_WORDS}) AS word FROM benchmark),
+spelled AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+bucketed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 10000 AS bucket FROM spelled),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN bucketed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN bucketed USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+sums AS (SELECT doc_id, count(*) AS n, sum(gain) AS g FROM dw JOIN bucketed USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+weighed AS (SELECT d.doc_id, len(w) AS n_features, CAST(coalesce(floor(g / n), 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN sums USING (doc_id)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weighed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS many FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * many // 100 THEN place END AS rank FROM placed"""

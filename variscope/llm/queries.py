@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variscope.llm.oracles import OP3, OP4, OP6
+from variscope.llm.oracles import OP3, OP4, OP6, OP11, OP12, OP13
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,34 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variscope.llm.chat import conversations
 
     return conversations(table(spark, sf_dir, "conversations"), short_lines=True)
+
+
+@query("op11_benchmark_decontamination", OP11)
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.decontamination import contamination
+
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op12_phrase_collocations", OP12)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.collocations import best, collocations
+
+    found = best(collocations(table(spark, sf_dir, "documents").select("lang", "text")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op13_importance_resampling", OP13)
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from variscope.llm.resampling import resample
+
+    found = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")

@@ -20,3 +20,11 @@ def words_of(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """How many words a text has; null: 0."""
     return F.size(words_of(text)).cast("long")
+
+# Letters A-Z become lower case; what is no digit, letter a-z or byte above 127 parts words.
+_PARTS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+
+
+def alnum_words(text: bytes | None) -> list[bytes]:
+    """Words of ASCII digits, lower-cased ASCII letters and all other characters, of a text in UTF-8; null has none."""
+    return text.translate(_PARTS).split() if text else []
