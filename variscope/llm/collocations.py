@@ -14,12 +14,11 @@ one, at any size of the corpus; exact counts decide.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import count
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +27,10 @@ from variscope.llm.scratch import stored
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-#: Tokens whose stripes a task builds at once.
-CHUNK_TOKENS = 1 << 21
+#: Bytes of texts whose stripes a task builds at once.
+CHUNK_BYTES = 12 << 20
+#: Parts of a stripe for each of so many shuffle partitions; the stripe of the empty prefix has a part for each.
+PARTITIONS_A_PART = 16
 #: Bits of the map of frequent phrases: 8 MB, in the 32,768 bits that Spark's bitmap functions build.
 BITMAP_BITS = 1 << 26
 BITMAP_ROW = 1 << 15
@@ -41,9 +42,13 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 _TOKENS = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 46 if b in ENDS else b for b in range(256))
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of a text in UTF-8, with a full stop where a piece ends."""
-    return text.translate(_TOKENS).replace(b".", b" . ").split(b" ") if text else []
+def coded(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """Texts in UTF-8 as codes of their words, 0 where a piece or a text ends, and the words by code."""
+    whole = b".".join(texts).translate(_TOKENS).replace(b".", b" . ")
+    found = pc.split_pattern(pa.array([b" . " + whole + b" . "], pa.large_binary()), b" ").values.dictionary_encode()
+    codes, words = found.indices.to_numpy(), found.dictionary
+    # The first token is an empty string and the second a full stop.
+    return codes[codes > 0].astype(np.int64) - 1, words.slice(1)
 
 
 class FrequentPhrases:
@@ -70,83 +75,99 @@ def bitmap(phrases: DataFrame) -> FrequentPhrases:
 
 def windows_of(text: np.ndarray, length: int) -> np.ndarray:
     """Places at which so many tokens that are words begin (0 is no word)."""
-    ok = text[: len(text) - length + 1] > 0
+    many = max(len(text) - length + 1, 0)
+    ok = text[:many] > 0
     for i in range(1, length):
-        ok = ok & (text[i : len(text) - length + 1 + i] > 0)
+        ok = ok & (text[i : i + many] > 0)
     return np.flatnonzero(ok)
 
 
-def partial_stripes(text: np.ndarray, words: list[bytes], lang: bytes, length: int, frequent: FrequentPhrases | None, parts: int):
-    """Stripes of the prefixes of ``length`` words in a text of codes: prefix, part, next words and their counts."""
-    at = windows_of(text, length + 1)
-    crc = np.array([0, *map(crc32, words[1:])], np.int64)
-    if length and frequent is not None:
-        h = np.full(max(len(text) - length + 1, 0), crc32(lang) % HASH_PRIME, np.int64)
-        for i in range(length):
-            h = (h * HASH_BASE + crc[text[i : len(text) - length + 1 + i]]) % HASH_PRIME
-        known = frequent.holds(h % BITMAP_BITS)
-        at = at[known[at] & known[at + 1]]
-    if not len(at):
-        return []
-    prefix, some = np.zeros(len(at), np.int64), at
-    for i in range(length):  # numbers of equal prefixes, a word at a time
-        prefix, again = np.unique(prefix * len(words) + text[at + i], return_inverse=True)
-        prefix = again
-    following = text[at + length]
+def known_words(text: np.ndarray, crc: np.ndarray, lang: bytes, frequent: FrequentPhrases) -> np.ndarray:
+    """The text with an end at each word that is not frequent: no phrase with it can be."""
+    known = frequent.holds((crc32(lang) % HASH_PRIME * HASH_BASE + crc) % HASH_PRIME % BITMAP_BITS)
+    known[0] = False
+    return np.where(known[text], text, 0)
+
+
+def partial_stripes(texts: list[bytes], lang: bytes, length: int, frequent: list[FrequentPhrases], parts: int):
+    """Stripes of the prefixes of ``length`` words in some texts: prefix, part, next words (joined by spaces) and their counts."""
+    text, words = coded(texts)
+    crc = np.fromiter(map(crc32, words.to_pylist()), np.int64, len(words))
+    if length:
+        text = known_words(text, crc, lang, frequent[0])
+        at = windows_of(text, length + 1)
+        if length > 1:
+            many = max(len(text) - length + 1, 0)
+            h = np.full(many, crc32(lang) % HASH_PRIME, np.int64)
+            for i in range(length):
+                h = (h * HASH_BASE + crc[text[i : i + many]]) % HASH_PRIME
+            known = frequent[-1].holds(h % BITMAP_BITS)
+            at = at[known[at] & known[at + 1]]
+        prefix = text[at]
+        for i in range(1, length):  # numbers of equal prefixes, a word at a time
+            _, prefix = np.unique(prefix * len(words) + text[at + i], return_inverse=True)
+        following = text[at + length]
+        order = np.argsort((prefix * parts + crc[following] % parts) * len(words) + following)
+        prefix, following, at = prefix[order], following[order], at[order]
+        entry = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (following[1:] != following[:-1])))[: len(order)]
+        n = np.diff(np.append(entry, len(order)))
+        prefix, following, at = prefix[entry], following[entry], at[entry]
+    else:
+        following = np.arange(1, len(words))
+        following = following[np.argsort(crc[1:] % parts)]
+        n = np.bincount(text, minlength=len(words))[following]
+        prefix = at = np.zeros(len(following), np.int64)
+    if not len(following):
+        return
     part = crc[following] % parts
-    _, first, counts = np.unique((prefix * parts + part) * len(words) + following, return_index=True, return_counts=True)
-    head = np.append(True, np.diff(prefix[first] * parts + part[first]) != 0)
-    begin = np.flatnonzero(head)
-    spelled = [b" ".join(words[c] for c in text[some[i] : some[i] + length]) for i in first[begin]]
-    bounds = pa.array(np.append(begin, len(first)).astype(np.int32))
-    following = pa.array(words, pa.binary()).take(pa.array(following[first])).cast(pa.string())
-    return [
-        pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * len(begin), pa.binary()).cast(pa.string()),
-                pa.array(spelled, pa.binary()).cast(pa.string()),
-                pa.array(part[first[begin]].astype(np.int32)),
-                pa.ListArray.from_arrays(bounds, following),
-                pa.ListArray.from_arrays(bounds, pa.array(counts)),
-            ],
-            ["lang", "prefix", "part", "next", "n"],
-        )
-    ]
-
-
-def stripes(texts: DataFrame, length: int, frequent: FrequentPhrases | None, parts: int) -> DataFrame:
+    begin = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])))
+    first = at[begin]
+    spell = lambda c: words.take(pa.array(c))
+    empty = pa.array([b""] * len(begin), words.type)
+    spelled = pc.binary_join_element_wise(*[spell(text[first + i]) for i in range(length)], pa.scalar(b" ", words.type)) if length else empty
+    bounds = pa.array(np.append(begin, len(following)).astype(np.int32))
+    counters = pa.ListArray.from_arrays(bounds, spell(following).cast(pa.binary()).cast(pa.string()))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([lang.decode()] * len(begin), pa.string()),
+            spelled.cast(pa.binary()).cast(pa.string()),
+            pa.array(part[begin].astype(np.int32)),
+            pc.binary_join(counters, " "),
+            pa.ListArray.from_arrays(bounds, pa.array(n.astype(np.int32))),
+        ],
+        ["lang", "prefix", "part", "next", "n"],
+    )
+
+
+def stripes(texts: DataFrame, length: int, frequent: list[FrequentPhrases], parts: int) -> DataFrame:
     """Tasks' stripes (lang, prefix, part, next, n) of the prefixes of ``length`` words, of texts (lang, text in UTF-8).
 
-    ``frequent`` knows the frequent phrases of ``length`` words; entries that cannot be frequent are left out.
+    ``frequent`` knows the frequent phrases of one word up to ``length``; entries that cannot be frequent are left out.
     """
+    frequent = [frequent[0], frequent[-1]] if frequent else []
 
     def build(batches):
         held, size = {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang not in held:
-                    codes = defaultdict(count().__next__)
-                    codes[b"."], codes[b""]  # the end of a piece is 0; empty strings between spaces go
-                    held[lang] = codes, []
-                codes, texts = held[lang]
-                found = tokens(text)
-                coded = np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
-                texts += [coded[coded != 1], np.zeros(1, np.int64)]
-                size += len(found) + 1
-                if size >= CHUNK_TOKENS:
-                    for lg, (words, parts_) in held.items():
-                        yield from partial_stripes(np.concatenate(parts_), list(words), lg, length, frequent, parts)
+                if not text:
+                    continue
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    for lg, some in held.items():
+                        yield from partial_stripes(some, lg, length, frequent, parts)
                     held, size = {}, 0
-        for lg, (words, parts_) in held.items():
-            yield from partial_stripes(np.concatenate(parts_), list(words), lg, length, frequent, parts)
+        for lg, some in held.items():
+            yield from partial_stripes(some, lg, length, frequent, parts)
 
-    return texts.mapInArrow(build, "lang string, prefix string, part int, next array<string>, n array<long>")
+    return texts.mapInArrow(build, "lang string, prefix string, part int, next string, n array<int>")
 
 
 def merged(partial: DataFrame) -> DataFrame:
     """Stripes merged elementwise: one row (lang, prefix, next, f) an entry. Parts of stripes are shuffled whole and opened where they meet."""
     met = partial.repartition("lang", "prefix", "part")
-    entries = met.select("lang", "prefix", "part", F.explode(F.arrays_zip("next", "n")).alias("e"))
+    entries = met.select("lang", "prefix", "part", F.explode(F.arrays_zip(F.split("next", " ").alias("next"), "n")).alias("e"))
     return entries.groupBy("lang", "prefix", "part", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("f")).drop("part")
 
 
@@ -154,9 +175,10 @@ def frequencies(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_CO
     """The frequent phrases (lang, words, f) of up to ``longest`` words and, for each lang, the number of its words (lang, n)."""
     spark = docs.sparkSession
     texts = docs.select(F.encode(F.coalesce(F.col(lang), F.lit("und")), "UTF-8").alias("lang"), F.encode(F.col(text), "UTF-8").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    levels, frequent, totals = [], None, None
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    levels, frequent, totals = [], [], None
     for length in range(longest):
+        parts = -(-partitions // PARTITIONS_A_PART) if length else partitions
         entries = merged(stripes(texts, length, frequent, parts))
         if length == 0:
             entries = stored(entries, "vocabulary")
@@ -165,7 +187,7 @@ def frequencies(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_CO
         level = stored(entries.filter(F.col("f") >= min_count).select("lang", words.alias("words"), "f"), "frequent")
         levels.append(level)
         if length + 1 < longest:
-            frequent = bitmap(level)
+            frequent.append(bitmap(level))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
