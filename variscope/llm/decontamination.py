@@ -29,7 +29,7 @@ from variscope.llm.urls import LOWER, UPPER
 from variscope.llm.words import alnum_words
 
 WIDTH = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 SAMPLE = 8
 #: Words of the phrases that are searched at once.
 BLOCK_WORDS = 1 << 20
@@ -53,7 +53,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     bits = max(1, int(first.max()).bit_length())
     h = 63 // bits
     key = first.copy()
-    for j in range(1, h):
+    for j in range(1, min(h, n)):
         key <<= bits
         key[: n - j] |= first[j:]
     places = np.argsort(key)
@@ -148,7 +148,7 @@ class Index:
         low, high = np.zeros(len(some), np.int64), np.full(len(some), self.before[-1])
         code, place = np.unique(phrases[some], return_inverse=True)
         base = self.before[code] - self.sink(code, np.zeros(len(code), np.int64))
-        place = place.reshape(len(some), -1)
+        place = place.reshape(len(some), phrases.shape[1])
         for column in range(phrases.shape[1] - 1, -1, -1):
             more = np.flatnonzero((code[place[:, column]] > 0) & (low < high))
             p = place[more, column]
