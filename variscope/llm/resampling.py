@@ -32,7 +32,7 @@ LONGEST = 1
 MIN_WORDS = 20
 PERCENT = 10
 SEED = 2024
-#: Every so many rows of a run give a sample.
+#: Every so many rows of a run give a sample; two at least.
 STEP = 64
 #: Samples that the driver sorts by itself.
 SORTED_AT_ONCE = 1 << 16
@@ -136,7 +136,8 @@ def splitters(samples: DataFrame, high: str, key: str, ranges: int) -> list[tupl
     if n <= SORTED_AT_ONCE:
         found = sorted(sort_key(r[high], r[key], r["_at"]) for r in samples.collect())
         return found[each::each]
-    ordered = ranked(samples.withColumnRenamed("_at", "_sampled"), high, key)
+    few = samples.coalesce(max(1, n // STEP**2))  # runs long enough that their samples are fewer
+    ordered = ranked(few.withColumnRenamed("_at", "_sampled"), high, key)
     chosen = ordered.filter((F.col("rank") > 1) & ((F.col("rank") - 1) % each == 0)).select(high, key, "_sampled").collect()
     return sorted(sort_key(*r) for r in chosen)
 
