@@ -19,6 +19,8 @@ CAPACITY = 2048
 #: Rows of one length are ranked in so many parts, so that a length that most rows share is no single task.
 RANK_PARTS = 64
 FLUSH_BYTES = 8 << 20
+#: Blanks in a row that the fast library's pattern, which looks ahead, is trusted with; it fails at about a million.
+LONG_BLANKS = 20_000
 # Fixed value: the pattern that cuts a text for this kind of vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -35,9 +37,11 @@ def encoder(path: str, end_id: int):
 
     The ids are those of the tokenizer in the file. Rare words cost its merge loop most of the time, so for a
     plain byte-level BPE file the merges run on ranks read from it, in another library that is several times as
-    fast; texts that hold a special token of the file, and all texts of other kinds of file, take the tokenizer.
+    fast; texts that hold a special token of the file or a very long run of blanks, and all texts of other kinds
+    of file, take the tokenizer.
     """
     import json
+    import re
 
     import numpy as np
     import tiktoken
@@ -58,9 +62,10 @@ def encoder(path: str, end_id: int):
     spelled = byte_spellings()
     ranks = {bytes(spelled[c] for c in piece): n for piece, n in tok.get_vocab(with_added_tokens=False).items() if piece not in special}
     fast = tiktoken.Encoding("by_ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    blanks = re.compile(rf"\s{{{LONG_BLANKS}}}")
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or len(text) >= LONG_BLANKS and blanks.search(text):
             return plain(text)
         return np.array(fast.encode_ordinary(text), "<u4").tobytes() + end
 
