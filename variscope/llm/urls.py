@@ -59,7 +59,8 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", parts: int = PARTS) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` (host and path of the longest rule that fits, else null) and ``verdict``.
 
-    ``rules`` has host, path and verdict ('allow' or 'block'). Every page keeps its row and columns; names
+    ``rules`` has host, path and verdict ('allow' or 'block'). Of rules that are equally long the one with the longer
+    host counts. Every page keeps its row and columns; names
     that the result adds must be free. Pages meet the sweep as distinct pairs of host and path start, so a
     host with many pages is one key for each start.
     """
@@ -84,7 +85,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     last = F.last("stack", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     active = F.element_at(F.filter("_stack", lambda x: x["end"] > F.col("k")), -1)
     hits = swept.withColumn("_stack", last).filter("host IS NOT NULL").withColumn("_hit", F.when(F.exists("_stack", lambda x: x["end"] > F.col("k")), active))
-    best = hits.filter("_hit IS NOT NULL").groupBy("host", "_head").agg(F.max_by(F.struct(F.col("_hit.rule"), F.col("_hit.verdict")), F.length("_hit.rule")).alias("_best"))
+    best = hits.filter("_hit IS NOT NULL").groupBy("host", "_head").agg(F.max_by(F.struct(F.col("_hit.rule"), F.col("_hit.verdict")), F.struct(F.length("_hit.rule"), F.col("_hit.long"))).alias("_best"))
     best = best.select(F.col("host").alias("_bh"), F.col("_head").alias("_bp"), "_best")
     judged = parsed.join(best, (F.col("host") == F.col("_bh")) & (F.col("_head") == F.col("_bp")), "left")
     return judged.select(
