@@ -32,6 +32,8 @@ DEPTH = 4
 #: Sets of a node that are compared exhaustively in one task. Larger nodes branch; after DEPTH levels their
 #: pairs are compared block by block, so no pair of a node is left out.
 NODE_SETS = 2048
+#: Shingles of the full sets that one task compares at once; larger teams meet block by block.
+TEAM_SHINGLES = 1 << 23
 #: A pair is compared on full sets if its estimate falls short of the threshold by no more than this: five
 #: standard deviations of the estimate from 64 values at 0.8.
 MARGIN = 0.25
@@ -254,6 +256,16 @@ def likely_groups(nodes: DataFrame, sets: DataFrame, least_equal: int, tokens: i
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "team binary, vertex binary").distinct()
 
 
+def in_blocks(teams: DataFrame, bound: int) -> DataFrame:
+    """Teams (team, vertex, label, n_shingles) of more shingles than ``bound`` as teams of two blocks each, so that any two sets still meet."""
+    sizes = teams.groupBy("team").agg(F.ceil(F.sum("n_shingles") * 2 / bound).cast("int").alias("n"))
+    blocks = F.when(F.col("n") <= 2, 1).otherwise(F.col("n"))
+    own = teams.join(sizes, "team").withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64("vertex"), F.col("_n")).cast("int"))
+    met = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).filter("_n = 1 OR _own <> _other")
+    pair = F.concat_ws(",", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return met.select(F.concat("team", F.encode(pair, "UTF-8")).alias("team"), "vertex", "label")
+
+
 def links(teams: DataFrame, sets: DataFrame, percent: int, kind: T.DataType) -> DataFrame:
     """``a``, ``b``: labels linked by pairs confirmed on full sets, as many as it takes to connect what is linked in a team."""
     import pyarrow as pa
@@ -313,6 +325,7 @@ def near_duplicates(
     trees: int = TREES,
     node_sets: int = NODE_SETS,
     depth: int = DEPTH,
+    team_shingles: int = TEAM_SHINGLES,
 ) -> DataFrame:
     """One row for each row of ``docs``: key, n_shingles, component_id, kept.
 
@@ -329,17 +342,17 @@ def near_duplicates(
     # One document stands for all with an equal set.
     classes = stored(usable.groupBy("vertex").agg(F.min("key").alias("rep")), "classes")
     chosen = usable.join(classes.select(F.col("vertex").alias("_v"), F.col("rep").alias("_rep")), (F.col("vertex") == F.col("_v")) & (F.col("key") == F.col("_rep")), "left_semi")
-    sets = stored(chosen.select("vertex", "key", "tokens").dropDuplicates(["vertex"]).withColumn("label", F.col("key")), "sets")
+    sets = stored(chosen.select("vertex", "key", "tokens", "n_shingles").dropDuplicates(["vertex"]).withColumn("label", F.col("key")), "sets")
     least_equal = max(1, int(TOKENS * max(0.0, percent / 100 - MARGIN)))
     numbers = range(trees)
     for some in [x for x in (numbers[:1], numbers[1:]) if x]:
         teams = stored(likely_groups(paths(sets, some, depth=depth, node_sets=node_sets), sets, least_equal), "teams")
         wanted = stored(sets.join(teams, "vertex", "left_semi").select("key").distinct(), "wanted")
         texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
-        named = teams.join(sets.select("vertex", "label"), "vertex")
+        named = in_blocks(teams.join(sets.select("vertex", "label", "n_shingles"), "vertex"), team_shingles)
         closed = components(links(named, full_sets(texts, "key", "text", width), percent, kind))
         closed = closed.select(F.col("vertex").alias("_from"), F.col("component").alias("_to"))
-        sets = sets.join(closed, F.col("label") == F.col("_from"), "left").select("vertex", "key", "tokens", F.coalesce("_to", "label").alias("label"))
+        sets = sets.join(closed, F.col("label") == F.col("_from"), "left").select("vertex", "key", "tokens", "n_shingles", F.coalesce("_to", "label").alias("label"))
         if some[-1] < trees - 1:
             sets = stored(sets, "sets")
     labels = sets.select(F.col("vertex").alias("_v"), "label")
