@@ -54,7 +54,7 @@ def test_entry_has_a_stable_schema(spark):
 def test_every_query_is_registered_once():
     names, inventory = E.queries(), load()
     assert set(E.oracle_sql()) <= set(names) and set(inventory) <= set(names) and len(inventory) > 140
-    assert {n for n, e in inventory.items() if e.sql is None} == {"evidence_table", "evidence_for_kinds", "content_fingerprint"}
+    assert {n for n, e in inventory.items() if e.sql is None} == {"evidence_table", "evidence_for_kinds"}
 
 
 @needs_data

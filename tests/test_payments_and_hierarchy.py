@@ -66,6 +66,35 @@ def test_children_keep_the_rest_as_other(spark):
     assert P.hierarchy_children(df, [], "category", ["category"], 9, other=False).count() == 9
 
 
+def test_tree_ids_chain_and_subtrees_are_intervals(spark):
+    rows = [("A", "x", "1", 5.0), ("A", "x", "2", 7.0), ("A", "y", None, 1.0), ("A", None, "1", 2.0), (None, "x", "1", 4.0), ("B", "x", "1", 3.0), ("B", "x", "1", 3.0), ("A", "y", "1", None), ("B", "", "é", 1.0)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, dollar_amount double")
+    tree = P.hierarchy_tree(df, ["a", "b", "c"])
+    got = {r["node_id"]: r for r in tree.collect()}
+    paths = {}
+    for r in got.values():
+        path, at = [], r
+        while at["parent_node_id"] is not None:
+            path.insert(0, at["value"])
+            assert got[at["parent_node_id"]]["level_index"] == at["level_index"] - 1
+            at = got[at["parent_node_id"]]
+        paths[tuple(path)] = r
+    kept = [(tuple(list(x[:3])[: next((i for i, v in enumerate(x[:3]) if v is None), 3)]), x[3]) for x in rows if x[3] is not None]
+    assert set(paths) == {p[:i] for p, _ in kept for i in range(len(p) + 1)} and len(got) == len(paths)
+    leaves = sorted({p for p, _ in kept})
+    for path, r in paths.items():
+        below = [v for p, v in kept if p[: len(path)] == path]
+        assert (r["amount"], r["transactions"]) == (sum(below), len(below))
+        inside = [i for i, p in enumerate(leaves) if p[: len(path)] == path]
+        assert (r["first_leaf"], r["end_leaf"]) == (inside[0], inside[-1] + 1) and len(inside) == r["end_leaf"] - r["first_leaf"]
+        assert {x["node_id"] for x in P.subtree(tree, r["node_id"]).collect()} == {x["node_id"] for p, x in paths.items() if p[: len(path)] == path}
+        if path:
+            assert r["share_of_parent"] == pytest.approx(r["amount"] / paths[path[:-1]]["amount"])
+    child = P.hierarchy_children(df, [("a", "A"), ("b", "x")], "c", ["a", "b", "c"]).collect()
+    assert {(r["node_id"], r["parent_node_id"]) for r in child if r["drillable"]} == {(paths["A", "x", c]["node_id"], paths["A", "x"]["node_id"]) for c in "12"}
+    assert P.hierarchy_tree(df.limit(0), ["a"]).count() == 0 and P.subtree(tree, "no such node").count() == 0
+
+
 def chain(spark, n=10):
     rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(n)]
     return spark.createDataFrame(rows, "node_id string, parent_id string")

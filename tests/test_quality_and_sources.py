@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -185,6 +186,63 @@ def test_fingerprint_ignores_order_and_sees_copies(spark):
     assert h(df) != h(df.unionAll(df)) and h(df) != h(df.unionAll(df.filter("x = 1")))
 
 
+FREE_DATES = {
+    "January 5, 2024": "2024-01-05 00:00", "5 Jan 2024": "2024-01-05 00:00", "Jan 2024": "2024-01-01 00:00", "2024/01/05 10:00": "2024-01-05 10:00",
+    "jan 5 2024": "2024-01-05 00:00", "5-JAN-2024": "2024-01-05 00:00", "Fri, 5 Jan 2024 22:15:30 GMT": "2024-01-05 22:15", "Friday January 5, 2024": "2024-01-05 00:00",
+    "Sept. 9, 2023 3:07 pm": "2023-09-09 15:07", "12/31/1999 11:59:59 PM": "1999-12-31 23:59", "1-2-2024": "2024-01-02 00:00", "2024/1/5 7:05:09": "2024-01-05 07:05",
+    "  5   Jan, 2024 ": "2024-01-05 00:00", "May 2024": "2024-05-01 00:00", "2024-03-04T05:06:07Z": "2024-03-04 05:06", "3/7/2024": "2024-03-07 00:00", "Mar 7, 2024": "2024-03-07 00:00",
+}
+NO_DATES = ["", "Jan", "January", "5 Foo 2024", "32 Jan 2024", "Jan 5, 20245", "13/45/2024", "5/2024/1", "Jan 5, 1492", "2024/01/05 25:00", "hello 2024", "12:30", "Jan 5"]
+
+
+def test_free_form_dates_by_their_shape(spark):
+    from variscope.functions.timeparse import parse_time_value
+
+    df = spark.createDataFrame([(t,) for t in [*FREE_DATES, *NO_DATES, None]], "t string")
+    got = {r["t"]: r["d"] for r in df.select("t", F.date_format(parse_time_value(df, "t")["ts"], "yyyy-MM-dd HH:mm").alias("d")).collect()}
+    assert {t: got[t] for t in FREE_DATES} == FREE_DATES
+    assert [t for t in [*NO_DATES, None] if got[t] is not None] == []
+
+
+def test_fingerprints_of_parts_merge(spark):
+    rows = [(i % 3, i % 7, None if i % 5 == 0 else f"t{i % 4}", i / 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "part int, x int, y string, z double")
+    whole = R.content_fingerprint(df.drop("part")).first()
+    merged = R.merge_fingerprints(R.fingerprint_parts(df, ["part"]), ["x", "y", "z"]).first()
+    assert merged == whole
+    h = [int(hashlib.md5("\x1f".join(["x=" + str(x), "y=" + ("\x00" if y is None else y), "z=" + repr(z)]).encode()).hexdigest()[:15], 16) for _, x, y, z in rows]
+    xor = 0
+    for v in h:
+        xor ^= v
+    assert whole["row_count"] == 200 and whole["digest"] == f"{sum(h)}-{xor}"
+    assert R.content_fingerprint(df.limit(0)).first()["digest"] == "0-0"
+    other = R.content_fingerprint(df.drop("part").withColumn("x", F.when(F.col("z") == 3.0, 99).otherwise(F.col("x")))).first()
+    assert other["content_hash"] != whole["content_hash"]
+
+
+def test_stored_snapshots_are_audited(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    data = spark.createDataFrame([(i, i * 2.0) for i in range(20)], "k int, v double")
+    ledger = spark.createDataFrame([("e1", "run-1"), ("e2", "run-1")], "evidence_id string, run_id string")
+    save = lambda run, led: K.save_investigation(data, {"scope": data, "none": data.limit(0)}, led, folder, run, "m", {"grain": "month"}, [("region", "A")])
+    first, second = save("run-1", ledger), save("run-2", ledger.withColumn("run_id", F.lit("run-2")))
+    assert first != second and K.audit_snapshots(spark, folder, {"run-1": data, "run-2": data.orderBy(F.desc("k"))}).count() == 0
+    row = spark.read.json(f"{folder}/manifest").filter("run_id = 'run-1'").first()
+    assert row["ledger_run_id"] == "run-1" and row["configuration"] == '{"grain": "month"}' and row["predicates"] == '[["region", "A"]]' and len(row["content_hash"]) == 64
+    # One changed row, one lost table row, one piece of evidence that nobody allowed, another run's ledger.
+    K.write_run(data.withColumn("v", F.when(F.col("k") == 7, -1.0).otherwise(F.col("v"))), f"{folder}/scope", "run-1")
+    K.write_run(spark.createDataFrame([("e1", "run-2"), ("e9", "run-2")], "evidence_id string, ledger_run_id string"), f"{folder}/ledger", "run-2")
+    third = save("run-3", ledger)
+    K.write_run(data.filter("k > 0"), f"{folder}/scope", "run-3")
+    errors = {tuple(r) for r in K.audit_snapshots(spark, folder, {"run-2": data.filter("k <> 3")}).collect()}
+    assert errors == {
+        (first, "content_mismatch", "scope"), (second, "content_mismatch", "ledger"), (second, "evidence_not_allowed", "e9"), (second, "dataset_changed", "run-2"),
+        (third, "run_mismatch", None), (third, "content_mismatch", "scope"),
+    }
+    with pytest.raises(ValueError):
+        K.save_investigation(data, {"ledger": data}, ledger, folder, "run-4", "m", {})
+
+
 def test_evidence_rows_are_redacted(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(600)], "i int, phone string")
     got = R.evidence_rows(df, ["phone"], ["i"], 500).collect()

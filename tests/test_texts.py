@@ -38,7 +38,7 @@ def test_summary_counts_articles_once(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_both_mention_joins_match_brute_force(spark, seed):
+def test_mentions_match_brute_force(spark, seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abé.-") for _ in range(rng.randint(1, 4)))
     texts = [(i, rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.randint(0, 25)))) for i in range(40)]
@@ -47,9 +47,19 @@ def test_both_mention_joins_match_brute_force(spark, seed):
     docs = spark.createDataFrame(texts, "id int, body string")
     terms = spark.createDataFrame([(v,) for v in values], "term string")
     expected = {(i, v) for i, t in texts for v in values if v.strip() and v.lower() in t.lower()}
-    for direct in (500, 0):
-        got = {tuple(r) for r in T.mention_join(docs, "body", "id", terms, "term", direct=direct).collect()}
-        assert got == expected
+    got = {tuple(r) for r in T.mention_join(docs, "body", "id", terms, "term").collect()}
+    assert got == expected
+    assert T.mention_join(docs.limit(0), "body", "id", terms, "term").count() == 0 and T.mention_join(docs, "body", "id", terms.limit(0), "term").count() == 0
+
+
+def test_mentions_shuffle_surroundings_and_not_texts(spark):
+    docs = spark.createDataFrame([(i, "the " * 300 + f"quick brown{i % 7} fox the") for i in range(60)], "id int, body string")
+    terms = spark.createDataFrame([("the quick brown3",), ("X the the",), ("the the",), ("he",)], "term string")
+    found = T.mention_join(docs, "body", "id", terms, "term")
+    got = found.groupBy("value").count().collect()
+    assert {r["value"]: r["count"] for r in got} == {"the quick brown3": sum(i % 7 == 3 for i in range(60)), "the the": 60, "he": 60}
+    shuffled = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert shuffled and not any("_text" in x or "body" in x for x in shuffled)
 
 
 def test_why_factor_parts(spark):
@@ -109,3 +119,89 @@ def test_unknown_evidence(spark):
     ledger = spark.createDataFrame([("r", "e1")], "run_id string, evidence_id string")
     claims = spark.createDataFrame([("r", "e1", "c1"), ("r", "e2", "c2"), ("q", "e1", "c3")], "run_id string, evidence_id string, claim_id string")
     assert {r["claim_id"] for r in G.unknown_evidence(claims, ledger).collect()} == {"c2", "c3"}
+
+
+RUN = "run-1"
+
+
+def _claim_tables(spark):
+    from variscope.operators.claims import RESPONSE
+
+    responses = spark.createDataFrame(
+        [
+            (RUN, "good", [("c1", ["e1", "e2"])], [("scan", ["e1"])], [("region", [("channel", "Web")])]),
+            (RUN, "empty claim", [("c1", ["e1"]), ("c2", []), ("c3", None)], None, None),
+            (RUN, "unknown", [("c1", ["e1", "e9", "e1", None])], [("scan", []), ("trend", ["e8"])], [(None, [("secret", "x"), ("region", "y")]), ("secret", None), ("", [])]),
+            (RUN, "nothing", [], None, []),
+            ("run-2", "other run", [("c1", ["e1"])], None, None),
+            (None, "no run", [("c1", ["e1"])], None, None),
+        ],
+        RESPONSE,
+    )
+    ledger = spark.createDataFrame([(RUN, "e1"), (RUN, "e1"), (RUN, "e2"), ("run-2", "e7"), (None, "e1"), (RUN, None)], "run_id string, evidence_id string")
+    allowed = spark.createDataFrame([(RUN, "region"), (RUN, "channel")], "run_id string, dimension string")
+    return responses, ledger, allowed
+
+
+def test_claims_traces_and_drills_are_resolved(spark):
+    from variscope.operators.claims import claim_check, claim_errors
+
+    tables = _claim_tables(spark)
+    errors = {(r["answer_id"], r["part"], r["at"], r["name"], r["ref_at"], r["ref"], r["error"]) for r in claim_errors(*tables).collect()}
+    assert errors == {
+        ("empty claim", "claim", 1, "c2", None, None, "claim_without_evidence"),
+        ("empty claim", "claim", 2, "c3", None, None, "claim_without_evidence"),
+        ("unknown", "claim", 0, "c1", 1, "e9", "claim_unknown_evidence"),
+        ("unknown", "claim", 0, "c1", 3, None, "claim_unknown_evidence"),
+        ("unknown", "tool", 1, "trend", 0, "e8", "tool_unknown_evidence"),
+        ("unknown", "predicate", 0, "secret", 0, "secret", "predicate_disallowed_dimension"),
+        ("unknown", "action", 1, "secret", None, "secret", "action_disallowed_dimension"),
+        ("other run", "claim", 0, "c1", 0, "e1", "claim_unknown_evidence"),
+        ("no run", "claim", 0, "c1", 0, "e1", "claim_unknown_evidence"),
+    }
+    rows = {r["answer_id"]: r for r in claim_check(*tables).collect()}
+    assert len(rows) == 6 and [k for k, r in rows.items() if r["valid"]] == ["good", "nothing"]
+    assert rows["good"]["references"] == 5 and rows["unknown"]["references"] == 8 and rows["nothing"]["claims"] == 0
+    assert (rows["empty claim"]["claims_without_evidence"], rows["unknown"]["unknown_in_claims"]) == (2, 2)
+
+
+def test_grounding_takes_the_verdict_on_claims(spark):
+    from variscope.operators.claims import claim_check
+    from variscope.operators.grounding import grounding_check
+
+    responses, ledger, allowed = _claim_tables(spark)
+    answers = responses.select("run_id", "answer_id", F.lit(5).alias("position"), F.lit("up 12").alias("answer"), F.col("run_id").alias("calculation_run_id"))
+    evidence = ledger.dropna().select("run_id", F.lit(1).alias("position"), F.lit("scope").alias("kind"), F.lit("12 rows").alias("text"))
+    rows = {r["answer_id"]: r for r in grounding_check(answers, evidence, claim_check(responses, ledger, allowed)).collect()}
+    assert rows["good"]["passed"] and rows["good"]["score"] == 100
+    assert not rows["unknown"]["evidence_references"] and rows["unknown"]["numeric_grounding"] and rows["unknown"]["score"] == 75
+
+
+def test_long_tokens_in_long_digit_runs(spark):
+    rng = random.Random(6)
+    digits = "".join(rng.choice("0123456789") for _ in range(100_000))
+    starts = [rng.randrange(90_000) for _ in range(50)]
+    inside = [digits[i : i + 1 + n] for n, i in enumerate(starts)] + [digits[5:3000], digits]
+    outside = [digits[i : i + 20] + "x" for i in (0, 50)] + ["1" * 30, digits[100:140][::-1], digits + "1", digits[:9] + digits[20:29]]
+    outside = [t.replace("x", "7" if digits[digits.find(t[:-1]) + 20] != "7" else "8") for t in outside]
+    answers = spark.createDataFrame(
+        [("r", i, 9, t, "r") for i, t in enumerate(inside + outside)] + [("other", 1000, 9, inside[30], "other")],
+        "run_id string, answer_id int, position int, answer string, calculation_run_id string",
+    )
+    evidence = spark.createDataFrame([("r", 3, "scope", f"first 12 {digits} and"), ("r", 4, "scope", None), ("other", 3, "scope", "nothing 5")], "run_id string, position int, kind string, text string")
+    got = {r["answer_id"]: r["unsupported_numbers"] for r in G.grounding_check(answers, evidence).collect()}
+    assert {i for i, n in got.items() if n == 0} == set(range(len(inside)))
+
+
+def test_tokens_of_all_lengths_match_a_plain_search(spark):
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice("12,.") for _ in range(n))
+    texts = [(rng.choice("ab"), p, f"x {number(rng.randint(1, 40))} y {number(rng.randint(1, 25))}%") for p in range(60)]
+    answers = [(rng.choice("ab"), i, rng.randint(0, 60), f"{rng.choice('+-$ ')}{rng.choice('12')}{number(rng.randint(0, 14))}") for i in range(200)]
+    a = spark.createDataFrame([(r, i, p, t, r) for r, i, p, t in answers], "run_id string, answer_id int, position int, answer string, calculation_run_id string")
+    e = spark.createDataFrame([(r, p, "scope", t) for r, p, t in texts], "run_id string, position int, kind string, text string")
+    tokens = {r["answer_id"]: r["t"] for r in a.select("answer_id", G.number_tokens(F.col("answer")).alias("t")).collect()}
+    got = {r["answer_id"]: r["unsupported_numbers"] for r in G.grounding_check(a, e).collect()}
+    for run, i, p, _ in answers:
+        want = sum(not any(r == run and q < p and t in text for r, q, text in texts) for t in tokens[i])
+        assert got[i] == want, (run, i, p, tokens[i])

@@ -7,6 +7,7 @@ from variscope.catalog.registry import ENTRIES, Entry
 MODULES = [
     "cohorts",
     "attribution",
+    "drivers",
     "timeseries",
     "payments",
     "quality",
@@ -14,6 +15,7 @@ MODULES = [
     "semantics",
     "hierarchies",
     "texts",
+    "claims",
     "storage",
 ]
 

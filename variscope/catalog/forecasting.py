@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from variscope.catalog.registry import FACT, day, query, r
@@ -156,3 +158,74 @@ def affected_vs_control(spark, sf):
 )
 def trend_slope(spark, sf):
     return E.trend_slope(_daily(spark, sf), "residual", "day", ["event_type"]).select("event_type", r("slope"))
+
+
+ASIA, BUILDING, EUROPE = (("region", "ASIA"),), (("segment", "BUILDING"),), (("region", "EUROPE"),)
+COHORT_EVENTS = (
+    E.CohortEvent("tariff", date(1995, 6, 17), ASIA, BUILDING, "unfavorable"),
+    E.CohortEvent("rebate", date(1996, 2, 1), ASIA + BUILDING, None, "favorable", 14, 21),
+    E.CohortEvent("strike", date(1994, 9, 5), BUILDING, EUROPE, None, 60, 45),
+    E.CohortEvent("opening", date(1992, 1, 4), EUROPE, ASIA, "unfavorable", 3, 10),
+    E.CohortEvent("overlap", date(1995, 6, 17), ASIA + BUILDING, BUILDING, None, 40, 40),
+)
+
+
+def _cohort_events_sql() -> str:
+    """The events as a table, and each cohort's days by its own filter, one after the other."""
+    values = ", ".join(
+        f"('{e.event_id}', DATE '{e.day}', '{E.cohort_name(e.affected)}', {'NULL' if e.control is None else repr(E.cohort_name(e.control))}, "
+        f"{repr(e.expected_direction) if e.expected_direction else 'NULL'}, greatest(7, {e.pre_days}), greatest(7, {e.post_days}))"
+        for e in COHORT_EVENTS
+    )
+    cohorts = {E.cohort_name(c): c for e in COHORT_EVENTS for c in (e.affected, e.control) if c is not None}
+    where = {name: " AND ".join(f"{d} = '{v}'" for d, v in c) for name, c in cohorts.items()}
+    days = " UNION ALL ".join(
+        f"SELECT '{name}' AS c, period_date AS day, cast(sum(actual) AS DOUBLE) AS a, cast(sum(target) AS DOUBLE) AS e FROM fact WHERE {w} GROUP BY 2" for name, w in where.items()
+    )
+    shared = " UNION ALL ".join(
+        f"SELECT '{e.event_id}' AS event_id, count(*) AS shared FROM fact WHERE {where[E.cohort_name(e.affected)]} AND {where[E.cohort_name(e.control)]} "
+        f"AND period_date BETWEEN DATE '{e.first_day}' AND DATE '{e.last_day}'"
+        for e in COHORT_EVENTS
+        if e.control is not None
+    )
+    return f"""WITH {FACT}, ev AS (SELECT * FROM (VALUES {values}) AS v(event_id, event_day, affected, control, wanted, pre, post)),
+d AS ({days}), shared AS ({shared}),
+sides AS (SELECT *, 'affected' AS side, affected AS c FROM ev UNION ALL SELECT *, 'control', control FROM ev WHERE control IS NOT NULL),
+days AS (SELECT event_id, side, day, a, e, a - e AS residual, CASE WHEN day < event_day THEN 'pre' ELSE 'post' END AS phase
+  FROM sides JOIN d USING (c) WHERE day BETWEEN event_day - pre AND event_day + post),
+idx AS (SELECT *, row_number() OVER (PARTITION BY event_id, side, phase ORDER BY day) - 1 AS i FROM days),
+side AS (SELECT event_id, side, count(*) FILTER (WHERE phase = 'pre') AS npre, count(*) FILTER (WHERE phase = 'post') AS npost,
+  coalesce(avg(a) FILTER (WHERE phase = 'pre'), 0) AS pre_actual, coalesce(avg(e) FILTER (WHERE phase = 'post'), 0) AS post_expected,
+  coalesce(avg(residual) FILTER (WHERE phase = 'post'), 0) - coalesce(avg(residual) FILTER (WHERE phase = 'pre'), 0) AS chg,
+  CASE WHEN count(*) FILTER (WHERE phase = 'pre') > 1 THEN regr_slope(residual, i) FILTER (WHERE phase = 'pre') ELSE 0 END AS slope FROM idx GROUP BY ALL),
+pm AS (SELECT event_id, median(residual) AS m, count(*) AS n FROM idx WHERE phase = 'pre' GROUP BY 1),
+scl AS (SELECT event_id, CASE WHEN any_value(n) < 2 THEN 0 ELSE coalesce(nullif(1.4826 * median(abs(residual - m)), 0), stddev_pop(residual)) END AS scale
+  FROM idx JOIN pm USING (event_id) WHERE phase = 'pre' GROUP BY 1),
+st AS (SELECT ev.*, coalesce(a.npre, 0) AS npre, coalesce(a.npost, 0) AS npost, coalesce(a.chg, 0) AS ac, CASE WHEN control IS NOT NULL THEN coalesce(b.chg, 0) END AS cc,
+  a.pre_actual, b.post_expected, a.slope, coalesce(a.chg, 0) - coalesce(b.chg, 0) AS raw, coalesce(scale, 0) AS scale,
+  CASE WHEN control IS NOT NULL THEN greatest(0, 1 - abs(coalesce(a.slope, 0) - coalesce(b.slope, 0)) / greatest(coalesce(scale, 0), 1)) END AS par,
+  coalesce(a.npre, 0) >= 5 AND coalesce(a.npost, 0) >= 5 AND (control IS NULL OR (coalesce(b.npre, 0) >= 5 AND coalesce(b.npost, 0) >= 5)) AS enough, shared
+  FROM ev LEFT JOIN side a ON a.event_id = ev.event_id AND a.side = 'affected' LEFT JOIN side b ON b.event_id = ev.event_id AND b.side = 'control'
+  LEFT JOIN scl ON scl.event_id = ev.event_id LEFT JOIN shared ON shared.event_id = ev.event_id),
+fin AS (SELECT *, CASE WHEN scale > 0 THEN abs(raw) / scale ELSE 0 END AS std, CASE WHEN raw > 0 THEN 'favorable' WHEN raw < 0 THEN 'unfavorable' ELSE 'neutral' END AS dir FROM st),
+done AS (SELECT *, CASE WHEN NOT enough THEN 'insufficient' WHEN wanted <> dir AND std >= 0.75 THEN 'contradicted'
+  WHEN std >= 1 AND (control IS NULL OR par >= 0.5) THEN 'supported' ELSE 'weak' END AS status FROM fin)
+SELECT event_id, affected, control, CASE WHEN control IS NULL THEN 'pre_post' ELSE 'difference_in_differences' END AS method, npre AS pre_periods, npost AS post_periods,
+  round(ac, 4) AS affected_change, round(cc, 4) AS control_change, round(raw, 4) AS raw_effect, dir AS impact_direction, round(std, 6) AS standardized_effect,
+  round(par, 6) AS parallel_trend_score, status, CASE WHEN status = 'supported' AND control IS NOT NULL AND par >= 0.75 AND std >= 1.5 THEN 'high'
+    WHEN status = 'insufficient' OR par < 0.5 THEN 'low' ELSE 'medium' END AS confidence, shared AS shared_rows, round(coalesce(pre_actual, 0), 4) AS pre_actual,
+  CASE WHEN control IS NOT NULL THEN round(coalesce(post_expected, 0), 4) END AS control_post_expected, round(coalesce(slope, 0), 6) AS pre_trend_slope,
+  concat_ws(',', CASE WHEN control IS NULL THEN 'no_control' END, CASE WHEN par < 0.5 THEN 'pre_trends_differ' END, CASE WHEN NOT enough THEN 'too_few_periods' END) AS diagnostics
+FROM done"""
+
+
+@query("event_study_cohorts", _cohort_events_sql())
+def event_study_cohorts(spark, sf):
+    df = fact(spark, sf, ["period_date", "actual", "target", "region", "segment"])
+    found = E.cohort_event_study(df, "period_date", "actual", "target", COHORT_EVENTS)
+    return found.select(
+        "event_id", "affected", "control", "method", "pre_periods", "post_periods", r("affected_change", 4), r("control_change", 4), r("raw_effect", 4),
+        "impact_direction", r("standardized_effect"), r("parallel_trend_score"), "status", "confidence", "shared_rows",
+        F.round("affected_summary.pre_actual", 4).alias("pre_actual"), F.round("control_summary.post_expected", 4).alias("control_post_expected"),
+        F.round("affected_summary.pre_trend_slope", 6).alias("pre_trend_slope"), F.array_join("diagnostics", ",").alias("diagnostics"),
+    )

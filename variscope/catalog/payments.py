@@ -255,18 +255,20 @@ def waterfall(spark, sf):
 
 
 def children_sql(path_where, path, level, k, other):
-    parent = "/".join(["root", *path])
+    parent = "sha256('root')"
+    for step in path:
+        parent = f"sha256({parent} || '|' || '{step.replace('=', '|')}')"
     base = f"""{PAYMENTS}, sums AS (SELECT {level} AS value, cast(sum(dollar_amount) AS DOUBLE) AS amount, count(*) AS transactions FROM payments WHERE {path_where} GROUP BY 1),
 tot AS (SELECT sum(amount) AS pa, sum(transactions) AS pt FROM sums),
 shown AS (SELECT *, TRUE AS drillable FROM sums WHERE value IS NOT NULL ORDER BY amount DESC, value LIMIT {k}),
 rest AS (SELECT 'Other categories' AS value, greatest(0, any_value(pa) - sum(amount)) AS amount, greatest(0, any_value(pt) - sum(transactions)) AS transactions, FALSE AS drillable FROM shown, tot),
 al AS (SELECT * FROM shown UNION ALL SELECT rest.* FROM rest, tot WHERE {other} AND amount > abs(pa) * 0.005)"""
-    return f"""WITH {base} SELECT sha256('{parent}|{level}|' || value) AS node_id, '{level}' AS level, value, round(amount, 4) AS amount,
+    return f"""WITH {base} SELECT sha256({parent} || '|{level}|' || value) AS node_id, {parent} AS parent_node_id, '{level}' AS level, value, round(amount, 4) AS amount,
   cast(transactions AS BIGINT) AS transactions, round(amount / pa, 8) AS share_of_parent, drillable FROM al, tot"""
 
 
 def _children(df):
-    return df.select("node_id", "level", "value", r("amount", 4), "transactions", r("share_of_parent", 8), "drillable")
+    return df.select("node_id", "parent_node_id", "level", "value", r("amount", 4), "transactions", r("share_of_parent", 8), "drillable")
 
 
 @query(
@@ -287,6 +289,36 @@ def hierarchy_children_flat(spark, sf):
     return _children(P.hierarchy_children(df, [("department", "ASIA")], "vendor", DIMS, P.TOP_CHILDREN_FLAT, False))
 
 
+TREE = ["department", "activity", "fund_group", "expenditure_type", "account"]
+
+
+def _tree_sql() -> str:
+    ids = ["sha256('root')"]
+    for d in TREE:
+        ids.append(f"sha256({ids[-1]} || '|{d}|' || {d})")
+    nodes = " UNION ALL ".join(
+        f"SELECT {ids[i]} AS node_id, {ids[i - 1] if i else 'NULL'} AS parent_node_id, {i} AS level_index, {repr(TREE[i - 1]) if i else 'NULL'} AS level, {TREE[i - 1] if i else 'NULL'} AS value, a, t, leaf FROM leaves"
+        f"{f' WHERE {TREE[i - 1]} IS NOT NULL' if i else ''}"
+        for i in range(len(TREE) + 1)
+    )
+    cut = ", ".join(f"CASE WHEN {' AND '.join(f'{x} IS NOT NULL' for x in TREE[: i + 1])} THEN {d} END AS {d}" for i, d in enumerate(TREE))
+    return f"""WITH {PAYMENTS}, gaps AS (SELECT * REPLACE (CASE WHEN expenditure_type <> 'R' THEN expenditure_type END AS expenditure_type) FROM payments),
+    cut AS (SELECT {cut}, dollar_amount FROM gaps WHERE dollar_amount IS NOT NULL),
+    sums AS (SELECT {", ".join(TREE)}, sum(dollar_amount) AS a, count(*) AS t FROM cut GROUP BY ALL),
+    leaves AS (SELECT *, row_number() OVER (ORDER BY {", ".join(f"{d} NULLS FIRST" for d in TREE)}) - 1 AS leaf FROM sums),
+    nodes AS (SELECT node_id, parent_node_id, level_index, level, value, cast(sum(a) AS DOUBLE) AS amount, cast(sum(t) AS BIGINT) AS transactions, min(leaf) AS first_leaf, max(leaf) + 1 AS end_leaf FROM ({nodes}) GROUP BY ALL)
+    SELECT n.node_id, n.parent_node_id, n.level_index, n.level, n.value, round(n.amount, 4) AS amount, n.transactions, n.first_leaf, n.end_leaf, round(CASE WHEN p.node_id IS NULL THEN 1 ELSE n.amount / p.amount END, 8) AS share_of_parent
+    FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_node_id"""
+
+
+@query("hierarchy_tree", _tree_sql())
+def hierarchy_tree(spark, sf):
+    df = payments(spark, sf, TREE).withColumn("expenditure_type", F.when(F.col("expenditure_type") != "R", F.col("expenditure_type")))
+    return P.hierarchy_tree(df, TREE).select(
+        "node_id", "parent_node_id", "level_index", "level", "value", r("amount", 4), "transactions", "first_leaf", "end_leaf", r("share_of_parent", 8)
+    )
+
+
 @query(
     "hierarchy_path_filter",
     f"WITH {PAYMENTS} SELECT fund, count(*) AS transactions, round(cast(sum(dollar_amount) AS DOUBLE), 4) AS amount FROM payments WHERE department = 'EUROPE' AND fund_type = 'O' GROUP BY fund",

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from variscope.catalog.registry import FACT, GAPS, canon, day, query, r
+from variscope.functions.timeparse import parse_time_value
 from variscope.operators import quality as Q
 from variscope.sources.warehouse import DIMENSIONS, FACT_MISSING_COLUMNS, fact, fact_with_gaps, table
 
@@ -171,6 +172,25 @@ def parse_time_column(spark, sf):
     return Q.parse_time_report(order_times(spark, sf), "period").select("precision", "rows", day("min_date"), day("max_date"))
 
 
+SPELLINGS = ["MMMM d, yyyy", "d MMM yyyy", "yyyy/MM/dd HH:mm", "M/d/yyyy h:mm a", "MMM yyyy", "d-MMM-yyyy", "EEE, d MMM yyyy HH:mm:ss", "M-d-yyyy"]
+
+
+@query(
+    "parse_free_dates",
+    f"""SELECT o_orderkey, strftime(CASE CAST(o_custkey % {len(SPELLINGS) + 1} AS INTEGER) WHEN 2 THEN date_trunc('day', d) + INTERVAL 10 HOUR WHEN 3 THEN date_trunc('day', d) + INTERVAL 10 HOUR
+      WHEN 4 THEN date_trunc('month', d) WHEN 6 THEN date_trunc('day', d) + INTERVAL 10 HOUR WHEN {len(SPELLINGS)} THEN NULL ELSE date_trunc('day', d) END, '%Y-%m-%d %H:%M') AS read
+    FROM (SELECT *, cast(o_orderdate AS TIMESTAMP) AS d FROM orders)""",
+)
+def parse_free_dates(spark, sf):
+    """Every order's date, spelled in one of several ways by its customer; the last way is no date."""
+    o = table(spark, sf, "orders")
+    at = F.date_trunc("day", F.col("o_orderdate").cast("timestamp")) + F.expr("INTERVAL 10 HOURS")
+    way = F.col("o_custkey") % (len(SPELLINGS) + 1)
+    spelled = F.coalesce(*[F.when(way == i, F.date_format(at, f)) for i, f in enumerate(SPELLINGS)], F.lit("one day in 2024"))
+    texts = o.select("o_orderkey", spelled.alias("text"))
+    return texts.select("o_orderkey", F.date_format(parse_time_value(texts, "text")["ts"], "yyyy-MM-dd HH:mm").alias("read"))
+
+
 @query(
     "detect_time_fields",
     f"""WITH {PARSED}, x AS (SELECT 'period' AS field, day, precision FROM parsed UNION ALL SELECT 'd', d, 'day' FROM times),

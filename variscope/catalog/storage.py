@@ -217,9 +217,47 @@ def export_quality_report(spark, sf):
     return spark.read.json(path).select("column", "row_count", "distinct_count")
 
 
-@query("content_fingerprint")
+PRINTED = ["o_custkey", "o_orderkey", "o_orderstatus", "o_totalcents"]
+PRINT_SQL = """h AS (SELECT o_orderpriority AS run_id, cast('0x' || substr(md5('o_custkey=' || o_custkey || chr(31) || 'o_orderkey=' || o_orderkey || chr(31) || 'o_orderstatus=' || coalesce(o_orderstatus, chr(0))
+      || chr(31) || 'o_totalcents=' || cents), 1, 15) AS BIGINT) AS h FROM (SELECT *, cast(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)),
+  p AS (SELECT run_id, count(*) AS row_count, cast(sum(h) AS VARCHAR) || '-' || cast(bit_xor(h) AS VARCHAR) AS digest FROM h GROUP BY run_id)"""
+
+
+def _printed(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("o_totalcents"), F.col("o_orderpriority").alias("run_id"))
+
+
+@query(
+    "content_fingerprint",
+    f"WITH {PRINT_SQL} SELECT run_id, row_count, digest, sha256(row_count || '|' || digest || '|{','.join(PRINTED)}') AS content_hash FROM p",
+)
 def content_fingerprint(spark, sf):
-    return R.content_fingerprint(table(spark, sf, "lineitem"))
+    """Merged from the fingerprints of parts: of each status in each group of orders."""
+    df = _printed(spark, sf).withColumn("part", F.col("o_orderstatus"))
+    parts = R.fingerprint_parts(df, ["run_id", "part"])
+    return R.merge_fingerprints(parts, PRINTED, ["run_id"]).select("run_id", "row_count", "digest", "content_hash")
+
+
+@query(
+    "audit_snapshots",
+    """WITH r AS (SELECT o_orderpriority AS run, max(cast(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY 1)
+    SELECT run AS run_id, 'content_mismatch' AS error, 'orders' AS about FROM r WHERE cents = (SELECT max(cents) FROM r)
+    UNION ALL SELECT run, 'dataset_changed', run FROM r WHERE cents = (SELECT max(cents) FROM r)""",
+)
+def audit_snapshots(spark, sf):
+    """Snapshots of the orders of each priority; then the dearest order of all is changed, in the store and in the data."""
+    df, folder = _printed(spark, sf), shared_folder(spark, "audited")
+    runs = [x["run_id"] for x in df.select("run_id").distinct().collect()]
+    for run in runs:
+        rows = df.filter(F.col("run_id") == run).drop("run_id")
+        ledger = rows.groupBy("o_orderstatus").agg(F.count("*").alias("n")).select(F.concat(F.lit("ev-"), "o_orderstatus").alias("evidence_id"), "n", F.lit(run).alias("run_id"))
+        K.save_investigation(rows, {"orders": rows}, ledger, folder, run, "net_price", {"aggregation": "sum"})
+    dearest = df.orderBy(F.desc("o_totalcents")).first()
+    changed = df.withColumn("o_totalcents", F.when(F.col("o_totalcents") == dearest["o_totalcents"], -F.col("o_totalcents")).otherwise(F.col("o_totalcents")))
+    K.write_run(changed.filter(F.col("run_id") == dearest["run_id"]), f"{folder}/orders", dearest["run_id"])
+    now = {run: changed.filter(F.col("run_id") == run).drop("run_id") for run in runs}
+    names = spark.read.json(f"{folder}/manifest").select("run_id", "snapshot_id")
+    return K.audit_snapshots(spark, folder, now).join(names, "snapshot_id").select("run_id", "error", "about")
 
 
 @query(

@@ -124,7 +124,7 @@ def mention_join(spark, sf):
 )
 def mention_join_long_list(spark, sf):
     values = table(spark, sf, "benchmark").select(F.explode(F.split("text", r"\.")).alias("w")).select(F.btrim("w", F.lit(" ")).alias("value"))
-    return T.mention_join(table(spark, sf, "documents"), "text", "doc_id", values.filter("value <> ''"), "value", direct=0)
+    return T.mention_join(table(spark, sf, "documents"), "text", "doc_id", values.filter("value <> ''"), "value")
 
 
 def _why_sql(lens, direction, drivers, hints):

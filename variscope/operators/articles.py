@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from variscope.functions import words
 from variscope.functions.values import BLANKS, any_of
+from variscope.session import shared_table
 
 TOP_TAGS, TOP_FACTORS, MAX_ARTICLES = 4, 8, 40
-# A list of values up to this length is searched in every text directly.
-DIRECT_VALUES = 500
 GRAM = 3
+#: Bits of the map of anchored words (1 MB), in the rows that Spark's bitmap functions build.
+ANCHOR_BITS, BITMAP_ROW = 1 << 23, 1 << 15
+#: Tasks that share the occurrences of one anchored word.
+SALTS = 8
 
 
 def normalize_date(raw: Column) -> Column:
@@ -154,45 +157,25 @@ def timing_overlap(articles: DataFrame, rows: DataFrame, time_field: str) -> Dat
 
 
 def _anchors(listed: DataFrame) -> DataFrame:
-    """One word of each value that any text with the value must hold, and how it sits there.
+    """Words of each value that any text with the value must hold, and how they sit there.
 
-    A word between two blanks of the value is a whole word of the text (``word``). Otherwise a word
-    before a blank ends a word of the text (``suffix``), one after a blank begins it (``prefix``),
-    and a value without blanks lies inside one word, known by its first three characters (``gram``).
+    A word between two blanks of the value is a whole word of the text (``word``). Without one, a word
+    before a blank ends a word of the text (``suffix``), one after a blank begins it (``prefix``), and a
+    value without blanks lies inside one word, known by any of its ``GRAM`` characters in a row (``gram``).
     """
     parts = F.split("_low", r"\s+")
-    place = F.transform(
-        parts,
-        lambda w, i: F.struct(
-            ((i > 0) & (i < F.size(parts) - 1)).cast("int").alias("rank"),
-            F.length(w).alias("size"),
-            w.alias("word"),
-            i.alias("at"),
-        ),
-    )
-    # Prefer a whole word, then the longest.
-    best = F.array_max(F.filter(place, lambda p: p["word"] != ""))
-    kind = (
-        F.when(F.col("_best.rank") == 1, "word")
-        .when(F.size(parts) == 1, "gram")
-        .when(F.col("_best.at") == 0, "suffix")
-        .otherwise("prefix")
-    )
-    return (
-        listed.withColumn("_best", best)
-        .filter(F.col("_best").isNotNull())
-        .withColumn("_kind", kind)
-        .withColumn(
-            "_anchor",
-            F.when(F.col("_kind") == "gram", F.substr(F.col("_best.word"), F.lit(1), F.lit(GRAM))).otherwise(
-                F.col("_best.word")
-            ),
-        )
-        .drop("_best")
-    )
-
-
-def _word_keys(words_: DataFrame, anchors: DataFrame) -> DataFrame:
+    size = F.size(parts)
+    named = lambda k, c: F.struct(F.lit(k).alias("_kind"), c.alias("_anchor"))
+    inner = F.transform(F.filter(parts, lambda w, i: (i > 0) & (i < size - 1) & (w != "")), lambda w: named("word", w))
+    outer = F.filter(F.array(named("suffix", F.element_at(parts, 1)), named("prefix", F.element_at(parts, -1))), lambda x: x["_anchor"] != "")
+    only = F.element_at(parts, 1)
+    n = F.least(F.length(only), F.lit(GRAM))
+    grams = F.transform(F.sequence(F.lit(1), F.length(only) - n + 1), lambda i: named("gram", F.substr(only, i, n)))
+    every = F.when(F.size(inner) > 0, inner).when(size > 1, outer).otherwise(grams)
+    return listed.withColumn("_a", F.explode(F.array_distinct(every))).select("value", "_low", "_a.*")
+
+
+def _word_keys(vocabulary: DataFrame, anchors: DataFrame) -> DataFrame:
     """Every key under which a word of a text may be anchored; only lengths in use are made."""
     sizes = anchors.agg(
         F.struct(
@@ -218,40 +201,74 @@ def _word_keys(words_: DataFrame, anchors: DataFrame) -> DataFrame:
             )
         ),
     )
-    return words_.withColumn("_sizes", sizes).select("_word", F.inline(keys))
+    return vocabulary.withColumn("_sizes", sizes).select("_word", "_n", F.inline(keys))
 
 
-def mention_join(
-    texts: DataFrame, text: str, key: str, values: DataFrame, value: str, direct: int = DIRECT_VALUES
-) -> DataFrame:
-    """Pairs ``(key, value)`` where a text contains a value, ignoring case. ``key`` is unique.
+def _anchored_words(vocabulary: DataFrame, listed: DataFrame) -> DataFrame:
+    """The words of the texts (``_word``) at which each value is looked for: those of its rarest anchor.
 
-    A short list (its length is checked) is searched in every text in one scan. For a long list each
-    value is anchored at one of its words. The anchors meet the distinct words of all texts, each
-    text meets the values of its words by key, and only those pairs are compared in full. Both ways
-    give the same pairs.
+    A value with an anchor that no text has is in no text.
     """
-    listed = (
-        values.select(F.lower(value).alias("_low"), F.col(value).alias("value")).filter(F.btrim("_low", F.lit(BLANKS)) != "").distinct()
-    )
-    lowered = texts.select(key, F.lower(text).alias("_text"))
-    if listed.limit(direct + 1).count() <= direct:
-        array = listed.agg(F.collect_list(F.struct("_low", "value"))).scalar()
-        return (
-            lowered.withColumn("_values", array)
-            .select(key, F.explode(F.filter("_values", lambda v: F.contains("_text", v["_low"]))).alias("v"))
-            .select(key, "v.value")
-        )
     anchors = _anchors(listed)
-    words_ = lowered.select(key, F.explode(F.array_distinct(F.split("_text", r"\s+"))).alias("_word")).filter("_word <> ''")
-    by_word = (
-        _word_keys(words_.select("_word").distinct(), anchors)
-        .join(anchors, ["_kind", "_anchor"])
-        .select("_word", "value", "_low")
-        .distinct()
+    keys = _word_keys(vocabulary, anchors).join(anchors.select("_kind", "_anchor").distinct(), ["_kind", "_anchor"])
+    counts = keys.groupBy("_kind", "_anchor").agg(F.sum("_n").alias("_count"))
+    found = anchors.join(counts, ["_kind", "_anchor"], "left")
+    rank = F.struct(F.coalesce("_count", F.lit(0)).alias("n"), F.col("_kind").alias("kind"), F.col("_anchor").alias("anchor"))
+    rarest = found.groupBy("value", "_low").agg(F.min(rank).alias("_best")).filter("_best.n > 0")
+    chosen = rarest.select("value", "_low", F.col("_best.kind").alias("_kind"), F.col("_best.anchor").alias("_anchor"))
+    return chosen.join(keys.drop("_n"), ["_kind", "_anchor"]).select("_word", "value", "_low").distinct()
+
+
+def _bit_of(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(ANCHOR_BITS))
+
+
+def _bits(anchored: DataFrame) -> Column:
+    """The anchored words as a bitmap of fixed size, in rows of Spark's bitmap functions."""
+    at = anchored.select(_bit_of(F.col("_word")).alias("h")).select(F.floor(F.col("h") / BITMAP_ROW).alias("row"), (F.col("h") % BITMAP_ROW).alias("bit"))
+    rows = at.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct("row", "bits")))).scalar()
+
+
+def _may_be_anchored(word: Column, bits: Column) -> Column:
+    h = _bit_of(word)
+    row = F.try_element_at(bits, F.floor(h / BITMAP_ROW))
+    at = h % BITMAP_ROW
+    byte = F.conv(F.hex(F.substr(row, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
+def mention_join(texts: DataFrame, text: str, key: str, values: DataFrame, value: str) -> DataFrame:
+    """Pairs ``(key, value)`` where a text contains a value, ignoring case.
+
+    The words of all texts are counted once. Each value is anchored at its rarest word, or part of a word,
+    and is looked for at the words of the texts that hold the anchor. A bitmap of those words, of fixed
+    size, goes to the texts: where it lets a word through, the text around the word meets the values
+    anchored there. So texts stay where they are; what is shuffled is their words as counts and the
+    surroundings of anchors, each as long as the longest value. A common anchor's occurrences are dealt
+    to ``SALTS`` tasks. Blank values are left out.
+    """
+    blank = F.btrim("_low", F.lit(BLANKS)) == ""
+    listed = values.select(F.lower(value).alias("_low"), F.col(value).alias("value")).filter(~blank).distinct()
+    lowered = texts.select(key, F.lower(text).alias("_text"))
+    spoken = lowered.select(F.explode(F.split("_text", r"\s+")).alias("_word")).filter("_word <> ''")
+    vocabulary = shared_table(spoken.groupBy("_word").agg(F.count("*").alias("_n")), "vocabulary")
+    anchored = shared_table(_anchored_words(vocabulary, listed), "anchored-words")
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(r"\S+|\s+"), F.lit(0))
+    longest = anchored.agg(F.coalesce(F.max(F.size(pieces(F.col("_low")))), F.lit(0))).scalar()
+    # Subqueries are columns of the row, so that they are not run again for every word.
+    known = lowered.select(key, pieces(F.col("_text")).alias("_pieces"), _bits(anchored).alias("_bits"), longest.alias("_longest"))
+    places = F.filter(F.sequence(F.lit(1), F.size("_pieces")), lambda i: _may_be_anchored(F.element_at("_pieces", i), F.col("_bits")))
+    around = F.transform(
+        F.when(F.size("_pieces") > 0, places),
+        lambda i: F.struct(
+            F.element_at("_pieces", i).alias("_word"),
+            F.array_join(F.slice("_pieces", F.greatest(F.lit(1), i - F.col("_longest")), 2 * F.col("_longest") + 1), "").alias("_around"),
+        ),
     )
-    candidates = words_.join(by_word, "_word").select(key, "value", "_low").distinct()
-    return candidates.join(lowered, key).filter(F.contains("_text", "_low")).select(key, "value")
+    met = known.select(key, F.inline(around)).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    dealt = anchored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return met.join(dealt, ["_word", "_salt"]).filter(F.contains("_around", "_low")).select(key, "value").distinct()
 
 
 def topic_hints(dimensions: Sequence[str]) -> list[str]:

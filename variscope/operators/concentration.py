@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from variscope.functions.values import clamp, ratio, variance_pct
+from variscope.functions.values import clamp, quoted, ratio, variance_pct
 from variscope.operators.cohort import Predicate, hierarchy_path_filter
 from variscope.operators.timeseries import (
     SeriesSpec,
@@ -20,6 +20,7 @@ from variscope.operators.timeseries import (
     trend,
     with_variance,
 )
+from variscope.session import shared_table
 
 # Fixed values of the workload.
 OTHER = "Other categories"
@@ -377,8 +378,73 @@ def waterfall(contributions: DataFrame) -> DataFrame:
     return bars.unionByName(net).withColumn("base", F.least("start", "end"))
 
 
-def node_id(parent: Column, level: str, value: Column) -> Column:
-    return F.sha2(F.concat_ws("|", parent, F.lit(level), value), 256)
+def node_id(parent: Column, level: str | Column, value: Column) -> Column:
+    """The id of a node follows from that of its parent, so ids chain down all levels."""
+    return F.sha2(F.concat_ws("|", parent, F.lit(level) if isinstance(level, str) else level, value), 256)
+
+
+def path_node_id(path: Sequence[Predicate]) -> Column:
+    """The id of the node that a drill path leads to; of an empty path the root's."""
+    at = F.sha2(F.lit("root"), 256)
+    for level, value in path:
+        at = node_id(at, level, F.lit(value))
+    return at
+
+
+def hierarchy_tree(df: DataFrame, levels: Sequence[str], fields: PaymentFields = FIELDS) -> DataFrame:
+    """All nodes of all levels from one rollup, the root included.
+
+    A node has its own id and that of its parent, its sums, its share of the parent and the half-open
+    interval of leaf numbers below it: ``first_leaf`` to ``end_leaf``. Leaves are numbered in the order of
+    their paths, so everything below a node is one range, and a node lies below another one if its
+    interval lies within the other's. A row whose value is missing at a level belongs to the node above.
+
+    Leaf paths are sorted by ranges; a leaf's number is its place in its range and the sizes of the ranges
+    before it, so no task numbers all of them.
+    """
+    spark = df.sparkSession
+    some = df.filter(F.col(fields.amount).isNotNull())
+    values = F.array(*[F.col(quoted(x)).cast("string") for x in levels])
+    known = F.slice(values, F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(values, lambda v: v.isNull()), F.lit(True)), F.lit(0)) - 1, F.size(values)).cast("int"))
+    leaves = some.groupBy(known.alias("path")).agg(F.sum(fields.amount).alias("amount"), F.count("*").alias("transactions"))
+    placed = shared_table(leaves.orderBy("path").withColumn("_at", F.monotonically_increasing_id()), "leaves")
+    part = F.shiftright("_at", 33)
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a range
+    before, so_far = [], 0
+    for p in sorted(sizes):
+        before += [F.lit(p), F.lit(so_far)]
+        so_far += sizes[p]
+    base = F.create_map(*before) if before else F.create_map(F.lit(0).cast("long"), F.lit(0))
+    number = F.element_at(base.cast("map<bigint, bigint>"), part) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    names = F.array(*[F.lit(x) for x in levels])
+    # (index, level, value, id, parent) of every node on a path, the root first.
+    step = "struct<i: int, level: string, value: string, id: string, parent: string>"
+    root = F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("value"), path_node_id([]).alias("id"), F.lit(None).cast("string").alias("parent"))).cast(f"array<{step}>")
+
+    def descend(nodes: Column, value: Column) -> Column:
+        above = F.element_at(nodes, -1)
+        level = F.element_at(names, above["i"] + 1)
+        node = F.struct((above["i"] + 1).alias("i"), level.alias("level"), value.alias("value"), node_id(above["id"], level, value).alias("id"), above["id"].alias("parent"))
+        return F.array_append(nodes, node.cast(step))
+
+    nodes = (
+        placed.select("amount", "transactions", number.alias("leaf"), F.explode(F.aggregate("path", root, descend)).alias("n"))
+        .groupBy(F.col("n.id").alias("node_id"), F.col("n.parent").alias("parent_node_id"), F.col("n.i").alias("level_index"), F.col("n.level").alias("level"), F.col("n.value").alias("value"))
+        .agg(F.sum("amount").cast("double").alias("amount"), F.sum("transactions").alias("transactions"), F.min("leaf").alias("first_leaf"), (F.max("leaf") + 1).alias("end_leaf"))
+    )
+    nodes = shared_table(nodes, "nodes")
+    parents = nodes.select(F.col("node_id").alias("_id"), F.col("amount").alias("_above"))
+    share = F.when(F.col("parent_node_id").isNull(), F.lit(1.0)).otherwise(F.coalesce(ratio(F.col("amount"), F.col("_above")), F.lit(0.0)))
+    return nodes.join(parents, F.col("parent_node_id") == F.col("_id"), "left").withColumn("share_of_parent", share).drop("_id", "_above")
+
+
+def subtree(tree: DataFrame, node: str) -> DataFrame:
+    """A node of ``hierarchy_tree`` and all nodes below it, by its interval: no walk over the levels."""
+    at = tree.filter(F.col("node_id") == node).select("first_leaf", "end_leaf", "level_index").first()
+    if at is None:
+        return tree.limit(0)
+    inside = (F.col("first_leaf") >= at["first_leaf"]) & (F.col("end_leaf") <= at["end_leaf"]) & (F.col("level_index") > at["level_index"])
+    return tree.filter((F.col("node_id") == node) | inside)
 
 
 def hierarchy_children(
@@ -428,9 +494,10 @@ def hierarchy_children(
             .drop("_floor")
         )
         rows = rows.unionByName(rest)
-    parent_id = F.lit("/".join(["root", *[f"{f}={v}" for f, v in path]]))
+    parent_id = path_node_id(path)
     return rows.select(
         node_id(parent_id, level, F.col("value")).alias("node_id"),
+        parent_id.alias("parent_node_id"),
         F.lit(len(path)).alias("level_index"),
         F.lit(level).alias("level"),
         "value",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,8 +14,11 @@ from pyspark.sql import functions as F
 from variscope.functions.quantiles import median_value
 from variscope.functions.timeparse import date_of
 from variscope.functions.values import (
+    all_of,
+    any_of,
     array_robust_scale,
     canonical_category,
+    category_equals,
     finite_number,
     impact_direction,
     multiplier,
@@ -24,6 +30,135 @@ MINIMUM_WINDOW_DAYS = 7
 MINIMUM_PERIODS = 5
 SUPPORTED_EFFECT, CONTRADICTED_EFFECT, HIGH_EFFECT = 1.0, 0.75, 1.5
 PARALLEL_MINIMUM, PARALLEL_HIGH = 0.5, 0.75
+#: Cohorts a bigint of the membership mask can hold.
+MASK_BITS = 62
+
+
+@dataclass(frozen=True)
+class CohortEvent:
+    """A dated event on the rows that satisfy one predicate set, against those of another one.
+
+    The cohorts may overlap, and an empty set is every row. ``control`` None means a pre/post comparison.
+    """
+
+    event_id: str
+    day: date
+    affected: tuple[Predicate, ...]
+    control: tuple[Predicate, ...] | None = None
+    expected_direction: str | None = None
+    pre_days: int = 30
+    post_days: int = 30
+
+    @property
+    def first_day(self) -> date:
+        return self.day - timedelta(days=max(MINIMUM_WINDOW_DAYS, self.pre_days))
+
+    @property
+    def last_day(self) -> date:
+        return self.day + timedelta(days=max(MINIMUM_WINDOW_DAYS, self.post_days))
+
+
+def cohort_name(predicates: Sequence[Predicate]) -> str:
+    """One spelling of a predicate set, whatever its order."""
+    return json.dumps(sorted(dict.fromkeys(map(tuple, predicates))), ensure_ascii=False)
+
+
+def membership(df: DataFrame, cohorts: Sequence[Sequence[Predicate]]) -> list[Column]:
+    """Which cohorts a row belongs to, a bit each; a column for every ``MASK_BITS`` of them."""
+    words = []
+    for start in range(0, len(cohorts), MASK_BITS):
+        word = F.lit(0).cast("bigint")
+        for i, predicates in enumerate(cohorts[start : start + MASK_BITS]):
+            inside = all_of(category_equals(df, d, v) for d, v in sorted(predicates))
+            word = word + F.when(inside, F.lit(1 << i)).otherwise(F.lit(0))
+        words.append(word)
+    return words
+
+
+def _member(cohort: int) -> Column:
+    """Whether a row of masks ``_m0``, ``_m1``... lies in a cohort."""
+    return F.getbit(F.col(f"_m{cohort // MASK_BITS}"), F.lit(cohort % MASK_BITS)) == 1
+
+
+def cohort_masks(
+    df: DataFrame,
+    time_field: str,
+    actual: str,
+    expected: str | None,
+    cohorts: Sequence[Sequence[Predicate]],
+    first_day: date,
+    last_day: date,
+) -> DataFrame:
+    """Rows, actual and expected of every day and combination of cohorts, from one scan of the days.
+
+    However many cohorts there are and however they overlap, a row is read and summed once. Rows of no
+    cohort drop out. Without a comparison every row expects the median of the whole table.
+    """
+    a = finite_number(df, actual)
+    e = F.lit(median_value(df, a) or 0.0) if expected is None else finite_number(df, expected)
+    day = date_of(df, time_field)
+    names = [f"_m{i}" for i in range(-(-len(cohorts) // MASK_BITS))]
+    rows = (
+        df.filter(day.between(F.lit(first_day), F.lit(last_day)))
+        .select(day.alias("day"), a.alias("_a"), e.alias("_e"), *[m.alias(n) for m, n in zip(membership(df, cohorts), names, strict=True)])
+        .dropna(subset=["_a", "_e"])
+        .filter(any_of(F.col(n) != 0 for n in names))
+    )
+    return rows.groupBy("day", *names).agg(
+        F.count("*").alias("rows"),
+        F.sum("_a").alias("actual"),
+        (F.count("*") * F.max("_e") if expected is None else F.sum("_e")).alias("expected"),
+    )
+
+
+def cohort_days(masks: DataFrame, cohorts: Sequence[Sequence[Predicate]]) -> DataFrame:
+    """The daily sums of each cohort by its name, read off the masks that hold it."""
+    held = F.array(*[F.when(_member(i), F.lit(cohort_name(c))) for i, c in enumerate(cohorts)])
+    return (
+        masks.select("day", "actual", "expected", F.explode(F.filter(held, lambda c: c.isNotNull())).alias("cohort"))
+        .groupBy("cohort", "day")
+        .agg(F.sum("actual").cast("double").alias("actual"), F.sum("expected").cast("double").alias("expected"))
+        .withColumn("residual", F.col("actual") - F.col("expected"))
+    )
+
+
+def cohort_event_study(
+    df: DataFrame,
+    time_field: str,
+    actual: str,
+    expected: str | None,
+    events: Sequence[CohortEvent],
+    polarity: str = "higher_is_better",
+) -> DataFrame:
+    """``event_study`` for events on predicate sets, and ``shared_rows``: the rows of the event's window
+    that both of its cohorts hold. All events are one scan; each has windows of its own."""
+    spark = df.sparkSession
+    if len({e.event_id for e in events}) < len(events):
+        raise ValueError("two events have one id")
+    cohorts = list({cohort_name(c): tuple(c) for e in events for c in (e.affected, e.control) if c is not None}.values())
+    number = {cohort_name(c): i for i, c in enumerate(cohorts)}
+    listed = spark.createDataFrame(
+        [
+            (e.event_id, e.day, cohort_name(e.affected), None if e.control is None else cohort_name(e.control), e.expected_direction, e.pre_days, e.post_days)
+            for e in events
+        ],
+        "event_id string, event_day date, affected string, control string, expected_direction string, pre_days int, post_days int",
+    )
+    first, last = min((e.first_day for e in events), default=date.min), max((e.last_day for e in events), default=date.min)
+    masks = cohort_masks(df, time_field, actual, expected, cohorts or [()], first, last)
+    studied = event_study(cohort_days(masks, cohorts or [()]), listed, "cohort", polarity)
+    both = F.array(
+        *[
+            F.when(
+                _member(number[cohort_name(e.affected)]) & _member(number[cohort_name(e.control)]) & F.col("day").between(F.lit(e.first_day), F.lit(e.last_day)),
+                F.lit(e.event_id),
+            )
+            for e in events
+            if e.control is not None
+        ]
+    ).cast("array<string>")
+    shared = masks.select("rows", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("event_id")).groupBy("event_id").agg(F.sum("rows").alias("_shared"))
+    return studied.join(shared, "event_id", "left").withColumn("shared_rows", F.when(F.col("control").isNotNull(), F.coalesce("_shared", F.lit(0)))).drop("_shared")
 
 
 def daily_cohort_aggregate(
@@ -98,14 +233,18 @@ def event_study(
     """One row per event: effect, standardised effect, parallel trend, status and confidence.
 
     ``daily`` holds one row per cohort value and day. ``events`` has ``event_id``, ``event_day``,
-    ``affected`` and ``control`` (a cohort value or null) and ``expected_direction`` (or null). Each
-    event lists the days of its windows and reads them by (cohort, day), so any number of events may
-    share a cohort.
+    ``affected`` and ``control`` (a cohort value or null) and ``expected_direction`` (or null), and may
+    have windows of its own in ``pre_days`` and ``post_days``. Each event lists the days of its windows
+    and reads them by (cohort, day), so any number of events may share a cohort. ``affected_summary``
+    and ``control_summary`` hold the periods, averages and trend of a side, ``diagnostics`` what
+    weakens the study.
     """
-    pre_days, post_days = max(MINIMUM_WINDOW_DAYS, pre_days), max(MINIMUM_WINDOW_DAYS, post_days)
+    windows = {"pre_days": pre_days, "post_days": post_days}
+    windows = {k: F.greatest(F.lit(MINIMUM_WINDOW_DAYS), F.coalesce(F.col(k), F.lit(v)) if k in events.columns else F.lit(v)) for k, v in windows.items()}
     sides = events.select(
         "event_id",
         "event_day",
+        *[c.alias(k) for k, c in windows.items()],
         F.explode(
             F.filter(
                 F.array(
@@ -115,8 +254,8 @@ def event_study(
                 lambda s: s["_cohort"].isNotNull(),
             )
         ).alias("s"),
-    ).select("event_id", "event_day", "s.*")
-    window = F.sequence(F.date_sub("event_day", pre_days), F.date_add("event_day", post_days))
+    ).select("event_id", "event_day", "pre_days", "post_days", "s.*")
+    window = F.sequence(F.date_sub("event_day", F.col("pre_days")), F.date_add("event_day", F.col("post_days")))
     wanted_days = sides.withColumn("day", F.explode(window)).withColumn(
         "phase", F.when(F.col("day") < F.col("event_day"), "pre").otherwise("post")
     )
@@ -134,6 +273,12 @@ def event_study(
             for p in ("pre", "post")
             for name, f in (("n", F.count), ("mean", F.avg))
         ],
+        *[
+            F.avg(when(s, p, c)).alias(f"_{c}_{s}_{p}")
+            for s in ("affected", "control")
+            for p in ("pre", "post")
+            for c in ("actual", "expected")
+        ],
         *[
             F.regr_slope(when(s, "pre"), when(s, "pre", "_i")).alias(f"_slope_{s}")
             for s in ("affected", "control")
@@ -193,6 +338,19 @@ def event_study(
         .when((F.col("status") == "insufficient") | (parallel < PARALLEL_MINIMUM), "low")
         .otherwise("medium")
     )
+
+    def summary(side: str) -> Column:
+        """Averages of a side without days are zero, as in the effect."""
+        parts = [F.coalesce(F.col(f"_n_{side}_{p}"), F.lit(0)).alias(f"{p}_periods") for p in ("pre", "post")]
+        for name, c in (("actual", "_actual"), ("expected", "_expected"), ("residual", "_mean")):
+            parts += [F.coalesce(F.col(f"{c}_{side}_{p}"), zero).alias(f"{p}_{name}") for p in ("pre", "post")]
+        return F.struct(*parts, change(side).alias("residual_change"), F.coalesce(F.col(f"_slope_{side}"), zero).alias("pre_trend_slope"))
+
+    findings = F.array(
+        F.when(~has_control, F.lit("no_control")),
+        F.when(parallel < PARALLEL_MINIMUM, F.lit("pre_trends_differ")),
+        F.when(~F.col("_enough"), F.lit("too_few_periods")),
+    )
     return measured.withColumn("status", status).select(
         "event_id",
         "event_day",
@@ -210,4 +368,7 @@ def event_study(
         "parallel_trend_score",
         "status",
         confidence.alias("confidence"),
+        summary("affected").alias("affected_summary"),
+        F.when(has_control, summary("control")).alias("control_summary"),
+        F.filter(findings, lambda x: x.isNotNull()).alias("diagnostics"),
     )

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from variscope.functions import words
 from variscope.functions.values import any_of
 
+#: Characters of the windows that index digit runs for tokens of this length and more.
+WINDOW = 8
+
 
 def intent_tag(question: Column) -> Column:
     """The first intent whose pattern occurs in the question, else ``unknown``."""
@@ -60,26 +63,29 @@ def number_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.lower(F.regexp_replace(t, r"[$,]", ""))))
 
 
-def _number_substrings(run: Column, lengths: Column) -> Column:
-    """The substrings of a digit run that may equal a token: only of lengths that tokens have."""
-    pieces = F.transform(
-        F.filter(lengths, lambda n: n <= F.length(run)),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substr(run, i, n)),
+def _windows(run: Column, sizes: Column) -> Column:
+    """The substrings of a digit run of the wanted sizes, with their places."""
+    fitting = F.filter(sizes, lambda n: n <= F.length(run))
+    return F.flatten(
+        F.transform(
+            fitting,
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.struct(F.substr(run, i, n).alias("window"), i.alias("at"))
+            ),
+        )
     )
-    return F.array_distinct(F.filter(F.flatten(pieces), lambda x: x.rlike(r"^[-+\d]")))
 
 
-def grounding_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Four checks of each answer against the evidence of its run that comes before it.
+def first_seen(tokens: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The earliest position at which the evidence of a run contains each of its tokens: run_id, token, _seen.
 
-    ``answers`` has ``run_id, answer_id, position, answer, calculation_run_id`` and ``evidence`` has
-    ``run_id, position, kind, text``. A numeric token is grounded when some earlier evidence text of
-    the run contains it. Evidence is reduced to the earliest position of each number it contains and
-    joined on (run, token), so no run is ever gathered in one place and no pair of texts is compared.
+    The digit runs of the evidence are indexed by windows: of each token length up to ``WINDOW``, and of
+    ``WINDOW`` characters for all longer tokens together, so a digit run gives a row for each of its windows
+    however many token lengths there are. A longer token is cut into windows that cover it; it occurs where
+    all of them stand in one digit run at their distances.
     """
-    tokens = answers.select("run_id", "answer_id", "position", F.explode(number_tokens(F.col("answer"))).alias("token"))
-    # The different lengths of a run's tokens: a run without tokens needs no evidence.
-    lengths = tokens.groupBy("run_id").agg(F.collect_set(F.length("token")).alias("_lengths"))
+    wanted = tokens.select("run_id", "token").distinct()
+    sizes = wanted.groupBy("run_id").agg(F.collect_set(F.least(F.length("token"), F.lit(WINDOW))).alias("_sizes"))
     runs = (
         evidence.select(
             "run_id",
@@ -89,14 +95,35 @@ def grounding_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
         .groupBy("run_id", "_run")
         .agg(F.min("position").alias("position"))
     )
-    first_seen = (
-        runs.join(lengths, "run_id")
-        .select("run_id", "position", F.explode(_number_substrings(F.col("_run"), F.col("_lengths"))).alias("token"))
-        .groupBy("run_id", "token")
-        .agg(F.min("position").alias("_seen"))
-    )
+    # A run without tokens needs no evidence.
+    windows = runs.join(sizes, "run_id").select("run_id", "position", F.md5("_run").alias("_of"), F.explode(_windows(F.col("_run"), F.col("_sizes"))).alias("_w"))
+    windows = windows.select("run_id", "position", "_of", "_w.window", "_w.at")
+    short = wanted.filter(F.length("token") <= WINDOW)
+    whole = windows.groupBy("run_id", F.col("window").alias("token")).agg(F.min("position").alias("_seen"))
+    whole = whole.join(short, ["run_id", "token"], "left_semi")
+    last = F.length("token") - WINDOW
+    cut = F.array_union(F.sequence(F.lit(0), last, F.lit(WINDOW)), F.array(last))
+    parts = wanted.filter(F.length("token") > WINDOW).select("run_id", "token", F.size(cut).alias("_parts"), F.explode(cut).alias("_offset"))
+    parts = parts.withColumn("window", F.substr("token", F.col("_offset") + 1, F.lit(WINDOW)))
+    met = parts.join(windows, ["run_id", "window"]).groupBy("run_id", "token", "_of", (F.col("at") - F.col("_offset")).alias("_begin"))
+    pieced = met.agg(F.count("*").alias("_n"), F.max("_parts").alias("_parts"), F.min("position").alias("position")).filter("_n = _parts")
+    return whole.unionByName(pieced.groupBy("run_id", "token").agg(F.min("position").alias("_seen")))
+
+
+def grounding_check(answers: DataFrame, evidence: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Four checks of each answer against the evidence of its run that comes before it.
+
+    ``claims`` is the result of ``claim_check`` for these answers: with it the check of references asks that
+    every claim cites evidence and all of it is known, without it that the run has earlier evidence.
+
+    ``answers`` has ``run_id, answer_id, position, answer, calculation_run_id`` and ``evidence`` has
+    ``run_id, position, kind, text``. A numeric token is grounded when some earlier evidence text of
+    the run contains it. Evidence is reduced to windows of its digit runs and joined on (run, window), so no
+    run is ever gathered in one place and no pair of texts is compared.
+    """
+    tokens = answers.select("run_id", "answer_id", "position", F.explode(number_tokens(F.col("answer"))).alias("token"))
     unsupported = (
-        tokens.join(first_seen, ["run_id", "token"], "left")
+        tokens.join(first_seen(tokens, evidence), ["run_id", "token"], "left")
         .groupBy("run_id", "answer_id")
         .agg(
             F.count("*").alias("numeric_tokens"),
@@ -125,6 +152,9 @@ def grounding_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
             }
         )
     )
+    if claims is not None:
+        grounded = claims.select("run_id", "answer_id", "claims_grounded")
+        checked = checked.drop("evidence_references").join(grounded, ["run_id", "answer_id"], "left").withColumn("evidence_references", F.coalesce("claims_grounded", F.lit(False)))
     names = ["evidence_references", "causality_guardrail", "numeric_grounding", "run_linkage"]
     passed = sum((F.col(c).cast("int") for c in names), F.lit(0))
     return checked.select(

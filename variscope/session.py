@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "variscope") -> SparkSession:
@@ -44,3 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point ``DataFrame.checkpoint`` at the shared folder unless one is set already."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
+
+
+def shared_table(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a small result that several plans read below the shared folder and read it back.
+
+    One run of the plan cuts the lineage; unlike persisted rows it outlives a lost executor, and its
+    files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    df.write.mode("error").parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)

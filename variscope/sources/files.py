@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,13 +169,33 @@ def ingest_table(spark: SparkSession, path: str, file_format: str) -> DataFrame:
     return apply_contract(typed_table(df))
 
 
-def content_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free digest of all rows. Hashes are added, not xor-ed, so that copies
-    of a row do not cancel out."""
-    h = F.xxhash64(*[F.col(quoted(c)) for c in sorted(df.columns)]).cast("decimal(38,0)")
-    return df.agg(
-        F.count("*").alias("row_count"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest")
-    ).withColumn("content_hash", F.sha2(F.concat_ws("|", "row_count", "digest", F.lit(",".join(sorted(df.columns)))), 256))
+def fingerprint_parts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows and order-free digests of the rows of each group: their number, and the sum and the exclusive or of row hashes.
+
+    Parts of a table (its files, days or runs) merge by adding, adding and exclusive or, so a table that
+    grows is not read again. The sum tells copies of a row, which cancel out in the other one. A row's hash
+    is 60 bits of the MD5 of its cells as text under their names, in the order of the names.
+    """
+    cells = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(quoted(c)).cast("string"), F.lit("\x00"))) for c in sorted(set(df.columns) - set(by))]
+    h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells)), 1, 15), 16, 10).cast("bigint")
+    hashed = df.select(*[F.col(quoted(c)).alias(c) for c in by], h.alias("_h"))
+    return hashed.groupBy(*by).agg(F.count("*").alias("row_count"), F.sum(F.col("_h").cast("decimal(20,0)")).alias("sum"), F.bit_xor("_h").alias("xor"))
+
+
+def merge_fingerprints(parts: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The fingerprint of what the parts make up together: row_count, digest and content_hash, for each group."""
+    nothing = F.lit(0)
+    merged = parts.groupBy(*by).agg(
+        F.coalesce(F.sum("row_count"), nothing).cast("bigint").alias("row_count"),
+        F.concat_ws("-", F.coalesce(F.sum("sum"), nothing).cast("decimal(38,0)").cast("string"), F.coalesce(F.bit_xor("xor"), nothing).cast("string")).alias("digest"),
+    )
+    named = F.lit(",".join(sorted(set(columns) - set(by))))
+    return merged.withColumn("content_hash", F.sha2(F.concat_ws("|", F.col("row_count").cast("string"), "digest", named), 256))
+
+
+def content_fingerprint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Row count, digest and hash of all rows (of each group), whatever their order."""
+    return merge_fingerprints(fingerprint_parts(df, by), df.columns, by)
 
 
 def evidence_rows(df: DataFrame, sensitive: list[str], order_by: list[str], limit: int = 100) -> DataFrame:
