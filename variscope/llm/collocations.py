@@ -1,15 +1,16 @@
 """Phrases whose words go together, mined with stripes.
 
 A stripe is a prefix with an associative counter of the words that follow it. Tasks build the stripes of their
-texts, and equal prefixes' stripes are merged elementwise, a stripe in parts by the hash of the next word, so that
-neither a common prefix nor the stripe of the empty prefix, which is the vocabulary, is one task's work. From
-merged stripes come the frequencies of all phrases (an entry), of their beginnings (an entry of the shorter
-prefix), and the greatest frequency of a phrase that goes on by a word to either side (maxima over entries).
+texts, and equal prefixes' stripes are merged elementwise. Stripes travel in blocks by the hash of their prefix; a
+stripe is split over ``STRIPE_PARTS`` blocks by its next words, and that of the empty prefix, which is the
+vocabulary, over all, so that no common prefix is one task's work. From merged stripes come the frequencies of all
+phrases (an entry), of their beginnings (an entry of the shorter prefix), and the greatest frequency of a phrase
+that goes on by a word to either side (maxima over entries).
 
 Prefixes grow a word at a time. A phrase can be frequent only if what it is without its first and without its
-last word is, so each level skips the places whose shorter phrases are not among the frequent ones of the level
-before. They are known by a bitmap of fixed size over hashes, which lets some others through but stops no frequent
-one, at any size of the corpus; exact counts decide.
+last word is; phrases of such places are first counted by hash, in buckets, and only those of full buckets become
+stripes. Both filters are bitmaps of fixed size, which let some others through but stop no frequent one, at any
+size of the corpus; exact counts decide.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
 #: Bytes of texts whose stripes a task builds at once.
-CHUNK_BYTES = 12 << 20
-#: Parts of a stripe for each of so many shuffle partitions; the stripe of the empty prefix has a part for each.
-PARTITIONS_A_PART = 16
-#: Bits of the map of frequent phrases: 8 MB, in the 32,768 bits that Spark's bitmap functions build.
-BITMAP_BITS = 1 << 26
+CHUNK_BYTES = 8 << 20
+#: Blocks that share the stripe of one prefix.
+STRIPE_PARTS = 4
+#: Bits of the maps of phrases, and buckets of hashed phrases: 16 MB, in rows of the 32,768 bits that Spark's bitmap functions build.
+BITMAP_BITS = 1 << 27
 BITMAP_ROW = 1 << 15
 # A phrase's hash is a polynomial in the CRC-32 of its words; the modulus keeps a step within 63 bits.
 HASH_BASE = 1_000_003
@@ -52,7 +53,7 @@ def coded(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
 
 
 class FrequentPhrases:
-    """A bitmap that holds all frequent phrases of one length, and perhaps some others."""
+    """A bitmap that holds all frequent phrases of one length, and perhaps others."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -61,18 +62,23 @@ class FrequentPhrases:
         return (self.bits[hashes >> 3] >> (hashes & 7).astype(np.uint8)) & 1 == 1
 
 
-def bitmap(phrases: DataFrame) -> FrequentPhrases:
-    """The bitmap of phrases (lang, words); what is collected is at most its own size."""
-    start = F.crc32(F.encode("lang", "UTF-8")) % HASH_PRIME
-    hashed = F.aggregate("words", start, lambda h, w: (h * HASH_BASE + F.crc32(F.encode(w, "UTF-8"))) % HASH_PRIME) % BITMAP_BITS
-    at = phrases.select(hashed.alias("h")).select(F.floor(F.col("h") / BITMAP_ROW).alias("row"), (F.col("h") % BITMAP_ROW).alias("bit"))
+def gathered(rows: DataFrame) -> FrequentPhrases:
+    """The bitmap of rows (row, bits): what is collected is at most its own size."""
     out = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for r in at.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+    for r in rows.collect():
         begin = r["row"] * (BITMAP_ROW // 8)
         out[begin : begin + BITMAP_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
     return FrequentPhrases(out)
 
 
+def bitmap(phrases: DataFrame) -> FrequentPhrases:
+    """The bitmap of phrases (lang, words)."""
+    start = F.crc32(F.encode("lang", "UTF-8")) % HASH_PRIME
+    hashed = F.aggregate("words", start, lambda h, w: (h * HASH_BASE + F.crc32(F.encode(w, "UTF-8"))) % HASH_PRIME) % BITMAP_BITS
+    at = phrases.select(hashed.alias("h")).select(F.floor(F.col("h") / BITMAP_ROW).alias("row"), (F.col("h") % BITMAP_ROW).alias("bit"))
+    return gathered(at.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+
 def windows_of(text: np.ndarray, length: int) -> np.ndarray:
     """Places at which so many tokens that are words begin (0 is no word)."""
     many = max(len(text) - length + 1, 0)
@@ -82,112 +88,173 @@ def windows_of(text: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def known_words(text: np.ndarray, crc: np.ndarray, lang: bytes, frequent: FrequentPhrases) -> np.ndarray:
-    """The text with an end at each word that is not frequent: no phrase with it can be."""
-    known = frequent.holds((crc32(lang) % HASH_PRIME * HASH_BASE + crc) % HASH_PRIME % BITMAP_BITS)
-    known[0] = False
-    return np.where(known[text], text, 0)
+def hashes(text: np.ndarray, crc: np.ndarray, lang: bytes, length: int) -> np.ndarray:
+    """Buckets of the phrases of so many words that begin at each place; they mean nothing where a piece ends inside."""
+    many = max(len(text) - length + 1, 0)
+    h = np.full(many, crc32(lang) % HASH_PRIME, np.int64)
+    for i in range(length):
+        h = (h * HASH_BASE + crc[text[i : i + many]]) % HASH_PRIME
+    return h % BITMAP_BITS
+
+
+def chunks(batches):
+    """Texts of rows (lang, text) by their lang, about ``CHUNK_BYTES`` at a time."""
+    held, size = {}, 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if text:
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+            if size >= CHUNK_BYTES:
+                yield from held.items()
+                held, size = {}, 0
+    yield from held.items()
+
 
+def full_buckets(texts: DataFrame, length: int, frequent: FrequentPhrases, min_count: int) -> FrequentPhrases:
+    """Buckets with ``min_count`` phrases of ``length`` words or more, of places whose shorter phrases ``frequent`` may hold.
 
-def partial_stripes(texts: list[bytes], lang: bytes, length: int, frequent: list[FrequentPhrases], parts: int):
-    """Stripes of the prefixes of ``length`` words in some texts: prefix, part, next words (joined by spaces) and their counts."""
+    Tasks send the filled places of each row of the bitmap with their counts, up to ``min_count``.
+    """
+    kind = np.uint8 if min_count < 256 else np.uint32
+
+    def count(batches):
+        for lang, some in chunks(batches):
+            text, words = coded(some)
+            crc = np.fromiter(map(crc32, words.to_pylist()), np.int64, len(words))
+            at = windows_of(text, length)
+            known = frequent.holds(hashes(text, crc, lang, length - 1))
+            at = at[known[at] & known[at + 1]]
+            bucket, n = np.unique(hashes(text, crc, lang, length)[at], return_counts=True)
+            if not len(bucket):
+                continue
+            begin = np.flatnonzero(np.append(True, np.diff(bucket // BITMAP_ROW) > 0))
+            cut = lambda x: [y.tobytes() for y in np.split(x, begin[1:])]  # noqa: B023, E731
+            columns = [pa.array(bucket[begin] // BITMAP_ROW), pa.array(cut((bucket % BITMAP_ROW).astype(np.uint16)), pa.binary()), pa.array(cut(np.minimum(n, min_count).astype(kind)), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "places", "n"])
+
+    def merge(batches):
+        row, total = None, np.zeros(BITMAP_ROW, np.int64)
+
+        def done():
+            bits = np.packbits(total >= min_count, bitorder="little")
+            return pa.RecordBatch.from_arrays([pa.array([row]), pa.array([bits.tobytes()], pa.binary())], ["row", "bits"])
+
+        for batch in batches:
+            for r, places, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != row:
+                    if row is not None:
+                        yield done()
+                    row = r
+                    total[:] = 0
+                total[np.frombuffer(places, np.uint16)] += np.frombuffer(n, kind)
+        if row is not None:
+            yield done()
+
+    counted = texts.mapInArrow(count, "row long, places binary, n binary")
+    return gathered(counted.repartition("row").sortWithinPartitions("row").mapInArrow(merge, "row long, bits binary"))
+
+
+def partial_stripes(texts: list[bytes], lang: bytes, length: int, wanted: FrequentPhrases | None, blocks: int):
+    """Stripes of the prefixes of ``length`` words in some texts: a row for each block, with prefixes (by line), how
+    many words follow each, the next words (by spaces) and their counts."""
     text, words = coded(texts)
     crc = np.fromiter(map(crc32, words.to_pylist()), np.int64, len(words))
     if length:
-        text = known_words(text, crc, lang, frequent[0])
         at = windows_of(text, length + 1)
-        if length > 1:
-            many = max(len(text) - length + 1, 0)
-            h = np.full(many, crc32(lang) % HASH_PRIME, np.int64)
-            for i in range(length):
-                h = (h * HASH_BASE + crc[text[i : i + many]]) % HASH_PRIME
-            known = frequent[-1].holds(h % BITMAP_BITS)
-            at = at[known[at] & known[at + 1]]
+        at = at[wanted.holds(hashes(text, crc, lang, length + 1))[at]]
         prefix = text[at]
         for i in range(1, length):  # numbers of equal prefixes, a word at a time
             _, prefix = np.unique(prefix * len(words) + text[at + i], return_inverse=True)
         following = text[at + length]
-        order = np.argsort((prefix * parts + crc[following] % parts) * len(words) + following)
-        prefix, following, at = prefix[order], following[order], at[order]
+        block = (hashes(text, crc, lang, length)[at] + crc[following] % STRIPE_PARTS) % blocks
+        order = np.lexsort((following, prefix, block))
+        block, prefix, following, at = block[order], prefix[order], following[order], at[order]
         entry = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (following[1:] != following[:-1])))[: len(order)]
         n = np.diff(np.append(entry, len(order)))
-        prefix, following, at = prefix[entry], following[entry], at[entry]
+        block, prefix, following, at = block[entry], prefix[entry], following[entry], at[entry]
     else:
         following = np.arange(1, len(words))
-        following = following[np.argsort(crc[1:] % parts)]
-        n = np.bincount(text, minlength=len(words))[following]
+        following = following[np.argsort(crc[1:] % blocks)]
+        block, n = crc[following] % blocks, np.bincount(text, minlength=len(words))[following]
         prefix = at = np.zeros(len(following), np.int64)
     if not len(following):
         return
-    part = crc[following] % parts
-    begin = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])))
-    first = at[begin]
+    stripe = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (block[1:] != block[:-1])))
+    begin = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
     spell = lambda c: words.take(pa.array(c))
-    empty = pa.array([b""] * len(begin), words.type)
-    spelled = pc.binary_join_element_wise(*[spell(text[first + i]) for i in range(length)], pa.scalar(b" ", words.type)) if length else empty
-    bounds = pa.array(np.append(begin, len(following)).astype(np.int32))
-    counters = pa.ListArray.from_arrays(bounds, spell(following).cast(pa.binary()).cast(pa.string()))
+    spelled = pc.binary_join_element_wise(*[spell(text[at[stripe] + i]) for i in range(length)], pa.scalar(b" ", words.type)) if length else pa.array([b""] * len(stripe), words.type)
+    lists = lambda bounds, values: pa.ListArray.from_arrays(pa.array(np.append(bounds, len(values)).astype(np.int32)), values)
+    plain = lambda x: x.cast(pa.binary()).cast(pa.string())
+    by_stripe = np.searchsorted(stripe, begin)
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([lang.decode()] * len(begin), pa.string()),
-            spelled.cast(pa.binary()).cast(pa.string()),
-            pa.array(part[begin].astype(np.int32)),
-            pc.binary_join(counters, " "),
-            pa.ListArray.from_arrays(bounds, pa.array(n.astype(np.int32))),
+            pa.array(block[begin].astype(np.int32)),
+            pc.binary_join(lists(by_stripe, plain(spelled)), "\n"),
+            lists(by_stripe, pa.array(np.diff(np.append(stripe, len(following))).astype(np.int32))),
+            pc.binary_join(lists(begin, plain(spell(following))), " "),
+            lists(begin, pa.array(n.astype(np.int32))),
         ],
-        ["lang", "prefix", "part", "next", "n"],
+        ["lang", "block", "prefixes", "sizes", "next", "n"],
     )
 
 
-def stripes(texts: DataFrame, length: int, frequent: list[FrequentPhrases], parts: int) -> DataFrame:
-    """Tasks' stripes (lang, prefix, part, next, n) of the prefixes of ``length`` words, of texts (lang, text in UTF-8).
-
-    ``frequent`` knows the frequent phrases of one word up to ``length``; entries that cannot be frequent are left out.
-    """
-    frequent = [frequent[0], frequent[-1]] if frequent else []
+def stripes(texts: DataFrame, length: int, wanted: FrequentPhrases | None, blocks: int) -> DataFrame:
+    """Tasks' blocks of stripes of the prefixes of ``length`` words, of texts (lang, text in UTF-8), with the entries that ``wanted`` may hold."""
 
     def build(batches):
-        held, size = {}, 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= CHUNK_BYTES:
-                    for lg, some in held.items():
-                        yield from partial_stripes(some, lg, length, frequent, parts)
-                    held, size = {}, 0
-        for lg, some in held.items():
-            yield from partial_stripes(some, lg, length, frequent, parts)
+        for lang, some in chunks(batches):
+            yield from partial_stripes(some, lang, length, wanted, blocks)
+
+    return texts.mapInArrow(build, "lang string, block int, prefixes string, sizes array<int>, next string, n array<int>")
+
 
-    return texts.mapInArrow(build, "lang string, prefix string, part int, next string, n array<int>")
+def merged(partial: DataFrame, min_count: int) -> DataFrame:
+    """Stripes merged elementwise, block by block: an entry (lang, phrase, f) for each frequent phrase, and for each block one without a phrase that has the sum of all its entries."""
 
+    def merge(batches):
+        at, held = None, []
+
+        def done():
+            spread = lambda text, by: pa.array(text.split(by), pa.large_string())
+            parts = []
+            for prefixes, sizes, following, _ in held:
+                prefix = spread(prefixes, "\n").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                parts.append(pc.binary_join_element_wise(prefix, spread(following, " "), pa.scalar(" ", pa.large_string())))
+            found = pa.chunked_array(parts).combine_chunks().dictionary_encode()
+            total = np.bincount(found.indices.to_numpy(), weights=np.concatenate([h[3] for h in held])).astype(np.int64)
+            some = np.flatnonzero(total >= min_count)
+            phrases = pa.concat_arrays([found.dictionary.take(pa.array(some)).cast(pa.string()), pa.array([None], pa.string())])
+            counts = pa.array(np.append(total[some], total.sum()))
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(counts), pa.string()), phrases, counts], ["lang", "phrase", "f"])
+
+        for batch in batches:
+            for lang, block, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, block) != at:
+                    if held:
+                        yield done()
+                    at, held = (lang, block), []
+                held.append(rest)
+        if held:
+            yield done()
 
-def merged(partial: DataFrame) -> DataFrame:
-    """Stripes merged elementwise: one row (lang, prefix, next, f) an entry. Parts of stripes are shuffled whole and opened where they meet."""
-    met = partial.repartition("lang", "prefix", "part")
-    entries = met.select("lang", "prefix", "part", F.explode(F.arrays_zip(F.split("next", " ").alias("next"), "n")).alias("e"))
-    return entries.groupBy("lang", "prefix", "part", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("f")).drop("part")
+    return partial.repartition("lang", "block").sortWithinPartitions("lang", "block").mapInArrow(merge, "lang string, phrase string, f long")
 
 
 def frequencies(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """The frequent phrases (lang, words, f) of up to ``longest`` words and, for each lang, the number of its words (lang, n)."""
     spark = docs.sparkSession
     texts = docs.select(F.encode(F.coalesce(F.col(lang), F.lit("und")), "UTF-8").alias("lang"), F.encode(F.col(text), "UTF-8").alias("text"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    levels, frequent, totals = [], [], None
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    levels, totals = [], None
     for length in range(longest):
-        parts = -(-partitions // PARTITIONS_A_PART) if length else partitions
-        entries = merged(stripes(texts, length, frequent, parts))
-        if length == 0:
-            entries = stored(entries, "vocabulary")
-            totals = entries.groupBy("lang").agg(F.sum("f").alias("n"))
-        words = F.array_append(F.split("prefix", " ", -1), F.col("next")) if length else F.array("next")
-        level = stored(entries.filter(F.col("f") >= min_count).select("lang", words.alias("words"), "f"), "frequent")
-        levels.append(level)
-        if length + 1 < longest:
-            frequent.append(bitmap(level))
+        wanted = full_buckets(texts, length + 1, bitmap(levels[-1]), min_count) if length else None
+        entries = stored(merged(stripes(texts, length, wanted, blocks), min_count), "frequent")
+        if not length:
+            totals = entries.filter("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
+        words = F.split(F.ltrim("phrase"), " ", -1)
+        levels.append(entries.filter("phrase IS NOT NULL").select("lang", words.alias("words"), "f"))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
