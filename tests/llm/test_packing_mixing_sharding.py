@@ -35,6 +35,16 @@ def test_word_by_word_ids_are_those_of_the_whole_text():
         assert np.frombuffer(encode(t), "<u4").tolist() == whole_ids(t), repr(t)
 
 
+@pytest.mark.parametrize("blanks", [" ", "\n", "\t", " \n\t", "\u3000"])
+def test_millions_of_blanks_are_encoded(spark, blanks):
+    text = "a" + blanks * (2_000_000 // len(blanks)) + "b c"
+    ids = whole_ids(text)
+    assert np.frombuffer(encoder(PATH, 0)(text), "<u4").tolist() == ids
+    if blanks == " ":
+        pieces = tokenize(spark.createDataFrame([(1, text), (2, "d")], "doc_id int, text string"), PATH).orderBy("doc_id", "piece").collect()
+        assert np.frombuffer(b"".join(p["ids"] for p in pieces if p["doc_id"] == 1), "<u4").tolist() == ids
+
+
 def test_only_the_first_piece_is_short():
     assert list(cut(5, 4)) == [(0, 1), (1, 4)] and list(cut(8, 4)) == [(0, 4), (4, 4)] and list(cut(3, 4)) == [(0, 3)]
 

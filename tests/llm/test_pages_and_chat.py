@@ -22,8 +22,8 @@ def wanted_verdict(url, rules, default):
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.split("[?#]", rest[len(host) :])[0]
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-    fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return (host, path, *(max(fit)[1:] if fit else (None, default)))
+    fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fit)[2:] if fit else (None, default)))
 
 
 @pytest.mark.parametrize("parts", [1, 5])
@@ -42,6 +42,13 @@ def test_url_rules_match_brute_force(spark, parts):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == wanted_verdict(urls[r["k"]], rules, "allow"), r
 
 
+def test_of_equally_long_rules_the_longer_host_counts(spark):
+    pages = spark.createDataFrame([(i, "http://a.b.com/aaaa") for i in range(20)], "page_id long, url string")
+    for verdicts in (("allow", "block"), ("block", "allow")):
+        rules = spark.createDataFrame([("b.com", "/aaaa", verdicts[0]), ("a.b.com", "/aa", verdicts[1])], "host string, path string, verdict string")
+        assert {(r["rule"], r["verdict"]) for r in judge_urls(pages, rules).collect()} == {("a.b.com/aa", verdicts[1])}
+
+
 def test_url_rules_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x")] * 3, "page_id long, url string")
     rules = spark.createDataFrame([("a.com", "/", "allow"), ("A.com", "/", "block"), (None, "/", "block"), ("", "/", "block"), ("com", None, "block")], "host string, path string, verdict string")

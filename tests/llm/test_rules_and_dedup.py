@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from variscope.llm.exact_dedup import deduplicate, directory, hashes
-from variscope.llm.near_dedup import near_duplicates, shingler
+from variscope.llm.near_dedup import in_blocks, near_duplicates, shingler
 from variscope.llm.quality import Rule, judge
 from variscope.llm.scratch import stored
 
@@ -145,11 +145,11 @@ def near_corpus(rng, n):
     return [(i, rng.choice([" ", "\n", "  "]).join(w).upper() if i % 3 else " ".join(w)) for i, w in enumerate(docs)]
 
 
-@pytest.mark.parametrize(("width", "node_sets", "depth"), [(4, 512, 4), (4, 8, 3), (5, 4, 1)])
-def test_near_dedup_matches_brute_force(spark, width, node_sets, depth):
+@pytest.mark.parametrize(("width", "node_sets", "depth", "shingles"), [(4, 512, 4, 1 << 23), (4, 8, 3, 300), (5, 4, 1, 100)])
+def test_near_dedup_matches_brute_force(spark, width, node_sets, depth, shingles):
     docs = near_corpus(random.Random(width * 10 + depth), 260)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    out = near_duplicates(df, width=width, percent=80, node_sets=node_sets, depth=depth).collect()
+    out = near_duplicates(df, width=width, percent=80, node_sets=node_sets, depth=depth, team_shingles=shingles).collect()
     assert {tuple(r) for r in out} == near_expected(docs, width, 80) and len(out) == len(docs)
 
 
@@ -167,6 +167,17 @@ def test_near_dedup_dense_group_in_small_nodes(spark):
     assert {tuple(r) for r in out} == near_expected(docs, 4, 80)
 
 
+@pytest.mark.parametrize("bound", [10, 64, 500])
+def test_large_teams_meet_in_blocks_of_bounded_size(spark, bound):
+    teams = spark.createDataFrame([(b"t" * 16, b"%015d" % i, i, 1 + i % 3) for i in range(120)] + [(b"u" * 16, b"x", 1, 2), (b"u" * 16, b"y", 2, 2)], "team binary, vertex binary, label long, n_shingles long")
+    met = defaultdict(set)
+    for r in in_blocks(teams, bound).collect():
+        met[bytes(r["team"])].add(r["label"] if r["team"][:1] == b"t" else -r["label"])
+    pairs = {(a, b) for m in met.values() for a in m for b in m if a < b}
+    assert {(a, b) for a in range(120) for b in range(a + 1, 120)} <= pairs and (-2, -1) in pairs
+    assert len(met) == 2 if bound == 500 else max(sum(1 + x % 3 for x in m) for m in met.values()) < 4 * bound
+
+
 def test_near_dedup_nulls_repeats_and_empty(spark):
     words = " ".join(f"w{i}" for i in range(30))
     docs = [(5, words), (5, words), (9, words.upper()), (None, words), (2, None), (3, ""), (4, " \n"), (6, "one"), (7, "One ")]
