@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import random
@@ -170,29 +171,54 @@ def test_quotes_link_messages(spark):
     assert got[2, 9]["text"] == "On Friday Y wrote:\nno quote follows" and got[1, 3]["quoted_lines"] == 2
 
 
-def plain_conversations(rows):
-    """Message by message: parents by the same rules, without joins."""
-    first, turns = {}, defaultdict(set)
-    norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
+def plain_conversations(rows, size=5):
+    """Message by message on whole passages and texts, without joins."""
+    words = lambda x: re.sub(r"\s+", " ", x.lower()).strip().split(" ") if x.strip() else []
     split = lambda t: [(len(re.sub("[^>]", "", m[1])) if (m := re.match(r"^[ \t]*((?:>[ \t]?)+)", x)) else 0, re.sub(r"^[ \t]*((?:>[ \t]?)+)", "", x)) for x in re.split("\r?\n", t or "")]
+    own, turns = defaultdict(list), defaultdict(set)
     for c, t, _, text in rows:
         turns[c].add(t)
-        for level, body in split(text):
-            if not level and len(norm(body)) >= 8:
-                first[c, norm(body)] = min(t, first.get((c, norm(body)), t))
+        own[c, t].append(words("\n".join(b for level, b in split(text) if not level)))
+
+    def first(c, window):
+        has = lambda w: any(w[i : i + len(window)] == window for i in range(len(w) - len(window) + 1))
+        return min((t for t in turns[c] if any(has(w) for w in own[c, t])), default=None)
+
     out = {}
     for c, t in sorted({(r[0], r[1]) for r in rows}):
-        lines = {(level, norm(b)) for r in rows if r[:2] == (c, t) for level, b in split(r[3]) if level and len(norm(b)) >= 8}
-        weight = Counter()
-        for level, b in lines:
-            if first.get((c, b), t) < t:
-                weight[level, first[c, b]] += len(b)
+        weight, seen = Counter(), set()
+        for r in rows:
+            if r[:2] != (c, t):
+                continue
+            for level, run in itertools.groupby(split(r[3]), key=lambda x: x[0]):
+                w = words("\n".join(b for _, b in run))
+                n = min(len(w), size)
+                for window in {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if level and n else ():
+                    origin = first(c, list(window))
+                    if origin is not None and origin < t and (level, window) not in seen:
+                        seen.add((level, window))
+                        weight[n < size, level, origin] += 1
         before = [x for x in turns[c] if x < t]
-        parent = min(weight, key=lambda k: (k[0], -weight[k], -k[1]))[1] if weight else max(before, default=None)
+        parent = min(weight, key=lambda k: (k[0], k[1], -weight[k], -k[2]))[2] if weight else max(before, default=None)
         out[c, t] = (parent, *((out[c, parent][1], out[c, parent][2] + 1) if parent is not None else (t, 0)))
     return out
 
 
+def test_rewrapped_shortened_and_nested_quotes_link(spark):
+    rows = [
+        (1, 0, "a", "First question about Spark joins and memory.\nSecond line goes on about broadcast limits for a while."),
+        (1, 1, "b", "Answer one is here, long enough to be quoted in part later on."),
+        (1, 2, "c", "> First question about Spark joins\n> and memory. Second line goes\n> on about broadcast\nyes"),
+        (1, 3, "d", "On Monday X wrote:\n> Answer one is here, long\nI disagree"),
+        (1, 4, "e", ">> question about\n>> Spark joins and memory\n> I disagree\nso do I"),
+        (1, 5, "f", "> enough to be [...]\n> be quoted in part later\n> > nothing of this was said\nright"),
+        (1, 6, "g", "> something that nobody ever said here\nwhat"),
+        (1, 7, "h", "no quote " + "\x1e0\x1f" + "\n> FIRST\tquestion  about\n>\n> spark joins\nlast"),
+    ]
+    got = {r["turn"]: (r["parent"], r["linked_by"]) for r in conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got == {0: (None, "none"), 1: (0, "order"), 2: (0, "quote"), 3: (1, "quote"), 4: (0, "quote"), 5: (1, "quote"), 6: (5, "order"), 7: (0, "quote")}
+
+
 def test_conversations_match_plain_python(spark):
     rng = random.Random(11)
     lines = [f"this is line number {i}" for i in range(30)] + ["short"]
@@ -220,7 +246,7 @@ def test_short_quotes_link_when_nothing_longer_does(spark):
         (1, 0, "a", "ok"), (1, 1, "b", "好的。"), (1, 2, "c", "a line that is long enough"), (1, 3, "d", "> ok\nfine"), (1, 4, "e", "> 好的。\nyes"),
         (1, 5, "f", "> ok\n>> a line that is long enough\nboth"), (1, 6, "g", ">\n>  \nempty quotes"),
     ]
-    got = {r["turn"]: (r["parent"], r["linked_by"], r["depth"]) for r in conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), short_lines=True).collect()}
+    got = {r["turn"]: (r["parent"], r["linked_by"], r["depth"]) for r in conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
     assert got == {0: (None, "none", 0), 1: (0, "order", 1), 2: (1, "order", 2), 3: (0, "quote", 1), 4: (1, "quote", 2), 5: (2, "quote", 3), 6: (5, "order", 4)}
 
 
