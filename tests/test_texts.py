@@ -205,3 +205,26 @@ def test_tokens_of_all_lengths_match_a_plain_search(spark):
     for run, i, p, _ in answers:
         want = sum(not any(r == run and q < p and t in text for r, q, text in texts) for t in tokens[i])
         assert got[i] == want, (run, i, p, tokens[i])
+
+
+def test_articles_become_context_of_the_periods_they_precede(spark):
+    from datetime import date
+
+    from variscope.operators.evidence import dataset_evidence, external_evidence
+    from variscope.sources.files import content_fingerprint
+
+    days = [("a", 1, date(2025, 1, 31)), ("b", 2, date(2025, 3, 1)), ("c", 3, date(2025, 3, 31)), ("d", 4, date(2025, 4, 1)), ("e", 5, date(2025, 3, 31)), ("f", 6, None)]
+    articles = spark.createDataFrame(days, "title string, row_idx int, published_at date")
+    periods = spark.createDataFrame(
+        [("W", date(2025, 3, 1), date(2025, 3, 31)), ("W", date(2025, 3, 1), date(2025, 3, 31)), ("E", date(2025, 5, 1), date(2025, 5, 31)), ("E", date(2030, 1, 1), date(2030, 1, 31))],
+        "segment string, period_start date, period_end date",
+    )
+    got = {r["evidence_id"]: r for r in external_evidence(articles, periods, "run", "segment").collect()}
+    assert {k: r["summary"] for k, r in got.items()} == {
+        "external-context:run:W:2025-03-01": "Untrusted hypothesis material: 4 articles, the latest of 2025-03-31",
+        "external-context:run:E:2025-05-01": "Untrusted hypothesis material: 1 articles, the latest of 2025-04-01",
+    }
+    assert '"latest_title":"e"' in got["external-context:run:W:2025-03-01"]["payload"]
+    assert external_evidence(articles.limit(0), periods, "run", "segment").count() == 0
+    row = dataset_evidence(content_fingerprint(articles), "News", "run").first()
+    assert row["kind"] == "dataset" and row["summary"].startswith("6 rows; content hash ")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from variscope.catalog.attribution import SPEC
 from variscope.catalog.forecasting import _series as forecast_series
 from variscope.catalog.quality import OPTIONS
-from variscope.catalog.registry import FACT, investigation, query, r
+from variscope.catalog.registry import ENTRIES, FACT, GAPS, investigation, query, r
 from variscope.catalog.semantics import metric_rows
+from variscope.catalog.texts import ARTICLES
+from variscope.catalog.timeseries import BASE_CTE, BASELINE
+from variscope.catalog.timeseries import _gaps as gap_rows
 from variscope.operators import evidence as V
 from variscope.operators import grounding as G
 from variscope.operators import quality as Q
@@ -21,7 +24,7 @@ from variscope.session import shared_folder
 from variscope.sources import files as R
 from variscope.sources import sinks as K
 from variscope.sources.coerce import coerce_values
-from variscope.sources.warehouse import fact, fact_with_gaps, table
+from variscope.sources.warehouse import articles, fact, fact_with_gaps, table
 
 
 @query(
@@ -110,7 +113,11 @@ def _ledger(spark, sf):
     metric = M.infer_metric_definition(metric_rows(spark, sf), "actual", "target", "row_idx")
     text = lambda c: F.col(c).cast("string")
     contract = "dataset-contract"
+    changed = S.material_periods(S.finance_points(gap_rows(spark, sf), BASELINE), BASELINE)
+    months = changed.select("segment", "period_start", F.last_day("period_start").alias("period_end"))
     parts = [
+        V.dataset_evidence(R.content_fingerprint(rows), "Order lines", run),
+        V.external_evidence(articles(spark, sf), months, run, "segment"),
         V.scope_evidence(inv.scope, inv.spec, run),
         V.driver_evidence(inv.scores, run),
         V.interaction_evidence(inv.interactions, run),
@@ -128,15 +135,23 @@ def evidence_table(spark, sf):
     return _ledger(spark, sf)[1]
 
 
+def _count_of(name: str, what: str = "count(*)") -> str:
+    """A figure of another query's SQL."""
+    return f"(SELECT {what} FROM ({ENTRIES[name].sql}))"
+
+
 @query(
     "evidence_kind_counts",
-    f"""WITH {FACT}, {investigation()}, m AS (SELECT count(DISTINCT p_type) AS n FROM part)
-    SELECT 'driver' AS kind, least(8, count(*)) AS items FROM scores UNION ALL SELECT 'scope', 1 UNION ALL SELECT 'variance', 1
-    UNION ALL SELECT 'time-series', count(DISTINCT segment) FROM fact UNION ALL SELECT 'quality', 1 UNION ALL SELECT 'metric-definition', n FROM m""",
+    f"""WITH {GAPS}, {BASE_CTE}, {ARTICLES}, changed AS (SELECT s, cast(p AS DATE) AS p FROM pts WHERE material OR severity IN ('critical', 'watch') QUALIFY row_number() OVER (PARTITION BY s ORDER BY p DESC) <= 12),
+    about AS (SELECT DISTINCT s, p FROM changed JOIN art ON published_at BETWEEN p - 30 AND last_day(p))
+    SELECT 'driver' AS kind, least(8, {_count_of("score_dimensions")}) AS items UNION ALL SELECT 'scope', 1 UNION ALL SELECT 'variance', 1 UNION ALL SELECT 'dataset', 1 UNION ALL SELECT 'quality', 1
+    UNION ALL SELECT 'time-series', count(DISTINCT segment) FROM gaps UNION ALL SELECT 'external-context', count(*) FROM about HAVING count(*) > 0
+    UNION ALL SELECT 'interaction', {_count_of("top_interactions")} UNION ALL SELECT 'forecast-model', {_count_of("forecast_backtest", "count(DISTINCT status)")}
+    UNION ALL SELECT 'metric-definition', {_count_of("infer_metric_definition", "count(DISTINCT metric_id)")}
+    UNION ALL SELECT 'limitation', {_count_of("infer_metric_definition", "count(DISTINCT metric_id) FILTER (WHERE missing_semantics <> '')")}""",
 )
 def evidence_kind_counts(spark, sf):
-    counts = _ledger(spark, sf)[1].groupBy("kind").agg(F.count_distinct("evidence_id").alias("items"))
-    return counts.filter(F.col("kind").isin("driver", "scope", "variance", "time-series", "quality", "metric-definition"))
+    return _ledger(spark, sf)[1].groupBy("kind").agg(F.count_distinct("evidence_id").alias("items"))
 
 
 @query("evidence_for_kinds")

@@ -9,6 +9,8 @@ from variscope.operators.cohort import CohortSpec
 
 # How many drivers and combinations become evidence.
 TOP_DRIVERS, TOP_SEGMENTS = 8, 5
+#: Days before a period in which an article may have to do with it.
+LEAD_DAYS = 30
 KINDS = (
     "dataset", "metric-definition", "scope", "variance", "time-series", "forecast-model", "driver",
     "interaction", "quality", "external-context", "limitation",
@@ -65,6 +67,36 @@ def table_evidence(df: DataFrame, kind: str, run_id: str, key: str, title: str,
     return item(df, kind, run_id, F.col(key).cast("string"), F.lit(title), summary, source)
 
 
+def dataset_evidence(fingerprint: DataFrame, name: str, run_id: str) -> DataFrame:
+    """The identity of the data, from its one-row fingerprint."""
+    summary = F.format_string("%d rows; content hash %s", "row_count", "content_hash")
+    return item(fingerprint, "dataset", run_id, F.substring("content_hash", 1, 16), F.lit(name), summary, "dataset-contract")
+
+
+def external_evidence(articles: DataFrame, periods: DataFrame, run_id: str, series: str, lead_days: int = LEAD_DAYS) -> DataFrame:
+    """Articles about the time of each materially changed period: hypotheses for context, not causal evidence.
+
+    ``articles`` has row_idx, title and published_at (a day), ``periods`` the series with period_start and
+    period_end. A period meets the articles from ``lead_days`` before it to its end, and is an item if there
+    are any. Articles become one row a day first; days and periods meet in buckets of days as wide as a
+    period with its lead may be, so a period is in a few buckets and a day in one.
+    """
+    daily = articles.dropna(subset=["published_at"]).groupBy(F.col("published_at").cast("date").alias("day")).agg(
+        F.count("*").alias("n"), F.max(F.struct("row_idx", "title")).alias("last")
+    )
+    width = lead_days + 31
+    bucket = lambda d: F.floor(F.unix_date(d) / width)
+    first = F.date_sub("period_start", lead_days)
+    wanted = periods.select(series, "period_start", "period_end", first.alias("_first")).distinct()
+    wanted = wanted.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_first")), bucket(F.col("period_end")))))
+    met = wanted.join(daily.withColumn("_bucket", bucket(F.col("day"))), "_bucket").filter("day BETWEEN _first AND period_end")
+    about = met.groupBy(series, "period_start", "period_end").agg(F.sum("n").alias("articles"), F.max(F.struct("day", "last")).alias("_last"))
+    about = about.select(series, "period_start", "period_end", "articles", F.col("_last.day").alias("latest_day"), F.col("_last.last.title").alias("latest_title"))
+    key = F.concat_ws(":", F.col(series).cast("string"), F.col("period_start").cast("string"))
+    summary = F.format_string("Untrusted hypothesis material: %d articles, the latest of %s", F.col("articles"), F.col("latest_day").cast("string"))
+    return item(about, "external-context", run_id, key, F.lit("External context of a material period"), summary, "external-context")
+
+
 def evidence_table(parts: list[DataFrame]) -> DataFrame:
     """All evidence of a run in ledger order columns."""
     out = parts[0]
