@@ -6,11 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from variscope.functions.quantiles import exact_quantiles, rank_within, robust_scale
+from variscope.functions.quantiles import exact_quantiles, ordered_ranges, rank_within, robust_scale
 from variscope.functions.values import array_percentile, array_robust_scale
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-WAYS = {"short": {}, "two scans": {"short": 0}, "three scans": {"short": 0, "medium": 0}}
 
 
 def columns():
@@ -26,21 +25,19 @@ def columns():
     }
 
 
-@pytest.mark.parametrize("way", WAYS)
 @pytest.mark.parametrize("name", list(columns()))
-def test_exact_quantiles(spark, name, way):
+def test_exact_quantiles(spark, name):
     values = columns()[name]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
-    row = exact_quantiles(df, "v", PROBS, **WAYS[way]).first()
+    row = exact_quantiles(df, "v", PROBS).first()
     assert row["n"] == len(values)
     assert row["q"] == pytest.approx(list(np.quantile(values, PROBS)), rel=1e-12, abs=1e-12)
 
 
-@pytest.mark.parametrize("way", WAYS)
-def test_grouped_and_weighted_quantiles(spark, way):
+def test_grouped_and_weighted_quantiles(spark):
     rows = [("a", float(i % 7), i % 3 + 1) for i in range(50)] + [("b", float(i), 2) for i in range(9)]
     df = spark.createDataFrame(rows, "g string, v double, w bigint")
-    got = {r["g"]: r["q"] for r in exact_quantiles(df, "v", [0.25, 0.5], ["g"], weight="w", **WAYS[way]).collect()}
+    got = {r["g"]: r["q"] for r in exact_quantiles(df, "v", [0.25, 0.5], ["g"], weight="w").collect()}
     for g in "ab":
         spread = [v for k, v, w in rows if k == g for _ in range(w)]
         assert got[g] == pytest.approx(list(np.quantile(spread, [0.25, 0.5])))
@@ -52,7 +49,7 @@ def test_robust_scale_rules(spark):
     flat = spark.createDataFrame([(1.0,)] * 9 + [(11.0,)], "v double")
     assert robust_scale(flat, "v").scale == pytest.approx(3.0)  # MAD is 0: the deviation
     line = spark.createDataFrame([(float(i),) for i in range(9)], "v double")
-    assert robust_scale(line, "v", short=0).scale == pytest.approx(2 * 1.4826)
+    assert robust_scale(line, "v").scale == pytest.approx(2 * 1.4826)
     empty = line.filter("v < 0")
     assert robust_scale(empty, "v").scale == 1.0
 
@@ -72,3 +69,20 @@ def test_rank_within_matches_a_sort(spark):
     for g in "ab":
         ordered = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
         assert [got[r[2]] for r in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_equal_keys_are_spread_over_all_ranges(spark):
+    df = spark.range(100_000).select(F.lit("d").alias("g"), F.lit(5.0).alias("size"), F.col("id").alias("name"))
+    ranked = rank_within(df, ["g"], F.col("size"), ["name"], "rank")
+    assert ranked.filter("rank <> name + 1").count() == 0 and ranked.count() == 100_000
+    placed = ordered_ranges(df, [F.col("g"), F.desc("size"), F.col("name")])
+    sizes = [r["n"] for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * 100_000 / len(sizes)
+
+
+def test_ranks_of_null_groups_and_keys(spark):
+    rows = [(None, 1.0, "a"), (None, None, "b"), ("x", 2.0, "c"), ("x", None, None), (None, 1.0, "z")]
+    df = spark.createDataFrame(rows, "`g.h` string, size double, name string")
+    got = {(r["g.h"], r["name"]): r["rank"] for r in rank_within(df, ["g.h"], F.col("size"), ["name"], "rank").collect()}
+    assert got == {(None, "a"): 1, (None, "z"): 2, (None, "b"): 3, ("x", "c"): 1, ("x", None): 2}
+    assert rank_within(df.limit(0), ["g.h"], F.col("size"), ["name"], "rank").count() == 0

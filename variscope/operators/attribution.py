@@ -130,7 +130,7 @@ class Population:
 
     @cached_property
     def scale(self) -> float:
-        return robust_scale(self.prepared, "residual", rows=self.stats["n"]).scale
+        return robust_scale(self.prepared, "residual").scale
 
     @cached_property
     def stats(self) -> Row:
@@ -356,8 +356,8 @@ def top_contributions(contributions: DataFrame, k: int) -> DataFrame:
 
 def category_ranks(contributions: DataFrame) -> DataFrame:
     """Every category with its rank by |impact| inside its dimension and the share its three
-    leading categories hold. A dimension may have any number of categories, so the rank is counted
-    per range of impact and no task sorts a whole dimension."""
+    leading categories hold. A dimension may have any number of categories, so they are dealt to ranges
+    of their order, those of equal impact by value, and no task sorts a whole dimension."""
     ranked = rank_within(
         contributions, ["dimension"], F.abs("business_impact"), ["value"], "category_rank"
     )
