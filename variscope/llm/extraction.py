@@ -14,6 +14,7 @@ host of any size is an aggregation with partial sums.
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from variscope.llm.urls import with_host_and_path
 MIN_PAGES = 8
 #: Tokens of an equivalence class.
 MIN_TOKENS = 2
+#: Kinds of tokens.
+PAGE, PATH, LINKS, TEXT = range(4)
 
 # Element names and words in class, id and role attributes that mark what is not the article.
 NEVER = frozenset(
@@ -86,8 +89,13 @@ def marks_of(name: str, attrs: str, in_main: bool) -> tuple[bool, frozenset[str]
     return False, COMMENTS & words if name == "article" else MARKED & words
 
 
-def blocks(html: str) -> list[tuple[str, bool, bool, str, bool]]:
-    """(element path, lies in article or main, all of it links, text, marked) of every block that may be content.
+def below(path: int, name: str) -> int:
+    """The path of an element in the element of another path: 64 bits, whatever the depth."""
+    return (path * 0x9E3779B97F4A7C15 + crc32(name.encode()) + 1) & 0xFFFFFFFFFFFFFFFF
+
+
+def blocks(html: str) -> list[tuple[int, bool, bool, str, bool]]:
+    """(element path as a hash, lies in article or main, all of it links, text, marked) of every block that may be content.
 
     Text that is not in a block of its own belongs to the block around it; white space inside is one space.
     Slots that a word of ALONE marks are left out; ``marked`` says that other words mark the block, which
@@ -96,10 +104,10 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str, bool]]:
     """
     from html import unescape
 
-    kept: list[tuple[str, frozenset[int] | None, bool, str, frozenset[int], frozenset[int]]] = []
+    kept: list[tuple[int, frozenset[int] | None, bool, str, frozenset[int], frozenset[int]]] = []
     # name, path of the block, left out, marks of TEASERS around the main element (None outside one), marks that
     # need evidence, marks of ALONE
-    stack: list[tuple[str, str, bool, frozenset[int] | None, frozenset[int], frozenset[int]]] = [("", "", False, None, NONE, NONE)]
+    stack: list[tuple[str, int, bool, frozenset[int] | None, frozenset[int], frozenset[int]]] = [("", 0, False, None, NONE, NONE)]
     teasers: set[int] = set()
     under: set[int] = set()  # marks with an article or main below
     marks = 0
@@ -193,7 +201,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str, bool]]:
                 under.update(weak | alone)
                 if main is None:
                     main = (weak | alone) & teasers
-            stack.append((name, f"{path}/{name}", out_ or never, main, weak, alone))
+            stack.append((name, below(path, name), out_ or never, main, weak, alone))
     flush()
     cleared = under - teasers
     if not any(b[1] == NONE and b[5] <= cleared for b in kept):
@@ -201,12 +209,12 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str, bool]]:
     return [(path, main == NONE, all_links, joined, not weak <= cleared) for path, main, all_links, joined, weak, alone in kept if alone <= cleared]
 
 
-def content(html: str, strings: frozenset[int] = frozenset(), lists: frozenset[str] = frozenset()) -> str:
+def content(html: str, strings: frozenset[int] = frozenset(), lists: frozenset[int] = frozenset()) -> str:
     """The main text: one line a block, without template ``strings`` (hashes) and link ``lists`` (paths).
 
     A marked block goes if it is all links; otherwise its text is evidence only if the host repeats it. A page with an article or main element that holds text gives that; any other page gives all that is left.
     """
-    found = [b for b in blocks(html) if not (b[2] and (b[4] or b[0] in lists)) and not (strings and string_hash(b[0], b[3]) in strings)]
+    found = [b for b in blocks(html) if not (b[2] and (b[4] or signed(b[0]) in lists)) and not (strings and string_hash(b[0], b[3]) in strings)]
     main = [b for b in found if b[1]]
     return "\n".join(b[3] for b in main or found)
 
@@ -215,13 +223,13 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def string_hash(path: str, text: str) -> int:
+def string_hash(path: int, text: str) -> int:
     import xxhash
 
-    return signed(xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode()))
+    return signed(xxhash.xxh3_64_intdigest(text.encode(), path))
 
 
-def witness(found: list[tuple[str, bool, bool, str, bool]]) -> int:
+def witness(found: list[tuple[int, bool, bool, str, bool]]) -> int:
     """Hash of what a page says: its main text if it has one, else all its text."""
     import xxhash
 
@@ -230,15 +238,16 @@ def witness(found: list[tuple[str, bool, bool, str, bool]]) -> int:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, token, path, is_text, n, mark: the tokens of each different page; an empty path stands for the page itself.
+    """host, token, path, kind, n, mark: the tokens of each different page.
 
-    ``pages`` has host and html. Pages of a host that say the same are one witness of its template, however
-    often they are repeated: of them the one with the least hash of all its blocks counts. ``mark`` is a hash
-    of the witness and the count.
+    Of ``kind`` PAGE is the page itself, PATH an element path, LINKS a path whose blocks are all links and TEXT a
+    string under a path. ``pages`` has host and html. Pages of a host that say the same are one witness of its
+    template, however often they are repeated: of them the one with the least hash of all its blocks counts.
+    ``mark`` is a hash of the witness and the count.
     """
     import pyarrow as pa
 
-    kinds = pa.struct([("token", pa.int64()), ("path", pa.string()), ("is_text", pa.bool_()), ("n", pa.int64()), ("mark", pa.int64())])
+    kinds = pa.struct([("token", pa.int64()), ("path", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("mark", pa.int64())])
 
     def run(batches):
         from collections import Counter
@@ -251,19 +260,19 @@ def tokens(pages: DataFrame) -> DataFrame:
                 found = blocks(html or "")
                 if not found:
                     continue
-                seen: Counter = Counter([("", False, "")])
+                seen: Counter = Counter([(0, PAGE, "")])
                 for path, _, links, text, _ in found:
-                    seen[path, False, ""] += 1
+                    seen[path, PATH, ""] += 1
                     if links:  # in one class with the path itself if all its blocks are links
-                        seen[path, False, "a"] += 1
-                    seen[path, True, text] += 1
+                        seen[path, LINKS, ""] += 1
+                    seen[path, TEXT, text] += 1
                 said = witness(found)
                 salt = said & 0xFFFFFFFFFFFFFFFF
                 made = []
-                for (path, is_text, text), n in seen.items():
-                    token = string_hash(path, text) if is_text else string_hash(path, f"\0{text}")
+                for (path, kind, text), n in seen.items():
+                    token = string_hash(path, text) if kind == TEXT else string_hash(path, f"\0{kind}")
                     mark = signed(xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), salt))
-                    made.append({"token": token, "path": None if is_text else path + (" a" if text else ""), "is_text": is_text, "n": n, "mark": mark})
+                    made.append({"token": token, "path": signed(path), "kind": kind, "n": n, "mark": mark})
                 hosts.append(host)
                 says.append(said)
                 wholes.append(signed(xxhash.xxh3_64_intdigest("\0".join(f"{b[0]}\0{b[2]}\0{b[3]}" for b in found).encode())))
@@ -271,7 +280,7 @@ def tokens(pages: DataFrame) -> DataFrame:
             columns = [pa.array(hosts, pa.string()), pa.array(says, pa.int64()), pa.array(wholes, pa.int64()), pa.array(sets, pa.list_(kinds))]
             yield pa.RecordBatch.from_arrays(columns, ["host", "said", "whole", "tokens"])
 
-    made = pages.select("host", "html").mapInArrow(run, "host string, said long, whole long, tokens array<struct<token:long,path:string,is_text:boolean,n:long,mark:long>>")
+    made = pages.select("host", "html").mapInArrow(run, "host string, said long, whole long, tokens array<struct<token:long,path:long,kind:int,n:long,mark:long>>")
     return made.groupBy("host", "said").agg(F.min_by("tokens", "whole").alias("tokens")).select("host", F.inline("tokens"))
 
 
@@ -283,17 +292,18 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MI
     pages have. Both are at most as many as one page has blocks.
     """
     vector = ["pages", "total", "x", "y"]
-    counted = tokens(pages).groupBy("host", "token", "is_text").agg(
+    counted = tokens(pages).groupBy("host", "token", "kind").agg(
         F.max("path").alias("path"), F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor("mark").alias("x"), F.sum(F.col("mark").bitwiseAND(0x7FFFFFFF)).alias("y")
     )
     counted = stored(counted.filter(F.col("pages") >= min_pages), "tokens")
-    hosts = counted.filter("path = ''").select("host", F.col("pages").alias("all_pages"))
-    classes = counted.groupBy("host", *vector).agg(F.count("*").alias("tokens"), F.max(F.coalesce(F.col("path") == "", F.lit(False))).alias("root")).filter(F.col("tokens") >= min_tokens)
+    page = F.col("kind") == PAGE
+    hosts = counted.filter(page).select("host", F.col("pages").alias("all_pages"))
+    classes = counted.groupBy("host", *vector).agg(F.count("*").alias("tokens"), F.max(page).alias("root")).filter(F.col("tokens") >= min_tokens)
     valid = classes.join(hosts, "host").filter("pages = all_pages")
     members = counted.join(valid.drop("all_pages", "tokens"), ["host", *vector])
     return members.groupBy("host").agg(
-        F.collect_list(F.when(F.col("is_text") & F.col("root"), F.col("token"))).alias("strings"),
-        F.collect_list(F.when(F.col("path").endswith(" a"), F.expr("substring(path, 1, length(path) - 2)"))).alias("lists"),
+        F.collect_list(F.when((F.col("kind") == TEXT) & F.col("root"), F.col("token"))).alias("strings"),
+        F.collect_list(F.when(F.col("kind") == LINKS, F.col("path"))).alias("lists"),
     )
 
 
