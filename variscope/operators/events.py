@@ -144,7 +144,8 @@ def cohort_event_study(
         ],
         "event_id string, event_day date, affected string, control string, expected_direction string, pre_days int, post_days int",
     )
-    first, last = min((e.first_day for e in events), default=date.min), max((e.last_day for e in events), default=date.min)
+    none = date(1970, 1, 1)
+    first, last = min((e.first_day for e in events), default=none), max((e.last_day for e in events), default=none)
     masks = cohort_masks(df, time_field, actual, expected, cohorts or [()], first, last)
     studied = event_study(cohort_days(masks, cohorts or [()]), listed, "cohort", polarity)
     both = F.array(
