@@ -179,8 +179,8 @@ def test_grounding_takes_the_verdict_on_claims(spark):
 
 def test_long_tokens_in_long_digit_runs(spark):
     rng = random.Random(6)
-    digits = "".join(rng.choice("0123456789") for _ in range(100_000))
-    starts = [rng.randrange(90_000) for _ in range(50)]
+    digits = "".join(rng.choice("0123456789") for _ in range(30_000))
+    starts = [rng.randrange(25_000) for _ in range(50)]
     inside = [digits[i : i + 1 + n] for n, i in enumerate(starts)] + [digits[5:3000], digits]
     outside = [digits[i : i + 20] + "x" for i in (0, 50)] + ["1" * 30, digits[100:140][::-1], digits + "1", digits[:9] + digits[20:29]]
     outside = [t.replace("x", "7" if digits[digits.find(t[:-1]) + 20] != "7" else "8") for t in outside]

@@ -95,7 +95,9 @@ def claim_check(responses: DataFrame, ledger: DataFrame, allowed: DataFrame) ->
         .agg(F.count_if((F.col("part") != "claim") | F.col("ref_at").isNotNull()).alias("references"), *[F.count_if(F.coalesce(F.col("error") == e, F.lit(False))).alias(c) for c, e in kinds.items()])
     )
     sizes = responses.select("run_id", "answer_id", F.coalesce(F.size("claims"), F.lit(0)).alias("_claims")).withColumn("claims", F.greatest(F.lit(0), F.col("_claims"))).drop("_claims")
-    out = sizes.join(counted, ["run_id", "answer_id"], "left").na.fill(0, ["references", *kinds])
+    counted = counted.withColumnsRenamed({"run_id": "_run", "answer_id": "_answer"})
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("answer_id").eqNullSafe(F.col("_answer"))
+    out = sizes.join(counted, same, "left").drop("_run", "_answer").na.fill(0, ["references", *kinds])
     grounded = (F.col("claims_without_evidence") == 0) & (F.col("unknown_in_claims") == 0)
     others = (F.col("unknown_in_tools") == 0) & (F.col("disallowed_in_actions") == 0) & (F.col("disallowed_in_predicates") == 0)
     return out.withColumns({"claims_grounded": grounded, "valid": grounded & others})

@@ -64,16 +64,14 @@ def number_tokens(text: Column) -> Column:
 
 
 def _windows(run: Column, sizes: Column) -> Column:
-    """The substrings of a digit run of the wanted sizes, with their places."""
-    fitting = F.filter(sizes, lambda n: n <= F.length(run))
-    return F.flatten(
-        F.transform(
-            fitting,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.struct(F.substr(run, i, n).alias("window"), i.alias("at"))
-            ),
-        )
-    )
+    """The substrings of a digit run of the wanted sizes, with their places, in one pass for each size."""
+
+    def of(n: int) -> Column:
+        found = F.regexp_extract_all(run, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
+        return F.when(F.array_contains(sizes, n), F.transform(found, lambda w, i: F.struct(w.alias("window"), (i + 1).alias("at"))))
+
+    none = F.array().cast("array<struct<window: string, at: int>>")
+    return F.concat(*[F.coalesce(of(n), none) for n in range(1, WINDOW + 1)])
 
 
 def first_seen(tokens: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -101,13 +99,17 @@ def first_seen(tokens: DataFrame, evidence: DataFrame) -> DataFrame:
     short = wanted.filter(F.length("token") <= WINDOW)
     whole = windows.groupBy("run_id", F.col("window").alias("token")).agg(F.min("position").alias("_seen"))
     whole = whole.join(short, ["run_id", "token"], "left_semi")
-    last = F.length("token") - WINDOW
-    cut = F.array_union(F.sequence(F.lit(0), last, F.lit(WINDOW)), F.array(last))
-    parts = wanted.filter(F.length("token") > WINDOW).select("run_id", "token", F.size(cut).alias("_parts"), F.explode(cut).alias("_offset"))
-    parts = parts.withColumn("window", F.substr("token", F.col("_offset") + 1, F.lit(WINDOW)))
-    met = parts.join(windows, ["run_id", "window"]).groupBy("run_id", "token", "_of", (F.col("at") - F.col("_offset")).alias("_begin"))
+    # Long tokens travel by their digest.
+    long = wanted.filter(F.length("token") > WINDOW).withColumn("_id", F.md5("token"))
+    piece = lambda w, at: F.struct(at.cast("int").alias("offset"), w.alias("window"))
+    whole_ones = F.transform(F.regexp_extract_all("token", F.lit(f".{{{WINDOW}}}"), F.lit(0)), lambda w, i: piece(w, i * WINDOW))
+    last = F.array(piece(F.right("token", F.lit(WINDOW)), F.length("token") - WINDOW))
+    pieces = F.when(F.length("token") % WINDOW == 0, whole_ones).otherwise(F.concat(whole_ones, last))
+    parts = long.select("run_id", "_id", F.size(pieces).alias("_parts"), F.explode(pieces).alias("p")).select("run_id", "_id", "_parts", "p.offset", "p.window")
+    met = parts.join(windows, ["run_id", "window"]).groupBy("run_id", "_id", "_of", (F.col("at") - F.col("offset")).alias("_begin"))
     pieced = met.agg(F.count("*").alias("_n"), F.max("_parts").alias("_parts"), F.min("position").alias("position")).filter("_n = _parts")
-    return whole.unionByName(pieced.groupBy("run_id", "token").agg(F.min("position").alias("_seen")))
+    found = pieced.groupBy("run_id", "_id").agg(F.min("position").alias("_seen"))
+    return whole.unionByName(found.join(long, ["run_id", "_id"]).select("run_id", "token", "_seen"))
 
 
 def grounding_check(answers: DataFrame, evidence: DataFrame, claims: DataFrame | None = None) -> DataFrame:
