@@ -228,3 +228,23 @@ def test_articles_become_context_of_the_periods_they_precede(spark):
     assert external_evidence(articles.limit(0), periods, "run", "segment").count() == 0
     row = dataset_evidence(content_fingerprint(articles), "News", "run").first()
     assert row["kind"] == "dataset" and row["summary"].startswith("6 rows; content hash ")
+
+
+def test_short_mentions_do_not_multiply_the_texts(spark):
+    """A value of one character stands in every word: what is dealt for it is itself, once a text."""
+    body = " ".join(f"e{i}e" for i in range(60))
+    sentence = " ".join(f"e{i}e" for i in range(10, 40))
+    texts = spark.createDataFrame([(k, f"{body} {k}") for k in range(20)], "id int, text string")
+    values = spark.createDataFrame([("E",), (sentence,), ("e3e e4e",), ("e5e e6e e7e",)], "value string")
+    got = {(r["id"], r["value"]) for r in T.mention_join(texts, "text", "id", values, "value").collect()}
+    assert got == {(k, v) for k in range(20) for v in ("E", sentence, "e3e e4e", "e5e e6e e7e")}
+    listed = values.select(F.lower("value").alias("_low"), "value")
+    lowered = texts.select("id", F.lower("text").alias("_text"))
+    words = lowered.select(F.explode(F.split("_text", " ")).alias("_word")).groupBy("_word").agg(F.count("*").alias("_n"))
+    anchored = T._anchored(words, listed).localCheckpoint()
+    spans = anchored.groupBy("_shape").agg(F.max("_before").alias("before"), F.max("_after").alias("after")).collect()
+    bits = T._bits(anchored)
+    assert T._spelled_met(lowered, "id", "gram", bits).count() == 20
+    met = T._runs_met(lowered, "id", [s for s in spans if s["_shape"] != "gram"], bits)
+    size = met.agg(F.sum(F.length("_around"))).first()[0]
+    assert size <= texts.agg(F.sum(F.length("text"))).first()[0]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from variscope.functions import words
@@ -14,7 +15,9 @@ from variscope.session import shared_table
 
 TOP_TAGS, TOP_FACTORS, MAX_ARTICLES = 4, 8, 40
 GRAM = 3
-#: Bits of the map of anchored words (1 MB), in the rows that Spark's bitmap functions build.
+#: Words of the longest run a value is anchored at, and the mark of their first words in the bitmap.
+RUN, FIRST = 4, "first"
+#: Bits of the map of anchored runs (1 MB), in the rows that Spark's bitmap functions build.
 ANCHOR_BITS, BITMAP_ROW = 1 << 23, 1 << 15
 #: Tasks that share the occurrences of one anchored word.
 SALTS = 8
@@ -204,48 +207,111 @@ def _word_keys(vocabulary: DataFrame, anchors: DataFrame) -> DataFrame:
     return vocabulary.withColumn("_sizes", sizes).select("_word", "_n", F.inline(keys))
 
 
-def _anchored_words(vocabulary: DataFrame, listed: DataFrame) -> DataFrame:
-    """The words of the texts (``_word``) at which each value is looked for: those of its rarest anchor.
+def _anchored(vocabulary: DataFrame, listed: DataFrame) -> DataFrame:
+    """What a text must hold for each value to be looked for there: ``_shape`` and ``_run``, with the pieces of the
+    text that the value may cover before and after the place (``_before``, ``_after``).
 
-    A value with an anchor that no text has is in no text.
+    A value of at most ``GRAM`` characters without blanks is known by itself (``gram``), a longer one without
+    blanks by the words of the texts that contain it (``word``), one of two parts by the words that end or begin
+    with its rarer part (``suffix``, ``prefix``), and any other by a run of up to ``RUN`` whole words with its
+    rarest one (``run1`` to ``run4``). A value with an anchor that no text has is in no text.
     """
-    anchors = _anchors(listed)
+    parts = F.split("_low", r"\s+")
+    itself = (F.size(parts) == 1) & (F.length("_low") <= GRAM)
+    shaped = lambda df, shape, run, before, after: df.select(
+        shape.alias("_shape"), run.alias("_run"), before.cast("int").alias("_before"), after.cast("int").alias("_after"), "value", "_low"
+    )
+    none = F.lit(0)
+    short = shaped(listed.filter(itself), F.lit("gram"), F.col("_low"), none, none)
+    anchors = _anchors(listed.filter(~itself))
     keys = _word_keys(vocabulary, anchors).join(anchors.select("_kind", "_anchor").distinct(), ["_kind", "_anchor"])
     counts = keys.groupBy("_kind", "_anchor").agg(F.sum("_n").alias("_count"))
     found = anchors.join(counts, ["_kind", "_anchor"], "left")
     rank = F.struct(F.coalesce("_count", F.lit(0)).alias("n"), F.col("_kind").alias("kind"), F.col("_anchor").alias("anchor"))
     rarest = found.groupBy("value", "_low").agg(F.min(rank).alias("_best")).filter("_best.n > 0")
     chosen = rarest.select("value", "_low", F.col("_best.kind").alias("_kind"), F.col("_best.anchor").alias("_anchor"))
-    return chosen.join(keys.drop("_n"), ["_kind", "_anchor"]).select("_word", "value", "_low").distinct()
+    inner = F.slice(parts, 2, F.greatest(none, F.size(parts) - 2))
+    whole = chosen.filter("_kind = 'word'").withColumn("_inner", inner).withColumn("_size", F.least(F.size("_inner"), F.lit(RUN)))
+    start = F.least(F.array_position("_inner", F.col("_anchor")).cast("int"), F.size("_inner") - F.col("_size") + 1)
+    whole = whole.withColumn("_start", start)
+    run = F.array_join(F.slice("_inner", F.col("_start"), F.col("_size")), " ")
+    runs = shaped(whole, F.concat(F.lit("run"), F.col("_size")), run, 2 * F.col("_start"), 2 * (F.size(parts) - 1 - F.col("_start")))
+    spelled = chosen.filter("_kind <> 'word'").join(keys.drop("_n"), ["_kind", "_anchor"])
+    spelled = spelled.filter((F.col("_kind") != "gram") | F.contains("_word", "_low"))
+    shape = F.when(F.col("_kind") == "gram", "word").otherwise(F.col("_kind"))
+    words_ = shaped(spelled, shape, F.col("_word"), F.when(F.col("_kind") == "prefix", 2).otherwise(0), F.when(F.col("_kind") == "suffix", 2).otherwise(0))
+    return short.unionByName(runs).unionByName(words_).distinct()
 
 
-def _bit_of(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(ANCHOR_BITS))
+def _bit_of(shape: Column, run: Column) -> Column:
+    return F.pmod(F.xxhash64(shape, run), F.lit(ANCHOR_BITS))
 
 
 def _bits(anchored: DataFrame) -> Column:
-    """The anchored words as a bitmap of fixed size, in rows of Spark's bitmap functions."""
-    at = anchored.select(_bit_of(F.col("_word")).alias("h")).select(F.floor(F.col("h") / BITMAP_ROW).alias("row"), (F.col("h") % BITMAP_ROW).alias("bit"))
+    """The anchored runs, and the words they begin with, as a bitmap of fixed size in rows of Spark's bitmap functions."""
+    first = anchored.filter("_shape NOT IN ('gram', 'word')").select(F.lit(FIRST).alias("_shape"), F.substring_index("_run", " ", 1).alias("_run"))
+    every = anchored.select("_shape", "_run").unionByName(first)
+    at = every.select(_bit_of(F.col("_shape"), F.col("_run")).alias("h")).select(F.floor(F.col("h") / BITMAP_ROW).alias("row"), (F.col("h") % BITMAP_ROW).alias("bit"))
     rows = at.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    return rows.agg(F.map_from_entries(F.collect_list(F.struct("row", "bits")))).scalar()
+    known = rows.agg(F.map_from_entries(F.collect_list(F.struct("row", "bits"))).alias("known"))
+    numbers = F.sequence(F.lit(0), F.lit(ANCHOR_BITS // BITMAP_ROW - 1))
+    return known.select(F.transform(numbers, lambda i: F.try_element_at("known", i.cast("bigint")))).scalar()
 
 
-def _may_be_anchored(word: Column, bits: Column) -> Column:
-    h = _bit_of(word)
-    row = F.try_element_at(bits, F.floor(h / BITMAP_ROW))
+def _may_be_anchored(shape: str, run: Column, bits: Column) -> Column:
+    h = _bit_of(F.lit(shape), run)
+    row = F.get(bits, F.floor(h / BITMAP_ROW).cast("int"))
     at = h % BITMAP_ROW
     byte = F.conv(F.hex(F.substr(row, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
+def _runs_met(lowered: DataFrame, key: str, spans: Sequence[Row], bits: Column) -> DataFrame:
+    """The places of the texts where a run, or a word with a part of a value, may stand, each with as much of the
+    text as the values of its shape may cover."""
+    pieces = F.regexp_extract_all("_text", F.lit(r"\S+|\s+"), F.lit(0))
+    # The bitmap is a column of the row, so that it is not built again for every word.
+    known = lowered.select(key, pieces.alias("_pieces"), bits.alias("_bits"))
+    first = F.when(F.get("_pieces", F.lit(0)).rlike(r"^\s"), 2).otherwise(1)
+    places = F.when(F.size("_pieces") >= first, F.sequence(first, F.size("_pieces"), F.lit(2)))
+
+    def met(i: Column) -> Column:
+        word = lambda k: F.get("_pieces", i - 1 + 2 * k)
+        options = []
+        for s in spans:
+            words_ = int(s["_shape"][3:]) if s["_shape"].startswith("run") else 1
+            run = F.concat_ws(" ", *[word(k) for k in range(words_)])
+            start = F.greatest(F.lit(1), i - s["before"])
+            around = F.array_join(F.slice("_pieces", start, i + s["after"] - start + 1), "")
+            found = F.struct(F.lit(s["_shape"]).alias("_shape"), run.alias("_run"), around.alias("_around"))
+            options.append(F.when(_may_be_anchored(s["_shape"], run, F.col("_bits")), found))
+        # Most words begin no run: one look tells.
+        kept = F.when(_may_be_anchored(FIRST, word(0), F.col("_bits")), F.filter(F.array(*options), lambda x: x.isNotNull()))
+        return F.coalesce(kept, F.array().cast("array<struct<_shape: string, _run: string, _around: string>>"))
+
+    return known.select(key, F.inline(F.flatten(F.transform(places, met))))
+
+
+def _spelled_met(lowered: DataFrame, key: str, shape: str, bits: Column) -> DataFrame:
+    """The distinct words, or ``GRAM`` and fewer characters in a row, of the texts that values may be known by."""
+    if shape == "word":
+        every = F.split("_text", r"\s+")
+    else:
+        every = F.flatten(F.array(*[F.regexp_extract_all("_text", F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]))
+    # Filtered as an array: the bitmap would follow every exploded row.
+    known = lowered.select(key, F.array_distinct(every).alias("_every"), bits.alias("_bits"))
+    kept = F.filter("_every", lambda x: _may_be_anchored(shape, x, F.col("_bits")))
+    return known.select(key, F.explode(kept).alias("_run")).select(key, F.lit(shape).alias("_shape"), "_run", F.lit(None).cast("string").alias("_around"))
+
+
 def mention_join(texts: DataFrame, text: str, key: str, values: DataFrame, value: str) -> DataFrame:
     """Pairs ``(key, value)`` where a text contains a value, ignoring case.
 
-    The words of all texts are counted once. Each value is anchored at its rarest word, or part of a word,
-    and is looked for at the words of the texts that hold the anchor. A bitmap of those words, of fixed
-    size, goes to the texts: where it lets a word through, the text around the word meets the values
-    anchored there. So texts stay where they are; what is shuffled is their words as counts and the
-    surroundings of anchors, each as long as the longest value. A common anchor's occurrences are dealt
+    The words of all texts are counted once. Each value is anchored at a run of words around its rarest one, at
+    a part of a word, or at itself if it is shorter (``_anchored``). A bitmap of those, of fixed size, goes to the
+    texts: what it lets through meets the values anchored there. So texts stay where they are; what is shuffled
+    is their words as counts, their distinct words and characters that may hold a short value, and the
+    surroundings of runs, as long as the values of their shape. A common anchor's occurrences are dealt
     to ``SALTS`` tasks. Blank values are left out.
     """
     blank = F.btrim("_low", F.lit(BLANKS)) == ""
@@ -253,22 +319,19 @@ def mention_join(texts: DataFrame, text: str, key: str, values: DataFrame, value
     lowered = texts.select(key, F.lower(text).alias("_text"))
     spoken = lowered.select(F.explode(F.split("_text", r"\s+")).alias("_word")).filter("_word <> ''")
     vocabulary = shared_table(spoken.groupBy("_word").agg(F.count("*").alias("_n")), "vocabulary")
-    anchored = shared_table(_anchored_words(vocabulary, listed), "anchored-words")
-    pieces = lambda c: F.regexp_extract_all(c, F.lit(r"\S+|\s+"), F.lit(0))
-    longest = anchored.agg(F.coalesce(F.max(F.size(pieces(F.col("_low")))), F.lit(0))).scalar()
-    # Subqueries are columns of the row, so that they are not run again for every word.
-    known = lowered.select(key, pieces(F.col("_text")).alias("_pieces"), _bits(anchored).alias("_bits"), longest.alias("_longest"))
-    places = F.filter(F.sequence(F.lit(1), F.size("_pieces")), lambda i: _may_be_anchored(F.element_at("_pieces", i), F.col("_bits")))
-    around = F.transform(
-        F.when(F.size("_pieces") > 0, places),
-        lambda i: F.struct(
-            F.element_at("_pieces", i).alias("_word"),
-            F.array_join(F.slice("_pieces", F.greatest(F.lit(1), i - F.col("_longest")), 2 * F.col("_longest") + 1), "").alias("_around"),
-        ),
-    )
-    met = known.select(key, F.inline(around)).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    dealt = anchored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return met.join(dealt, ["_word", "_salt"]).filter(F.contains("_around", "_low")).select(key, "value").distinct()
+    anchored = shared_table(_anchored(vocabulary, listed), "anchored")
+    bits = _bits(anchored)
+    # One row a shape, eight at most.
+    spans = anchored.groupBy("_shape").agg(F.max("_before").alias("before"), F.max("_after").alias("after")).orderBy("_shape").collect()
+    placed = [s for s in spans if s["_shape"] not in ("gram", "word")]
+    met = [_spelled_met(lowered, key, s["_shape"], bits) for s in spans if s["_shape"] in ("gram", "word")]
+    met += [_runs_met(lowered, key, placed, bits)] if placed else []
+    if not met:
+        return lowered.select(key, F.lit(None).cast("string").alias("value")).filter(F.lit(False))
+    every = reduce(DataFrame.unionByName, met).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    dealt = anchored.drop("_before", "_after").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = F.col("_around").isNull() | F.contains("_around", "_low")
+    return every.join(dealt, ["_shape", "_run", "_salt"]).filter(held).select(key, "value").distinct()
 
 
 def topic_hints(dimensions: Sequence[str]) -> list[str]:
