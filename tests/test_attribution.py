@@ -173,3 +173,11 @@ def test_drill_equals_a_fresh_investigation(spark, following):
     assert child.scope.first().asDict() == pytest.approx(fresh.scope.first().asDict())
     by_name = lambda i: {r["dimension"]: r["score"] for r in i.scores.collect()}
     assert by_name(child) == pytest.approx(by_name(fresh))
+
+
+def test_measured_rows_and_category_sums_are_stored_once(spark):
+    """Steps that run side by side read files; a cache would be filled by each of them."""
+    pop = A.Population(two_groups(spark), CohortSpec(("group",), "actual", "target"))
+    assert pop.measured.inputFiles() and A.group_dimension(pop).inputFiles()
+    child = A.Population(two_groups(spark), CohortSpec(("group",), "actual", "target", predicates=(("group", "A"),)), within=pop)
+    assert set(child.measured.inputFiles()) <= set(pop.measured.inputFiles())

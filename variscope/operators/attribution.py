@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ from variscope.functions.values import (
     variance_pct,
 )
 from variscope.operators.cohort import CohortSpec, apply_predicates
+from variscope.session import shared_table
 
 # Fixed values of the driver score.
 MINIMUM_ROWS = 20
@@ -38,16 +38,16 @@ class Population:
     """The rows of one cohort that carry valid measures, and the one-row statistics of the cohort.
 
     The statistics are single numbers, read once and used as literals in the later plans. The
-    measured rows are scanned by every step (scale, contributions, combinations), so they are
-    persisted with spill to disk: the joins behind the fact run once, and a lost executor only
-    recomputes its own blocks. ``release`` frees them.
+    measured rows are scanned by every step (scale, contributions, combinations), so they are stored
+    by columns below the shared folder: the joins behind the fact run once, and a step reads only the
+    columns it needs, however many rows there are.
     """
 
     def __init__(self, df: DataFrame, spec: CohortSpec, within: Population | None = None):
-        """``within`` is a population this one narrows: its persisted rows are filtered further, so
+        """``within`` is a population this one narrows: its stored rows are filtered further, so
         a drill-down does not run the joins behind the fact again."""
+        self.within = within
         self.spec = spec
-        self.kept: list[DataFrame] = []
         self.names = (spec.actual, spec.expected)
         if within is None:
             self.filtered = apply_predicates(df, spec.predicates)
@@ -99,13 +99,12 @@ class Population:
 
     @cached_property
     def measured(self) -> DataFrame:
-        return self.rows.persist(StorageLevel.MEMORY_AND_DISK)
+        # The rows of a population within another one are a filter of stored rows.
+        return self.rows if self.within is not None else shared_table(self.rows, "measured")
 
     def release(self) -> None:
-        if "measured" in self.__dict__:
-            self.measured.unpersist()
-        while self.kept:
-            self.kept.pop().unpersist()
+        """Forget the stored rows; their files go when the application ends."""
+        self.__dict__.pop("measured", None)
 
     @cached_property
     def row_count(self) -> int:
@@ -224,10 +223,9 @@ def group_dimension(pop: Population, dimensions: Sequence[str] | None = None) ->
             F.sum("actual").alias("_a"),
             F.sum("expected").alias("_e"),
         )
-        # One row a category; the shares below read them twice, the fact once.
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    pop.kept.append(groups)
+    # One row a category, stored: parts of a plan that run side by side would each fill a cache for themselves.
+    groups = shared_table(groups, "categories")
     average = spec.aggregation == "average"
     per = F.col("count") if average else F.lit(1)
     residual = (F.col("_a") - F.col("_e")).cast("double")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from variscope.functions.values import BLANKS, all_of, cell, is_missing, quoted
 from variscope.operators.semantics import apply_contract
+from variscope.session import shared_table
 from variscope.sources.coerce import coerced, text_columns
 
 BAD_RECORD = "_corrupt_record"
@@ -118,12 +119,9 @@ def typed_table(df: DataFrame, threshold: float = 0.95) -> DataFrame:
     names = text_columns(df)
     if not names:
         return df
-    kinds = df.agg(
-        *[
-            F.count_if(coerced(df, c)["kind"] == k).alias(f"{i}_{k}")
-            for i, c in enumerate(names)
-            for k in ("number", "boolean", "string")
-        ]
+    # The kind of a cell is a column of its own, so that its patterns are matched once and not for each count.
+    kinds = df.select(*[coerced(df, c)["kind"].alias(f"_{i}") for i, c in enumerate(names)]).agg(
+        *[F.count_if(F.col(f"_{i}") == k).alias(f"{i}_{k}") for i in range(len(names)) for k in ("number", "boolean", "string")]
     ).first()
     chosen, mixed = {}, []
     for i, c in enumerate(names):
@@ -166,7 +164,8 @@ def ingest_table(spark: SparkSession, path: str, file_format: str) -> DataFrame:
         df = flatten_records(read_json(spark, path, lines=file_format == "jsonl")).drop(PRESENT)
     else:
         raise ValueError("file_format is csv, json or jsonl")
-    return apply_contract(typed_table(df))
+    # Stored once: the contract's rules and the caller read typed columns, not the files again.
+    return apply_contract(shared_table(typed_table(df), "typed"))
 
 
 def fingerprint_parts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
