@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from datetime import date
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from variscope.functions.values import (
     quoted,
     ratio,
 )
-from variscope.session import ensure_checkpoint_dir
+from variscope.session import ensure_checkpoint_dir, shared_table
 from variscope.sources.coerce import cell_counts, text_columns, typed_counts
 
 # Thresholds of the report.
@@ -84,7 +83,7 @@ class Profiler:
         """``column, kind, text, number, count`` and what each distinct value looks like (its number,
         date, edges and normal form); a missing cell has kind ``missing``.
 
-        Every report reads these counts, so they are persisted with spill to disk.
+        Every report reads these counts, some side by side, so they are stored once.
         """
         counted = cell_counts(self.df, self.columns)
         typed = typed_counts(counted)
@@ -100,7 +99,7 @@ class Profiler:
         distinct = distinct.withColumn("_text", F.when(F.col("kind") == "string", F.col("text")))
         distinct = distinct.withColumn("_bare", F.btrim("_text", F.lit(BLANKS)))
         bare = F.col("_bare")
-        return (
+        shaped = (
             distinct.withColumns(
                 {
                     "value_number": number,
@@ -110,8 +109,8 @@ class Profiler:
                 }
             )
             .drop("_text", "_bare")
-            .persist(StorageLevel.MEMORY_AND_DISK)
         )
+        return shared_table(shaped, "frequencies")
 
     @property
     def values(self) -> DataFrame:
@@ -140,7 +139,8 @@ class Profiler:
         return dataset_summary(self, self.profile).checkpoint()
 
     def release(self) -> None:
-        self.frequencies.unpersist()
+        """Forget the stored counts; their files go when the application ends."""
+        self.__dict__.pop("frequencies", None)
 
 
 def outliers_iqr(p: Profiler) -> DataFrame:
