@@ -272,3 +272,12 @@ def test_nested_records_reach_the_investigation(spark, tmp_path):
     assert Q.functional_dependencies(df, ["who.region", "who.tier.name"]).count() == 0
     assert [r["field"] for r in Q.detect_time_fields(df).collect()] == []
     assert R.content_fingerprint(df).first()["row_count"] == 90
+
+
+def test_counts_and_ingested_rows_are_stored_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "name string, n int")
+    assert Q.Profiler(df, Q.QualityOptions(as_of=date(2024, 1, 1))).frequencies.inputFiles()
+    path = str(tmp_path / "csv")
+    spark.sql("SELECT '2024-01-01' AS period_date, '1' AS actual_value, '$2' AS plan_value, 'x' AS dim_Region").write.option("header", True).csv(path)
+    got = R.ingest_table(spark, path, "csv")
+    assert all(f.endswith(".parquet") for f in got.inputFiles()) and got.select("actual", "target", "region").first()[:] == (1.0, 2.0, "x")
