@@ -276,7 +276,7 @@ def test_nested_records_reach_the_investigation(spark, tmp_path):
 
 def test_counts_and_ingested_rows_are_stored_once(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "name string, n int")
-    assert Q.Profiler(df, Q.QualityOptions(as_of=date(2024, 1, 1))).frequencies.inputFiles()
+    assert Q.Profiler(df, Q.QualityOptions(as_of=dt.date(2024, 1, 1))).frequencies.inputFiles()
     path = str(tmp_path / "csv")
     spark.sql("SELECT '2024-01-01' AS period_date, '1' AS actual_value, '$2' AS plan_value, 'x' AS dim_Region").write.option("header", True).csv(path)
     got = R.ingest_table(spark, path, "csv")
