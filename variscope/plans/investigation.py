@@ -64,7 +64,7 @@ class Investigation:
         return "drv-" + hashlib.sha256(text.encode()).hexdigest()[:16]
 
     def release(self) -> None:
-        """Free the persisted rows of this cohort."""
+        """Free the persisted results of this cohort."""
         for kept in ("scores", "contributions"):
             if kept in self.__dict__:
                 getattr(self, kept).unpersist()
