@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from variscope.operators.cohort import CohortSpec
 from variscope.plans.investigation import Investigation
 from variscope.sources import files as R
 from variscope.sources import sinks as K
-from variscope.sources.coerce import coerce_values, coercion_report
+from variscope.sources.coerce import coerce_values, coerced, coercion_report
 
 OPTIONS = Q.QualityOptions(dt.date(2026, 1, 1), required=("actual", "gone"), keys=("id",), freshness_days=10)
 
@@ -281,3 +282,38 @@ def test_counts_and_ingested_rows_are_stored_once(spark, tmp_path):
     spark.sql("SELECT '2024-01-01' AS period_date, '1' AS actual_value, '$2' AS plan_value, 'x' AS dim_Region").write.option("header", True).csv(path)
     got = R.ingest_table(spark, path, "csv")
     assert all(f.endswith(".parquet") for f in got.inputFiles()) and got.select("actual", "target", "region").first()[:] == (1.0, 2.0, "x")
+
+
+def test_typing_is_compiled_and_matches_each_cell_once(spark, tmp_path, capsys):
+    lines = [f"2024-01-0{i},{i}00.5,$1{i}.25,x" + ",7%" * 14 for i in range(1, 10)]
+    (tmp_path / "a.csv").write_text("\n".join(["period_date,actual_value,plan_value,dim_Region," + ",".join(f"v{i}" for i in range(14)), *lines]))
+    typed = R.typed_table(R.read_csv(spark, str(tmp_path / "a.csv")).drop(R.BAD_RECORD))
+    typed.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the virtual machine interprets longer methods
+    assert [r["plan_value"] for r in typed.orderBy("period_date").collect()] == [10.25 + i for i in range(1, 10)]
+
+
+def test_numbers_by_one_pattern(spark):
+    numbers = {
+        "7": 7.0, " 7\t": 7.0, "-.5": -0.5, "5.": 5.0, "$ 1,234.50": 1234.5, "(1,234.5)": -1234.5, "(-5)": -5.0, "(5%)": -0.05, "12.5%": 0.125,
+        "+€3": 3.0, "1" * 15: float("1" * 15), "(0123)": -123.0, "0": 0.0, "0.5": 0.5, ",5": 5.0, "$" + "9" * 305: float("9" * 305),
+    }
+    others = ["0123", "-007", "1" * 16, "1.2.3", "..5", "-", ",.", "%", "$", "1e5", "NaN", "5 $", "--5", "2024-01-01", "12\x85", "$" + "9" * 310, "yes"]
+    cells = [(c, "number", v) for c, v in numbers.items()] + [(c, "string", None) for c in others] + [("True", "boolean", None), ("", "missing", None), (None, "missing", None)]
+    df = spark.createDataFrame(cells, "v string, kind string, expected double")
+    assert [(r["v_number"], r["v_boolean"]) for r in coerce_values(df, ["v"]).collect()] == [(v, True if k == "boolean" else None) for _, k, v in cells]
+    report = coercion_report(df, ["v"]).first()
+    assert [report[f"{k}_cells"] for k in ("missing", "number", "boolean", "string")] == [2, len(numbers), 1, len(others)]
+    one = df.select(coerced(df, "v").alias("c")).select("c.kind", "c.number").collect()
+    assert [tuple(r) for r in one] == [(k, v) for _, k, v in cells]
+
+
+def test_mixed_booleans_and_empty_columns_are_typed(spark):
+    rows = [("true", None, f"{i}%") for i in range(39)] + [("maybe", " ", "n/a")]
+    df = R.typed_table(spark.createDataFrame(rows, "flag string, none string, `a.share` string"))
+    assert dict(df.dtypes) == {"flag": "boolean", "none": "string", "a.share": "double", "flag_text": "string", "a.share_text": "string"}
+    assert df.filter("flag").count() == 39 and df.filter("none is not null").count() == 0
+    assert [tuple(r) for r in df.filter("flag is null").collect()] == [(None, None, None, "maybe", "n/a")]
+    empty = R.typed_table(df.select("flag_text").limit(0))
+    assert empty.dtypes == [("flag_text", "string")] and empty.count() == 0

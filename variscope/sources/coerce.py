@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variscope.functions.values import NUMBER_PATTERN, cell, plain_text, trimmed
+from variscope.functions.values import NUMBER_PATTERN, cell, let, plain_text, trimmed
 
 # What counts as a boolean, a code that stays text, a number and a percentage, and
 # the characters removed before a number is read.
@@ -17,31 +17,47 @@ CODE_PATTERN = r"^[+-]?(0\d+|\d{16,})$"
 PERCENT_PATTERN = r"^\(?[-+]?[$€£¥]?\s*[\d,.]+(\.\d+)?%\)?$"
 FORMATTED_PATTERN = r"^\(?[-+]?[$€£¥]?\s*[\d,.]+(\.\d+)?\)?$"
 DECORATION_PATTERN = r"[()$€£¥,%\s]"
+# All of these in one: no code, formatted or a percentage, and a number once the decoration is removed.
+NUMERIC_PATTERN = r"^(?![+-]?(?:0\d+|\d{16,})\z)\(?[-+]?[$€£¥]?\s*(?=[,.]*\d)[\d,]*+(?:\.[\d,]*+)?%?\)?\z"
+FINITE_LENGTH = 300  # digits of a double's largest value: 309
 
 
-def _text_value(c: Column) -> Column:
-    t = trimmed(c)
-    percent = t.rlike(PERCENT_PATTERN)
-    bare = F.regexp_replace(t, DECORATION_PATTERN, "")
-    number = F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
-    signed = F.when(t.startswith("(") & t.endswith(")"), -F.abs(number)).otherwise(number)
-    value = F.when(percent, signed / 100).otherwise(signed)
-    numeric = (
-        ~t.rlike(CODE_PATTERN)
-        & (percent | t.rlike(FORMATTED_PATTERN))
-        & F.coalesce(F.abs(number) < float("inf"), F.lit(False))
-    )
-    kind = (
+def _numeric(t: Column) -> Column:
+    """Whether trimmed text is a number: one pattern; only a very long one is read to see that it is finite."""
+    short = F.length(t) < FINITE_LENGTH
+    return t.rlike(NUMERIC_PATTERN) & (short | F.coalesce(F.abs(_bare_number(t)) < float("inf"), F.lit(False)))
+
+
+def _bare_number(t: Column) -> Column:
+    return F.regexp_replace(t, DECORATION_PATTERN, "").try_cast("double")
+
+
+def _text_kind(t: Column) -> Column:
+    return (
         F.when(t.isNull() | (t == ""), F.lit("missing"))
+        .when(_numeric(t), "number")
         .when(t.rlike(BOOLEAN_PATTERN), "boolean")
-        .when(numeric, "number")
         .otherwise("string")
     )
+
+
+def _text_number(t: Column) -> Column:
+    """The number in trimmed text, else null. Lambdas stay out of the code that is generated for all columns together."""
+
+    def signed(n: Column) -> Column:
+        value = F.when(t.startswith("(") & t.endswith(")"), -F.abs(n)).otherwise(n)
+        return F.when(F.abs(n) < float("inf"), F.when(t.contains("%"), value / 100).otherwise(value))
+
+    return let(F.when(t.rlike(NUMERIC_PATTERN), _bare_number(t)), signed)
+
+
+def _text_value(c: Column) -> Column:
+    t = trimmed(c)
     return F.struct(
-        kind.alias("kind"),
+        _text_kind(t).alias("kind"),
         F.when(t != "", t).alias("text"),
-        F.when(kind == "number", value).alias("number"),
-        F.when(kind == "boolean", F.lower(t) == "true").alias("boolean"),
+        _text_number(t).alias("number"),
+        F.when(t.rlike(BOOLEAN_PATTERN), F.lower(t) == "true").alias("boolean"),
     )
 
 
@@ -139,32 +155,68 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def typed_cells(df: DataFrame, wanted: Sequence[tuple[str, str | None, str]]) -> DataFrame:
+    """One column per ``(column, form, name)``: its ``text``, ``number`` or ``boolean``, the text of its
+    cells that are ``no number`` or ``no boolean``, or with None the column as it is.
+
+    The steps are separate projections, so a cell is trimmed, matched and read once however many forms
+    are wanted, and the generated code stays short enough to be compiled to machine code."""
+    forms: dict[str, set] = {}
+    for c, form, _ in wanted:
+        forms.setdefault(c, set()).add(form)
+    at = {c: f"_{i}" for i, c in enumerate(forms)}
+    text = {c for c in forms if forms[c] != {None} and isinstance(df.schema[c].dataType, T.StringType)}
+
+    def source(c: str) -> Column:
+        return trimmed(cell(df, c)) if c in text else cell(df, c) if forms[c] == {None} else coerced(df, c)
+
+    def form_of(c: str, form: str | None) -> Column:
+        t, number = F.col(at[c]), F.col(f"{at[c]}n")
+        if form is None:
+            return t
+        if c not in text:
+            return t[form]
+        return {
+            "text": lambda: F.when(t != "", t),
+            "number": lambda: number,
+            "boolean": lambda: F.when(t.rlike(BOOLEAN_PATTERN), F.lower(t) == "true"),
+            "no number": lambda: F.when((t != "") & number.isNull(), t),
+            "no boolean": lambda: F.when((t != "") & ~t.rlike(BOOLEAN_PATTERN), t),
+        }[form]()
+
+    steps = df.select(*[source(c).alias(at[c]) for c in forms])
+    read = [c for c in forms if c in text and forms[c] & {"number", "no number"}]
+    steps = steps.select("*", *[_text_number(F.col(at[c])).alias(f"{at[c]}n") for c in read])
+    return steps.select(*[form_of(c, form).alias(name) for c, form, name in wanted])
+
+
 def coerce_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The typed table: each text column becomes ``<name>`` (clean text), ``<name>_number`` and
-    ``<name>_boolean``, all in one projection."""
+    ``<name>_boolean``."""
     names = set(columns or text_columns(df))
-    out = []
-    for f in df.schema.fields:
-        if f.name not in names:
-            out.append(cell(df, f.name))
-            continue
-        c = coerced(df, f.name)
-        out += [
-            c["text"].alias(f.name),
-            c["number"].alias(f"{f.name}_number"),
-            c["boolean"].alias(f"{f.name}_boolean"),
-        ]
-    return df.select(*out)
+    wanted = []
+    for c in df.columns:
+        if c in names:
+            wanted += [(c, "text", c), (c, "number", f"{c}_number"), (c, "boolean", f"{c}_boolean")]
+        else:
+            wanted.append((c, None, c))
+    return typed_cells(df, wanted)
 
 
 def coercion_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Cells of each text column by runtime type; ``string`` cells took no other type."""
+    """Cells of each text column by runtime type; ``string`` cells took no other type.
+
+    Cells are unpivoted as they are, so the typing rules are in the plan once and not once per column."""
     names = list(columns or text_columns(df))
-    kinds = F.array(
-        *[F.struct(F.lit(c).alias("column"), coerced(df, c)["kind"].alias("kind")) for c in names]
-    )
+    none = F.lit(None).cast("string")
+    cells = []
+    for c in names:
+        text = isinstance(df.schema[c].dataType, T.StringType)
+        raw, kind = (cell(df, c), none) if text else (none, coerced(df, c)["kind"])
+        cells.append(F.struct(F.lit(c).alias("column"), raw.alias("raw"), kind.alias("given")))
+    steps = df.select(F.inline(F.array(*cells))).select("column", "given", trimmed(F.col("raw")).alias("text"))
     return (
-        df.select(F.inline(kinds))
+        steps.select("column", F.coalesce("given", _text_kind(F.col("text"))).alias("kind"))
         .groupBy("column")
         .agg(
             F.count("*").alias("cells"),

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from variscope.functions.values import BLANKS, all_of, cell, is_missing, quoted
 from variscope.operators.semantics import apply_contract
 from variscope.session import shared_table
-from variscope.sources.coerce import coerced, text_columns
+from variscope.sources.coerce import coercion_report, text_columns, typed_cells
 
 BAD_RECORD = "_corrupt_record"
 PRESENT = "_present_fields"
@@ -119,13 +119,10 @@ def typed_table(df: DataFrame, threshold: float = 0.95) -> DataFrame:
     names = text_columns(df)
     if not names:
         return df
-    # The kind of a cell is a column of its own, so that its patterns are matched once and not for each count.
-    kinds = df.select(*[coerced(df, c)["kind"].alias(f"_{i}") for i, c in enumerate(names)]).agg(
-        *[F.count_if(F.col(f"_{i}") == k).alias(f"{i}_{k}") for i in range(len(names)) for k in ("number", "boolean", "string")]
-    ).first()
+    kinds = {r["column"]: r for r in coercion_report(df, names).collect()}  # a row per column
     chosen, mixed = {}, []
-    for i, c in enumerate(names):
-        n = {k: kinds[f"{i}_{k}"] for k in ("number", "boolean", "string")}
+    for c in names:
+        n = {k: kinds[c][f"{k}_cells"] if c in kinds else 0 for k in ("number", "boolean", "string")}
         present = sum(n.values())
         best = max(n, key=n.get)
         chosen[c] = best if present and best != "string" and n[best] / present >= threshold else "text"
@@ -134,13 +131,8 @@ def typed_table(df: DataFrame, threshold: float = 0.95) -> DataFrame:
     clash = [f"{c}_text" for c in mixed if f"{c}_text" in df.columns]
     if clash:
         raise ValueError(f"columns of rejected cells would repeat {clash}")
-    return df.select(
-        *[
-            coerced(df, f.name)[chosen[f.name]].alias(f.name) if f.name in chosen else cell(df, f.name)
-            for f in df.schema.fields
-        ],
-        *[F.when(coerced(df, c)["kind"].isin("number", "boolean", "string") & (coerced(df, c)["kind"] != chosen[c]), coerced(df, c)["text"]).alias(f"{c}_text") for c in mixed],
-    )
+    kept = [(c, f"no {chosen[c]}", f"{c}_text") for c in mixed]
+    return typed_cells(df, [(c, chosen.get(c), c) for c in df.columns] + kept)
 
 
 def rejected_cells(df: DataFrame) -> DataFrame:
