@@ -248,3 +248,19 @@ def test_short_mentions_do_not_multiply_the_texts(spark):
     met = T._runs_met(lowered, "id", [s for s in spans if s["_shape"] != "gram"], bits)
     size = met.agg(F.sum(F.length("_around"))).first()[0]
     assert size <= texts.agg(F.sum(F.length("text"))).first()[0]
+
+
+@pytest.mark.parametrize("parts", [T.PART_VALUES, -1])
+def test_mentions_of_short_and_long_lists(spark, monkeypatch, parts):
+    """A list that can be broadcast is searched in generated code, without a lambda a word; a longer one by runs."""
+    monkeypatch.setattr(T, "PART_VALUES", parts)
+    texts = [(1, "The quick\nBrown fox jumps"), (1, "the QUICK\nbrown fox"), (None, "a quick brown fox jumps"), (2, ""), (3, None), (4, "éx fox\n fox")]
+    values = ["quick\nbrown", "X j", "the quick\nbrown fox", "\nb", "É", " fox ", "\n fox", "brown cat jumps", "quick brown fox jumps", "rown", None, " \n", "X j"]
+    docs = spark.createDataFrame(texts, "id int, body string")
+    found = T.mention_join(docs, "body", "id", spark.createDataFrame([(v,) for v in values], "term string"), "term")
+    expected = {(i, v) for i, t in texts for v in values if t and v and v.strip() and v.lower() in t.lower()}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == expected and len(rows) == len(expected) and {v for _, v in expected} >= {"X j", "\nb", "É", " fox ", "\n fox"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    if parts > 0:
+        assert "BroadcastHashJoin" in plan and "lambda" not in plan

@@ -21,6 +21,8 @@ RUN, FIRST = 4, "first"
 ANCHOR_BITS, BITMAP_ROW = 1 << 23, 1 << 15
 #: Tasks that share the occurrences of one anchored word.
 SALTS = 8
+#: A list is broadcast up to so many bytes (16 MB) and so many values without a whole word between two blanks.
+LIST_BYTES, PART_VALUES = 1 << 24, 1024
 
 
 def normalize_date(raw: Column) -> Column:
@@ -304,18 +306,45 @@ def _spelled_met(lowered: DataFrame, key: str, shape: str, bits: Column) -> Data
     return known.select(key, F.explode(kept).alias("_run")).select(key, F.lit(shape).alias("_shape"), "_run", F.lit(None).cast("string").alias("_around"))
 
 
-def mention_join(texts: DataFrame, text: str, key: str, values: DataFrame, value: str) -> DataFrame:
-    """Pairs ``(key, value)`` where a text contains a value, ignoring case.
+def _whole_words(low: Column) -> Column:
+    """The words between two blanks of a value, which are whole words of every text that contains it."""
+    parts = F.split(low, r"\s+")
+    return F.filter(parts, lambda w, i: (i > 0) & (i < F.size(parts) - 1) & (w != ""))
+
+
+def _words_met(spoken: DataFrame, listed: DataFrame) -> DataFrame:
+    """The word of a text at which each value is looked for (``_word``): its rarest whole word, or the empty one, that
+    every text counts as having, for a value without whole words. A value with a word that no text has is in no text."""
+    inner = listed.withColumn("_inner", F.array_distinct(_whole_words(F.col("_low"))))
+    anchors = inner.select("value", "_low", F.explode("_inner").alias("_word"))
+    counts = spoken.join(F.broadcast(anchors.select("_word").distinct()), "_word").groupBy("_word").agg(F.count("*").alias("_count"))
+    rank = F.struct(F.coalesce("_count", F.lit(0)).alias("n"), F.col("_word").alias("word"))
+    rarest = anchors.join(counts, "_word", "left").groupBy("value", "_low").agg(F.min(rank).alias("_best")).filter("_best.n > 0")
+    whole = rarest.select(F.col("_best.word").alias("_word"), "value", "_low")
+    return whole.unionByName(inner.filter(F.size("_inner") == 0).select(F.lit("").alias("_word"), "value", "_low"))
+
+
+def _mentions_in_place(texts: DataFrame, text: str, key: str, listed: DataFrame) -> DataFrame:
+    """The mentions of a list that can be broadcast. Each distinct word of a text meets the values looked for there,
+    and the text is searched where it is, in generated code: only pairs that were found are shuffled."""
+    lowered = texts.select(key, F.lower(text).alias("_lowered"))
+    spoken = lowered.select(F.explode(F.split("_lowered", r"\s+")).alias("_word"))
+    anchored = shared_table(_words_met(spoken, listed), "anchored")
+    every = F.array_distinct(F.concat(F.split("_lowered", r"\s+"), F.array(F.lit(""))))
+    met = lowered.select(key, "_lowered", F.explode(every).alias("_word")).join(F.broadcast(anchored), "_word")
+    return met.filter(F.contains("_lowered", "_low")).select(key, "value").distinct()
+
+
+def _mentions_by_runs(texts: DataFrame, text: str, key: str, listed: DataFrame) -> DataFrame:
+    """The mentions of a list of any length.
 
     The words of all texts are counted once. Each value is anchored at a run of words around its rarest one, at
     a part of a word, or at itself if it is shorter (``_anchored``). A bitmap of those, of fixed size, goes to the
     texts: what it lets through meets the values anchored there. So texts stay where they are; what is shuffled
     is their words as counts, their distinct words and characters that may hold a short value, and the
     surroundings of runs, as long as the values of their shape. A common anchor's occurrences are dealt
-    to ``SALTS`` tasks. Blank values are left out.
+    to ``SALTS`` tasks.
     """
-    blank = F.btrim("_low", F.lit(BLANKS)) == ""
-    listed = values.select(F.lower(value).alias("_low"), F.col(value).alias("value")).filter(~blank).distinct()
     lowered = texts.select(key, F.lower(text).alias("_text"))
     spoken = lowered.select(F.explode(F.split("_text", r"\s+")).alias("_word")).filter("_word <> ''")
     vocabulary = shared_table(spoken.groupBy("_word").agg(F.count("*").alias("_n")), "vocabulary")
@@ -334,6 +363,24 @@ def mention_join(texts: DataFrame, text: str, key: str, values: DataFrame, value
     return every.join(dealt, ["_shape", "_run", "_salt"]).filter(held).select(key, "value").distinct()
 
 
+def mention_join(texts: DataFrame, text: str, key: str, values: DataFrame, value: str) -> DataFrame:
+    """Pairs ``(key, value)`` where a text contains a value, ignoring case. Blank values are left out.
+
+    A list of up to ``LIST_BYTES`` goes to the texts; of its values without a whole word, which are looked for in
+    every text, it may hold ``PART_VALUES``. In a longer list values are found by the runs they are anchored at.
+    Either way every text and every value is read, and no text is shuffled.
+    """
+    blank = F.btrim("_low", F.lit(BLANKS)) == ""
+    listed = values.select(F.lower(value).alias("_low"), F.col(value).alias("value")).filter(~blank).distinct()
+    listed = shared_table(listed, "listed")
+    size = listed.agg(
+        F.coalesce(F.sum(F.octet_length("_low") + F.octet_length("value")), F.lit(0)).alias("bytes"),
+        F.count_if(F.size(_whole_words(F.col("_low"))) == 0).alias("parts"),
+    ).first()
+    short = size["bytes"] <= LIST_BYTES and size["parts"] <= PART_VALUES
+    return (_mentions_in_place if short else _mentions_by_runs)(texts, text, key, listed)
+
+
 def topic_hints(dimensions: Sequence[str]) -> list[str]:
     """Topics hinted at by the names of the best-scored dimensions."""
     names = [d.lower() for d in dimensions]
