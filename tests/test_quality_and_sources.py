@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +13,11 @@ from variscope.operators import quality as Q
 from variscope.operators import semantics as M
 from variscope.operators.cohort import CohortSpec
 from variscope.plans.investigation import Investigation
+from variscope.session import DROP_SHUFFLES
 from variscope.sources import files as R
 from variscope.sources import sinks as K
 from variscope.sources.coerce import coerce_values, coerced, coercion_report
+from variscope.sources.warehouse import fact
 
 OPTIONS = Q.QualityOptions(dt.date(2026, 1, 1), required=("actual", "gone"), keys=("id",), freshness_days=10)
 
@@ -317,3 +320,83 @@ def test_mixed_booleans_and_empty_columns_are_typed(spark):
     assert [tuple(r) for r in df.filter("flag is null").collect()] == [(None, None, None, "maybe", "n/a")]
     empty = R.typed_table(df.select("flag_text").limit(0))
     assert empty.dtypes == [("flag_text", "string")] and empty.count() == 0
+
+
+def test_copies_travel_as_hashes(spark):
+    """However wide a row is, 128 bits of it are shuffled; missing cells of different columns differ."""
+    rows = [("x", None, 1.0), (None, "x", 1.0), ("x", " ", 1.0), ("x", None, float("nan")), ("x", "", float("nan")), (None, None, 0.0), ("", " ", -0.0), ("x" * 500, "x", 1.0)]
+    df = spark.createDataFrame(rows, "a string, b string, c double")
+    found = Q.duplicate_rows(df)
+    assert found.first()[:2] == (8, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)[0].count("#") == 2 and "hashpartitioning(_h0#" in plan
+    mapped = df.withColumn("m", F.create_map(F.lit("k"), "c"))
+    assert Q.duplicate_rows(mapped).first()["duplicate_rows"] == 3
+
+
+def test_counted_values_are_read_as_they_were_typed(spark):
+    """What a number or a text makes plain is not stored beside it."""
+    texts = [" A  b ", "a B", "1,200", "1200", "0123", "TRUE", " ", None, "2024-01-05", "(5%)"]
+    df = spark.createDataFrame([(t, n) for t, n in zip(texts, [1.0, 1.0, 2.5, -0.0, 0.0, float("nan"), None, 1e20, 3.0, 3.0])], "t string, n double")
+    p = Q.Profiler(df.withColumn("none", F.lit(None)), OPTIONS)
+    got = sorted((tuple(r) for r in p.frequencies.select("column", "kind", "text", "number", "count", "value_number", F.col("value_date").cast("string"), "blank_edge", "norm").collect()), key=str)
+    number = lambda c, t, v, n: (c, "number", t, v, n, v, None, None, None)
+    text = lambda t, norm, edge, v=None, d=None: ("t", "string", t, None, 1, v, d, edge, norm)
+    none = (None,) * 4
+    expected = [
+        text(" A  b ", "a b", True), text("a B", "a b", False), number("t", "1200", 1200.0, 2), text("0123", "0123", False, 123.0),
+        ("t", "boolean", "true", None, 1, *none), ("t", "missing", None, None, 2, *none), text("2024-01-05", "2024-01-05", False, None, "2024-01-05"),
+        number("t", "-0.05", -0.05, 1), number("n", "1", 1.0, 2), number("n", "2.5", 2.5, 1), number("n", "0", 0.0, 2), number("n", "3", 3.0, 2),
+        number("n", "1.0E20", 1e20, 1), ("none", "missing", None, None, 10, *none),
+    ]
+    missing = [x for x in got if x[0] == "n" and x[1] == "missing"]
+    assert sum(x[4] for x in missing) == 2 and sorted((x for x in got if x not in missing), key=str) == sorted(expected, key=str)
+    assert "number" not in p._counts.columns and "norm" not in p._counts.columns
+    assert p._counts.filter("kind = 'number' AND text IS NOT NULL").count() == 0
+
+
+def test_scores_read_the_rows_once_and_drop_the_shuffles(spark):
+    """The rows behind scores are stored; the shuffles that made them go when they are written."""
+    files = lambda: [str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in str(f)]
+    before = set(files())
+    df = spark.range(500).repartition(7, "id").select("id", (F.col("id") % 5).cast("string").alias("group"))
+    p = Q.Profiler(df, OPTIONS)
+    assert p.rows.inputFiles() and sorted(p.rows.dtypes) == sorted(df.dtypes)
+    for _ in range(50):
+        if not set(files()) - before:
+            break
+        time.sleep(0.2)
+    assert not set(files()) - before
+    assert spark.conf.get(DROP_SHUFFLES) == "false" and p.rows.count() == 500
+    scores = {r["dimension"]: r["score"] for r in Q.quality_dimensions(p).collect()}
+    assert scores["uniqueness"] == 100 and scores["completeness"] == 100
+    assert "repartition" not in p.summary._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_lines_move_for_parts_and_orders_only(spark, tmp_path):
+    """What hangs on an order is joined to the orders; keys that repeat, are null or meet nothing keep their rows."""
+    day = dt.datetime(2024, 1, 5)
+    tables = {
+        "lineitem": ([(1, 1, 1, 2.0, 10.0, 0.1, "R", "F", day), (1, 2, 9, 1.0, 20.0, 0.0, "A", "O", day), (2, 9, 1, 1.0, 30.0, 0.0, "A", "O", day), (None, None, None, 1.0, 40.0, 0.0, "N", "O", day), (7, 1, 1, 1.0, 50.0, 0.0, "N", "O", day)], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        "orders": ([(1, 5, "P", "1-URGENT", day), (1, 6, "F", "2-HIGH", day), (2, None, "O", "3-MEDIUM", day), (None, 5, "O", "5-LOW", day)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp"),
+        "customer": ([(5, 3, "AUTO"), (5, 4, "HOME"), (6, None, "TOYS")], "c_custkey long, c_nationkey long, c_mktsegment string"),
+        "nation": ([(3, "PERU", 1), (4, "CHAD", 2)], "n_nationkey long, n_name string, n_regionkey long"),
+        "region": ([(1, "AMERICA")], "r_regionkey long, r_name string"),
+        "part": ([(1, "B1", "T1"), (2, "B2", None)], "p_partkey long, p_brand string, p_type string"),
+        "supplier": ([(1, "S1")], "s_suppkey long, s_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = fact(spark, str(tmp_path), ["extended_price", "region", "nation", "segment", "priority", "brand", "supplier"])
+        got = sorted((tuple([float(r[0]), *r[1:]]) for r in df.collect()), key=str)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    orders = [("AMERICA", "PERU", "AUTO", "1-URGENT"), (None, "CHAD", "HOME", "1-URGENT"), (None, None, "TOYS", "2-HIGH")]
+    expected = [(10.0, *o, "B1", "S1") for o in orders] + [(20.0, *o, "B2", None) for o in orders]
+    expected += [(30.0, None, None, None, "3-MEDIUM", None, "S1"), (40.0, *[None] * 6), (50.0, None, None, None, None, "B1", "S1")]
+    assert got == sorted(expected, key=str)
+    assert plan.index("hashpartitioning(l_orderkey") < plan.index("hashpartitioning(o_custkey")

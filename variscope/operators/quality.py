@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from variscope.functions.quantiles import exact_quantiles
 from variscope.functions.timeparse import FIRST_YEAR, LAST_YEAR, SLASH_PATTERN, parse_time_value
@@ -29,7 +30,10 @@ from variscope.functions.values import (
     ratio,
 )
 from variscope.session import ensure_checkpoint_dir, shared_table
-from variscope.sources.coerce import cell_counts, text_columns, typed_counts
+from variscope.sources.coerce import cell_counts, spelled, text_columns, typed_counts
+
+#: Stored rows and counts are written and read a few times, and they are the most of a profile's disk.
+COMPRESSION = "zstd"
 
 # Thresholds of the report.
 MISSING_WARNING, MISSING_CRITICAL = 0.05, 0.4
@@ -79,38 +83,57 @@ class Profiler:
         self.columns = sorted(columns or df.columns)
 
     @cached_property
+    def rows(self) -> DataFrame:
+        """The profiled columns, stored once for the reports that read rows as well as counts: the joins and
+        shuffles behind them run once."""
+        names = list(dict.fromkeys([*self.columns, *(["_present_fields"] if "_present_fields" in self.df.columns else [])]))
+        # Parquet has no column without a type; such cells are missing under any type.
+        kept = {c: cell(self.df, c).cast("string") if isinstance(self.df.schema[c].dataType, T.NullType) else cell(self.df, c) for c in names}
+        stored = shared_table(self.df.select(*[kept[c].alias(f"_{i}") for i, c in enumerate(names)]), "rows", COMPRESSION)
+        return stored.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
+
+    @cached_property
+    def _counts(self) -> DataFrame:
+        """The stored part of ``frequencies``. What a number or a text makes plain is not stored beside it."""
+        df = self.__dict__.get("rows", self.df)
+        texts = set(text_columns(df))
+        keys = ["column", "kind", "text", "number"]
+        parts = []
+        for of_texts in (True, False):
+            names = [c for c in self.columns if (c in texts) == of_texts]
+            if not names:
+                continue
+            typed = typed_counts(cell_counts(df, names))
+            # Different texts may be one number; other sources are distinct already.
+            parts.append(typed.groupBy(*keys).agg(F.sum("count").alias("count")) if of_texts else typed.select(*keys, "count"))
+        distinct = reduce(DataFrame.unionByName, parts).withColumn("_text", F.when(F.col("kind") != "number", F.col("text")))
+        bare = F.btrim("_text", F.lit(BLANKS))
+        string = F.col("kind") == "string"
+        distinct = distinct.withColumn("_bare", F.when(string, bare))
+        parsed = F.when(F.col("_text").rlike(NUMBER_PATTERN), F.col("_text").try_cast("double"))
+        shaped = distinct.select(
+            "column", "kind", F.col("_text").alias("text"), "count",
+            F.when(string, parsed).otherwise(F.col("number")).alias("value_number"), _date_in(F.col("_bare")).alias("value_date"),
+        )
+        return shared_table(shaped, "frequencies", COMPRESSION)
+
+    @property
     def frequencies(self) -> DataFrame:
         """``column, kind, text, number, count`` and what each distinct value looks like (its number,
         date, edges and normal form); a missing cell has kind ``missing``.
 
         Every report reads these counts, some side by side, so they are stored once.
         """
-        counted = cell_counts(self.df, self.columns)
-        typed = typed_counts(counted)
-        # Different texts may be one number; other sources are distinct already.
-        keys = ["column", "kind", "text", "number"]
-        distinct = (
-            typed.filter("source = 'text'").groupBy(*keys).agg(F.sum("count").alias("count"))
-            if set(text_columns(self.df)) & set(self.columns)
-            else typed.filter("source = 'text'").select(*keys, "count")
-        ).unionByName(typed.filter("source <> 'text'").select(*keys, "count"))
-        parsed = F.when(F.col("text").rlike(NUMBER_PATTERN), F.col("text").try_cast("double"))
-        number = F.when(F.col("kind") == "string", parsed).otherwise(F.col("number"))
-        distinct = distinct.withColumn("_text", F.when(F.col("kind") == "string", F.col("text")))
-        distinct = distinct.withColumn("_bare", F.btrim("_text", F.lit(BLANKS)))
-        bare = F.col("_bare")
-        shaped = (
-            distinct.withColumns(
-                {
-                    "value_number": number,
-                    "value_date": _date_in(bare),
-                    "blank_edge": F.col("_text") != bare,
-                    "norm": F.lower(F.regexp_replace(bare, r"\s+", " ")),
-                }
-            )
-            .drop("_text", "_bare")
+        number, string = F.col("kind") == "number", F.col("kind") == "string"
+        bare = F.btrim("text", F.lit(BLANKS))
+        return self._counts.select(
+            "column", "kind",
+            F.when(number, spelled(F.col("value_number"))).otherwise(F.col("text")).alias("text"),
+            F.when(number, F.col("value_number")).alias("number"),
+            "count", "value_number", "value_date",
+            F.when(string, F.col("text") != bare).alias("blank_edge"),
+            F.when(string, F.lower(F.regexp_replace(bare, r"\s+", " "))).alias("norm"),
         )
-        return shared_table(shaped, "frequencies")
 
     @property
     def values(self) -> DataFrame:
@@ -136,11 +159,14 @@ class Profiler:
 
     @cached_property
     def summary(self) -> DataFrame:
+        ensure_checkpoint_dir(self.df.sparkSession)
+        _ = self.rows  # stored first, so that the counts of the profile are of the same rows
         return dataset_summary(self, self.profile).checkpoint()
 
     def release(self) -> None:
-        """Forget the stored counts; their files go when the application ends."""
-        self.__dict__.pop("frequencies", None)
+        """Forget the stored rows and counts; their files go when the application ends."""
+        self.__dict__.pop("rows", None)
+        self.__dict__.pop("_counts", None)
 
 
 def outliers_iqr(p: Profiler) -> DataFrame:
@@ -482,10 +508,19 @@ def parse_time_report(df: DataFrame, name: str) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows that repeat an earlier row; missing cells equal each other. Copies collapse in the
-    partial aggregation, so many copies of one row cost one shuffled row per task."""
+    partial aggregation, so many copies of one row cost one shuffled row per task.
+
+    A row travels as 128 bits, two hashes with different seeds, however wide it is: among 10^12 different rows,
+    two that are taken for copies have a chance of about one in 10^15. Hashes skip nulls, so what is missing is hashed too.
+    """
     names = list(columns or df.columns)
-    keys = [F.when(~is_missing(df, c), cell(df, c)).alias(c) for c in names]
-    counts = df.select(*keys).groupBy(*[quoted(c) for c in names]).agg(F.count("*").alias("_n"))
+    gone = F.array(*[is_missing(df, c) for c in names])
+    keys = [F.when(~is_missing(df, c), cell(df, c)) for c in names]
+    # Spark hashes no maps; they are compared as they are.
+    maps = [k.alias(f"_m{i}") for i, (c, k) in enumerate(zip(names, keys)) if "map<" in df.schema[c].dataType.simpleString()]
+    hashed = [k for c, k in zip(names, keys) if "map<" not in df.schema[c].dataType.simpleString()]
+    rows = df.select(*[F.xxhash64(F.lit(seed), gone, *hashed).alias(f"_h{seed}") for seed in (0, 1)], *maps)
+    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
     return counts.agg(
         F.sum("_n").alias("row_count"),
         F.sum(F.col("_n") - 1).alias("duplicate_rows"),
@@ -693,8 +728,8 @@ def column_issues(profile: DataFrame) -> DataFrame:
 
 def dataset_summary(p: Profiler, profile: DataFrame) -> DataFrame:
     """One row of dataset totals: cells, duplicates and what the profile adds up to."""
-    cells = missing_cells(p.df, p.columns + (["_present_fields"] if "_present_fields" in p.df.columns else []))
-    copies = duplicate_rows(p.df, p.columns).select("duplicate_rows", "duplicate_rate")
+    cells = missing_cells(p.rows, p.columns + (["_present_fields"] if "_present_fields" in p.df.columns else []))
+    copies = duplicate_rows(p.rows, p.columns).select("duplicate_rows", "duplicate_rate")
     c = F.col
     sums = profile.agg(
         F.count("*").alias("column_count"),
@@ -763,9 +798,8 @@ def dataset_issues(summary: DataFrame, profile: DataFrame, options: QualityOptio
 
 def quality_issues(p: Profiler) -> DataFrame:
     """All issues of columns and dataset, with a stable id."""
-    both = column_issues(p.profile).unionByName(
-        dataset_issues(p.summary, p.profile, p.options, p.columns)
-    )
+    summary = p.summary
+    both = column_issues(p.profile).unionByName(dataset_issues(summary, p.profile, p.options, p.columns))
     return both.withColumn(
         "issue_id", F.concat_ws(":", "dimension", F.coalesce("column", F.lit("dataset")), "title")
     )

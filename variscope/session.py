@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that drops the shuffle files of a query when it has run, else they wait for the driver's garbage collection.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "variscope") -> SparkSession:
     """A local session with the settings the operators expect (UTC, AQE on)."""
@@ -46,15 +49,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
 
 
-def shared_table(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a small result that several plans read below the shared folder and read it back.
+def shared_table(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
+    """Write a result that several plans read below the shared folder and read it back.
 
     One run of the plan cuts the lineage; unlike persisted rows it outlives a lost executor, and its
-    files go when the application ends.
+    files go when the application ends. The shuffles behind it go as soon as it is written, as nothing reads them again.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.mode("error").parquet(path)
+    kept = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.mode("error").parquet(path, compression=compression)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, kept)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

@@ -65,14 +65,15 @@ def cell_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, source, raw, number, count)``: how often each raw value occurs in each column.
 
     Cells are unpivoted as they are and counted with partial aggregation, so the typing rules that
-    follow run once per distinct value and not once per cell.
+    follow run once per distinct value and not once per cell. A column is counted under its number, and only the
+    forms that the columns have, text or numbers, are shuffled.
     """
-    cells = []
-    for name in columns:
+    cells, sources = [], []
+    for i, name in enumerate(columns):
         dtype = df.schema[name].dataType
         c = cell(df, name)
         numeric = isinstance(dtype, T.NumericType)
-        source = (
+        sources.append(
             "number" if numeric
             else "text" if isinstance(dtype, T.StringType)
             else "boolean" if isinstance(dtype, T.BooleanType)
@@ -80,19 +81,26 @@ def cell_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         cells.append(
             F.struct(
-                F.lit(name).alias("column"),
-                F.lit(source).alias("source"),
+                F.lit(i).alias("_at"),
                 (F.lit(None) if numeric else c).cast("string").alias("raw"),
                 (c if numeric else F.lit(None)).cast("double").alias("number"),
             )
         )
-    return (
-        df.select(F.inline(F.array(*cells)))
-        .groupBy("column", "source", "raw", "number")
-        .agg(F.count("*").alias("count"))
+    forms = [form for form, kept in (("raw", set(sources) != {"number"}), ("number", "number" in sources)) if kept]
+    counted = df.select(F.inline(F.array(*cells))).groupBy("_at", *forms).agg(F.count("*").alias("count"))
+    named = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_at") + 1)
+    form = lambda name, kind: (F.col(name) if name in forms else F.lit(None).cast(kind)).alias(name)
+    return counted.select(
+        named(columns).alias("column"), named(sources).alias("source"), form("raw", "string"), form("number", "double"), "count"
     )
 
 
+def spelled(number: Column) -> Column:
+    """The one spelling of a number."""
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+
+
 def typed_counts(counted: DataFrame) -> DataFrame:
     """``column, source, kind, text, number, count`` of the counted raw values. ``text`` is the value
     as the source holds it for strings, and one spelling per number. The steps are separate
@@ -121,9 +129,8 @@ def typed_counts(counted: DataFrame) -> DataFrame:
         F.when(F.col("source") == "time", "string").otherwise(F.col("source"))
     )
     steps = steps.withColumn("kind", F.when(F.col("source") == "text", text_kind).otherwise(other_kind))
-    whole = (F.col("number") == F.floor("number")) & (F.abs("number") < 1e15)
     text = (
-        F.when(F.col("kind") == "number", F.when(whole, F.col("number").cast("bigint").cast("string")).otherwise(F.col("number").cast("string")))
+        F.when(F.col("kind") == "number", spelled(F.col("number")))
         .when(F.col("kind") == "boolean", F.lower(trimmed(F.col("raw"))))
         .when(F.col("kind") == "string", F.col("raw"))
     )

@@ -84,19 +84,24 @@ def fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None)
     (``target``, the list price less 5 %)."""
     chosen = list(columns) if columns is not None else ["period_date", *MEASURES, *DIMENSIONS]
     needed = {t for c in chosen if c in _SOURCE for t in _NEEDS[_SOURCE[c]]}
-    out = table(spark, sf_dir, "lineitem")
-    joins = {
-        "orders": ("l_orderkey", "o_orderkey"),
-        "customer": ("o_custkey", "c_custkey"),
-        "nation": ("c_nationkey", "n_nationkey"),
-        "region": ("n_regionkey", "r_regionkey"),
-        "part": ("l_partkey", "p_partkey"),
-        "supplier": ("l_suppkey", "s_suppkey"),
-    }
-    for name, (left, right) in joins.items():
-        if name in needed:
-            other = table(spark, sf_dir, name)
-            out = out.join(other, out[left] == other[right], "left")
+
+    def joined(rows: DataFrame, joins: Iterable[tuple[str, str, str]]) -> DataFrame:
+        for name, left, right in joins:
+            if name in needed:
+                other = headers if name == "orders" else table(spark, sf_dir, name)
+                rows = rows.join(other, rows[left] == other[right], "left")
+        return rows
+
+    # What hangs on an order is joined to the orders, of which there are fewer than lines, and the orders come last:
+    # lines move once for the parts, while they are narrow, and once for the orders.
+    headers = table(spark, sf_dir, "orders")
+    headers = joined(
+        headers, [("customer", "o_custkey", "c_custkey"), ("nation", "c_nationkey", "n_nationkey"), ("region", "n_regionkey", "r_regionkey")]
+    )
+    out = joined(
+        table(spark, sf_dir, "lineitem"),
+        [("part", "l_partkey", "p_partkey"), ("supplier", "l_suppkey", "s_suppkey"), ("orders", "l_orderkey", "o_orderkey")],
+    )
     expressions = _expressions()
     return out.select(*[expressions[c].alias(c) for c in chosen])
 
